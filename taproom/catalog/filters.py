@@ -189,7 +189,7 @@ LINES = (
 
 @query(
     "P11_passage_keep_rule",
-    "WITH l AS (" + LINES + ") SELECT doc_id, count(*) AS kept, min(length(line)) AS shortest FROM l WHERE "
+    "WITH l AS (SELECT doc_id, line AS raw, regexp_replace(line, '[À-ÖØ-öø-ÿŒœ]', 'x', 'g') AS line FROM (" + LINES + ")) SELECT doc_id, count(*) AS kept, min(length(line)) AS shortest FROM l WHERE "
     "length(line) >= 40 AND NOT regexp_matches(line, '"
     + ("(?i)" + "|".join(f"(?:{p})" for p in V.PASSAGE_NOISE)).replace("'", "''")
     + "') AND (regexp_matches(line, '[.!?…]$') OR len(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' ')) > 15) "

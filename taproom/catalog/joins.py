@@ -1 +1,864 @@
-"""Section."""
+"""Joins and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taproom import vocab as V
+from taproom.catalog.base import Tables, query, sql
+from taproom.functions.similarity import jaccard
+from taproom.operators import canonical, identity, matching, overlay, ranking
+
+
+def q_haversine(a: str, b: str, c: str, d: str, radius: str = "6371000.0E0") -> str:
+    return (
+        f"{radius} * 2 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * "
+        f"cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
+    )
+
+
+def q_match_name(column: str) -> str:
+    return f"regexp_replace(trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+
+
+def q_domain(column: str) -> str:
+    full = f"CASE WHEN contains({column}, '://') THEN {column} ELSE 'https://' || {column} END"
+    return f"regexp_replace(lower(regexp_extract({full}, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+
+
+SIDES = {
+    "a": (
+        f"SELECT venueId AS aId, {q_match_name('name')} AS aName, latitude AS aLat, longitude AS aLon, "
+        f"lower(replace(postcode, ' ', '')) AS aPostcode, {q_domain('website')} AS aDomain, "
+        "right(regexp_replace(phone, '\\D', '', 'g'), 10) AS aPhone FROM fx_venue"
+    ),
+    "b": (
+        f"SELECT osmElementId AS bId, {q_match_name('name')} AS bName, latitude AS bLat, longitude AS bLon, "
+        f"lower(replace(postcode, ' ', '')) AS bPostcode, {q_domain('website')} AS bDomain, "
+        "right(regexp_replace(phone, '\\D', '', 'g'), 10) AS bPhone FROM fx_place_b"
+    ),
+    "near": (
+        f"SELECT *, {q_haversine('aLat', 'aLon', 'bLat', 'bLon')} AS distance FROM a, b WHERE "
+        "abs(aLat - bLat) < 0.006E0 AND abs(aLon - bLon) < 0.01E0"
+    ),
+    "cand": (
+        "SELECT * FROM near WHERE distance <= 500 UNION "
+        f"SELECT *, {q_haversine('aLat', 'aLon', 'bLat', 'bLon')} AS distance FROM a JOIN b ON aDomain = bDomain"
+    ),
+}
+# Matching-blocks ratio in SQL: longest common run, earliest in the left then in the right text,
+# then the same on both sides of it, as a queue of text pieces.
+RATIO = {
+    "names": "SELECT DISTINCT aName, bName FROM cand",
+    "work": (
+        "SELECT aName, bName, aName AS x, bName AS y, 0 AS hit FROM names UNION ALL "
+        "SELECT aName, bName, piece.x, piece.y, piece.hit FROM (SELECT aName, bName, unnest(["
+        "{'x': left(x, i - 1), 'y': left(y, j - 1), 'hit': 0}, "
+        "{'x': substr(x, i + n), 'y': substr(y, j + n), 'hit': 0}, "
+        "{'x': '', 'y': '', 'hit': n}]) AS piece FROM ("
+        "SELECT aName, bName, x, y, best.i AS i, -best.neg AS n, strpos(y, substr(x, best.i, -best.neg)) AS j FROM ("
+        "SELECT aName, bName, x, y, list_min(list_filter(list_transform(list_concat_runs(length(x)), "
+        "lambda r: CASE WHEN contains(y, substr(x, r.i, r.n)) THEN {'neg': -r.n, 'i': r.i} END), "
+        "lambda r: r IS NOT NULL)) AS best FROM work WHERE hit = 0 AND x <> '' AND y <> '') WHERE best IS NOT NULL))"
+    ),
+    "ratios": (
+        "SELECT aName, bName, CASE WHEN length(aName) + length(bName) = 0 THEN 1.0E0 ELSE "
+        "2.0E0 * sum(hit) / (length(aName) + length(bName)) END AS ratio FROM work GROUP BY aName, bName"
+    ),
+}
+RUNS = (
+    "flatten(list_transform(range(1, CAST(length(x) AS BIGINT) + 1), lambda s: list_transform(range(1, "
+    "CAST(length(x) AS BIGINT) - s + 2), lambda m: {'i': s, 'n': m})))"
+)
+RATIO["work"] = RATIO["work"].replace("list_concat_runs(length(x))", RUNS)
+SCORED = {
+    "scored": (
+        "SELECT aId, bId, round(total / weight, 3) AS matchScore, round(distance, 1) AS distanceMetres FROM ("
+        "SELECT c.aId, c.bId, c.distance, 0.4E0 * r.ratio + 0.3E0 * greatest(0.0E0, 1.0E0 - c.distance / 200.0E0) "
+        "+ CASE WHEN aPostcode = bPostcode THEN 0.15E0 ELSE 0.0E0 END + CASE WHEN aDomain = bDomain THEN 0.1E0 ELSE 0.0E0 END "
+        "+ CASE WHEN aPhone = bPhone THEN 0.05E0 ELSE 0.0E0 END AS total, "
+        "0.7E0 + CASE WHEN aPostcode IS NOT NULL AND bPostcode IS NOT NULL THEN 0.15E0 ELSE 0.0E0 END "
+        "+ CASE WHEN aDomain IS NOT NULL AND bDomain IS NOT NULL THEN 0.1E0 ELSE 0.0E0 END "
+        "+ CASE WHEN aPhone IS NOT NULL AND bPhone IS NOT NULL THEN 0.05E0 ELSE 0.0E0 END AS weight "
+        "FROM cand c JOIN ratios r ON r.aName = c.aName AND r.bName = c.bName)"
+    ),
+    "classed": (
+        "SELECT *, CASE WHEN matchScore >= 0.9E0 THEN 'definite' WHEN matchScore >= 0.78E0 THEN 'likely' "
+        "WHEN matchScore >= 0.6E0 THEN 'review' ELSE 'noMatch' END AS matchStatus FROM scored"
+    ),
+}
+
+
+def greedy(name: str, start: str, rounds: int = 8) -> dict[str, str]:
+    """Rounds of mutually best pairs as chained parts; `{name}` is the union of all accepted."""
+    out = {f"{name}0": start}
+    picked = []
+    for i in range(rounds):
+        left = f"{name}{i}"
+        out[f"{name}_p{i}"] = (
+            f"SELECT aId, bId FROM (SELECT aId, bId, row_number() OVER (PARTITION BY aId ORDER BY matchScore DESC, aId, bId) AS ra, "
+            f"row_number() OVER (PARTITION BY bId ORDER BY matchScore DESC, aId, bId) AS rb FROM {left}) WHERE ra = 1 AND rb = 1"
+        )
+        out[f"{name}{i + 1}"] = (
+            f"SELECT * FROM {left} WHERE aId NOT IN (SELECT aId FROM {name}_p{i}) AND bId NOT IN (SELECT bId FROM {name}_p{i})"
+        )
+        picked.append(f"SELECT aId, bId FROM {name}_p{i}")
+    out[name] = " UNION ALL ".join(picked)
+    return out
+
+
+MATCH = {
+    **SIDES, **RATIO, **SCORED,
+    **greedy("sure", "SELECT * FROM classed WHERE matchStatus = 'definite'"),
+    **greedy(
+        "maybe",
+        "SELECT * FROM classed WHERE matchStatus IN ('likely', 'review') AND aId NOT IN (SELECT aId FROM sure) "
+        "AND bId NOT IN (SELECT bId FROM sure)",
+    ),
+}
+
+
+def match_sql(body: str, **more: str) -> str:
+    return sql("venue place_b", body, **MATCH, **more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def sides(t: Tables):
+    return (
+        matching.place_keys(t.places_a(), "fsqPlaceId", "a"),
+        matching.place_keys(t.places_b(), "osmElementId", "b"),
+    )
+
+
+def matched(t: Tables):
+    """Accepted and review links of the two sources."""
+    a, b = sides(t)
+    return matching.resolve(matching.score_pairs(matching.linkable_pairs(a, b)))
+
+
+@query(
+    "J01_spatial_candidate_join",
+    sql("venue place_b", "SELECT aId, bId, round(distance, 3) AS distance FROM cand", **SIDES),
+)
+def spatial_candidates(t: Tables):
+    a, b = sides(t)
+    return matching.candidate_pairs(a, b).select("aId", "bId", F.round("distance", 3).alias("distance"))
+
+
+@query(
+    "P05_candidate_pair_test",
+    sql(
+        "venue place_b",
+        "SELECT count(*) AS pairs, count(*) FILTER (distance <= 500) AS near, "
+        "count(*) FILTER (aDomain = bDomain) AS sameSite FROM cand",
+        **SIDES,
+    ),
+)
+def candidate_counts(t: Tables):
+    a, b = sides(t)
+    return matching.candidate_pairs(a, b).agg(
+        F.count("*").alias("pairs"), F.count_if(F.col("distance") <= 500).alias("near"),
+        F.count_if(F.col("aDomain") == F.col("bDomain")).alias("sameSite"),
+    )
+
+
+@query(
+    "J02_pair_scoring",
+    match_sql("SELECT aId, bId, matchScore, matchStatus, distanceMetres FROM classed WHERE matchScore >= 0.6E0"),
+)
+def pair_scores(t: Tables):
+    a, b = sides(t)
+    scored = matching.score_pairs(matching.linkable_pairs(a, b))
+    return scored.where(F.col("matchStatus") != "noMatch").drop("signals")
+
+
+@query(
+    "U01_text_ratio",
+    match_sql("SELECT aName, bName, round(ratio, 6) AS ratio FROM ratios"),
+)
+def name_ratios(t: Tables):
+    from taproom.functions.similarity import text_ratio
+
+    a, b = sides(t)
+    names = matching.candidate_pairs(a, b).select("aName", "bName").distinct()
+    return names.select("aName", "bName", F.round(text_ratio(F.col("aName"), F.col("bName")), 6).alias("ratio"))
+
+
+@query(
+    "J03_one_to_one_links",
+    match_sql(
+        "SELECT aId, bId, 'accepted' AS kind FROM sure UNION ALL SELECT aId, bId, 'review' FROM maybe"
+    ),
+)
+def one_to_one(t: Tables):
+    accepted, review = matched(t)
+    return accepted.select("aId", "bId", F.lit("accepted").alias("kind")).unionByName(
+        review.select("aId", "bId", F.lit("review").alias("kind"))
+    )
+
+
+@query(
+    "J04_review_side_by_side",
+    match_sql(
+        "SELECT m.aId, m.bId, v.name AS aName, p.name AS bName, v.website AS aWebsite, p.website AS bWebsite "
+        "FROM maybe m JOIN fx_venue v ON v.venueId = m.aId JOIN fx_place_b p ON p.osmElementId = m.bId"
+    ),
+)
+def review_rows(t: Tables):
+    _, review = matched(t)
+    rows = matching.review_side_by_side(review, t.places_a(), t.places_b(), "fsqPlaceId", "osmElementId")
+    return rows.select(
+        "aId", "bId", F.col("a.name").alias("aName"), F.col("b.name").alias("bName"),
+        F.col("a.website").alias("aWebsite"), F.col("b.website").alias("bWebsite"),
+    )
+
+
+def resolved(t: Tables):
+    accepted, review = matched(t)
+    decisions = review.select(
+        "aId", "bId",
+        F.when(F.pmod(F.regexp_extract("aId", r"(\d+)", 1).cast("int"), F.lit(2)) == 0, "approve")
+        .otherwise("reject").alias("decision"),
+    )
+    return matching.apply_decisions(accepted, review, decisions)
+
+
+EVEN = "CAST(substr(aId, 3) AS INT) % 2 = 0"
+
+
+@query(
+    "J05_decision_resolution",
+    match_sql(
+        f"SELECT aId, bId, 'link' AS kind FROM sure UNION ALL SELECT aId, bId, 'link' FROM maybe WHERE {EVEN} "
+        f"UNION ALL SELECT aId, NULL, 'rejectedA' FROM maybe WHERE NOT {EVEN} "
+        f"UNION ALL SELECT NULL, bId, 'rejectedB' FROM maybe WHERE NOT {EVEN}"
+    ),
+)
+def decisions(t: Tables):
+    links, a_out, b_out = resolved(t)
+    none = F.lit(None).cast("string")
+    return (
+        links.select("aId", "bId", F.lit("link").alias("kind"))
+        .unionByName(a_out.select("aId", none.alias("bId"), F.lit("rejectedA").alias("kind")))
+        .unionByName(b_out.select(none.alias("aId"), "bId", F.lit("rejectedB").alias("kind")))
+    )
+
+
+@query(
+    "X02_unmatched_ids",
+    match_sql(
+        "SELECT aId AS id FROM a WHERE aId NOT IN (SELECT aId FROM sure UNION ALL SELECT aId FROM maybe) "
+        "UNION ALL SELECT bId FROM b WHERE bId NOT IN (SELECT bId FROM sure UNION ALL SELECT bId FROM maybe)"
+    ),
+)
+def unmatched_ids(t: Tables):
+    a, b = sides(t)
+    accepted, review = matched(t)
+    left = matching.unmatched(a, "aId", accepted, review).select(F.col("aId").alias("id"))
+    return left.unionByName(
+        matching.unmatched(b, "bId", accepted, review).select(F.col("bId").alias("id"))
+    )
+
+
+@query(
+    "X03_unmatched_after_review",
+    match_sql(
+        "SELECT aId AS id FROM a WHERE aId NOT IN (SELECT aId FROM sure UNION ALL SELECT aId FROM maybe) "
+        f"UNION SELECT aId FROM maybe WHERE NOT {EVEN}"
+    ),
+)
+def unmatched_after_review(t: Tables):
+    a, _ = sides(t)
+    accepted, review = matched(t)
+    _, rejected, _ = resolved(t)
+    left = matching.unmatched(a, "aId", accepted, review)
+    return left.unionByName(rejected).distinct().select(F.col("aId").alias("id"))
+
+
+# -- canonical venues -----------------------------------------------------------------------------
+
+LINKS = "SELECT v.n, 0.95E0 AS score FROM fx_venue v JOIN fx_place_b p ON p.n = v.n WHERE v.n % 3 <> 2"
+
+
+def links(t: Tables):
+    """Given links between the two sources (same number, two thirds of them)."""
+    return (
+        t.fx("venue").select("n", F.col("venueId").alias("aId"))
+        .join(t.fx("place_b").select("n", F.col("osmElementId").alias("bId")), "n")
+        .where("n % 3 <> 2")
+        .select("aId", "bId", F.lit(0.95).alias("matchScore"))
+    )
+
+
+def canonical_venues(t: Tables):
+    a = t.places_a().withColumnRenamed("fsqPlaceId", "aId")
+    b = t.places_b().withColumnRenamed("osmElementId", "bId")
+    return canonical.merge_linked(links(t), a, b, F.col("a.area"), F.lit("2026-08-12"))
+
+
+CANON = {
+    "lk": LINKS,
+    "canon": (
+        "SELECT concat('fsq-', v.venueId) AS venueId, v.name, v.area, coalesce(nullif(v.address, ''), p.address) AS address, "
+        "coalesce(nullif(v.website, ''), p.website) AS website, v.priceLevel, p.servesFood, p.hasOutdoorSeating, "
+        "CASE WHEN v.address IS NOT NULL THEN 'FSQ Places' WHEN p.address IS NOT NULL THEN 'OpenStreetMap' END AS addressSource, "
+        "CASE WHEN v.website IS NOT NULL THEN v.venueId WHEN p.website IS NOT NULL THEN p.osmElementId END AS websiteRecord, "
+        "list_sort(list_distinct(list_transform(list_concat(string_split(v.tagsText, '|'), string_split(p.categoriesText, '|')), "
+        "lambda x: replace(lower(x), ' ', '-')))) AS tags, v.n FROM lk JOIN fx_venue v ON v.n = lk.n JOIN fx_place_b p ON p.n = lk.n"
+    ),
+}
+
+
+@query(
+    "J06_canonical_merge",
+    sql(
+        "venue place_b",
+        "SELECT venueId, name, area, address, website, priceLevel, servesFood, addressSource, websiteRecord, "
+        "array_to_string(tags, '|') AS tags, 0.95E0 AS confidence FROM canon",
+        **CANON,
+    ),
+)
+def canonical_merge(t: Tables):
+    p = F.col("attributeProvenance")
+    return canonical_venues(t).select(
+        "venueId", "name", "area", "address", "website", "priceLevel", "servesFood",
+        F.try_element_at(p, F.lit("address"))["source"].alias("addressSource"),
+        F.try_element_at(p, F.lit("website"))["sourceRecordId"].alias("websiteRecord"),
+        F.array_join("tags", "|").alias("tags"), p["name"]["confidence"].alias("confidence"),
+    )
+
+
+@query(
+    "J06_second_source_only",
+    sql(
+        "place_b",
+        "SELECT concat('osm-node-', CAST(1000000 + n AS STRING)) AS venueId, name, 'Camden' AS area, "
+        "concat('https://www.openstreetmap.org/', osmElementId) AS sourceUrl, "
+        "array_to_string(list_sort(list_transform(string_split(categoriesText, '|'), lambda x: replace(lower(x), ' ', '-'))), '|') AS tags, "
+        "CASE WHEN servesFood IS NOT NULL THEN 0.8E0 END AS foodConfidence FROM fx_place_b WHERE n % 3 = 2",
+    ),
+)
+def second_source(t: Tables):
+    b = t.places_b().where("n % 3 = 2").withColumnRenamed("osmElementId", "bId")
+    rows = canonical.second_source_only(b, F.lit("Camden"), F.lit("2026-08-12"))
+    return rows.select(
+        "venueId", "name", "area", "sourceUrl", F.array_join("tags", "|").alias("tags"),
+        F.try_element_at("attributeProvenance", F.lit("servesFood"))["confidence"].alias("foodConfidence"),
+    )
+
+
+def overrides(t: Tables):
+    rows = t.fx("venue").where("n % 9 = 0")
+    return rows.select(
+        "venueId", F.lit("https://evidence.example/").alias("evidenceUrl"),
+        F.when(F.col("n") % 2 == 0, F.create_map(F.lit("phone"), F.lit("https://evidence.example/phone"))).alias("fieldEvidence"),
+        F.when(F.col("n") % 18 == 0, "2026-09-01").otherwise("2026-07-01").cast("date").alias("verifiedAt"),
+        F.concat(F.lit("020 "), F.col("n").cast("string")).alias("phone"),
+        F.when(F.col("n") % 27 == 0, F.lit(False)).alias("servesFood"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("address"),
+    )
+
+
+@query(
+    "J07_override_overlay",
+    sql(
+        "venue",
+        "SELECT venueId, name, CASE WHEN n % 9 = 0 THEN concat('020 ', CAST(n AS STRING)) ELSE phone END AS phone, "
+        "CASE WHEN n % 27 = 0 THEN false ELSE servesFood END AS servesFood, "
+        "CASE WHEN n % 9 = 0 THEN 'https://evidence.example/' ELSE sourceUrl END AS sourceUrl, "
+        "CASE WHEN n % 18 = 0 THEN DATE '2026-09-01' WHEN n % 9 = 0 THEN coalesce(lastVerifiedDate, DATE '2026-07-01') "
+        "ELSE lastVerifiedDate END AS lastVerifiedDate, CASE WHEN n % 18 = 0 THEN 'https://evidence.example/phone' "
+        "WHEN n % 9 = 0 THEN 'https://evidence.example/' END AS phoneRecord FROM fx_venue",
+    ),
+)
+def override_overlay(t: Tables):
+    rows = canonical.apply_overrides(t.venues(), overrides(t))
+    return rows.select(
+        "venueId", "name", "phone", "servesFood", "sourceUrl", "lastVerifiedDate",
+        F.try_element_at("attributeProvenance", F.lit("phone"))["sourceRecordId"].alias("phoneRecord"),
+    )
+
+
+@query(
+    "J08_website_overlay",
+    sql(
+        "venue",
+        "SELECT venueId, CASE WHEN n % 6 = 1 THEN concat('https://official.example/', venueId) ELSE website END AS website, "
+        "CASE WHEN n % 6 = 1 THEN 'https://proof.example/' ELSE sourceUrl END AS sourceUrl, "
+        "CASE WHEN n % 6 = 1 OR (website IS NOT NULL AND n % 2 = 0) THEN true ELSE false END AS official, "
+        "CASE WHEN n % 6 = 1 THEN greatest(lastVerifiedDate, DATE '2026-07-15') ELSE lastVerifiedDate END AS lastVerifiedDate FROM fx_venue",
+    ),
+)
+def website_overlay(t: Tables):
+    checked = t.fx("venue").where("n % 6 = 1").select(
+        "venueId", F.concat(F.lit("https://official.example/"), "venueId").alias("website"),
+        F.lit("https://proof.example/").alias("evidenceUrl"),
+        F.lit("2026-07-15").cast("date").alias("verifiedAt"), F.lit("seen").alias("reason"),
+    )
+    rows = canonical.apply_website_verifications(t.venues(), checked)
+    source = F.try_element_at("attributeProvenance", F.lit("website"))["source"]
+    return rows.select(
+        "venueId", "website", "sourceUrl",
+        F.coalesce(source == V.OFFICIAL_SOURCE, F.lit(False)).alias("official"), "lastVerifiedDate",
+    )
+
+
+@query(
+    "J09_fact_overlay",
+    sql(
+        "venue",
+        "SELECT venueId, CASE WHEN n % 4 = 0 THEN n % 8 = 0 ELSE dogFriendly END AS dogFriendly, "
+        "CASE WHEN n % 4 = 0 THEN true ELSE hostsQuiz END AS hostsQuiz, hasDj, "
+        "CASE WHEN n % 4 = 0 THEN greatest(lastVerifiedDate, DATE '2026-08-20') ELSE lastVerifiedDate END AS lastVerifiedDate FROM fx_venue",
+    ),
+)
+def fact_overlay(t: Tables):
+    rows = t.fx("venue").where("n % 2 = 0")
+    claim = F.explode(
+        F.array(
+            F.struct(F.lit("dogFriendly").alias("feature"), (F.col("n") % 8 == 0).alias("suggestedValue"), F.lit("2026-08-10").alias("day")),
+            F.struct(F.lit("hostsQuiz").alias("feature"), F.lit(True).alias("suggestedValue"), F.lit("2026-08-20").alias("day")),
+        )
+    )
+    decided = rows.select("venueId", "n", claim.alias("c")).select(
+        "venueId", "c.feature", "c.suggestedValue", F.lit("https://site.example/").alias("evidenceUrl"),
+        F.col("c.day").cast("date").alias("reviewedAt"),
+        F.when(F.col("n") % 4 == 0, "approved").otherwise("rejected").alias("reviewStatus"),
+    )
+    return canonical.apply_facts(t.venues(), decided).select(
+        "venueId", "dogFriendly", "hostsQuiz", "hasDj", "lastVerifiedDate"
+    )
+
+
+@query(
+    "J10_candidate_semi_join",
+    sql("venue chunk", "SELECT chunkId FROM fx_chunk WHERE venueId IN (SELECT venueId FROM fx_venue WHERE dogFriendly IS TRUE)"),
+)
+def candidate_semi(t: Tables):
+    wanted = t.fx("venue").where("dogFriendly <=> true").select("venueId")
+    return t.fx("chunk").join(wanted, "venueId", "left_semi").select("chunkId")
+
+
+LATEST = (
+    "SELECT venueId, arg_max(observedPriceGbp, observationId) AS guinnessPriceGbp, "
+    "arg_max(evidenceUrl, observationId) AS priceEvidenceUrl FROM fx_price GROUP BY venueId"
+)
+BAND = "CASE WHEN {0} < 4 THEN 'cheap' WHEN {0} > 7 THEN 'expensive' WHEN {0} IS NOT NULL THEN 'moderate' END"
+
+
+@query(
+    "J11_price_overlay",
+    sql(
+        "venue price",
+        f"SELECT v.venueId, coalesce({BAND.format('l.guinnessPriceGbp')}, v.priceLevel) AS priceLevel, "
+        "l.guinnessPriceGbp, l.priceEvidenceUrl FROM fx_venue v LEFT JOIN latest l ON l.venueId = v.venueId",
+        latest=LATEST,
+    ),
+)
+def price_overlay(t: Tables):
+    latest = canonical.latest_prices(t.fx("price"))
+    return canonical.overlay_prices(t.fx("venue"), latest).select(
+        "venueId", "priceLevel", "guinnessPriceGbp", "priceEvidenceUrl"
+    )
+
+
+# -- directory identity ---------------------------------------------------------------------------
+
+
+def q_directory(column: str) -> str:
+    steps = (
+        f"replace(replace(lower({column}), '&amp;', '&'), '’', '''')"
+    )
+    for pattern in (r"\([^)]*\)", r"\band\b", r"\b(?:the|jd wetherspoon|pub|kentish town)\b"):
+        steps = f"regexp_replace({steps}, '{pattern}', ' ', 'g')"
+    return f"regexp_replace({steps}, '[^a-z0-9]+', '', 'g')"
+
+
+def q_tokens(column: str) -> str:
+    text_ = f"lower(coalesce({column}, ''))"
+    for word, short in (
+        ("street", "st"), ("road", "rd"), ("avenue", "ave"), ("terrace", "ter"), ("lane", "ln"),
+        ("place", "pl"), ("square", "sq"),
+    ):
+        text_ = f"replace({text_}, '{word}', '{short}')"
+    return (
+        f"list_filter(list_distinct(regexp_extract_all({text_}, '[a-z0-9]+')), "
+        "lambda x: x NOT IN ('london', 'uk', 'greater', 'england'))"
+    )
+
+
+def q_full_postcode(column: str) -> str:
+    return (
+        f"nullif(upper(regexp_replace(regexp_extract({column}, '(?i)\\b([A-Z]{{1,2}}\\d[A-Z\\d]?\\s*\\d[A-Z]{{2}})\\b', 1), "
+        "'\\s+', '', 'g')), '')"
+    )
+
+
+def q_path(column: str) -> str:
+    return (
+        f"regexp_replace(regexp_replace(lower(regexp_extract({column}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), "
+        "'/(?:book|onlinebookingform).*', ''), '/+$', '')"
+    )
+
+
+IDENTITY = {
+    "vk": (
+        f"SELECT venueId, {q_directory('name')} AS vName, {q_full_postcode('postcode')} AS vPostcode, latitude AS vLat, "
+        f"longitude AS vLon, nullif({q_domain('website')}, '') AS vHost, {q_path('website')} AS vPath, {q_tokens('address')} AS vTokens FROM fx_venue"
+    ),
+    "lk": (
+        f"SELECT listingId, {q_directory('sourceName')} AS lName, {q_full_postcode('sourceAddress')} AS lPostcode, "
+        f"latitude AS lLat, longitude AS lLon, nullif({q_domain('website')}, '') AS lHost, {q_path('website')} AS lPath, "
+        f"{q_tokens('sourceAddress')} AS lTokens FROM fx_listing"
+    ),
+    "compat": "SELECT * FROM lk JOIN vk ON vName <> '' AND lName <> '' AND (contains(vName, lName) OR contains(lName, vName))",
+    "bypc": "SELECT listingId, min(venueId) AS venueId, 0 AS m FROM compat WHERE vPostcode = lPostcode GROUP BY listingId HAVING count(*) = 1",
+    "dist": (
+        f"SELECT listingId, venueId, vName, lName, {q_haversine('vLat', 'vLon', 'lLat', 'lLon')} AS d FROM lk, vk "
+        "WHERE abs(vLat - lLat) < 0.001E0 AND abs(vLon - lLon) < 0.002E0"
+    ),
+    "two": (
+        "SELECT listingId, venueId, vName, lName, d, lead(d) OVER w AS nd, row_number() OVER w AS rn FROM dist WHERE d <= 75 "
+        "WINDOW w AS (PARTITION BY listingId ORDER BY d, venueId)"
+    ),
+    "byxy": (
+        "SELECT listingId, venueId, 1 AS m FROM two WHERE rn = 1 AND d <= 35 AND (nd IS NULL OR nd > 75) AND vName <> '' "
+        "AND lName <> '' AND (contains(vName, lName) OR contains(lName, vName))"
+    ),
+    "alone": "SELECT listingId FROM compat GROUP BY listingId HAVING count(*) = 1",
+    "byweb": (
+        "SELECT listingId, min(venueId) AS venueId, 2 AS m FROM compat WHERE vHost = lHost AND (contains(lPath, vPath) OR "
+        "contains(vPath, lPath)) AND (lPath <> '' OR vPath <> '' OR listingId IN (SELECT listingId FROM alone)) "
+        "GROUP BY listingId HAVING count(*) = 1"
+    ),
+    "byadr": (
+        "SELECT listingId, min(venueId) AS venueId, 3 AS m FROM compat WHERE len(list_intersect(vTokens, lTokens)) >= 2 AND "
+        "len(list_filter(list_intersect(vTokens, lTokens), lambda x: regexp_matches(x, '^\\d+$'))) > 0 "
+        "GROUP BY listingId HAVING count(*) = 1"
+    ),
+    "ident": (
+        "SELECT listingId, arg_min(venueId, m) AS venueId, CASE min(m) WHEN 0 THEN 'name+postcode' WHEN 1 THEN "
+        "'name+coordinates' WHEN 2 THEN 'name+website' ELSE 'name+address' END AS matchMethod FROM (SELECT * FROM bypc UNION ALL "
+        "SELECT * FROM byxy UNION ALL SELECT * FROM byweb UNION ALL SELECT * FROM byadr) GROUP BY listingId"
+    ),
+}
+
+
+@query("J12_identity_cascade", sql("venue listing", "SELECT * FROM ident", **IDENTITY))
+def identity_cascade(t: Tables):
+    return identity.match_listings(t.listings(), t.fx("venue"))
+
+
+@query(
+    "J13_nearest_with_gap",
+    sql(
+        "venue listing",
+        "SELECT listingId, venueId, round(d, 3) AS distance, round(nd, 3) AS nextDistance FROM two WHERE rn = 1",
+        **IDENTITY,
+    ),
+)
+def nearest_gap(t: Tables):
+    two = identity.nearest_two(identity.listing_keys(t.listings()), identity.venue_keys(t.fx("venue")))
+    return two.select(
+        "listingId", "venueId", F.round("distance", 3).alias("distance"),
+        F.round("nextDistance", 3).alias("nextDistance"),
+    )
+
+
+@query(
+    "A03_match_method_histogram",
+    sql("venue listing", "SELECT matchMethod, count(*) AS matches FROM ident GROUP BY matchMethod", **IDENTITY),
+)
+def method_histogram(t: Tables):
+    return identity.match_listings(t.listings(), t.fx("venue")).groupBy("matchMethod").agg(
+        F.count("*").alias("matches")
+    )
+
+
+@query(
+    "A14_minimum_price",
+    sql(
+        "venue listing",
+        "SELECT venueId, min(pintPrice) AS priceGbp FROM ident JOIN fx_listing l USING (listingId) "
+        "WHERE lower(pintName) IN ('guinness', 'guiness') GROUP BY venueId",
+        **IDENTITY,
+    ),
+)
+def minimum_price(t: Tables):
+    return identity.directory_prices(t.listings(), t.fx("venue")).select("venueId", "priceGbp")
+
+
+# -- feedback, ratings, evaluation ----------------------------------------------------------------
+
+
+@query(
+    "J14_feedback_venue_join",
+    sql(
+        "feedback venue",
+        "SELECT count(*) AS events, count(v.venueId) AS known, count(*) FILTER (v.venueId IS NULL) AS missing "
+        "FROM fx_feedback f LEFT JOIN fx_venue v ON v.venueId = f.venueId",
+    ),
+)
+def feedback_venue(t: Tables):
+    known = t.fx("venue").select("venueId", F.lit(True).alias("known"))
+    return t.fx("feedback").join(known, "venueId", "left").agg(
+        F.count("*").alias("events"), F.count("known").alias("known"),
+        F.count_if(F.col("known").isNull()).alias("missing"),
+    )
+
+
+@query(
+    "J15_feedback_referential_check",
+    sql(
+        "feedback venue",
+        "SELECT eventId, 'unknown venue' AS rejectReason FROM fx_feedback WHERE venueId NOT IN "
+        "(SELECT venueId FROM fx_venue WHERE n % 3 <> 0)",
+    ),
+)
+def referential(t: Tables):
+    from taproom.streaming.feedback import rejected
+
+    return rejected(t.fx("feedback"), t.fx("venue").where("n % 3 <> 0")).select("eventId", "rejectReason")
+
+
+TRAIT_ARRAY = (
+    "list_filter(["
+    + ", ".join(f"CASE WHEN {fact} IS TRUE THEN '{fact}' END" for fact in V.FACTS)
+    + ", 'area:' || area, 'price:' || priceLevel, 'noise:' || noiseLevel], lambda x: x IS NOT NULL)"
+)
+Q_JACCARD = (
+    "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0E0 ELSE "
+    "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1}))) END"
+)
+SIMILAR = {
+    "traits": f"SELECT venueId, name, {TRAIT_ARRAY} AS traits FROM fx_venue",
+    "asked": "SELECT r.requestId, r.userId, v.venueId, v.traits FROM fx_request r JOIN traits v ON CAST(substr(v.venueId, 3) AS INT) % 25 = r.requestId % 25",
+    "rated": "SELECT r.*, t.traits, t.name FROM fx_rating r JOIN traits t ON t.venueId = r.venueId",
+    "pairs": (
+        "SELECT a.requestId, a.venueId, r.name AS rName, r.rating, r.pos, "
+        + Q_JACCARD.format("a.traits", "r.traits")
+        + " AS similarity FROM asked a JOIN rated r ON r.userId = a.userId AND r.venueId <> a.venueId"
+    ),
+    "liked": (
+        "SELECT requestId, venueId, similarity, rName, rating FROM (SELECT *, row_number() OVER (PARTITION BY requestId, venueId "
+        "ORDER BY similarity DESC, pos) AS rn FROM pairs WHERE rating > 4 AND similarity > 0) WHERE rn = 1"
+    ),
+    "disliked": (
+        "SELECT requestId, venueId, similarity, rName, rating FROM (SELECT *, row_number() OVER (PARTITION BY requestId, venueId "
+        "ORDER BY similarity DESC, pos) AS rn FROM pairs WHERE rating < 2 AND similarity > 0) WHERE rn = 1"
+    ),
+}
+
+
+def asked_rows(t: Tables):
+    """One twenty-fifth of all venues per request, to be compared with the asker's ratings."""
+    left = t.fx("request").select("requestId", "userId", (F.col("requestId") % 25).alias("k"))
+    right = t.fx("venue").select("venueId", (F.col("n") % 25).alias("k"))
+    return left.join(right, "k").drop("k")
+
+
+@query(
+    "J16_similar_rated_venues",
+    sql(
+        "request venue rating",
+        "SELECT coalesce(l.requestId, d.requestId) AS requestId, coalesce(l.venueId, d.venueId) AS venueId, "
+        "round(l.similarity, 6) AS likedSimilarity, l.rName AS likedName, round(d.similarity, 6) AS dislikedSimilarity, "
+        "d.rName AS dislikedName FROM liked l FULL JOIN disliked d ON d.requestId = l.requestId AND d.venueId = l.venueId",
+        **SIMILAR,
+    ),
+)
+def similar_rated(t: Tables):
+    best = ranking.best_similar(asked_rows(t), t.fx("rating"), t.fx("venue"))
+    return best.select(
+        "requestId", "venueId", F.round("bestLiked.similarity", 6).alias("likedSimilarity"),
+        F.col("bestLiked.name").alias("likedName"),
+        F.round("bestDisliked.similarity", 6).alias("dislikedSimilarity"),
+        F.col("bestDisliked.name").alias("dislikedName"),
+    )
+
+
+
+@query(
+    "J17_diary",
+    sql(
+        "rating venue",
+        "SELECT r.userId, r.venueId, v.name, v.area, r.rating, r.updatedAt FROM fx_rating r JOIN fx_venue v "
+        "ON v.venueId = r.venueId WHERE r.beenHere",
+    ),
+)
+def diary(t: Tables):
+    from taproom.operators.feedback import diary as build
+
+    return build(t.fx("rating"), t.fx("venue")).select(
+        "userId", "venueId", "name", "area", "rating", "updatedAt"
+    )
+
+
+@query(
+    "J20_known_claim_filter",
+    sql(
+        "chunk venue",
+        "SELECT c.chunkId, c.venueId FROM fx_chunk c JOIN fx_venue v ON v.venueId = c.venueId WHERE "
+        "NOT coalesce(CASE c.attribute WHEN 'servesFood' THEN v.servesFood WHEN 'hasLiveMusic' THEN v.hasLiveMusic "
+        "WHEN 'hasOutdoorSeating' THEN v.hasOutdoorSeating WHEN 'dogFriendly' THEN v.dogFriendly "
+        "WHEN 'servesSundayRoast' THEN v.servesSundayRoast END, false)",
+    ),
+)
+def known_claims(t: Tables):
+    from taproom.functions import facts
+
+    known = t.fx("venue").select("venueId", facts.fact_map().alias("facts"))
+    rows = t.fx("chunk").join(known, "venueId")
+    return rows.where(
+        ~F.try_element_at("facts", F.col("attribute")).eqNullSafe(F.lit(True))
+    ).select("chunkId", "venueId")
+
+
+@query(
+    "J21_recommendation_merge",
+    sql(
+        "venue",
+        "SELECT venueId, name, 'loaded' AS origin FROM fx_venue WHERE n % 3 <> 0 UNION ALL "
+        "SELECT venueId, name, 'recommended' FROM fx_venue WHERE n % 2 = 0 AND n % 3 = 0",
+    ),
+)
+def recommendation_merge(t: Tables):
+    rows = t.fx("venue").select("venueId", "name", "n")
+    loaded = rows.where("n % 3 <> 0").withColumn("origin", F.lit("loaded"))
+    more = rows.where("n % 2 = 0").withColumn("origin", F.lit("recommended"))
+    return overlay.merge_missing(loaded, more, "venueId").drop("n")
+
+
+@query(
+    "J22_saved_subset",
+    sql("tagged feedback", "SELECT id, name FROM fx_tagged WHERE id IN (SELECT concat('node/', CAST(n % 1000 AS STRING)) FROM fx_feedback WHERE eventType = 'save')"),
+)
+def saved_subset(t: Tables):
+    saved = t.fx("feedback").where("eventType = 'save'").select(
+        F.concat(F.lit("node/"), (F.col("n") % 1000).cast("string")).alias("id")
+    )
+    return t.fx("tagged").join(saved, "id", "left_semi").select("id", "name")
+
+
+# -- set operations -------------------------------------------------------------------------------
+
+
+@query(
+    "X01_dataset_union",
+    sql("venue", "SELECT venueId, area, lower(name) AS folded FROM fx_venue"),
+)
+def dataset_union(t: Tables):
+    rows = t.fx("venue").select("venueId", "area", F.lower("name").alias("folded"))
+    parts = [rows.where(F.col("area") == area) for area in V.AREAS]
+    return canonical.combine(*parts).orderBy("area", "folded", "venueId")
+
+
+@query(
+    "X05_trait_overlap",
+    sql(
+        "venue",
+        "SELECT a.venueId, round(" + Q_JACCARD.format("a.traits", "b.traits") + ", 6) AS overlap FROM traits a JOIN traits b "
+        "ON CAST(substr(b.venueId, 3) AS INT) = CAST(substr(a.venueId, 3) AS INT) + 1",
+        traits=SIMILAR["traits"],
+    ),
+)
+def trait_overlap(t: Tables):
+    from taproom.functions import facts
+
+    labels = F.array_compact(
+        F.concat(
+            facts.facts_where(True, {f: V.FEATURE_FACTS[f] for f in V.FEATURES}),
+            F.array(
+                F.concat(F.lit("area:"), "area"), F.concat(F.lit("price:"), "priceLevel"),
+                F.concat(F.lit("noise:"), "noiseLevel"),
+            ),
+        )
+    )
+    one = t.fx("venue").select("n", "venueId", labels.alias("left"))
+    two = one.select((F.col("n") - 1).alias("n"), F.col("left").alias("right"))
+    return one.join(two, "n").select(
+        "venueId", F.round(jaccard(F.col("left"), F.col("right")), 6).alias("overlap")
+    )
+
+
+QUEUE = (
+    "SELECT n AS reviewId, venueId, CASE n % 3 WHEN 0 THEN 'servesFood' WHEN 1 THEN 'hasDj' ELSE 'hostsQuiz' END AS feature, "
+    "CASE n % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'manual_review' END AS reviewStatus FROM fx_feedback"
+)
+
+
+def review_items(t: Tables):
+    k, s = F.col("n") % 3, F.col("n") % 4
+    return t.fx("feedback").select(
+        F.col("n").alias("reviewId"), "venueId",
+        F.when(k == 0, "servesFood").when(k == 1, "hasDj").otherwise("hostsQuiz").alias("feature"),
+        F.when(s == 0, "approved").when(s == 1, "rejected").otherwise("manual_review").alias("reviewStatus"),
+    )
+
+
+@query(
+    "X06_queue_refresh",
+    sql(
+        "feedback",
+        "SELECT reviewId, venueId, feature, reviewStatus FROM items WHERE reviewId % 5 > 0 AND reviewStatus <> 'manual_review' UNION ALL "
+        "SELECT min(reviewId), venueId, feature, 'manual_review' FROM items WHERE reviewId % 5 = 0 AND (venueId, feature) NOT IN "
+        "(SELECT (venueId, feature) FROM items WHERE reviewId % 5 > 0 AND reviewStatus <> 'manual_review') GROUP BY venueId, feature",
+        items=QUEUE,
+    ),
+)
+def queue_refresh(t: Tables):
+    items = review_items(t)
+    proposed = items.where("reviewId % 5 = 0").withColumn("reviewStatus", F.lit("manual_review"))
+    return overlay.refresh_queue(items.where("reviewId % 5 > 0"), proposed, ["venueId", "feature"])
+
+
+@query(
+    "X07_idempotent_publish",
+    sql(
+        "price",
+        "SELECT venueId, observedPriceGbp, evidenceUrl, observationId FROM fx_price WHERE observationId % 3 <> 0 UNION ALL "
+        "SELECT venueId, observedPriceGbp, evidenceUrl, min(observationId) FROM fx_price f WHERE observationId % 3 = 0 AND NOT EXISTS "
+        "(SELECT 1 FROM fx_price g WHERE g.observationId % 3 <> 0 AND g.venueId = f.venueId AND g.observedPriceGbp = f.observedPriceGbp "
+        "AND g.evidenceUrl = f.evidenceUrl) GROUP BY venueId, observedPriceGbp, evidenceUrl",
+    ),
+)
+def idempotent_publish(t: Tables):
+    rows = t.fx("price").select("venueId", "observedPriceGbp", "evidenceUrl", "observationId")
+    key = ["venueId", "observedPriceGbp", "evidenceUrl"]
+    return overlay.publish_new(rows.where("observationId % 3 <> 0"), rows.where("observationId % 3 = 0"), key)
+
+
+@query(
+    "X08_push_local_rows",
+    sql(
+        "rating",
+        "SELECT userId, venueId, arg_max(rating, (updatedAt, pos)) FILTER (TRUE) AS rating FROM (SELECT * FROM fx_rating WHERE "
+        "(userId, venueId) NOT IN (SELECT (userId, venueId) FROM fx_rating WHERE pos % 4 = 0)) WHERE rating IS NOT NULL GROUP BY userId, venueId",
+    ),
+)
+def push_local(t: Tables):
+    rows = t.fx("rating").withColumn("seq", F.col("pos")).withColumn("visitedAt", F.col("updatedAt"))
+    remote = rows.where("pos % 4 = 0").select("userId", "venueId")
+    local = rows.where("rating IS NOT NULL").join(remote, ["userId", "venueId"], "left_anti")
+    return overlay.latest_rating_per_key(local).select("userId", "venueId", "rating")
+
+
+@query(
+    "X09_apply_review_decisions",
+    sql(
+        "feedback",
+        "SELECT reviewId, CASE WHEN reviewId % 6 = 0 THEN 'approved' ELSE reviewStatus END AS reviewStatus, "
+        "CASE WHEN reviewId % 6 = 0 THEN concat('seen ', CAST(reviewId AS STRING)) ELSE 'Awaiting review' END AS reviewReason FROM items",
+        items=QUEUE,
+    ),
+)
+def apply_decisions(t: Tables):
+    items = review_items(t).withColumn("reviewReason", F.lit("Awaiting review")).withColumn(
+        "reviewedAt", F.lit("2026-08-01").cast("date")
+    )
+    decided = items.where("reviewId % 6 = 0").select(
+        "reviewId", F.lit("approved").alias("status"),
+        F.concat(F.lit("seen "), F.col("reviewId").cast("string")).alias("reason"),
+    )
+    return overlay.apply_review(items, decided, F.current_date()).select("reviewId", "reviewStatus", "reviewReason")
+
+

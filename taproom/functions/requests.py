@@ -157,6 +157,17 @@ def with_preferences(frame: DataFrame, text: str = "query", into: str = "prefs")
     return staged.withColumn(into, prefs.cast(PREFERENCE_SCHEMA)).drop("_strengths", "_p")
 
 
+def parsed_texts(frame: DataFrame, text: str = "query", into: str = "prefs") -> DataFrame:
+    """(text, prefs) for every distinct request text.
+
+    The closing aggregate is a fence: without it a later filter on a preference would be pushed
+    below and evaluate the whole phrase expression again. The rows are already partitioned by the
+    text, so it moves no data.
+    """
+    texts = with_preferences(frame.select(text).distinct(), text, into)
+    return texts.groupBy(text).agg(F.first(into).alias(into))
+
+
 def leftover_terms(text: Column) -> Column:
     """Words of a request that no phrase, prefix, number or filler accounts for."""
     phrases = {phrase for _, _, phrase in phrase_table()} | set(V.NEGATIVE_PREFIXES)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,11 +68,9 @@ def same_site(base: Column, other: Column) -> Column:
 
 
 def host_in(name: Column, hosts: tuple[str, ...]) -> Column:
-    """The host is one of the list or a sub-domain of one."""
-    return reduce(
-        lambda left, right: left | right,
-        [(name == known) | name.endswith(f".{known}") for known in hosts],
-    )
+    """The host is one of the list or a sub-domain of one (a single pattern)."""
+    known = "|".join(host.replace(".", r"\.") for host in hosts)
+    return F.rlike(name, F.lit(rf"^(?:.*\.)?(?:{known})$"))
 
 
 def website_path_key(url: Column) -> Column:

@@ -100,7 +100,7 @@ def case_metrics(results: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     `cases`: key, topK, relevantCount, expectedEmpty, hasCriteria. The reciprocal rank looks at
     the whole list, the others at the first topK.
     """
-    joined = results.join(cases.select(key, "topK"), key)
+    joined = results.drop("topK").join(cases.select(key, "topK"), key)
     per_case = joined.groupBy(key).agg(
         F.count_if(F.col("rank") <= F.col("topK")).alias("_shown"),
         F.count_if((F.col("rank") <= F.col("topK")) & F.col("relevant")).alias("_hits"),

@@ -99,8 +99,7 @@ def training_examples(events: DataFrame, venues: DataFrame) -> DataFrame:
     Requests repeat heavily, so each distinct text is parsed once and joined back.
     """
     labels = latest_labels(events)
-    parsed = requests.with_preferences(labels.select("query").distinct())
-    rows = labels.join(parsed, "query").join(venues, "venueId")
+    rows = labels.join(requests.parsed_texts(labels), "query").join(venues, "venueId")
     scored = ranking.with_score(rows)
     return scored.select(
         "eventId",

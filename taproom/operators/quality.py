@@ -50,9 +50,10 @@ def first_accepted(rows: DataFrame, order: str, keys: list[str], max_rounds: int
             fresh = fresh.join(first, order, "left_semi")
         chosen = cut(open_rows.join(fresh, order, "left_semi"))
         accepted = chosen if accepted is None else accepted.unionByName(chosen)
+        rest = open_rows
         for key in keys:
-            open_rows = open_rows.join(chosen.select(key), key, "left_anti")
-        open_rows = cut(open_rows)
+            rest = rest.join(chosen.select(key), key, "left_anti")
+        open_rows = cut(rest)
         if open_rows.isEmpty():
             break
     else:

@@ -12,8 +12,7 @@ from taproom.operators import evaluation, evidence, filters, ranking
 
 def parse(requests: DataFrame) -> DataFrame:
     """Requests with `prefs`; each distinct text is parsed once."""
-    texts = R.with_preferences(requests.select("query").distinct())
-    return requests.join(texts, "query")
+    return requests.join(R.parsed_texts(requests), "query")
 
 
 def rank(requests: DataFrame, venues: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,66 +226,79 @@ def _specifications(value: Column) -> Column:
     return hours.from_specifications(F.filter(per_day, lambda s: s["day"].isNotNull()))
 
 
-def page_objects(pages: DataFrame, key: str, column: str = "html", depth: int = 3) -> DataFrame:
-    """(key, pos, body) of every object in a page's structured data, lists and graphs flattened."""
-    blocks = pages.select(
-        key,
-        F.posexplode(F.regexp_extract_all(F.col(column), F.lit(LD_BLOCK), 1)).alias("block", "body"),
-    )
-    level = blocks.select(
-        key,
-        F.array("block").alias("pos"),
-        F.trim("body").alias("body"),
-    ).where(F.try_parse_json("body").isNotNull())
-    out = None
-    for _ in range(depth):
-        listed = F.when(F.col("body").startswith("["), F.from_json("body", "array<string>")).otherwise(
-            F.array("body")
+def page_objects(pages: DataFrame, key: str, column: str = "html", depth: int = 2) -> DataFrame:
+    """(key, pos, body) of every object in a page's structured data, in document order.
+
+    Lists and nested graphs are flattened inside one array expression, so a page is read once.
+    """
+
+
+    def items(value: Column) -> Column:
+        listed = F.from_json(value, "array<string>")
+        parts = F.when(value.startswith("["), listed).otherwise(F.array(value))
+        return F.filter(parts, lambda part: F.coalesce(part.startswith("{"), F.lit(False)))
+
+    def with_graph(value: Column, level: int) -> Column:
+        if level == 0:
+            return F.array(value)
+        inner = items(F.get_json_object(value, "$['@graph']"))
+        below = F.flatten(F.transform(inner, lambda part: with_graph(part, level - 1)))
+        return F.concat(F.array(value), below)
+
+    blocks = F.transform(F.regexp_extract_all(F.col(column), F.lit(LD_BLOCK), 1), text.strip)
+    whole = F.filter(blocks, lambda block: F.try_parse_json(block).isNotNull())
+    objects = F.flatten(
+        F.transform(
+            whole,
+            lambda block: F.flatten(F.transform(items(block), lambda o: with_graph(o, depth))),
         )
-        items = level.select(key, "pos", F.posexplode(listed).alias("i", "item")).select(
-            key, F.array_append("pos", F.col("i")).alias("pos"), F.col("item").alias("body")
-        ).where(F.col("body").startswith("{"))
-        out = items if out is None else out.unionByName(items)
-        level = items.select(
-            key, "pos", F.get_json_object("body", "$['@graph']").alias("body")
-        ).where(F.col("body").isNotNull())
-    return out
+    )
+    return pages.select(key, F.posexplode(objects).alias("pos", "body"))
+
+
+LD_OBJECT = (
+    "struct<`@type`:string,name:string,telephone:string,openingHours:string,"
+    "openingHoursSpecification:string,address:string>"
+)
 
 
 def site_data(pages: DataFrame, key: str, name: str | None = None, column: str = "html") -> DataFrame:
     """Hours, phone and address of each page: first usable value over its objects, independently.
 
     `name` is the column with the expected venue name; without it any venue-like object counts.
+    Each object is parsed once, inside an array expression, before anything is filtered.
     """
     objects = page_objects(pages, key, column)
+    expected = F.lit(None).cast("string")
     if name is not None:
-        objects = objects.join(pages.select(key, F.col(name).alias("_expected")), key)
-    body = F.col("body")
-    kind = F.array_join(_strings(F.get_json_object(body, "$['@type']")), " ")
-    venue_like = F.coalesce(F.rlike(kind, F.lit(VENUE_TYPE)), F.lit(False))
-    title = text.blank_to_null(F.get_json_object(body, "$.name"))
+        wanted = pages.select(key, text.site_name(F.col(name)).alias("_expected"))
+        objects, expected = objects.join(wanted, key), F.col("_expected")
+
+    def read(item: Column) -> Column:
+        return F.struct(
+            F.array_join(_strings(item["@type"]), " ").alias("kind"),
+            text.blank_to_null(item["name"]).alias("title"),
+            F.array_join(_strings(item["openingHours"]), "; ").alias("listed"),
+            _specifications(item["openingHoursSpecification"]).alias("specified"),
+            text.blank_to_null(item["telephone"]).alias("sitePhone"),
+            _address(item["address"]).alias("siteAddress"),
+        )
+
+    parsed = F.transform(F.array(F.from_json("body", LD_OBJECT)), read)
+    rows = objects.select(key, "pos", expected.alias("expected"), F.explode(parsed).alias("o"))
+    venue_like = F.coalesce(F.rlike(F.col("o.kind"), F.lit(VENUE_TYPE)), F.lit(False))
     if name is None:
-        usable = venue_like | kind.isNull()
+        usable = venue_like | F.col("o.kind").isNull()
     else:
-        same = text.site_name(title) == text.site_name(F.col("_expected"))
-        usable = F.coalesce(same, F.lit(False)) | (venue_like & title.isNull())
-    raw = F.get_json_object(body, "$.openingHours")
-    listed = F.array_join(_strings(raw), "; ")
-    found = objects.where(usable).select(
-        key,
-        "pos",
-        F.coalesce(
-            hours.valid(listed),
-            hours.valid(_specifications(F.get_json_object(body, "$.openingHoursSpecification"))),
-        ).alias("siteHours"),
-        text.blank_to_null(F.get_json_object(body, "$.telephone")).alias("sitePhone"),
-        _address(F.get_json_object(body, "$.address")).alias("siteAddress"),
+        same = text.site_name(F.col("o.title")) == F.col("expected")
+        usable = F.coalesce(same, F.lit(False)) | (venue_like & F.col("o.title").isNull())
+    values = ("siteHours", "sitePhone", "siteAddress")
+    hours_text = F.coalesce(hours.valid(F.col("o.listed")), hours.valid(F.col("o.specified")))
+    found = rows.where(usable).select(
+        key, "pos", hours_text.alias("siteHours"), "o.sitePhone", "o.siteAddress"
     )
     first = found.groupBy(key).agg(
-        *[
-            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-            for c in ("siteHours", "sitePhone", "siteAddress")
-        ]
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in values]
     )
     return pages.select(key).join(first, key, "left")
 
@@ -296,44 +312,36 @@ def booking_link(pages: DataFrame, key: str, column: str = "html", base: str = "
         F.regexp_extract_all(F.col(column), F.lit(ANCHOR), 1).alias("href"),
         F.regexp_extract_all(F.col(column), F.lit(ANCHOR), 2).alias("label"),
     )
-    links = pages.select(key, base, F.posexplode(found).alias("pos", "a")).select(
-        key, base, "pos", text.strip(F.col("a.href")).alias("href"), F.col("a.label").alias("label")
-    )
-    url = absolute(F.col(base), F.col("href"))
-    signal = F.lower(F.concat_ws(" ", "href", text.strip_markup(F.col("label"))))
-    host = urls.site_host(url)
-    wanted = F.rlike(signal, F.lit("book|reserv|reserve|table")) | urls.host_in(host, V.BOOKING_HOSTS)
+
+    anchors = pages.select(key, base, F.posexplode(found).alias("pos", "a"))
+    href, label = text.strip(F.col("a.href")), text.strip_markup(F.col("a.label"))
+    signal = F.lower(F.concat_ws(" ", href, label))
     refused = F.rlike(signal, F.lit("privacy|cookie|unsubscribe|gift card"))
-    good = urls.is_http(url) & ~urls.host_in(host, V.SOCIAL_HOSTS) & wanted & ~refused
-    first = links.withColumn("url_", url).where(good).groupBy(key).agg(
-        F.min_by("url_", "pos").alias("bookingUrl")
+    said = F.rlike(signal, F.lit("book|reserv|reserve|table"))
+    links = anchors.where(~refused).select(
+        key, "pos", said.alias("said"), absolute(F.col(base), href).alias("link")
+    )
+    host = urls.site_host(F.col("link"))
+    good = (
+        urls.is_http(F.col("link"))
+        & ~urls.host_in(host, V.SOCIAL_HOSTS)
+        & (F.col("said") | urls.host_in(host, V.BOOKING_HOSTS))
     )
+    first = links.where(good).groupBy(key).agg(F.min_by("link", "pos").alias("bookingUrl"))
     return pages.select(key).join(first, key, "left")
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """Absolute form of a link on a page, without its fragment.
+@F.pandas_udf("string")
+def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
+    """Absolute form of a link on a page; null when it cannot be read as a url."""
 
-    Covers full urls, protocol-relative, rooted and relative paths, queries and fragments; one
-    level of "./" is dropped and "../" is resolved once per step for up to four steps.
-    """
-    clean = F.regexp_replace(href, "#.*$", "")
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    page = F.regexp_replace(base, r"[?#].*$", "")
-    bare = F.regexp_replace(page, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
-    folder = F.concat(root, F.when(bare == "", F.lit("/")).otherwise(F.regexp_replace(bare, "[^/]*$", "")))
-    joined = (
-        F.when(clean == "", F.regexp_replace(base, "#.*$", ""))
-        .when(F.rlike(clean, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), clean)
-        .when(clean.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), clean))
-        .when(clean.startswith("/"), F.concat(root, clean))
-        .when(clean.startswith("?"), F.concat(page, clean))
-        .otherwise(F.concat(folder, clean))
-    )
-    joined = F.regexp_replace(joined, r"/\./", "/")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"(://[^/?#]*(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    return joined
+    def join(pair):
+        try:
+            return urljoin(pair[0] or "", pair[1] or "")
+        except ValueError:
+            return None
+
+    return pd.Series([join(pair) for pair in zip(base, href, strict=True)], dtype="object")
 
 
 def first_over(frame: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

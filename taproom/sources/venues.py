@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taproom.functions import text
 from taproom.operators import quality
 from taproom.sources import schemas
 
@@ -79,7 +80,7 @@ def typed_import(raw: DataFrame) -> DataFrame:
         out = out.withColumn(f"{name}_t", F.col(name).try_cast("boolean"))
     out = out.withColumn("lastVerifiedDate_t", F.col("lastVerifiedDate").try_cast("date"))
     tags = F.filter(
-        F.transform(F.split(F.coalesce("tags", F.lit("")), r"\|"), F.trim), lambda tag: tag != ""
+        F.transform(F.split(F.coalesce("tags", F.lit("")), r"\|"), text.strip), lambda tag: tag != ""
     )
     return out.withColumn("tagList", tags).withColumn("issues", quality.issues(import_rules()))
 
