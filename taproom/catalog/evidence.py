@@ -1 +1,454 @@
-"""Section."""
+"""Ranking, evidence retrieval, personalisation and the end-to-end jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taproom import vocab as V
+from taproom.catalog.base import Tables, query, sql
+from taproom.catalog.filters import CANDIDATES, CASES, TRUTH, cases
+from taproom.catalog.joins import Q_JACCARD, TRAIT_ARRAY, q_haversine
+from taproom.catalog.requestsql import PREFS, REQUEST_TEXTS
+from taproom.catalog.scalars import q_tokens_of
+from taproom.functions.text import retrieval_tokens
+from taproom.operators import canonical, evaluation, evidence, filters, ranking
+from taproom.plans import recommend
+
+KM = (
+    "CASE location "
+    + " ".join(
+        f"WHEN '{area}' THEN round({q_haversine(f'{lat}E0', f'({lon}E0)', 'latitude', 'longitude', '6371.0E0')}, 2)"
+        for area, (lat, lon) in V.AREA_CENTRES.items()
+    )
+    + " END"
+)
+NOT_GROUPS = [f for f in V.FEATURES if f != "groups"]
+HITS = " + ".join(
+    f"CASE WHEN list_contains(requiredFeatures, '{f}') AND {V.FEATURE_FACTS[f]} IS TRUE THEN 1.0E0 ELSE 0.0E0 END" for f in NOT_GROUPS
+) + (
+    " + CASE WHEN list_contains(excludedFeatures, 'outdoorSeating') AND hasOutdoorSeating IS FALSE THEN 1.0E0 ELSE 0.0E0 END"
+    " + CASE WHEN wantNoise = noiseLevel THEN 1.0E0 ELSE 0.0E0 END"
+)
+KNOWN = " + ".join(
+    f"CASE WHEN list_contains(requiredFeatures, '{f}') AND {V.FEATURE_FACTS[f]} IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END" for f in NOT_GROUPS
+) + (
+    " + CASE WHEN list_contains(excludedFeatures, 'outdoorSeating') THEN 1.0E0 ELSE 0.0E0 END"
+    " + CASE WHEN wantNoise IS NOT NULL AND noiseLevel IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END"
+)
+ALL = {**{f: V.FEATURE_FACTS[f] for f in V.FEATURES}, **{f: f"(noiseLevel = '{n}')" for f, n in V.NOISE_FEATURES.items()}}
+LIKED = " + ".join(f"CASE WHEN list_contains(preferredFeatures, '{f}') AND {e} IS TRUE THEN 1.0E0 ELSE 0.0E0 END" for f, e in ALL.items())
+LIKED_KNOWN = " + ".join(f"CASE WHEN list_contains(preferredFeatures, '{f}') AND {e} IS NOT NULL THEN 1.0E0 ELSE 0.0E0 END" for f, e in ALL.items())
+SCORE = {
+    "cand": CANDIDATES,
+    "asked": (
+        "SELECT c.*, p.location, p.priceLevel AS wantPrice, p.noiseLevel AS wantNoise, p.requiredFeatures, p.preferredFeatures, p.excludedFeatures, "
+        "p.postcode AS wantPostcode FROM cand c JOIN fx_request r ON r.requestId = c.requestId JOIN prefs p ON p.query = r.query"
+    ),
+    "parts": (
+        f"SELECT *, {KM} AS km, {HITS} AS hits, {KNOWN} AS known, {LIKED} AS liked, {LIKED_KNOWN} AS likedKnown FROM asked"
+    ),
+    "listed": (
+        "SELECT *, list_filter([{'name': 'rating', 'w': 0.2E0, 'v': rating / 5.0E0}, {'name': 'popularity', 'w': 0.1E0, 'v': popularityScore}, "
+        "{'name': 'location', 'w': 0.25E0, 'v': CASE WHEN location IS NOT NULL THEN greatest(0.0E0, 1.0E0 - km / 8.0E0) END}, "
+        "{'name': 'price', 'w': 0.15E0, 'v': CASE WHEN priceLevel = wantPrice THEN 1.0E0 WHEN priceLevel <> wantPrice THEN 0.0E0 END}, "
+        "{'name': 'requiredFeatures', 'w': 0.2E0, 'v': CASE WHEN known > 0 THEN hits / known END}, "
+        "{'name': 'preferredFeatures', 'w': 0.2E0, 'v': CASE WHEN likedKnown > 0 THEN liked / likedKnown END}, "
+        "{'name': 'groupSuitability', 'w': 0.1E0, 'v': CASE WHEN list_contains(requiredFeatures, 'groups') AND suitableForGroups THEN 1.0E0 "
+        "WHEN list_contains(requiredFeatures, 'groups') AND suitableForGroups IS FALSE THEN 0.0E0 END}], lambda x: x.v IS NOT NULL) AS f FROM parts"
+    ),
+    "ranked": (
+        "SELECT *, CASE WHEN len(f) = 0 THEN 0.0E0 ELSE round(least(1.0E0, greatest(0.0E0, list_sum(list_transform(f, lambda x: x.w * x.v)) / "
+        "list_sum(list_transform(f, lambda x: x.w)))), 3) END AS score FROM listed"
+    ),
+}
+BASE = {**REQUEST_TEXTS, **PREFS, **SCORE}
+
+
+def ranked(t: Tables):
+    return recommend.rank(t.requests().drop("vector"), t.venues())
+
+
+@query(
+    "H22_weighted_score",
+    sql("request venue", "SELECT requestId, venueId, score, km AS distanceKm FROM ranked", **BASE),
+)
+def weighted_score(t: Tables):
+    return ranked(t).select("requestId", "venueId", "score", "distanceKm")
+
+
+@query(
+    "H22_score_breakdown",
+    sql(
+        "request venue",
+        "SELECT requestId, venueId, x.name AS factor, round(x.w * x.v / total, 3) AS part FROM (SELECT requestId, venueId, "
+        "list_sum(list_transform(f, lambda y: y.w)) AS total, unnest(f) AS x FROM ranked)",
+        **BASE,
+    ),
+)
+def score_breakdown(t: Tables):
+    return ranked(t).select("requestId", "venueId", F.explode("scoreBreakdown").alias("factor", "part"))
+
+
+LABELS = V.FEATURE_REASONS
+
+
+def _reason(feature: str) -> str:
+    text = (
+        f"CASE WHEN list_contains(requiredFeatures, '{feature}') AND {V.FEATURE_FACTS[feature]} IS TRUE THEN '{LABELS[feature]}' END"
+    )
+    if feature == "outdoorSeating":
+        text += ", CASE WHEN list_contains(excludedFeatures, 'outdoorSeating') AND hasOutdoorSeating IS FALSE THEN 'Has no outdoor seating' END"
+    return text
+
+
+REASONS = (
+    "array_to_string(list_filter(list_concat(list_concat([CASE WHEN area = location THEN 'Located in ' || location END, "
+    "CASE WHEN wantPostcode IS NOT NULL THEN 'Located in postcode ' || postcode END, "
+    "CASE WHEN priceLevel = wantPrice THEN 'Matches the requested price range' END, "
+    + ", ".join(_reason(f) for f in NOT_GROUPS)
+    + ", CASE WHEN noiseLevel = wantNoise THEN 'Has a ' || wantNoise || ' atmosphere' END], list_transform(preferredFeatures, lambda x: CASE "
+    + " ".join(f"WHEN x = '{f}' AND {V.FEATURE_FACTS[f]} IS TRUE THEN '{LABELS[f]}'" for f in V.FEATURES)
+    + " ".join(f" WHEN x = '{f}' AND noiseLevel = '{n}' THEN 'Matches preferred {f}'" for f, n in V.NOISE_FEATURES.items())
+    + " END)), [CASE WHEN list_contains(requiredFeatures, 'groups') AND suitableForGroups IS TRUE THEN 'Supports group bookings or private hire' END, "
+    "'Rated ' || printf('%.1f', rating) || ' out of 5', CASE WHEN popularityScore >= 0.8E0 THEN 'Strong local popularity' END]), lambda x: x IS NOT NULL), '|')"
+)
+
+
+@query("H23_reasons", sql("request venue", f"SELECT requestId, venueId, {REASONS} AS reasons FROM ranked", **BASE))
+def reasons(t: Tables):
+    return ranked(t).select("requestId", "venueId", F.array_join(ranking.reasons(), "|").alias("reasons"))
+
+
+# -- evidence -------------------------------------------------------------------------------------
+
+PAIRS = {
+    "ch": f"SELECT *, {q_tokens_of('text')} AS tokens, CAST(vector AS DOUBLE[]) AS v FROM fx_chunk",
+    "rq": f"SELECT *, {q_tokens_of('query')} AS qt, CAST(vector AS DOUBLE[]) AS qv FROM fx_request",
+    "side": (
+        "SELECT r.requestId, c.chunkId, list_cosine_similarity(r.qv, c.v) AS dense, len(list_intersect(r.qt, c.tokens)) / CAST(len(r.qt) AS DOUBLE) AS lexical "
+        "FROM rq r JOIN ch c ON c.n % 100 = r.requestId % 100"
+    ),
+}
+
+
+def side_by_side(t: Tables):
+    """Requests next to the passages of the same number class."""
+    asked = t.requests().select(
+        "requestId", retrieval_tokens(F.col("query")).alias("queryTokens"), F.col("vector").alias("queryVector"),
+        (F.col("requestId") % 100).alias("k"),
+    )
+    held = t.chunks().select("chunkId", retrieval_tokens(F.col("text")).alias("tokens"), "vector", (F.col("n") % 100).alias("k"))
+    return evidence.direct_scores(asked.join(held, "k"))
+
+
+@query(
+    "H21_hybrid_score",
+    sql(
+        "request chunk",
+        "SELECT requestId, chunkId, round(dense, 6) AS dense, round(lexical, 6) AS lexical, round(least(1.0E0, 0.9E0 * least(1.0E0, greatest(0.0E0, dense)) + "
+        "(1.0E0 - 0.9E0) * lexical + CASE WHEN lexical > 0 THEN (1.0E0 - 0.9E0) * 0.25E0 ELSE 0.0E0 END), 6) AS hybrid FROM side",
+        **PAIRS,
+    ),
+)
+def hybrid_score(t: Tables):
+    return side_by_side(t).select(
+        "requestId", "chunkId", *[F.round(c, 6).alias(c) for c in ("dense", "lexical", "hybrid")]
+    )
+
+
+@query(
+    "L01_lexical_matches",
+    sql(
+        "request venue chunk",
+        "SELECT DISTINCT c.requestId, k.chunkId FROM cand c JOIN rq r ON r.requestId = c.requestId JOIN ch k ON k.venueId = c.venueId "
+        "WHERE list_has_any(r.qt, k.tokens)",
+        **BASE, ch=PAIRS["ch"], rq=PAIRS["rq"],
+    ),
+)
+def lexical_matches(t: Tables):
+    parsed = recommend.parse(t.requests().drop("vector"))
+    pairs = filters.candidates(parsed, t.venues()).select("requestId", "venueId")
+    return evidence.lexical_matches(t.fx("request"), t.fx("chunk"), pairs)
+
+
+EVIDENCE = {
+    "ch": PAIRS["ch"],
+    "rq": (
+        f"SELECT r.*, {q_tokens_of('r.query')} AS qt, CAST(r.vector AS DOUBLE[]) AS qv, list_filter(list_transform(list_concat(p.requiredFeatures, "
+        "p.excludedFeatures), lambda x: CASE x " + " ".join(f"WHEN '{f}' THEN '{fact}'" for f, fact in V.FEATURE_FACTS.items())
+        + " END), lambda x: x IS NOT NULL) AS wanted FROM fx_request r JOIN prefs p ON p.query = r.query"
+    ),
+    "raw": (
+        "SELECT c.requestId, c.venueId, k.chunkId, k.text, k.source, k.sourceUrl, k.tokens, r.qt, list_contains(r.wanted, k.attribute) AS preferred, "
+        "list_cosine_similarity(r.qv, k.v) AS dense, len(list_intersect(r.qt, k.tokens)) / CAST(len(r.qt) AS DOUBLE) AS lexical "
+        "FROM cand c JOIN rq r ON r.requestId = c.requestId JOIN ch k ON k.venueId = c.venueId"
+    ),
+    "mixed": (
+        "SELECT *, round(least(1.0E0, 0.9E0 * least(1.0E0, greatest(0.0E0, dense)) + (1.0E0 - 0.9E0) * lexical + CASE WHEN lexical > 0 "
+        "THEN (1.0E0 - 0.9E0) * 0.25E0 ELSE 0.0E0 END), 9) AS hybrid FROM raw"
+    ),
+    "top": (
+        "SELECT *, row_number() OVER (PARTITION BY requestId, venueId ORDER BY hybrid DESC, chunkId) AS scoreRank, "
+        "row_number() OVER (PARTITION BY requestId, venueId ORDER BY preferred DESC, hybrid DESC, chunkId) AS showRank, "
+        "bool_or(preferred) OVER (PARTITION BY requestId, venueId) AS anyPreferred FROM mixed"
+    ),
+    "pooled": (
+        "SELECT requestId, venueId, round(0.9E0 * least(1.0E0, greatest(0.0E0, max(dense) FILTER (scoreRank <= 3))) + (1.0E0 - 0.9E0) * "
+        "len(list_intersect(first(qt), list_distinct(flatten(list(tokens) FILTER (scoreRank <= 3))))) / CAST(len(first(qt)) AS DOUBLE), 4) AS semanticScore, "
+        "list(chunkId ORDER BY showRank) FILTER (showRank <= 3 AND (preferred OR NOT anyPreferred)) AS chunkIds FROM top GROUP BY requestId, venueId"
+    ),
+}
+FULL = {**BASE, **EVIDENCE}
+
+
+def evidence_inputs(t: Tables):
+    parsed = recommend.parse(t.requests())
+    pairs = filters.candidates(parsed.drop("vector"), t.venues()).select("requestId", "venueId")
+    return parsed, pairs, t.chunks()
+
+
+@query(
+    "W03_top_evidence",
+    sql(
+        "request venue chunk",
+        "SELECT requestId, venueId, chunkId, scoreRank <= 3 AS scored, showRank <= 3 AND (preferred OR NOT anyPreferred) AS displayed, round(hybrid, 6) AS hybrid "
+        "FROM top WHERE scoreRank <= 3 OR (showRank <= 3 AND (preferred OR NOT anyPreferred))",
+        **FULL,
+    ),
+)
+def top_evidence(t: Tables):
+    parsed, pairs, chunks = evidence_inputs(t)
+    held = chunks.withColumn("tokens", retrieval_tokens(F.col("text")))
+    top = evidence.top_evidence(pairs, recommend.request_side(parsed), held)
+    return top.select("requestId", "venueId", "chunkId", "scored", "displayed", F.round("hybrid", 6).alias("hybrid"))
+
+
+@query(
+    "A04_evidence_pooling",
+    sql("request venue chunk", "SELECT requestId, venueId, semanticScore, array_to_string(chunkIds, '|') AS chunkIds FROM pooled", **FULL),
+)
+def evidence_pooling(t: Tables):
+    parsed, pairs, chunks = evidence_inputs(t)
+    return recommend.retrieve(parsed, pairs, chunks).select(
+        "requestId", "venueId", "semanticScore", F.array_join("chunkIds", "|").alias("chunkIds")
+    )
+
+
+STRUCTURED = (
+    "location IS NOT NULL OR wantPrice IS NOT NULL OR wantNoise IS NOT NULL OR len(requiredFeatures) > 0 OR list_contains(excludedFeatures, 'outdoorSeating')"
+)
+BLEND = {
+    "blended": (
+        "SELECT requestId, venueId, name, userId, round((1.0E0 - w) * score + w * semanticScore, 3) AS score, round((1.0E0 - w) * score, 3) AS structuredPart, "
+        f"round(w * semanticScore, 3) AS semanticPart FROM (SELECT k.*, r.userId, p.semanticScore, CASE WHEN ({STRUCTURED}) AND best > 0 THEN 0.25E0 ELSE 1.0E0 END AS w "
+        "FROM (SELECT *, max(score) OVER (PARTITION BY requestId) AS best FROM ranked) k JOIN pooled p ON p.requestId = k.requestId AND p.venueId = k.venueId "
+        "JOIN fx_request r ON r.requestId = k.requestId)"
+    ),
+}
+
+
+def blended(t: Tables):
+    parsed = recommend.parse(t.requests())
+    scored = ranking.with_score(filters.candidates(parsed, t.venues()))
+    found = recommend.retrieve(parsed, scored.select("requestId", "venueId"), t.chunks())
+    return ranking.blend(scored, found)
+
+
+@query(
+    "H24_evidence_blend",
+    sql("request venue chunk", "SELECT requestId, venueId, score, structuredPart, semanticPart FROM blended", **FULL, **BLEND),
+)
+def evidence_blend(t: Tables):
+    return blended(t).select("requestId", "venueId", "score", "structuredPart", "semanticPart")
+
+
+PERSONAL = {
+    "traits": f"SELECT venueId, name, {TRAIT_ARRAY} AS traits FROM fx_venue",
+    "rated": "SELECT r.*, t.traits, t.name FROM fx_rating r JOIN traits t ON t.venueId = r.venueId WHERE rating > 4 OR rating < 2",
+    "simil": (
+        "SELECT a.requestId, a.venueId, r.name AS rName, r.rating, r.pos, " + Q_JACCARD.format("t.traits", "r.traits") + " AS similarity "
+        "FROM blended a JOIN traits t ON t.venueId = a.venueId JOIN rated r ON r.userId = a.userId AND r.venueId <> a.venueId"
+    ),
+    "up": "SELECT * FROM simil WHERE rating > 4 AND similarity > 0 QUALIFY row_number() OVER (PARTITION BY requestId, venueId ORDER BY similarity DESC, pos) = 1",
+    "down": "SELECT * FROM simil WHERE rating < 2 AND similarity > 0 QUALIFY row_number() OVER (PARTITION BY requestId, venueId ORDER BY similarity DESC, pos) = 1",
+    "signed": (
+        "SELECT b.requestId, b.venueId, b.name, b.score AS base, CASE WHEN u.similarity >= 0.5E0 THEN u.similarity * (u.rating / 5.0E0) ELSE 0.0E0 END AS plus, "
+        "coalesce(d.similarity * greatest(0.0E0, 2.0E0 - d.rating), 0.0E0) AS minus, u.rName AS upName, u.rating AS upRating, d.rName AS downName, d.rating AS downRating, "
+        "d.similarity AS downSim FROM blended b LEFT JOIN up u ON u.requestId = b.requestId AND u.venueId = b.venueId "
+        "LEFT JOIN down d ON d.requestId = b.requestId AND d.venueId = b.venueId"
+    ),
+    "final": (
+        "SELECT requestId, venueId, name, round(least(1.0E0, greatest(0.0E0, base + 0.2E0 * plus - 0.35E0 * minus)), 3) AS score, round(0.2E0 * plus, 3) AS positiveSimilarity, "
+        "round(0.35E0 * minus, 3) AS negativeSimilarity, nullif(concat_ws(' · ', CASE WHEN plus > 0 THEN 'Similar to ' || upName || ' · ' || "
+        "regexp_replace(CAST(upRating AS VARCHAR), '\\.0$', '') || '★' END, CASE WHEN downSim >= 0.5E0 THEN 'Less like ' || downName || ' · ' || "
+        "regexp_replace(CAST(downRating AS VARCHAR), '\\.0$', '') || '★' END), '') AS personalReason FROM signed"
+    ),
+}
+EVERYTHING = {**FULL, **BLEND, **PERSONAL}
+
+
+def ratings(t: Tables):
+    return t.fx("rating").select("userId", "venueId", "rating", "pos")
+
+
+@query(
+    "H25_personal_score",
+    sql(
+        "request venue chunk rating",
+        "SELECT requestId, venueId, score, positiveSimilarity, negativeSimilarity, personalReason FROM final",
+        **EVERYTHING,
+    ),
+)
+def personal_score(t: Tables):
+    return ranking.personalise(blended(t), ratings(t), t.venues()).select(
+        "requestId", "venueId", "score", "positiveSimilarity", "negativeSimilarity", "personalReason"
+    )
+
+
+@query(
+    "W06_best_similar_rated",
+    sql(
+        "request venue chunk rating",
+        "SELECT requestId, venueId, rName AS name, rating, round(similarity, 6) AS similarity FROM up",
+        **EVERYTHING,
+    ),
+)
+def best_similar(t: Tables):
+    best = ranking.best_similar(blended(t), ratings(t), t.venues()).where(F.col("bestLiked").isNotNull())
+    return best.select(
+        "requestId", "venueId", F.col("bestLiked.name").alias("name"), F.col("bestLiked.rating").alias("rating"),
+        F.round("bestLiked.similarity", 6).alias("similarity"),
+    )
+
+
+@query(
+    "L11_recommend",
+    sql(
+        "request venue chunk rating",
+        "SELECT requestId, venueId, score, rank, totalAvailable FROM (SELECT *, row_number() OVER (PARTITION BY requestId ORDER BY score DESC, name, venueId) AS rank, "
+        "count(*) OVER (PARTITION BY requestId) AS totalAvailable FROM final) WHERE rank <= 20",
+        **EVERYTHING,
+    ),
+)
+def recommend_all(t: Tables):
+    rows = recommend.recommend(t.requests(), t.venues(), t.chunks(), ratings(t))
+    return rows.select("requestId", "venueId", "score", "rank", "totalAvailable")
+
+
+EVAL = {
+    "cases": CASES,
+    "truth": TRUTH,
+    "casus": (
+        "SELECT c.requestId, CAST(3 + c.requestId % 5 AS INT) AS topK, coalesce(t.n, 0) AS relevantCount, len(required) + len(excluded) > 0 AS hasCriteria, "
+        "len(required) + len(excluded) > 0 AND coalesce(t.n, 0) = 0 AS expectedEmpty FROM cases c LEFT JOIN (SELECT requestId, count(*) AS n FROM truth GROUP BY requestId) t "
+        "ON t.requestId = c.requestId"
+    ),
+    "rk": (
+        "SELECT p.requestId, row_number() OVER (PARTITION BY p.requestId ORDER BY semanticScore DESC, p.venueId) AS rank, t.venueId IS NOT NULL AS relevant "
+        "FROM pooled p LEFT JOIN truth t ON t.requestId = p.requestId AND t.venueId = p.venueId"
+    ),
+    "counted": (
+        "SELECT c.*, coalesce(s.shown, 0) AS shown, coalesce(s.hits, 0) AS hits, s.first FROM casus c LEFT JOIN (SELECT r.requestId, count(*) FILTER (rank <= c.topK) AS shown, "
+        "count(*) FILTER (rank <= c.topK AND relevant) AS hits, min(CASE WHEN relevant THEN rank END) AS first FROM rk r JOIN casus c ON c.requestId = r.requestId "
+        "GROUP BY r.requestId) s ON s.requestId = c.requestId"
+    ),
+}
+
+
+def _metric(value: str) -> str:
+    return (
+        "CASE WHEN hasCriteria THEN CASE WHEN expectedEmpty THEN CASE WHEN shown = 0 THEN 1.0E0 ELSE 0.0E0 END ELSE " + value + " END END"
+    )
+
+
+@query(
+    "L12_evaluate",
+    sql(
+        "request venue chunk",
+        "SELECT requestId, shown AS returned, round(" + _metric("CASE WHEN shown > 0 THEN hits / CAST(shown AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS precision, round("
+        + _metric("CASE WHEN relevantCount > 0 THEN hits / CAST(relevantCount AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS recall, round("
+        + _metric("coalesce(1.0E0 / first, 0.0E0)") + ", 6) AS reciprocalRank, " + _metric("CASE WHEN first <= topK THEN 1.0E0 ELSE 0.0E0 END")
+        + " AS hit FROM counted",
+        **FULL, **EVAL,
+    ),
+)
+def evaluate(t: Tables):
+    per_case, _ = recommend.evaluate(cases(t), t.requests(), t.venues(), t.chunks())
+    return per_case.select(
+        "requestId", "returned", "hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocalRank")]
+    )
+
+
+@query(
+    "J18_reference_chunks",
+    sql(
+        "venue chunk",
+        "SELECT t.requestId, c.chunkId FROM truth t JOIN cases k ON k.requestId = t.requestId JOIN fx_chunk c ON c.venueId = t.venueId "
+        "WHERE list_contains(list_concat(k.required, k.excluded), c.attribute)",
+        cases=CASES, truth=TRUTH,
+    ),
+)
+def reference_chunks(t: Tables):
+    k = cases(t)
+    wanted = recommend.relevant_venues(k, t.venues()).join(
+        k.select(
+            "requestId", F.array_union("required", "excluded").alias("targetAttributes"),
+            F.array().cast("array<array<string>>").alias("termGroups"),
+        ),
+        "requestId",
+    )
+    return evaluation.reference_chunks(t.chunks(), wanted, "requestId")
+
+
+# -- sentences ------------------------------------------------------------------------------------
+
+SENTENCES = (
+    "SELECT venueId, name || ' is a pub in ' || area || '.' || ' Its address is ' || concat_ws(', ', address, postcode) || '.' || ' It is described as ' || "
+    "array_to_string(list_sort(string_split(tagsText, '|')), ', ') || '.' AS text FROM fx_venue"
+    + "".join(
+        f" UNION ALL SELECT venueId, name || ' {yes}' FROM fx_venue WHERE {fact} IS TRUE UNION ALL SELECT venueId, name || ' {no}' FROM fx_venue WHERE {fact} IS FALSE"
+        for fact, (yes, no) in V.FACT_SENTENCES.items()
+    )
+    + " UNION ALL SELECT venueId, name || ' has a ' || noiseLevel || ' atmosphere.' FROM fx_venue WHERE noiseLevel IS NOT NULL"
+    " UNION ALL SELECT venueId, name || ' has a ' || priceLevel || ' price level.' FROM fx_venue WHERE priceLevel IS NOT NULL"
+    " UNION ALL SELECT venueId, name || ' has a verified rating of ' || printf('%.1f', rating) || ' out of 5.' FROM fx_venue WHERE rating IS NOT NULL"
+)
+
+
+@query("H26_provenance_sentences", sql("venue", "SELECT venueId, text FROM s", s=SENTENCES))
+def sentences(t: Tables):
+    return canonical.evidence_sentences(t.venues()).select("venueId", "text")
+
+
+@query(
+    "H26_sentence_sources",
+    sql(
+        "venue",
+        "SELECT venueId, CASE WHEN n % 2 = 0 THEN 'Official venue website' ELSE 'FSQ Places' END AS source, "
+        "CASE WHEN n % 4 = 0 THEN 'https://site.example/' || venueId ELSE sourceUrl END AS sourceUrl FROM fx_venue WHERE servesFood IS NOT NULL",
+    ),
+)
+def sentence_sources(t: Tables):
+    rows = canonical.evidence_sentences(t.venues())
+    return rows.where(F.array_contains("attributes", "servesFood")).select("venueId", "source", "sourceUrl")
+
+
+@query(
+    "H27_chunk_ids",
+    sql("venue", "SELECT count(*) AS chunks, count(DISTINCT (venueId, text)) AS ids, 64 AS width FROM s", s=SENTENCES),
+)
+def chunk_ids(t: Tables):
+    rows = canonical.evidence_sentences(t.venues()).withColumn("chunkId", canonical.chunk_id())
+    return rows.agg(
+        F.count("*").alias("chunks"), F.countDistinct("chunkId").alias("ids"), F.max(F.length("chunkId")).alias("width")
+    )
+
+
+@query(
+    "U05_vector_column",
+    sql("chunk", "SELECT chunkId, round(sqrt(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM fx_chunk"),
+)
+def vector_column(t: Tables):
+    from taproom.functions.similarity import norm
+
+    return t.chunks().select("chunkId", F.round(norm(F.col("vector")), 6).alias("norm"))

@@ -8,6 +8,7 @@ from taproom import vocab as V
 from taproom.catalog.base import Tables, query, sql
 from taproom.functions.similarity import jaccard
 from taproom.operators import canonical, identity, matching, overlay, ranking
+from taproom.session import cut
 
 
 def q_haversine(a: str, b: str, c: str, d: str, radius: str = "6371000.0E0") -> str:
@@ -124,8 +125,8 @@ def match_sql(body: str, **more: str) -> str:
 
 def sides(t: Tables):
     return (
-        matching.place_keys(t.places_a(), "fsqPlaceId", "a"),
-        matching.place_keys(t.places_b(), "osmElementId", "b"),
+        cut(matching.place_keys(t.places_a(), "fsqPlaceId", "a")),
+        cut(matching.place_keys(t.places_b(), "osmElementId", "b")),
     )
 
 

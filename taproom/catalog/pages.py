@@ -1 +1,244 @@
-"""Section."""
+"""Stored web pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taproom import vocab as V
+from taproom.catalog.base import Tables, query, sql
+from taproom.functions import text
+from taproom.operators import overlay, pages
+
+def parsed(t: Tables):
+    return pages.parse_pages(t.table("pages"), "page_id")
+
+
+@query("U04_page_structure")
+def page_structure(t: Tables):
+    return parsed(t).select(
+        "page_id", F.size("blocks").alias("blocks"), F.length("visibleText").alias("visibleChars"),
+        "title", "heading", F.size("links").alias("links"), F.size("bodyLinks").alias("bodyLinks"),
+    )
+
+
+@query(
+    "U04_page_titles",
+    "SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '\\s+', ' ', 'g')) AS title, "
+    "len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1))) AS links FROM pages",
+)
+def page_titles(t: Tables):
+    return parsed(t).select("page_id", "title", F.size("links").cast("long").alias("links"))
+
+
+def venue_pages(t: Tables):
+    """Parsed pages dealt to venues, with prose about the venue added to every page."""
+    k = F.col("page_id") % 6
+    extra = (
+        F.when(k == 0, "<div><p>Our beer garden is open all year, and dogs are welcome in the bar.</p></div>")
+        .when(k == 1, "<p>We do not show live sport here. Accept all cookies to go on reading.</p><p>Group bookings and private hire are available in the upstairs room.</p>")
+        .when(k == 2, "<p>A pint of draught Guinness is £6.20 in the bar, every day of the week.</p><p>Sunday roasts and a weekly pub quiz bring in the neighbours.</p>")
+        .when(k == 3, "<p>Half of Guinness £3.40, bottle £5. Is the pub dog friendly? Ask us at the bar today.</p>")
+        .when(k == 4, "<p>There is no wheelchair access to the restaurant, sorry. Assistance dogs welcome in every room.</p>")
+        .otherwise("<nav><p>Live music in the navigation is never read as prose of the pub.</p></nav>")
+    )
+    raw = t.table("pages").withColumn("html", F.concat("html", extra))
+    venue = F.concat(F.lit("v-"), (F.col("page_id") % 120).cast("string"))
+    return pages.parse_pages(raw, "page_id").select(
+        venue.alias("venueId"), F.col("page_id").alias("pageNo"), "url", "blocks", "visibleText", "title", "heading", "links"
+    )
+
+
+@query("L07_page_passages")
+def page_passages(t: Tables):
+    found = pages.passages(venue_pages(t), t.venues())
+    return found.select("venueId", "position", "url", "text")
+
+
+@query("L07_passage_failures")
+def failures(t: Tables):
+    found = pages.passages(venue_pages(t), t.venues())
+    return pages.passage_failures(t.venues(), found).groupBy("reason").agg(F.count("*").alias("venues"))
+
+
+@query(
+    "L08_site_links",
+    "WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"(/[^\"#]*)', 1)) AS href, url FROM pages), "
+    "m AS (SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS link FROM l) "
+    "SELECT page_id, link, CASE WHEN regexp_matches(regexp_replace(lower(link), '[^a-z]', '', 'g'), '" + "|".join(V.PRIORITY_LINK_TERMS)
+    + "') THEN 0 ELSE 1 END AS priority FROM m",
+)
+def site_links(t: Tables):
+    return pages.site_links(parsed(t), "page_id").select("page_id", "link", "priority")
+
+
+def passages_with_claims(t: Tables):
+    """Short texts with feature phrases, one per document."""
+    k = F.col("doc_id") % 9
+    claim = (
+        F.when(k == 0, "We serve a great lunch menu. ")
+        .when(k == 1, "There is no live music, but dogs welcome! ")
+        .when(k == 2, "We do not show any live sport here. ")
+        .when(k == 3, "Is it dog friendly? Assistance dogs welcome. ")
+        .when(k == 4, "Book a table for our Sunday roast and pub quiz night. ")
+        .when(k == 5, "DJ nights, happy hour, vegan options and step-free access. ")
+        .when(k == 6, "Never any weekly events; private hire only. ")
+        .when(k == 7, "An accessible toilet and a wheelchair accessible toilet. ")
+        .otherwise("Nothing to claim. ")
+    )
+    rows = t.table("documents").withColumn("body", F.concat(claim, F.lit("| "), "text"))
+    return rows.withColumn("venueId", F.concat(F.lit("v-"), (F.col("doc_id") % 150).cast("string")))
+
+
+CLAIM_TEXT = (
+    "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'servesFood+' WHEN 1 THEN 'dogFriendly+|hasLiveMusic-' WHEN 2 THEN 'showsSports-' "
+    "WHEN 4 THEN 'acceptsReservations+|hostsQuiz+|servesSundayRoast+' WHEN 5 THEN 'hasDj+|hasHappyHour+|hasVeganOptions+|wheelchairAccessible+' "
+    "WHEN 6 THEN 'hostsEvents-|suitableForGroups+' WHEN 7 THEN 'hasAccessibleToilet+|wheelchairAccessible+' END AS claims FROM documents "
+    "WHERE doc_id % 9 NOT IN (3, 8)"
+)
+
+
+@query("H30_feature_claims", f"SELECT * FROM ({CLAIM_TEXT})")
+def feature_claims(t: Tables):
+    found = pages.feature_claims(passages_with_claims(t), "body", "doc_id")
+    label = F.concat("feature", F.when(F.col("value"), "+").otherwise("-"))
+    return found.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set(label)), "|").alias("claims")
+    )
+
+
+@query(
+    "L06_feature_review_queue",
+    sql(
+        "venue",
+        "SELECT DISTINCT venueId, feature, suggestedValue FROM (SELECT 'v-' || CAST(doc_id % 150 AS VARCHAR) AS venueId, "
+        "left(c, length(c) - 1) AS feature, right(c, 1) = '+' AS suggestedValue FROM (SELECT doc_id, unnest(string_split(claims, '|')) AS c FROM claimed)) q "
+        "JOIN fx_venue v USING (venueId) WHERE (CASE feature "
+        + " ".join(f"WHEN '{f}' THEN v.{f}" for f in V.FACT_PATTERNS)
+        + " END) IS DISTINCT FROM suggestedValue",
+        claimed=CLAIM_TEXT,
+    ),
+)
+def review_queue(t: Tables):
+    found = pages.feature_claims(passages_with_claims(t), "body", "venueId", "doc_id").select(
+        "venueId", F.col("doc_id").alias("position"), F.lit("https://site.example/").alias("pageUrl"),
+        "claimNo", "feature", "value", "matchedPhrase", "evidenceText",
+    )
+    return pages.review_queue(found, t.venues()).select("venueId", "feature", "suggestedValue")
+
+
+@query(
+    "H29_passage_splitting",
+    "SELECT doc_id, CASE WHEN length(body) <= 700 THEN 1 END AS whole, length(regexp_replace(body, '\\s+', '', 'g')) AS letters FROM "
+    "(SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents) WHERE length(body) <= 700",
+)
+def passage_splitting(t: Tables):
+    rows = t.table("documents").select("doc_id", text.squeeze(F.col("text")).alias("body"))
+    pieces = rows.select("doc_id", "body", text.split_passage(F.col("body")).alias("p"))
+    # Short texts stay whole; long ones are checked against plain code in the tests.
+    return pieces.where(F.length("body") <= V.PASSAGE_MAX).select(
+        "doc_id", F.size("p").alias("whole"),
+        F.length(F.regexp_replace(F.array_join("p", ""), r"\s+", "")).alias("letters"),
+    )
+
+
+@query("H29_split_long_texts")
+def split_long(t: Tables):
+    rows = t.table("documents").select("doc_id", text.squeeze(F.col("text")).alias("body"))
+    pieces = rows.select("doc_id", F.explode(text.split_passage(F.col("body"))).alias("piece"))
+    return pieces.groupBy("doc_id").agg(
+        F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"), F.min(F.length("piece")).alias("shortest")
+    )
+
+
+PRICED = (
+    "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 5.5E0 WHEN 1 THEN 6.0E0 END AS price FROM documents WHERE doc_id % 7 IN (0, 1)"
+)
+
+
+@query("H31_price_evidence", PRICED)
+def price_evidence(t: Tables):
+    k = F.col("doc_id") % 7
+    line = (
+        F.when(k == 0, "Guinness draught, pint £5.50 at the bar")
+        .when(k == 1, "A   pint of guinness £ 6 only")
+        .when(k == 2, "Guinness half £2.80, pint glass")
+        .when(k == 3, "Guinness pint £5.10 / £2.60")
+        .when(k == 4, "Guinness pint and many other beers on the long menu here £5.00")
+        .when(k == 5, "Guinness pint £25")
+        .otherwise("Carling pint £4")
+    )
+    rows = t.table("documents").select("doc_id", F.concat(line, F.lit("\n | "), "text").alias("body"))
+    return rows.select("doc_id", pages.priced_item(F.col("body"))["price"].alias("price")).where(
+        F.col("price").isNotNull()
+    )
+
+
+@query("L10_menu_price_scan")
+def menu_price_scan(t: Tables):
+    found = pages.price_scan(venue_pages(t), t.venues())
+    return found.select("venueId", "venueName", "priceLevel", "observedPriceGbp", "evidenceUrl", "evidenceText")
+
+
+def audit_rows(t: Tables):
+    """A served page per venue: some name the venue, some are generic, some are elsewhere."""
+    k = F.col("n") % 5
+    slug = F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")
+    return t.fx("venue").select(
+        "venueId", "name", "website", "n",
+        F.when(k == 0, F.concat(F.lit("https://www."), slug, F.lit(".example/")))
+        .when(k == 1, F.concat(F.lit("https://pubs.example/"), "venueId"))
+        .when(k == 2, F.lit("https://facebook.com/x"))
+        .when(k == 3, F.lit("https://chain.example/")).alias("url"),
+        F.when(k.isin(0, 1), F.concat("name", F.lit(" | Home"))).otherwise("Welcome").alias("title"),
+        F.when(k == 0, F.col("name")).otherwise("Drinks").alias("heading"),
+        F.when(k != 3, F.concat(F.lit("Come to "), "name", F.lit(" today."))).otherwise("A chain of pubs").alias("visibleText"),
+    )
+
+
+@query("H32_identity_signals")
+def identity_signals(t: Tables):
+    rows = pages.identity_signals(audit_rows(t).where("url IS NOT NULL"))
+    return rows.select("venueId", F.array_join("signals", "|").alias("signals"), "verified")
+
+
+@query(
+    "L09_website_identity_audit",
+    sql(
+        "venue",
+        "SELECT venueId, CASE WHEN website IS NOT NULL AND n % 5 IN (0, 1) THEN 'verified' ELSE 'rejected' END AS status, CASE WHEN website IS NULL THEN "
+        "'missing or non-public website' WHEN n % 5 = 4 THEN 'no stored page' WHEN n % 5 = 2 THEN 'redirected to a known third-party domain' WHEN n % 5 IN (0, 1) THEN "
+        "'Multiple first-party identity signals verified the venue page' ELSE 'insufficient evidence that the page is specific to this venue' END AS reason FROM fx_venue",
+    ),
+)
+def identity_audit(t: Tables):
+    rows = audit_rows(t)
+    served = rows.where("url IS NOT NULL").select("venueId", "url", "title", "heading", "visibleText")
+    return pages.site_audit(rows.select("venueId", "name", "website"), served).select("venueId", "status", "reason")
+
+
+@query(
+    "L13_site_refresh_overlay",
+    sql(
+        "tagged",
+        "SELECT id, CASE WHEN hs <> 'manual' AND n % 2 = 0 AND n % 3 = 0 THEN 'Mo-Su 10:00-20:00' ELSE t_hours END AS opening_hours, "
+        "CASE WHEN hs <> 'manual' AND n % 2 = 0 AND n % 3 = 0 THEN 'official' ELSE hs END AS hours_source, "
+        "CASE WHEN hs <> 'manual' AND n % 2 = 0 THEN coalesce(t_phone, 'site phone') ELSE t_phone END AS phone, "
+        "CASE WHEN hs <> 'manual' AND n % 2 = 0 AND address IS NULL THEN 'site address' ELSE address END AS address, "
+        "CASE WHEN hs <> 'manual' AND n % 2 = 0 AND address IS NULL THEN 'officialWebsite' ELSE 'openStreetMap' END AS address_source "
+        "FROM (SELECT *, CASE n % 4 WHEN 0 THEN 'manual' ELSE 'osm' END AS hs FROM fx_tagged)",
+    ),
+)
+def site_refresh(t: Tables):
+    rows = t.fx("tagged").select(
+        "id", "n", F.col("t_hours").alias("opening_hours"),
+        F.when(F.col("n") % 4 == 0, "manual").otherwise("osm").alias("hours_source"),
+        F.lit(None).cast("string").alias("hours_confidence"), F.lit(None).cast("timestamp").alias("hours_last_checked"),
+        F.col("t_phone").alias("phone"), "address", F.lit("openStreetMap").alias("address_source"),
+    )
+    extracted = rows.where("n % 2 = 0").select(
+        "id", F.when(F.col("n") % 3 == 0, "Mo-Su 10:00-20:00").alias("siteHours"),
+        F.lit("site phone").alias("sitePhone"), F.lit("site address").alias("siteAddress"),
+    )
+    return overlay.refresh_from_site(rows.drop("n"), extracted, F.current_timestamp()).select(
+        "id", "opening_hours", "hours_source", "phone", "address", "address_source"
+    )

@@ -451,13 +451,13 @@ def entity_decode(t: Tables):
     "FROM documents WHERE contains(text, 'the')",
 )
 def matches_with_offsets(t: Tables):
-    spans = F.col("spans")
     rows = t.table("documents").where(F.contains("text", F.lit("the"))).select(
         "doc_id", "text", text.all_matches(F.col("text"), "[A-Za-z]*the[a-z]*").alias("spans")
     )
-    exact = F.forall(spans, lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"]) == s["text"])
-    total = F.aggregate(spans, F.lit(0), lambda acc, s: acc + F.when(exact, s["end"] - s["start"]).otherwise(-1000000))
-    return rows.select(
-        "doc_id", total.cast("long").alias("matchedChars"), F.size(spans).alias("matches"),
-        F.get(spans, F.lit(0))["start"].alias("firstStart"),
+    exact = F.col("s.text") == F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    spans = rows.select("doc_id", "text", F.explode("spans").alias("s"))
+    return spans.groupBy("doc_id").agg(
+        F.sum(F.when(exact, F.col("s.end") - F.col("s.start"))).alias("matchedChars"),
+        F.count_if(exact).alias("matches"),
+        F.min("s.start").alias("firstStart"),
     )

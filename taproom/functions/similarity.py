@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings; argument order matters. Use on candidate pairs."""
     seen: dict[tuple[str, str], float] = {}
@@ -25,7 +26,7 @@ def text_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """Every HTML entity decoded."""
     return text.map(html.unescape, na_action="ignore")

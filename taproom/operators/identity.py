@@ -9,6 +9,7 @@ from taproom import vocab as V
 from taproom.functions import geo, text, urls
 from taproom.functions.similarity import decode_entities
 from taproom.operators.skew import split_join
+from taproom.session import cut
 
 NEAR_METRES = 35.0
 CLEAR_METRES = 75.0
@@ -84,7 +85,8 @@ def nearest_two(listings: DataFrame, venues: DataFrame, metres: float = CLEAR_ME
 
 def match_listings(listings: DataFrame, venues: DataFrame) -> DataFrame:
     """(listingId, venueId, matchMethod) by the first strategy that leaves one venue."""
-    seen, known = listing_keys(listings), venue_keys(venues)
+    # Every strategy reads the keys again, so they are computed and written once.
+    seen, known = cut(listing_keys(listings)), cut(venue_keys(venues))
     by_postcode = split_join(
         known.where(F.col("vPostcode").isNotNull()).withColumn("_k", F.col("vPostcode")),
         seen.where(F.col("lPostcode").isNotNull()).withColumn("_k", F.col("lPostcode")),

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from taproom import vocab as V
 from taproom.functions import hours, tags as T, text, urls
@@ -331,7 +332,7 @@ def booking_link(pages: DataFrame, key: str, column: str = "html", base: str = "
     return pages.select(key).join(first, key, "left")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute form of a link on a page; null when it cannot be read as a url."""
 
