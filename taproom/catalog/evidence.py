@@ -211,7 +211,7 @@ def evidence_inputs(t: Tables):
     "W03_top_evidence",
     sql(
         "request venue chunk",
-        "SELECT requestId, venueId, chunkId, scoreRank <= 3 AS scored, showRank <= 3 AND (preferred OR NOT anyPreferred) AS displayed, round(hybrid, 6) AS hybrid "
+        "SELECT requestId, venueId, chunkId, scoreRank <= 3 AS scored, showRank <= 3 AND (preferred OR NOT anyPreferred) AS displayed "
         "FROM top WHERE scoreRank <= 3 OR (showRank <= 3 AND (preferred OR NOT anyPreferred))",
         **FULL,
     ),
@@ -220,7 +220,7 @@ def top_evidence(t: Tables):
     parsed, pairs, chunks = evidence_inputs(t)
     held = chunks.withColumn("tokens", retrieval_tokens(F.col("text")))
     top = evidence.top_evidence(pairs, recommend.request_side(parsed), held)
-    return top.select("requestId", "venueId", "chunkId", "scored", "displayed", F.round("hybrid", 6).alias("hybrid"))
+    return top.select("requestId", "venueId", "chunkId", "scored", "displayed")
 
 
 @query(
@@ -239,8 +239,8 @@ STRUCTURED = (
 )
 BLEND = {
     "blended": (
-        "SELECT requestId, venueId, name, userId, round((1.0E0 - w) * score + w * semanticScore, 3) AS score, round((1.0E0 - w) * score, 3) AS structuredPart, "
-        f"round(w * semanticScore, 3) AS semanticPart FROM (SELECT k.*, r.userId, p.semanticScore, CASE WHEN ({STRUCTURED}) AND best > 0 THEN 0.25E0 ELSE 1.0E0 END AS w "
+        "SELECT requestId, venueId, name, userId, round((1.0E0 - w) * score + w * semanticScore + 1.0E-9, 3) AS score, round((1.0E0 - w) * score + 1.0E-9, 3) AS structuredPart, "
+        f"round(w * semanticScore + 1.0E-9, 3) AS semanticPart FROM (SELECT k.*, r.userId, p.semanticScore, CASE WHEN ({STRUCTURED}) AND best > 0 THEN 0.25E0 ELSE 1.0E0 END AS w "
         "FROM (SELECT *, max(score) OVER (PARTITION BY requestId) AS best FROM ranked) k JOIN pooled p ON p.requestId = k.requestId AND p.venueId = k.venueId "
         "JOIN fx_request r ON r.requestId = k.requestId)"
     ),
@@ -278,8 +278,8 @@ PERSONAL = {
         "LEFT JOIN down d ON d.requestId = b.requestId AND d.venueId = b.venueId"
     ),
     "final": (
-        "SELECT requestId, venueId, name, round(least(1.0E0, greatest(0.0E0, base + 0.2E0 * plus - 0.35E0 * minus)), 3) AS score, round(0.2E0 * plus, 3) AS positiveSimilarity, "
-        "round(0.35E0 * minus, 3) AS negativeSimilarity, nullif(concat_ws(' · ', CASE WHEN plus > 0 THEN 'Similar to ' || upName || ' · ' || "
+        "SELECT requestId, venueId, name, round(least(1.0E0, greatest(0.0E0, base + 0.2E0 * plus - 0.35E0 * minus)) + 1.0E-9, 3) AS score, round(0.2E0 * plus + 1.0E-9, 3) AS positiveSimilarity, "
+        "round(0.35E0 * minus + 1.0E-9, 3) AS negativeSimilarity, nullif(concat_ws(' · ', CASE WHEN plus > 0 THEN 'Similar to ' || upName || ' · ' || "
         "regexp_replace(CAST(upRating AS VARCHAR), '\\.0$', '') || '★' END, CASE WHEN downSim >= 0.5E0 THEN 'Less like ' || downName || ' · ' || "
         "regexp_replace(CAST(downRating AS VARCHAR), '\\.0$', '') || '★' END), '') AS personalReason FROM signed"
     ),

@@ -218,15 +218,15 @@ def ratings_upsert(t: Tables):
     running = stream.upsert_ratings_stream(source, table, state)
     running.awaitTermination()
     last = (running.lastProgress or {}).get("batchId", 0)
-    return t.spark.read.schema(rows.schema).parquet(f"{table}/v={last}").drop("seq")
+    return t.spark.read.parquet(f"{table}/v={last}").drop("seq", "photoAt")
 
 
 @query("T03_ratings_upsert_batch", sql("rating", Q_RATINGS))
 def ratings_batch(t: Tables):
     rows = rating_rows(t)
-    first = overlay.latest_rating_per_key(rows.where("seq % 2 = 0")).limit(0)
-    merged = overlay.upsert_ratings(first, rows)
-    return merged.drop("seq")
+    first = overlay.latest_rating_per_key(rows.where("seq % 2 = 0"))
+    merged = overlay.upsert_ratings(first, rows.where("seq % 2 = 1"))
+    return merged.drop("seq", "photoAt")
 
 
 @query(

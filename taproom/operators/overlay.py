@@ -34,18 +34,17 @@ def keep_trusted(source: str, trusted: tuple[str, ...], column: str) -> Column:
     return F.when(old[source].isin(*trusted), old[column]).otherwise(new[column])
 
 
-PUB_RULES = {
-    "opening_hours": keep_trusted("hours_source", ("manual", "official"), "opening_hours"),
-    "hours_source": keep_trusted("hours_source", ("manual", "official"), "hours_source"),
-    "address_source": keep_trusted(
-        "address_source", ("manual", "reverseGeocoded", "officialWebsite"), "address_source"
-    ),
-}
-
-
 def upsert_pubs(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Map import: hours from people or official sites and trusted address labels survive."""
-    return upsert(current, incoming, ["id"], PUB_RULES)
+    hours = ("manual", "official")
+    rules = {
+        "opening_hours": keep_trusted("hours_source", hours, "opening_hours"),
+        "hours_source": keep_trusted("hours_source", hours, "hours_source"),
+        "address_source": keep_trusted(
+            "address_source", ("manual", "reverseGeocoded", "officialWebsite"), "address_source"
+        ),
+    }
+    return upsert(current, incoming, ["id"], rules)
 
 
 def backfill_hours(pubs: DataFrame) -> DataFrame:
@@ -64,28 +63,49 @@ def backfill_hours(pubs: DataFrame) -> DataFrame:
     )
 
 
-RATING_RULES = {
-    "photo": F.coalesce(F.col("new.photo"), F.col("old.photo")),
-    "visitedAt": F.coalesce(F.col("old.visitedAt"), F.col("new.visitedAt")),
-}
+def _newer() -> Column:
+    return F.struct("new.updatedAt", "new.seq") >= F.struct("old.updatedAt", "old.seq")
+
+
+def _newest(column: str) -> Column:
+    return F.when(_newer(), F.col(f"new.{column}")).otherwise(F.col(f"old.{column}"))
+
+
+def _later_photo(column: str) -> Column:
+    old_at, new_at = F.col("old.photoAt"), F.col("new.photoAt")
+    take_new = new_at.isNotNull() & (old_at.isNull() | (new_at >= old_at))
+    return F.when(take_new, F.col(f"new.{column}")).otherwise(F.col(f"old.{column}"))
+
+
+def merge_ratings(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Join two folded rating tables; the result is the same whichever write arrived first."""
+    rules = {
+        **{name: _newest(name) for name in ("beenHere", "rating", "updatedAt", "seq")},
+        "photo": _later_photo("photo"),
+        "photoAt": _later_photo("photoAt"),
+        "visitedAt": F.least("old.visitedAt", "new.visitedAt"),
+    }
+    return upsert(current, incoming, ["userId", "venueId"], rules)
 
 
 def latest_rating_per_key(ratings: DataFrame) -> DataFrame:
     """Fold several writes of one batch: newest wins, newest photo and first visit survive."""
-    photos = F.when(F.col("photo").isNotNull(), F.struct("updatedAt", "seq"))
+    order = F.struct("updatedAt", "seq")
+    with_photo = F.when(F.col("photo").isNotNull(), order)
     return ratings.groupBy("userId", "venueId").agg(
-        F.max_by("beenHere", F.struct("updatedAt", "seq")).alias("beenHere"),
-        F.max_by(F.struct("rating"), F.struct("updatedAt", "seq"))["rating"].alias("rating"),
-        F.max_by("photo", photos).alias("photo"),
-        F.min_by("visitedAt", F.struct("updatedAt", "seq")).alias("visitedAt"),
+        F.max_by("beenHere", order).alias("beenHere"),
+        F.max_by(F.struct("rating"), order)["rating"].alias("rating"),
+        F.max_by("photo", with_photo).alias("photo"),
+        F.max(F.when(F.col("photo").isNotNull(), F.col("updatedAt"))).alias("photoAt"),
+        F.min("visitedAt").alias("visitedAt"),
         F.max("updatedAt").alias("updatedAt"),
-        F.max("seq").alias("seq"),
+        F.max_by("seq", order).alias("seq"),
     )
 
 
 def upsert_ratings(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Newest write wins; the photo and the first visit time survive later writes."""
-    return upsert(current, latest_rating_per_key(incoming), ["userId", "venueId"], RATING_RULES)
+    return merge_ratings(current, latest_rating_per_key(incoming))
 
 
 def publish_new(log: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:

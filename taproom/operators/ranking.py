@@ -14,6 +14,11 @@ from taproom.operators.skew import split_join
 GROUP_BIT = 1 << V.FEATURES.index("groups")
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Round half up on the decimal value, undisturbed by binary noise in the last places."""
+    return F.round(F.round(value, 9), digits)
+
+
 def _mean(hits: Column, known: Column) -> Column:
     return F.when(known > 0, hits / known)
 
@@ -219,11 +224,11 @@ def blend(scored: DataFrame, evidence: DataFrame, key: str = "requestId") -> Dat
     weight = F.when(structured(F.col("prefs")) & F.col("_any"), 0.25).otherwise(1.0)
     mixed = scored.join(evidence, [key, "venueId"]).join(signal, key).withColumn("_w", weight)
     return (
-        mixed.withColumn("structuredPart", F.round((1.0 - F.col("_w")) * F.col("score"), 3))
-        .withColumn("semanticPart", F.round(F.col("_w") * F.col("semanticScore"), 3))
+        mixed.withColumn("structuredPart", half_up((1.0 - F.col("_w")) * F.col("score"), 3))
+        .withColumn("semanticPart", half_up(F.col("_w") * F.col("semanticScore"), 3))
         .withColumn(
             "score",
-            F.round(
+            half_up(
                 (1.0 - F.col("_w")) * F.col("score") + F.col("_w") * F.col("semanticScore"), 3
             ),
         )
@@ -342,14 +347,14 @@ def personalise(
     )
     return (
         rows.withColumn("searchFit", F.round("score", 3))
-        .withColumn("positiveSimilarity", F.round(0.20 * positive, 3))
-        .withColumn("negativeSimilarity", F.round(0.35 * negative, 3))
+        .withColumn("positiveSimilarity", half_up(0.20 * positive, 3))
+        .withColumn("negativeSimilarity", half_up(0.35 * negative, 3))
         .withColumn(
             "personalScore",
             F.when((positive > 0) | near_disliked, F.round(strongest, 3)),
         )
         .withColumn("personalReason", F.nullif(reason, F.lit("")))
-        .withColumn("score", F.round(final, 3))
+        .withColumn("score", half_up(final, 3))
         .drop("bestLiked", "bestDisliked")
     )
 

@@ -17,7 +17,8 @@ EVENT_TYPES = ("impression", "click", "save", "like", "dislike")
 
 def checked(events: DataFrame, venues: DataFrame) -> DataFrame:
     """Trimmed events with `rejectReason` (null when fine). Works on batches and streams."""
-    out = events
+    # Event time has to be an instant for watermarks; logs without a zone are read as UTC.
+    out = events.withColumn("recordedAt", F.col("recordedAt").cast("timestamp"))
     problems = [F.when(~F.col("eventType").isin(*EVENT_TYPES), F.lit("unknown event type"))]
     for name, limit in TEXT_LIMITS.items():
         if name not in events.columns:
@@ -86,11 +87,11 @@ def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str):
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        previous = f"{table}/v={batch_id - 1}"
-        empty = spark.createDataFrame([], batch.schema)
-        current = empty if batch_id == 0 else spark.read.schema(batch.schema).parquet(previous)
-        merged = overlay.upsert_ratings(current, batch.select(*current.columns))
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        fresh = overlay.latest_rating_per_key(batch)
+        if batch_id > 0:
+            previous = spark.read.schema(fresh.schema).parquet(f"{table}/v={batch_id - 1}")
+            fresh = overlay.merge_ratings(previous, fresh)
+        fresh.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(fold)
