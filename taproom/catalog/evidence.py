@@ -13,6 +13,7 @@ from taproom.catalog.scalars import q_tokens_of
 from taproom.functions.text import retrieval_tokens
 from taproom.operators import canonical, evaluation, evidence, filters, ranking
 from taproom.plans import recommend
+from taproom.session import cut
 
 KM = (
     "CASE location "
@@ -204,7 +205,7 @@ FULL = {**BASE, **EVIDENCE}
 def evidence_inputs(t: Tables):
     parsed = recommend.parse(t.requests())
     pairs = filters.candidates(parsed.drop("vector"), t.venues()).select("requestId", "venueId")
-    return parsed, pairs, t.chunks()
+    return parsed, cut(pairs), t.chunks()
 
 
 @query(
@@ -249,9 +250,8 @@ BLEND = {
 
 def blended(t: Tables):
     parsed = recommend.parse(t.requests())
-    scored = ranking.with_score(filters.candidates(parsed, t.venues()))
-    found = recommend.retrieve(parsed, scored.select("requestId", "venueId"), t.chunks())
-    return ranking.blend(scored, found)
+    scored = recommend.ranking_table(parsed, t.venues())
+    return cut(ranking.blend(scored, recommend.retrieve(parsed, scored, t.chunks())))
 
 
 @query(

@@ -28,33 +28,38 @@ def feature_column(feature: str, prefix: str = "") -> Column:
 def feature_map(prefix: str = "") -> Column:
     """feature name -> fact, for lookups by a feature named in data."""
     names = (*V.FEATURES, *V.NOISE_FEATURES)
-    return F.map_from_arrays(
-        F.array(*[F.lit(name) for name in names]),
-        F.array(*[feature_column(name, prefix) for name in names]),
-    )
+    pairs = ", ".join(f"'{name}', {feature_sql(name, prefix)}" for name in names)
+    return F.expr(f"map({pairs})")
 
 
 def fact_map(prefix: str = "") -> Column:
     """fact column name -> value."""
-    return F.map_from_arrays(
-        F.array(*[F.lit(fact) for fact in V.FACTS]),
-        F.array(*[F.col(f"{prefix}{fact}") for fact in V.FACTS]),
-    )
+    pairs = ", ".join(f"'{fact}', {prefix}{fact}" for fact in V.FACTS)
+    return F.expr(f"map({pairs})")
 
 
 def facts_where(value: bool | None, names: dict[str, str], prefix: str = "") -> Column:
     """Labels (in the order of `names`: feature -> label) whose fact is true, false or unknown."""
-    picked = []
-    for feature, label in names.items():
-        fact = feature_column(feature, prefix)
-        wanted = fact.isNull() if value is None else fact.eqNullSafe(F.lit(value))
-        picked.append(F.when(wanted, F.lit(label)))
-    return F.array_compact(F.array(*picked))
+    wanted = "null" if value is None else str(value).lower()
+    shown = ", ".join(
+        f"IF({feature_sql(feature, prefix)} <=> {wanted}, '{label}', null)"
+        for feature, label in names.items()
+    )
+    return F.expr(f"array_compact(array({shown}))")
+
+
+def bits_sql(tests: list[str]) -> str:
+    """Integer with one bit per test, as expression text."""
+    return " + ".join(f"IF({test}, {1 << i}L, 0L)" for i, test in enumerate(tests))
+
+
+def feature_sql(feature: str, prefix: str = "") -> str:
+    """Expression text of the fact behind a feature name."""
+    if feature in V.NOISE_FEATURES:
+        return f"({prefix}noiseLevel = '{V.NOISE_FEATURES[feature]}')"
+    return f"{prefix}{V.FEATURE_FACTS[feature]}"
 
 
 def trait_bits(prefix: str = "") -> Column:
     """Known-true facts as one integer, one bit per fact."""
-    bits = F.lit(0).cast("long")
-    for position, fact in enumerate(V.FACTS):
-        bits = bits + F.when(is_true(F.col(f"{prefix}{fact}")), 1 << position).otherwise(0)
-    return bits
+    return F.expr(bits_sql([f"{prefix}{fact} <=> true" for fact in V.FACTS]))

@@ -27,11 +27,12 @@ def haversine(
 
 def area_distance_km(area: Column, lat: Column, lon: Column) -> Column:
     """Kilometres from an area's centre, two decimals; null without an area."""
-    distance = F.lit(None).cast("double")
-    for name, (centre_lat, centre_lon) in V.AREA_CENTRES.items():
-        to_centre = haversine(F.lit(centre_lat), F.lit(centre_lon), lat, lon, EARTH_KM)
-        distance = F.when(area == name, F.round(to_centre, 2)).otherwise(distance)
-    return distance
+    known = ", ".join(
+        f"'{name}', named_struct('lat', {c_lat}D, 'lon', {c_lon}D)"
+        for name, (c_lat, c_lon) in V.AREA_CENTRES.items()
+    )
+    centre = F.try_element_at(F.expr(f"map({known})"), area)
+    return F.round(haversine(centre["lat"], centre["lon"], lat, lon, EARTH_KM), 2)
 
 
 def flat_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

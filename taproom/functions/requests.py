@@ -7,6 +7,7 @@ nothing is joined, exploded or shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,9 @@ def phrase_table() -> list[tuple[str, str, str]]:
 
 
 def _strengths(lowered: Column) -> Column:
-    table = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(p).alias("phrase"))
-            for kind, name, p in phrase_table()
-        ]
+    rows = [{"kind": kind, "name": name, "phrase": p} for kind, name, p in phrase_table()]
+    table = F.from_json(
+        F.lit(json.dumps(rows)), "array<struct<kind:string,name:string,phrase:string>>"
     )
     mentioned = F.filter(table, lambda row: F.contains(lowered, row["phrase"]))
 

@@ -44,21 +44,17 @@ def hard_filter(prefs: dict) -> Column:
 
 def fact_masks(prefix: str = "") -> tuple[Column, Column]:
     """Known-true and known-false features as two integers, one bit per feature."""
-    true_bits, false_bits = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for position, feature in enumerate((*V.FEATURES, *V.NOISE_FEATURES)):
-        fact = facts.feature_column(feature, prefix)
-        true_bits = true_bits + F.when(facts.is_true(fact), 1 << position).otherwise(0)
-        false_bits = false_bits + F.when(facts.is_false(fact), 1 << position).otherwise(0)
-    return true_bits, false_bits
+    names = [facts.feature_sql(name, prefix) for name in (*V.FEATURES, *V.NOISE_FEATURES)]
+    return (
+        F.expr(facts.bits_sql([f"{name} <=> true" for name in names])),
+        F.expr(facts.bits_sql([f"{name} <=> false" for name in names])),
+    )
 
 
 def feature_mask(features: Column) -> Column:
     """A list of feature names as one integer with the same bits."""
     names = (*V.FEATURES, *V.NOISE_FEATURES)
-    bits = F.map_from_arrays(
-        F.array(*[F.lit(name) for name in names]),
-        F.array(*[F.lit(1 << position).cast("long") for position in range(len(names))]),
-    )
+    bits = F.expr("map(" + ", ".join(f"'{name}', {1 << i}L" for i, name in enumerate(names)) + ")")
     return F.aggregate(
         F.array_distinct(features),
         F.lit(0).cast("long"),
@@ -91,16 +87,17 @@ def candidates(requests: DataFrame, venues: DataFrame, pieces: int = 16) -> Data
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     )
     true_bits, false_bits = fact_masks()
-    keys = [F.lit("any"), F.concat(F.lit("area:"), F.col("area"))]
-    for name in names:
-        fact = facts.feature_column(name)
-        keys.append(F.when(fact, F.lit(f"true:{name}")))
-        keys.append(F.when(~fact, F.lit(f"false:{name}")))
+    routes = ", ".join(
+        f"CASE WHEN {facts.feature_sql(name)} THEN 'true:{name}' "
+        f"WHEN NOT {facts.feature_sql(name)} THEN 'false:{name}' END"
+        for name in names
+    )
+    keys = F.expr(f"array_compact(array('any', concat('area:', area), {routes}))")
     spread = (
         venues.withColumn("_true", true_bits)
         .withColumn("_false", false_bits)
         .withColumn("_piece", F.pmod(F.xxhash64("venueId"), F.lit(pieces)).cast("int"))
-        .withColumn("_key", F.explode(F.array_compact(F.array(*keys))))
+        .withColumn("_key", F.explode(keys))
     )
     postcode = text.postcode_prefix_key(F.col("postcode"))
     conditions = [

@@ -221,7 +221,8 @@ def blend(scored: DataFrame, evidence: DataFrame, key: str = "requestId") -> Dat
     all candidates, joined back.
     """
     signal = scored.groupBy(key).agg(F.bool_or(F.col("score") > 0).alias("_any"))
-    weight = F.when(structured(F.col("prefs")) & F.col("_any"), 0.25).otherwise(1.0)
+    named = F.col("structured") if "structured" in scored.columns else structured(F.col("prefs"))
+    weight = F.when(named & F.col("_any"), 0.25).otherwise(1.0)
     mixed = scored.join(evidence, [key, "venueId"]).join(signal, key).withColumn("_w", weight)
     return (
         mixed.withColumn("structuredPart", half_up((1.0 - F.col("_w")) * F.col("score"), 3))

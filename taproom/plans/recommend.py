@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taproom.functions import requests as R
 from taproom.functions.text import retrieval_tokens
 from taproom.operators import evaluation, evidence, filters, ranking
+from taproom.session import cut
 
 
 def parse(requests: DataFrame) -> DataFrame:
@@ -39,6 +40,22 @@ def retrieve(parsed: DataFrame, candidates: DataFrame, chunks: DataFrame) -> Dat
     return evidence.pool(top, asked, chunks)
 
 
+def ranking_table(parsed: DataFrame, venues: DataFrame) -> DataFrame:
+    """Candidates with their weighted score, reduced to what later steps read, and written once.
+
+    Evidence, blend and personal signals all read this table, so it is computed one time. It holds
+    no venue text and no explanation: those are added to the few rows of a result page.
+    """
+    scored = ranking.with_score(filters.candidates(parsed.drop("vector"), venues))
+    extra = [name for name in ("userId",) if name in parsed.columns]
+    return cut(
+        scored.select(
+            "requestId", *extra, "venueId", "name", "score",
+            ranking.structured(F.col("prefs")).alias("structured"),
+        )
+    )
+
+
 def recommend(
     requests: DataFrame,
     venues: DataFrame,
@@ -47,20 +64,32 @@ def recommend(
     limit: int = 20,
     offset: int = 0,
 ) -> DataFrame:
-    """Ranked, explained and paged venues for every request of a table.
+    """Ranked and paged venues for every request of a table.
 
     `requests`: requestId, query, and vector/userId where evidence and ratings are used.
     """
     parsed = parse(requests)
-    scored = ranking.with_score(filters.candidates(parsed, venues))
+    scored = ranking_table(parsed, venues)
     if chunks is not None:
-        found = retrieve(parsed, scored.select("requestId", "venueId"), chunks)
-        scored = ranking.blend(scored, found)
+        scored = ranking.blend(scored, retrieve(parsed, scored, chunks))
     if ratings is not None:
-        scored = ranking.personalise(scored, ratings, venues)
+        scored = ranking.personalise(cut(scored), ratings, venues)
     return ranking.page(scored, limit, offset)
 
 
+def explained(page: DataFrame, requests: DataFrame, venues: DataFrame) -> DataFrame:
+    """Add reasons, verified and unknown features, distance and breakdown to result rows."""
+    shown = page.select("requestId", "venueId", F.col("rank"), F.col("score").alias("finalScore"))
+    facts = venues.join(shown.select("venueId").distinct(), "venueId", "left_semi")
+    rows = shown.join(parse(requests).select("requestId", "prefs"), "requestId").join(facts, "venueId")
+    return (
+        ranking.with_score(rows)
+        .withColumn("reasons", ranking.reasons())
+        .withColumn("verifiedFeatures", ranking.verified_features())
+        .withColumn("unknownFeatures", ranking.unknown_features())
+    )
+
+
 def evaluate(
     cases: DataFrame, requests: DataFrame, venues: DataFrame, chunks: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -71,11 +100,9 @@ def evaluate(
     distinct criterion, not per case.
     """
     parsed = parse(requests)
-    pairs = filters.candidates(parsed, venues).select("requestId", "venueId")
-    found = retrieve(parsed, pairs, chunks)
-    ranked = evaluation.ranked(
-        found.select("requestId", "venueId", "semanticScore"), "requestId", "semanticScore", "venueId"
-    )
+    pairs = cut(filters.candidates(parsed.drop("vector"), venues).select("requestId", "venueId"))
+    found = retrieve(parsed, pairs, chunks).select("requestId", "venueId", "semanticScore")
+    ranked = cut(evaluation.ranked(found, "requestId", "semanticScore", "venueId"))
     truth = relevant_venues(cases, venues)
     counted = truth.groupBy("requestId").agg(F.count("*").alias("relevantCount"))
     full = cases.join(counted, "requestId", "left").withColumn(

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Only at start-up: long column expressions are built call by call, so no stack trace per call.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app: str = "taproom", master: str | None = None, **extra: str) -> SparkSession:
@@ -22,7 +24,7 @@ def build_session(app: str = "taproom", master: str | None = None, **extra: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
