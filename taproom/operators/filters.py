@@ -292,20 +292,45 @@ def in_polygons(
     key: str,
     lon: str = "longitude",
     lat: str = "latitude",
-    strip_height: float = 0.05,
+    cell: float = 0.05,
+    strip_height: float = 0.01,
 ) -> DataFrame:
     """(key, polygonId) of every point inside a polygon: outline counts, holes do not.
 
-    Points and edges meet in horizontal strips: an edge is sent to the strips its latitude range
-    touches, a point stands in one strip, so each point sees only edges that can cross its ray and
-    the join has an equi-key. Crossings and boundary hits are summed per point and ring.
+    First points meet polygons whose bounding box covers them, through grid cells. Then each such
+    pair meets the edges of that polygon in the point's horizontal strip (an edge is sent to the
+    strips its latitude range touches), so a pair sees only edges that can cross its ray, however
+    many the polygon has. Crossings and boundary hits are summed per point and ring.
     """
-    strip = lambda value: F.floor(value / strip_height).cast("long")
+    from taproom.operators.skew import split_join
+
+    def at(value: Column, size: float) -> Column:
+        return F.floor(value / size).cast("long")
+
+    corners = rings.where("ringNo = 0").select(
+        "polygonId",
+        *[
+            pick(F.transform("vertices", lambda v: v[axis])).alias(name)
+            for name, pick, axis in (
+                ("west", F.array_min, "lon"), ("east", F.array_max, "lon"),
+                ("south", F.array_min, "lat"), ("north", F.array_max, "lat"),
+            )
+        ],
+    )
+    boxes = corners.withColumn(
+        "_row", F.explode(F.sequence(at(F.col("south"), cell), at(F.col("north"), cell)))
+    ).withColumn("_col", F.explode(F.sequence(at(F.col("west"), cell), at(F.col("east"), cell))))
+    x, y = F.col(lon), F.col(lat)
+    placed = points.select(key, lon, lat, at(y, cell).alias("_row"), at(x, cell).alias("_col"))
+    near = (
+        split_join(placed, boxes, ["_row", "_col"])
+        .where(x.between(F.col("west"), F.col("east")) & y.between(F.col("south"), F.col("north")))
+        .select(key, lon, lat, "polygonId", at(y, strip_height).alias("_strip"))
+    )
     low, high = F.least("aLat", "bLat"), F.greatest("aLat", "bLat")
     edges = ring_edges(rings).withColumn(
-        "_strip", F.explode(F.sequence(strip(low), strip(high)))
+        "_strip", F.explode(F.sequence(at(low, strip_height), at(high, strip_height)))
     )
-    x, y = F.col(lon), F.col(lat)
     a_lon, a_lat, b_lon, b_lat = (F.col(name) for name in ("aLon", "aLat", "bLon", "bLat"))
     cross = (y - a_lat) * (b_lon - a_lon) - (x - a_lon) * (b_lat - a_lat)
     on_edge = (
@@ -316,11 +341,8 @@ def in_polygons(
     crosses = ((b_lat > y) != (a_lat > y)) & (
         x < (a_lon - b_lon) * (y - b_lat) / F.nullif(a_lat - b_lat, F.lit(0.0)) + b_lon
     )
-    placed = points.select(key, lon, lat).withColumn("_strip", strip(y))
-    from taproom.operators.skew import split_join
-
     per_ring = (
-        split_join(placed, edges, ["_strip"])
+        split_join(near, edges, ["polygonId", "_strip"])
         .groupBy(key, "polygonId", "ringNo")
         .agg(
             F.max(on_edge.cast("int")).alias("edge"),
