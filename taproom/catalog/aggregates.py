@@ -9,6 +9,7 @@ from taproom.catalog.base import Tables, query, sql
 from taproom.catalog.requestsql import PREFS, REQUEST_TEXTS
 from taproom.operators import evaluation, explain, feedback, pages, quality
 from taproom.plans import recommend
+from taproom.operators.skew import with_row
 
 
 @query(
@@ -130,15 +131,12 @@ def ndcg_per_case(t: Tables):
     ),
 )
 def context_scores(t: Tables):
-    ranked, _ = run(t)
-    lists = ranked.groupBy("caseId").agg(
-        F.collect_list(F.when(F.col("rank") <= F.col("topK"), F.col("docId"))).alias("got"),
-        F.collect_list(F.when((F.col("grade") == 3) & (F.col("caseId") % 4 > 0), F.col("docId"))).alias("ref"),
-    )
-    precision, recall = evaluation.context_scores(F.col("got"), F.col("ref"))
-    return lists.select(
-        "caseId", F.round(precision, 6).alias("contextPrecision"), F.round(recall, 6).alias("contextRecall")
-    )
+    ranked, cases = run(t)
+    got = ranked.where(F.col("rank") <= F.col("topK"))
+    wanted = ranked.where("grade = 3 AND caseId % 4 > 0")
+    rows = evaluation.context_scores(got, wanted, cases, "caseId", "docId")
+    names = ("contextPrecision", "contextRecall")
+    return rows.select("caseId", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query(
@@ -229,7 +227,7 @@ def report_combination(t: Tables):
         F.max("scanned").cast("string").alias("scannedAt"),
     )
     unique = chunks.dropDuplicates(["venueId", "sourceUrl", "text"]).agg(F.count("*").alias("passages"))
-    return totals.crossJoin(unique)
+    return totals.transform(with_row, unique)
 
 
 @query(

@@ -10,6 +10,7 @@ from taproom.catalog.requestsql import FEEDBACK_TEXTS, PREFS, REQUEST_TEXTS, q
 from taproom.functions import requests as R, text
 from taproom.operators import intents, ranking
 from taproom.plans import recommend
+from taproom.operators.skew import with_row
 
 LISTS = ("excludedLocations", "excludedPriceLevels", "requiredFeatures", "preferredFeatures", "excludedFeatures", "contradictions")
 
@@ -241,4 +242,4 @@ def signatures(t: Tables):
     parsed = R.parsed_texts(events).withColumn("signature", R.signature(F.col("prefs")))
     groups = parsed.agg(F.countDistinct("signature").alias("groups"))
     keyed = events.groupBy(text.query_key(F.col("query")).alias("queryKey")).agg(F.count("*").alias("events"))
-    return keyed.crossJoin(groups)
+    return keyed.transform(with_row, groups)

@@ -11,6 +11,7 @@ from taproom.catalog.base import FIXTURES, Tables, joined, query, sql
 from taproom.operators import feedback, overlay, quality
 from taproom.session import checkpoint_dir
 from taproom.sources import payloads, schemas, tables, venues as VS
+from taproom.operators.skew import with_row
 
 
 def shared_path(t: Tables, name: str) -> str:
@@ -602,7 +603,7 @@ def snapshot_fingerprint(t: Tables):
     again = quality.fingerprint(venues.repartition(5, "name"), columns).withColumnRenamed("fingerprint", "b")
     changed = venues.withColumn("phone", F.when(F.col("n") == 1, "changed").otherwise(F.col("phone")))
     other = quality.fingerprint(changed, columns).withColumnRenamed("fingerprint", "c")
-    return one.crossJoin(again).crossJoin(other).select(
+    return one.transform(with_row, again).transform(with_row, other).select(
         (F.col("a") == F.col("b")).alias("sameRows"), (F.col("a") == F.col("c")).alias("changedRow"),
         F.length("a").alias("width"),
     )

@@ -119,11 +119,11 @@ def rank_venues(t: Tables):
 
 @query(
     "O02_canonical_order",
-    sql("venue", "SELECT venueId, row_number() OVER (PARTITION BY area ORDER BY lower(name), venueId) AS place FROM fx_venue"),
+    sql("venue", "SELECT venueId, area, lower(name) AS folded FROM fx_venue"),
 )
 def canonical_order(t: Tables):
-    order = Window.partitionBy("area").orderBy(F.lower("name"), "venueId")
-    return t.fx("venue").select("venueId", F.row_number().over(order).alias("place"))
+    rows = t.fx("venue").select("venueId", "area", F.lower("name").alias("folded"))
+    return rows.orderBy("area", "folded", "venueId")
 
 
 Q_LETTERS = "regexp_replace(lower(url), '[^a-z]', '', 'g')"
@@ -147,11 +147,11 @@ def link_priority(t: Tables):
 
 @query(
     "O04_ratings_newest_first",
-    sql("rating", "SELECT userId, venueId, pos, row_number() OVER (PARTITION BY userId ORDER BY updatedAt DESC, pos) AS place FROM fx_rating"),
+    sql("rating", "SELECT userId, venueId, rating, updatedAt, pos FROM fx_rating"),
 )
 def newest_first(t: Tables):
-    order = Window.partitionBy("userId").orderBy(F.desc("updatedAt"), "pos")
-    return t.fx("rating").select("userId", "venueId", "pos", F.row_number().over(order).alias("place"))
+    rows = t.fx("rating").select("userId", "venueId", "rating", "updatedAt", "pos")
+    return rows.orderBy("userId", F.desc("updatedAt"), "pos")
 
 
 def q_site_name(column: str) -> str:

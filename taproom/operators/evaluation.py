@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taproom.operators.skew import with_row
+
 CUTOFFS = (1, 3, 5, 10, 20)
 
 
-def ranked(frame: DataFrame, key: str, score: str, tie: str) -> DataFrame:
-    """Add rank 1.. by score desc within a case."""
-    order = Window.partitionBy(key).orderBy(F.desc(score), tie)
-    return frame.withColumn("rank", F.row_number().over(order))
+PIECES = 64
+
+
+def ranked(frame: DataFrame, key: str, score: str, tie: str, pieces: int = PIECES) -> DataFrame:
+    """Add rank 1.. by score desc within a case, for scores between 0 and 1.
+
+    A case is ranked in score ranges: rows per (case, range) come from a partial aggregate, the
+    rows above a range from a running sum over at most `pieces` lines, and only the order inside a
+    range from a window. A case with very many results is spread over its ranges.
+    """
+    part = F.least(F.greatest(F.floor(F.col(score) * pieces), F.lit(0)), F.lit(pieces)).cast("int")
+    placed = frame.withColumn("_part", part)
+    counts = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    higher = Window.partitionBy(key).orderBy(F.desc("_part"))
+    above = counts.select(key, "_part", (F.sum("_n").over(higher) - F.col("_n")).alias("_above"))
+    order = Window.partitionBy(key, "_part").orderBy(F.desc(score), tie)
+    return (
+        placed.withColumn("_in", F.row_number().over(order))
+        .join(above, [key, "_part"])
+        .withColumn("rank", (F.col("_above") + F.col("_in")).cast("int"))
+        .drop("_part", "_in", "_above")
+    )
 
 
 def gain(grade: Column, rank: Column) -> Column:
@@ -151,18 +171,30 @@ def aggregate(per_case: DataFrame) -> DataFrame:
     )
 
 
-def context_scores(retrieved: Column, reference: Column) -> tuple[Column, Column]:
+def context_scores(
+    retrieved: DataFrame, reference: DataFrame, cases: DataFrame, key: str, item: str
+) -> DataFrame:
     """Share of retrieved ids that are references and of references that were retrieved.
 
-    Nothing retrieved gives (0, 0); a case without references has no score.
+    Nothing retrieved gives (0, 0); a case without references has no score. Sets are compared by a
+    join on (case, id) and counted, never gathered.
     """
-    found, wanted = F.array_distinct(retrieved), F.array_distinct(reference)
-    both = F.size(F.array_intersect(found, wanted))
-    applies = F.size(wanted) > 0
-    precision = F.when(F.size(found) > 0, both / F.size(found)).otherwise(0.0)
-    return (
-        F.when(applies, precision),
-        F.when(applies, both / F.size(wanted)),
+    found = retrieved.select(key, item).distinct()
+    wanted = reference.select(key, item).distinct()
+
+    def size(frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy(key).agg(F.count("*").alias(name))
+
+    both = size(found.join(wanted, [key, item]), "_both")
+    rows = cases.select(key).distinct()
+    for part in (size(found, "_found"), size(wanted, "_wanted"), both):
+        rows = rows.join(part, key, "left")
+    hits = F.coalesce("_both", F.lit(0))
+    applies = F.col("_wanted") > 0
+    return rows.select(
+        key,
+        F.when(applies, F.coalesce(hits / F.col("_found"), F.lit(0.0))).alias("contextPrecision"),
+        F.when(applies, hits / F.col("_wanted")).alias("contextRecall"),
     )
 
 
@@ -205,7 +237,8 @@ def auc(frame: DataFrame, label: str, score: str) -> DataFrame:
     per_score = frame.groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")
     )
-    ranges = per_score.withColumn("bucket", F.floor(F.col("s") * 1024))
+    part = F.least(F.greatest(F.floor(F.col("s") * 1024), F.lit(0)), F.lit(1024))
+    ranges = per_score.withColumn("bucket", part)
     totals = ranges.groupBy("bucket").agg(F.sum("n").alias("bn"))
     before = totals.select(
         "bucket",
@@ -226,7 +259,7 @@ def binary_metrics(frame: DataFrame, label: str, score: str) -> DataFrame:
         F.round(loss, 4).alias("logLoss"), F.round(F.avg(right), 4).alias("accuracy")
     )
     area = auc(frame, label, score).select(F.round("rocAuc", 4).alias("rocAuc"))
-    return area.crossJoin(simple)
+    return area.transform(with_row, simple)
 
 
 def latency_summary(frame: DataFrame, value: str, group: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taproom import vocab as V
 from taproom.functions import facts, text
+from taproom.operators.skew import with_row
 
 FLAGGED = tuple(name for name in V.FEATURES if name != "groups")
 
@@ -27,8 +28,10 @@ def dataset_facts(venues: DataFrame) -> DataFrame:
         *[c.alias(f"{kind}_{i}") for kind, cols in flags.items() for i, c in enumerate(cols)],
         F.bool_or(F.col("priceLevel").isNotNull()).alias("priceKnown"),
         F.bool_or(F.col("noiseLevel").isNotNull()).alias("noiseKnown"),
-        F.collect_set("area").alias("areas"),
-        F.collect_set("priceLevel").alias("priceLevels"),
+        F.collect_set(F.when(F.col("area").isin(*V.AREAS), F.col("area"))).alias("areas"),
+        F.collect_set(
+            F.when(F.col("priceLevel").isin(*V.PRICE_LEVELS), F.col("priceLevel"))
+        ).alias("priceLevels"),
     )
 
     def as_map(kind: str) -> Column:
@@ -59,7 +62,7 @@ def describe(parsed: DataFrame, venues: DataFrame, query: str = "query") -> Data
     from taproom.functions.requests import leftover_terms
 
     prefs = F.col("prefs")
-    rows = parsed.crossJoin(dataset_facts(venues)).withColumn("_terms", leftover_terms(F.col(query)))
+    rows = parsed.transform(with_row, dataset_facts(venues)).withColumn("_terms", leftover_terms(F.col(query)))
     flagged = F.array(*[F.lit(name) for name in FLAGGED])
     groups = F.array_contains(prefs["requiredFeatures"], "groups")
     none = F.array().cast("array<string>")
@@ -128,7 +131,7 @@ def no_result_reasons(parsed: DataFrame, venues: DataFrame, key: str = "requestI
     rows = (
         parsed.withColumn("_prefix", prefs["postcode"])
         .join(prefixes, "_prefix", "left")
-        .crossJoin(dataset_facts(venues))
+        .transform(with_row, dataset_facts(venues))
     )
     flagged = F.array(*[F.lit(name) for name in FLAGGED])
     need = F.filter(

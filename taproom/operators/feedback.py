@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taproom import vocab as V
 from taproom.functions import facts, geo, requests, text
 from taproom.operators import evaluation, ranking
+from taproom.operators.skew import with_row
 
 # Feature name of the learner -> (requested feature, fact column).
 LEARNED = {
@@ -127,7 +128,7 @@ def source_counts(events: DataFrame, venues: DataFrame) -> DataFrame:
         F.count("*").alias("deduplicatedExplicitEvents"),
         F.count_if(F.col("_known").isNull()).alias("missingVenues"),
     )
-    return totals.crossJoin(kept)
+    return totals.transform(with_row, kept)
 
 
 def readiness(examples: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def diary_stats(ratings: DataFrame, venues: DataFrame, now: Column) -> DataFrame
         F.count("rating").alias("ratedTotal"),
         F.round(F.avg("rating"), 1).alias("averageRating"),
     )
-    joined = stats.join(distinct, "userId", "left").crossJoin(total)
+    joined = stats.join(distinct, "userId", "left").transform(with_row, total)
     share = F.when(
         F.col("venueTotal") > 0,
         F.round(100.0 * F.coalesce("venuesVisited", F.lit(0)) / F.col("venueTotal"), 1),

@@ -62,15 +62,19 @@ def feature_mask(features: Column) -> Column:
     )
 
 
-def candidates(requests: DataFrame, venues: DataFrame, pieces: int = 16) -> DataFrame:
+def candidates(requests: DataFrame, venues: DataFrame, pieces: int | None = None) -> DataFrame:
     """Request x venue pairs that pass every hard condition of the request.
 
     `requests` has a `prefs` struct, `venues` the fact columns. Each request is routed to one key
     it cannot match without (its area, else a required fact, else an excluded fact, else "any"),
     and a venue is sent to every key it satisfies, so the pairs come from an equi-join instead of a
     product. Keys are few and large by nature, so both sides carry a piece number: venues are dealt
-    over the pieces, requests copied to each.
+    over the pieces, requests copied to each. The number of pieces follows the session's shuffle
+    partitions within bounds.
     """
+    if pieces is None:
+        tasks = int(venues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = min(256, max(16, tasks // 4))
     prefs = F.col("prefs")
     names = (*V.FEATURES, *V.NOISE_FEATURES)
     request_key = F.coalesce(

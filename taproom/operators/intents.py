@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from taproom import vocab as V
 from taproom.functions import requests as R
 from taproom.functions.similarity import cosine
+from taproom.operators.skew import with_row
+
+
+MAX_PROTOTYPES = 5000
 
 
 def label_scores(
@@ -16,12 +20,19 @@ def label_scores(
     """Best similarity of each clause to the prototypes of each label.
 
     `prototypes` (label, vector) is a fixed vocabulary of at most a few hundred rows whatever the
-    data. It is turned into one array per label and met through a constant key, so the requests are
-    never shuffled and one row per (clause, label) comes out.
+    data; more than the bound is an error. It becomes one row that every clause is paired with, so
+    the requests are never shuffled and one row per (clause, label) comes out.
     """
-    rows = prototypes.groupBy("label").agg(F.collect_list("vector").alias("examples"))
+    counted = prototypes.agg(F.count("*").alias("_n")).where(
+        F.when(F.col("_n") <= MAX_PROTOTYPES, F.lit(True)).otherwise(
+            F.raise_error(F.lit("too many prototypes for one table")).cast("boolean")
+        )
+    )
+    rows = prototypes.transform(with_row, counted).groupBy("label").agg(
+        F.collect_list("vector").alias("examples")
+    )
     table = rows.agg(F.collect_list(F.struct("label", "examples")).alias("table"))
-    joined = clauses.select(key, F.col(vector).alias("_v")).crossJoin(table)
+    joined = clauses.select(key, F.col(vector).alias("_v")).transform(with_row, table)
     scores = F.transform(
         "table",
         lambda row: F.struct(

@@ -38,3 +38,15 @@ def split_join(
         .drop("_pieces")
     )
     return left.join(right, [*keys, "_piece"], how).drop("_piece")
+
+
+def with_row(frame: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an ungrouped aggregate) to every row.
+
+    The row is a scalar subquery: it is computed once and read as a constant, so nothing is joined
+    or shuffled. A table of more than one row is an error.
+    """
+    value = row.select(F.struct(*row.columns)).scalar()
+    return frame.withColumn("_one", value).select(
+        *frame.columns, *[F.col("_one")[name].alias(name) for name in row.columns]
+    )

@@ -16,7 +16,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 # Only at start-up: long column expressions are built call by call, so no stack trace per call.
-START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+START_SETTINGS = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def build_session(app: str = "taproom", master: str | None = None, **extra: str) -> SparkSession:
