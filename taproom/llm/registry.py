@@ -1,0 +1,15 @@
+"""Queries of the training-data operators and their SQL twins."""
+
+from __future__ import annotations
+
+from taproom.llm import chat_format, exact_dedup, packing
+
+QUERIES = {
+    "op2_best_fit_packing": packing.op2,
+    "op5_exact_dedup": exact_dedup.op5,
+    "op8_preference_format": chat_format.op8,
+}
+SQL = {
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op8_preference_format": chat_format.SQL,
+}
