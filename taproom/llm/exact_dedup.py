@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproom.llm.common import table, texts
+from taproom.llm.common import stored, table, texts
 
 SALTS = 16
 BLOCK_BYTES = 32 << 20  # text held by the local merge of one task
@@ -106,6 +106,8 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, block_bytes: int = BLOCK_B
     )
     checked = F.when(F.col("contents") > 1, F.raise_error(F.lit("two texts share one SHA-256")).cast("long"))
     groups = groups.select("digest", F.coalesce(checked, "group_size").alias("group_size"), "best")
+    # Written, so that the join below reads two plain shuffles and its hot digests can be split.
+    groups = stored(groups, "copies")
     members = rows.mapInArrow(_digests, "doc_id long, n_points long, digest binary")
     keep = F.bitwise_not(F.col("best.rev"))
     return members.join(groups, "digest").select(
