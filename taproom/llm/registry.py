@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from taproom.llm import chat_format, exact_dedup, packing
+from taproom.llm import chat_format, decontaminate, exact_dedup, packing, simhash
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_simhash_near_dedup": simhash.op6,
     "op8_preference_format": chat_format.op8,
+    "op10_benchmark_decontamination": decontaminate.op10,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
