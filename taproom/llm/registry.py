@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from taproom.llm import chat_format, decontaminate, exact_dedup, packing, simhash
+from taproom.llm import chat_format, decontaminate, exact_dedup, langid, packing, simhash
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
+    "op4_language_id": langid.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op8_preference_format": chat_format.op8,
