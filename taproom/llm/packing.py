@@ -17,14 +17,14 @@ from taproom.llm.common import stored, table, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 PIECES = (
     "doc_id long, piece int, start long, length long, ids binary, part int, rank_in_part long"
 )
 
 
-def _tokenise(tokenizer: str, end_id: int, capacity: int, cache_words: int):
+def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_words: int):
     cache = worker_cache  # travels by value
 
     def run(batches):
@@ -33,6 +33,7 @@ def _tokenise(tokenizer: str, end_id: int, capacity: int, cache_words: int):
         from itertools import chain
 
         import pyarrow as pa
+        import regex
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
@@ -40,34 +41,45 @@ def _tokenise(tokenizer: str, end_id: int, capacity: int, cache_words: int):
         if state.get("tokenizer_path") != tokenizer:
             loaded = Tokenizer.from_file(tokenizer)
             loaded.encode_special_tokens = True
-            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={})
-        model, words = state["tokenizer"], state["words"]
+            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={}, pre_tokens={})
+        model, words, pre_tokens = state["tokenizer"], state["words"], state["pre_tokens"]
         # A single space between two other characters always starts a new pre-token, so the stretches
-        # between such spaces, each with its space, can be encoded on their own and remembered.
+        # between such spaces can be encoded on their own, each with its space, and remembered.
         space = re.compile(r"(?<=\S) (?=\S)")
         wide = re.compile(r"\s\s")
+        split = regex.compile(pattern).findall
+
+        def learn(unseen):
+            """Remember the ids of stretches, by way of the ids of their pre-tokens."""
+            if len(pre_tokens) > cache_words:
+                pre_tokens.clear()
+            cut = [split(x) for x in unseen]
+            fresh = list(set(chain.from_iterable(cut)) - pre_tokens.keys())
+            for at in range(0, len(fresh), 5000):
+                some = fresh[at : at + 5000]
+                for word, code in zip(some, model.encode_batch_fast(some, add_special_tokens=False)):
+                    pre_tokens[word] = array("I", code.ids).tobytes()
+            return [b"".join(map(pre_tokens.__getitem__, x)) for x in cut]
+
         part, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         last = array("I", [end_id]).tobytes()
         for batch in batches:
-            stretches = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                got = space.split(text) if wide.search(text) else text.split(" ")
-                if len(got) > 1:
-                    head, tail = got[0], [" " + x for x in got[1:]]
-                    stretches.append([head, *tail])
-                else:
-                    stretches.append(got)
-            if len(words) > cache_words:
+            stretches = [
+                space.split(text) if wide.search(text) else text.split(" ")
+                for text in (t or "" for t in batch.column(1).to_pylist())
+            ]
+            heads = learn([x[0] for x in stretches])
+            spaced = [x[1:] for x in stretches]
+            unseen = list(set(chain.from_iterable(spaced)) - words.keys())
+            fresh = learn([" " + x for x in unseen])
+            if len(words) + len(fresh) > cache_words:
                 words.clear()
-            unseen = list(set(chain.from_iterable(stretches)) - words.keys())
-            for at in range(0, len(unseen), 5000):
-                some = unseen[at : at + 5000]
-                for word, code in zip(some, model.encode_batch_fast(some, add_special_tokens=False)):
-                    words[word] = array("I", code.ids).tobytes()
+                unseen = list(set(chain.from_iterable(spaced)))
+                fresh = learn([" " + x for x in unseen])
+            words.update(zip(unseen, fresh))
             out = [[] for _ in range(7)]
-            for doc, got in zip(batch.column(0).to_pylist(), stretches):
-                ids = b"".join(map(words.__getitem__, got)) + last
+            for doc, head, got in zip(batch.column(0).to_pylist(), heads, spaced):
+                ids = head + b"".join(map(words.__getitem__, got)) + last
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)]
@@ -97,16 +109,22 @@ def pieces(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     cache_words: int = CACHE_WORDS,
+    pattern: str | None = None,
 ) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids (little-endian uint32).
 
     A document is its token ids and then `end_id`; null text counts as empty, so every row has at least
     one piece. Only documents longer than `capacity` are cut; their first piece may be shorter. `part`
     and `rank_in_part` number the pieces of one length within one task. Repeated rows are packed as
-    often as they occur; other columns of `docs` are ignored.
+    often as they occur; other columns of `docs` are ignored. `pattern` is the tokenizer's pre-token
+    pattern (default: that of the given byte-level vocabularies).
     """
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_tokenise(tokenizer, end_id, capacity, cache_words), PIECES)
+    return rows.mapInArrow(_tokenise(tokenizer, pattern, end_id, capacity, cache_words), PIECES)
 
 
 def plan_sequences(counts, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
