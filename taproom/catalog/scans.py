@@ -542,7 +542,8 @@ def feedback_log(t: Tables):
     path = shared_path(t, "feedback")
     events = t.fx("feedback").drop("n").withColumn("recommendationRank", F.col("recommendationRank").cast("int"))
     tables.append_feedback(events.where("recordedAt < TIMESTAMP'2024-01-15'"), path)
-    tables.append_feedback(events.where("recordedAt >= TIMESTAMP'2024-01-15'"), path)
+    # The second delivery holds everything again: what is stored already is left out.
+    tables.append_feedback(events.unionByName(events.where("eventType = 'like'")), path)
     return tables.read_feedback(t.spark, path).select(
         "eventId", "venueId", "eventType", "query", "recommendationRank", "sessionId", "recordedAt"
     )

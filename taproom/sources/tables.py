@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from taproom.operators import quality
 from taproom.operators.canonical import chunk_id
 from taproom.sources import schemas
 
-EVIDENCE_BUCKETS = 64
+ID_BUCKETS = 32  # folders a log is laid out in by the hash of its ids
+BUCKET_ROWS = 250_000  # rows of the evidence table in one folder, about
 
 
 def evidence_table(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -23,15 +27,23 @@ def evidence_table(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return joined.withColumn("dimensions", F.size("embedding")).withColumn("norm", F.sqrt(squares))
 
 
-def write_evidence(table: DataFrame, path: str, fingerprint: str, model: str) -> None:
-    """Replace the evidence table: bucketed by venue so that a candidate read prunes folders."""
-    bucket = F.pmod(F.xxhash64("venueId"), F.lit(EVIDENCE_BUCKETS)).cast("int")
-    placed = table.withColumn("bucket", bucket).repartition("bucket")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/chunks")
+def write_evidence(
+    table: DataFrame, path: str, fingerprint: str, model: str, bucket_rows: int = BUCKET_ROWS
+) -> None:
+    """Replace the evidence table: bucketed by venue so that a candidate read prunes folders.
+
+    The number of folders follows the number of rows, and a folder is written by several tasks, dealt
+    by chunk, so that neither a large table nor a large venue is held up by one of them.
+    """
     meta = table.agg(
         F.count("*").alias("chunkCount"), F.countDistinct("venueId").alias("venueCount")
     ).withColumn("modelName", F.lit(model)).withColumn("fingerprint", F.lit(fingerprint))
-    meta.write.mode("overwrite").json(f"{path}/metadata")
+    buckets = 1 + meta.first()["chunkCount"] // bucket_rows
+    bucket = F.pmod(F.xxhash64("venueId"), F.lit(buckets)).cast("int")
+    placed = table.withColumn("bucket", bucket).withColumn("_deal", F.pmod(F.xxhash64("chunkId"), F.lit(4)))
+    placed = placed.repartition(int(4 * buckets), "bucket", "_deal").drop("_deal")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/chunks")
+    meta.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def read_evidence(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
@@ -43,19 +55,45 @@ def read_evidence(spark: SparkSession, path: str, fingerprint: str | None = None
     return spark.read.parquet(f"{path}/chunks")
 
 
-def candidate_chunks(chunks: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Only the passages of the candidate venues."""
+def candidate_chunks(chunks: DataFrame, candidates: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Only the passages of the candidate venues; `buckets` (see the table's metadata) prunes folders."""
     wanted = candidates.select("venueId").distinct()
-    if "bucket" in chunks.columns:
-        bucket = F.pmod(F.xxhash64("venueId"), F.lit(EVIDENCE_BUCKETS)).cast("int")
+    if buckets is not None:
+        bucket = F.pmod(F.xxhash64("venueId"), F.lit(buckets)).cast("int")
         return chunks.join(wanted.withColumn("bucket", bucket), ["bucket", "venueId"], "left_semi")
     return chunks.join(wanted, "venueId", "left_semi")
 
 
+def once(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key: the first by `order`, then by the other columns."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    first = rows.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r"))
+    return first.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+
+def append_once(rows: DataFrame, path: str, key: str, name: str, buckets: int = ID_BUCKETS) -> None:
+    """Add the rows whose key the log at `path` does not hold yet, under the folder `name`.
+
+    The log is laid out by a hash of the key, so the comparison reads ids of the rows' buckets only. What
+    an earlier attempt wrote under the same name is replaced and not compared with.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = rows.withColumn("idBucket", bucket)
+    try:
+        known = spark.read.schema(f"{key} string, batch string, idBucket int").parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    else:
+        known = known.where(F.col("batch") != name).select("idBucket", key)
+        fresh = fresh.join(known, ["idBucket", key], "left_anti")
+    fresh.select(*rows.columns, "idBucket").write.mode("overwrite").partitionBy("idBucket").parquet(f"{path}/batch={name}")
+
+
 def append_feedback(events: DataFrame, path: str) -> None:
-    """Add events to the immutable log, one folder per day."""
-    day = F.to_date("recordedAt")
-    events.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    """Add events to the immutable log, each event id once."""
+    append_once(once(events, "eventId", "recordedAt"), path, "eventId", uuid.uuid4().hex)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

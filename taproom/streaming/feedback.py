@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom.functions import text
 from taproom.operators import overlay
+from taproom.sources import tables
 
 TEXT_LIMITS = {
     "venueId": 100, "query": 500, "sessionId": 100, "requestId": 100, "rankingVersion": 100,
@@ -35,63 +37,131 @@ def checked(events: DataFrame, venues: DataFrame) -> DataFrame:
     return joined.withColumn("rejectReason", F.coalesce(*problems)).drop("_known")
 
 
-def accepted(events: DataFrame, venues: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Valid events, once per eventId. On a stream the state covers the given delay."""
+def accepted(events: DataFrame, venues: DataFrame) -> DataFrame:
+    """Valid events of a batch, the earliest delivery of each eventId."""
     good = checked(events, venues).where(F.col("rejectReason").isNull()).drop("rejectReason")
-    if events.isStreaming:
-        return good.withWatermark("recordedAt", delay).dropDuplicatesWithinWatermark(["eventId"])
-    return good.dropDuplicates(["eventId"])
+    return tables.once(good, "eventId", "recordedAt")
 
 
 def rejected(events: DataFrame, venues: DataFrame) -> DataFrame:
-    return checked(events, venues).where(F.col("rejectReason").isNotNull())
+    """Events of a batch that break a rule, with the reason, each eventId once."""
+    bad = checked(events, venues).where(F.col("rejectReason").isNotNull())
+    return tables.once(bad, "eventId", "recordedAt")
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint: another checkpoint is another stream."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
 def ingest(stream: DataFrame, venues: DataFrame, target: str, rejects: str, checkpoint: str):
-    """Start both sinks of the ingest; returns the two running queries."""
-    good = (
-        accepted(stream, venues)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", f"{checkpoint}/good")
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start()
-    )
-    bad = (
-        rejected(stream, venues)
-        .writeStream.format("parquet")
-        .option("path", rejects)
-        .option("checkpointLocation", f"{checkpoint}/bad")
+    """Start the ingest: every event lands exactly once, in the log or among the rejects.
+
+    There is no watermark: however late an event comes, it is kept, and however late it comes again, it
+    is known, since each micro-batch is compared with the stored ids of its hash buckets. A micro-batch
+    that runs again replaces what it wrote.
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        name = f"{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        batch = batch.persist()
+        try:
+            tables.append_once(accepted(batch, venues), target, "eventId", name)
+            tables.append_once(rejected(batch, venues), rejects, "eventId", name)
+        finally:
+            batch.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .outputMode("append")
         .start()
     )
-    return good, bad
 
 
 def current_labels(events: DataFrame) -> DataFrame:
-    """Last explicit label per (session, request, venue), as running state (update mode)."""
+    """Last explicit label per (session, request, venue), as running state (update mode).
+
+    The state has one row per key for good: a label holds until the next one, however late that comes.
+    """
     from taproom.operators.feedback import latest_labels
 
     return latest_labels(events)
 
 
-def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str):
-    """Fold each micro-batch of ratings into a versioned parquet table.
+RATING_KEY = ("userId", "venueId")
+RATING_BUCKETS = 32
+
+
+def rating_table(spark: SparkSession, table: str) -> DataFrame | None:
+    """The current ratings, or None before the first write."""
+    manifest = _manifest(spark, table)
+    if not manifest:
+        return None
+    return spark.read.option("basePath", table).parquet(*[f"{table}/{part}" for part in manifest.values()]).drop(
+        "version", "bucket"
+    )
+
+
+def _entries(spark: SparkSession, table: str, before: str | None) -> DataFrame | None:
+    try:
+        rows = spark.read.schema("seq long, writer string, bucket int, part string").json(f"{table}/manifest-*")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return rows if before is None else rows.where(F.col("writer") != before)
+
+
+def _last(spark: SparkSession, table: str, before: str) -> int:
+    rows = _entries(spark, table, before)
+    return 0 if rows is None else rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+
+
+def _manifest(spark: SparkSession, table: str, before: str | None = None) -> dict[int, str]:
+    """Folder of every bucket's current version: the newest manifest, or the newest not of `before`."""
+    rows = _entries(spark, table, before)
+    if rows is None:
+        return {}
+    # One row per bucket and version that was kept: a bounded number.
+    newest = rows.groupBy("bucket").agg(F.max_by("part", "seq").alias("part"))
+    return {r["bucket"]: r["part"] for r in newest.collect()}
+
+
+def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str, buckets: int = RATING_BUCKETS):
+    """Fold each micro-batch of ratings into a bucketed parquet table.
 
-    The table lives in numbered folders: a batch reads the newest finished one and writes the next,
-    named by its batch id, so a batch that is run again after a failure replaces its own output and
-    never reads it.
+    A batch rewrites only the buckets its keys fall in, each into a new folder, and then adds a manifest
+    that names them; readers take the newest folder of each bucket. A batch that runs again starts
+    from the manifests of the others, and a stream with a new checkpoint goes on from the table as it is.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = overlay.latest_rating_per_key(batch)
-        if batch_id > 0:
-            previous = spark.read.schema(fresh.schema).parquet(f"{table}/v={batch_id - 1}")
-            fresh = overlay.merge_ratings(previous, fresh)
-        fresh.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        writer = f"{_stream_id(spark, checkpoint)}-{batch_id}"
+        bucket = F.pmod(F.xxhash64(*RATING_KEY), F.lit(buckets)).cast("int")
+        fresh = overlay.latest_rating_per_key(batch).persist()
+        try:
+            touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]
+            if not touched:
+                return
+            current = _manifest(spark, table, before=writer)
+            known = [f"{table}/{current[b]}" for b in touched if b in current]
+            rows = fresh
+            if known:
+                previous = spark.read.schema(fresh.schema).parquet(*known)
+                rows = overlay.merge_ratings(previous, fresh)
+            version = f"version={writer}"
+            (
+                rows.withColumn("bucket", bucket).repartition("bucket", F.xxhash64(*RATING_KEY) % 8)
+                .write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/{version}")
+            )
+        finally:
+            fresh.unpersist()
+        seq = 1 + _last(spark, table, writer)
+        lines = [(seq, writer, b, f"{version}/bucket={b}") for b in touched]
+        manifest = spark.createDataFrame(lines, "seq long, writer string, bucket int, part string")
+        manifest.coalesce(1).write.mode("overwrite").json(f"{table}/manifest-{writer}")
 
     return (
         stream.writeStream.foreachBatch(fold)
