@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taproom import vocab as V
+from taproom.operators import components
 from taproom.session import cut
 
 Rule = tuple[str, Column, str]
@@ -33,31 +34,53 @@ def require_columns(frame: DataFrame, required: tuple[str, ...]) -> None:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
 
 
-def first_accepted(rows: DataFrame, order: str, keys: list[str], max_rounds: int = 1000):
+def first_accepted(rows: DataFrame, order: str, keys: list[str], local_rows: int = components.LOCAL_ROWS):
     """Add `duplicate`: the row shares a key with a row accepted earlier in the order.
 
-    Rejected rows do not block later ones. In each round a row that comes first under all its keys
+    Rejected rows do not block later ones. In a round a row that comes first under all its keys
     among the undecided rows is accepted, and undecided rows sharing a key with an accepted one are
     rejected. First-of-key is a partial aggregate joined on the unique row order, so a key shared
-    by very many rows is never gathered in one task.
+    by very many rows is never gathered in one task. Chains of rows that block each other are finished
+    by component.
     """
-    open_rows = cut(rows.select(order, *keys))
-    accepted: DataFrame | None = None
-    for _ in range(max_rounds):
-        fresh = open_rows.select(order)
+
+    def one_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        fresh = left.select(order)
         for key in keys:
-            first = open_rows.groupBy(key).agg(F.min(order).alias(order)).select(order)
+            first = left.groupBy(key).agg(F.min(order).alias(order)).select(order)
             fresh = fresh.join(first, order, "left_semi")
-        chosen = cut(open_rows.join(fresh, order, "left_semi"))
-        accepted = chosen if accepted is None else accepted.unionByName(chosen)
-        rest = open_rows
+        chosen = cut(left.join(fresh, order, "left_semi"))
+        rest = left
         for key in keys:
             rest = rest.join(chosen.select(key), key, "left_anti")
-        open_rows = cut(rest)
-        if open_rows.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"rows left after {max_rounds} rounds")
+        return chosen, cut(rest)
+
+    def links(left: DataFrame) -> DataFrame:
+        parts = [
+            left.join(left.groupBy(key).agg(F.min(order).alias("_first")), key).select(
+                F.col(order).alias("a"), F.col("_first").alias("b")
+            )
+            for key in keys
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        return out
+
+    def local(group):
+        group = group.sort_values(order, kind="stable")
+        seen, keep = [set() for _ in keys], []
+        for values in zip(*[group[key] for key in keys], strict=True):
+            free = not any(v in known for v, known in zip(values, seen, strict=True))
+            keep.append(free)
+            if free:
+                for v, known in zip(values, seen, strict=True):
+                    known.add(v)
+        return group[keep]
+
+    accepted = components.finish(
+        cut(rows.select(order, *keys)), one_round, links, order, local, local_rows=local_rows
+    )
     mark = accepted.select(order).withColumn("_accepted", F.lit(True))
     return rows.join(mark, order, "left").withColumn("duplicate", F.col("_accepted").isNull()).drop(
         "_accepted"

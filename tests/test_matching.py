@@ -209,3 +209,26 @@ def test_name_forms(spark):
     rows = frame.select(text.directory_name(F.col("n")).alias("d"), text.match_name(F.col("n")).alias("m")).collect()
     assert rows[0].d == "kingshead" and rows[0].m == "king s head soho and pub"
     assert rows[1].d == ""
+
+
+def test_long_chains_end_in_few_rounds(spark, monkeypatch):
+    calls = []
+    plain = matching.cut
+    monkeypatch.setattr(matching, "cut", lambda frame: calls.append(1) or plain(frame))
+    # Each pair is better than the next and shares an end with it: the pass takes every second one.
+    n = 3000
+    pairs = spark.range(n).selectExpr(
+        f"1.0 - id / {2 * n} AS matchScore", "concat('a', cast((id + 1) div 2 as string)) AS aId", "concat('b', cast(id div 2 as string)) AS bId"
+    )
+    got = {(r.aId, r.bId) for r in matching.one_to_one(pairs).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(n // 2)}
+    assert len(calls) < 10
+    # A component too large for one task goes on in rounds and ends the same.
+    few = pairs.where("matchScore > 0.997")
+    assert {(r.aId, r.bId) for r in matching.one_to_one(few, local_rows=2).collect()} == {(f"a{i}", f"b{i}") for i in range(9)}
+
+
+def test_long_chains_of_duplicates(spark):
+    rows = spark.range(600).selectExpr("id AS row", "(id + 1) div 2 AS a", "id div 2 AS b")
+    got = {r.row: r.duplicate for r in quality.first_accepted(rows, "row", ["a", "b"]).collect()}
+    assert got == {i: i % 2 == 1 for i in range(600)}
