@@ -23,11 +23,11 @@ def ids(frame, *columns):
     return sorted(tuple(row[c] for c in columns) for row in frame.collect())
 
 
-PLACE = ("The Crown", 51.5007, -0.1, "SE1 7AB", "https://www.crown.example/pub", "+44 20 7000 1111")
+PLACE = ("The Green Man", 51.4821, -0.2034, "W6 9QL", "https://www.greenman.example/hammersmith", "+44 20 8111 2233")
 
 
 def test_links_same_place_with_all_signals(spark):
-    out = report(spark, [("a1", *PLACE)], [("node/1", "Crown", 51.5008, -0.1, "se17ab", "crown.example", "020 7000 1111")])
+    out = report(spark, [("a1", *PLACE)], [("node/1", "Green Man", 51.4822, -0.2034, "w69ql", "greenman.example", "020 8111 2233")])
     row = out["accepted"].collect()[0]
     assert row.matchStatus == "definite" and row.aId == "a1"
     assert {"postcode match", "website match", "phone match"} <= set(row.signals)
@@ -37,22 +37,22 @@ def test_links_same_place_with_all_signals(spark):
 def test_two_records_near_one_link_once(spark):
     out = report(
         spark,
-        [("a1", *PLACE), ("a2", "Crown Pub", *PLACE[1:])],
-        [("node/1", "Crown", 51.5007, -0.1, "SE1 7AB", "crown.example", "020 7000 1111")],
+        [("a1", *PLACE), ("a2", "Green Man Pub", *PLACE[1:])],
+        [("node/1", "Green Man", 51.4821, -0.2034, "W6 9QL", "greenman.example", "020 8111 2233")],
     )
     assert out["accepted"].count() == 1
 
 
 def test_distant_pair_stays_unmatched(spark):
-    out = report(spark, [("a1", *PLACE)], [("node/1", "Crown", 51.52, -0.08, None, None, None)])
+    out = report(spark, [("a1", *PLACE)], [("node/1", "Green Man", 51.5017, -0.1834, None, None, None)])
     assert out["accepted"].count() == 0 and out["review"].count() == 0
     assert ids(out["unmatchedA"], "aId") == [("a1",)] and ids(out["unmatchedB"], "bId") == [("node/1",)]
 
 
 def test_ambiguous_pair_goes_to_review(spark):
     out = report(
-        spark, [("a1", "Crown Tavern", 51.5007, -0.1, None, None, None)],
-        [("node/1", "Crown Arms", 51.5008, -0.1, None, None, None)],
+        spark, [("a1", "Mitre Tavern", 51.4901, -0.1502, None, None, None)],
+        [("node/1", "Mitre Arms", 51.4902, -0.1502, None, None, None)],
     )
     assert out["accepted"].count() == 0
     assert out["review"].collect()[0].matchStatus in {"likely", "review"}
@@ -130,16 +130,20 @@ def test_split_join_cuts_hot_keys_without_loss(spark):
 
 
 def test_polygon_with_hole(spark):
+    # An L with a triangular hole in its lower arm.
     body = (
         '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":'
-        "[[[0,0],[10,0],[10,10],[0,10],[0,0]],[[4,4],[6,4],[6,6],[4,6],[4,4]]]}}]}"
+        "[[[1,1],[16,1],[16,6],[7,6],[7,13],[1,13],[1,1]],[[10,2],[14,2],[12,5],[10,2]]]}}]}"
     )
-    rings = payloads.boundary_rings(spark.createDataFrame([("x", body)], "boundaryId string, body string"))
+    rings = payloads.boundary_rings(spark.createDataFrame([("l", body)], "boundaryId string, body string"))
     points = spark.createDataFrame(
-        [("in", 2.0, 2.0), ("edge", 0.0, 5.0), ("hole", 5.0, 5.0), ("out", 12.0, 5.0), ("holeEdge", 4.0, 5.0), ("corner", 10.0, 10.0)],
+        [
+            ("upper arm", 3.5, 11.0), ("lower arm", 15.5, 5.5), ("notch", 9.0, 9.0), ("hole", 12.0, 3.0), ("beside hole", 10.5, 4.0),
+            ("side", 1.0, 7.5), ("far", 20.0, 3.0),
+        ],
         "id string, longitude double, latitude double",
     )
-    assert ids(filters.in_polygons(points, rings, "id"), "id") == [("corner",), ("edge",), ("in",)]
+    assert ids(filters.in_polygons(points, rings, "id"), "id") == [("beside hole",), ("lower arm",), ("side",), ("upper arm",)]
 
 
 def test_short_ring_and_wrong_shape_are_errors(spark):
