@@ -71,14 +71,11 @@ def _gram_counts(orders):
         import pyarrow as pa
 
         make = grams_of
-        for batch in batches:
-            counts = Counter()
-            for word, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
-                for order in orders:
-                    for gram in make(word, order):
-                        counts[order, lang, gram] += n
+        counts = Counter()
+
+        def flush():
             rows = list(counts.items())
-            yield pa.RecordBatch.from_pydict(
+            return pa.RecordBatch.from_pydict(
                 {
                     "order_": pa.array([k[0] for k, _ in rows], pa.int32()),
                     "term": pa.array([k[2] for k, _ in rows], pa.string()),
@@ -87,6 +84,17 @@ def _gram_counts(orders):
                 }
             )
 
+        for batch in batches:
+            for word, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for order in orders:
+                    for gram in make(word, order):
+                        counts[order, lang, gram] += n
+            if len(counts) > 200_000:
+                yield flush()
+                counts.clear()
+        if counts:
+            yield flush()
+
     return run
 
 
@@ -150,6 +158,8 @@ def _predict(shared, cache_words: int):
     unknown = UNKNOWN
 
     def run(batches):
+        from itertools import chain
+
         import numpy as np
         import pyarrow as pa
 
@@ -157,53 +167,69 @@ def _predict(shared, cache_words: int):
         languages, orders, tables = model["languages"], model["orders"], model["tables"]
         state = cache()
         if state.get("langid") != shared.id:
-            rows = len(tables.get(0, ())) + 1
-            matrix = np.zeros((rows + cache_words, len(languages)), np.float64)
-            known = {}
-            for word, scores in tables.get(0, {}).items():
-                known[word] = len(known)
-                matrix[known[word]] = scores
-            state.update(langid=shared.id, langid_matrix=matrix, langid_known=known, langid_seen=dict(known))
-        matrix, known, seen = state["langid_matrix"], state["langid_known"], state["langid_seen"]
-
-        def fallback(word):
+
+            def numbered(table):
+                return {term: i for i, term in enumerate(table)}, np.array(list(table.values()), float).reshape(len(table), len(languages))
+
+            known, scores = numbered(tables.get(0, {}))
+            state.update(
+                langid=shared.id, langid_known=known, langid_base=scores, langid_seen=dict(known), langid_scores=scores,
+                langid_grams={k: numbered(tables[k]) for k in orders if k in tables},
+            )
+        grams = state["langid_grams"]
+
+        def backoff(words):
+            """Scores of unseen words: the mean over their longest n-grams that are known."""
+            out = np.zeros((len(words), len(languages)))
+            left = list(range(len(words)))
             for order in orders:
-                find = tables[order].get
-                hits = [s for s in map(find, make(word, order)) if s is not None]
-                if hits:
-                    return sum(hits[1:], hits[0]) / len(hits)
-            return 0.0
+                numbers, scores = grams[order]
+                find = numbers.get
+                found, sizes, mine, rest = [], [], [], []
+                for i in left:
+                    hits = [h for h in map(find, make(words[i], order)) if h is not None]
+                    if hits:
+                        found += hits
+                        sizes.append(len(hits))
+                        mine.append(i)
+                    else:
+                        rest.append(i)
+                if mine:
+                    sizes = np.array(sizes)
+                    out[mine] = np.add.reduceat(scores[found], np.cumsum(sizes) - sizes) / sizes[:, None]
+                left = rest
+            return out
+
+        def numbers_of(words):
+            """The row of each word in the scores, which learn the unseen ones."""
+            seen = state["langid_seen"]
+            fresh = list(set(words) - seen.keys())
+            if fresh and len(seen) + len(fresh) > len(state["langid_known"]) + cache_words:
+                seen = state["langid_seen"] = dict(state["langid_known"])
+                state["langid_scores"] = state["langid_base"]
+                fresh = list(set(words) - seen.keys())
+            if fresh:
+                first = len(seen)
+                seen.update(zip(fresh, range(first, first + len(fresh))))
+                state["langid_scores"] = np.concatenate([state["langid_scores"], backoff(fresh)])
+            return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text or "")
-                if not words:
-                    names.append(unknown)
-                    scores.append(0.0)
-                    continue
-                if not languages:
-                    names.append(None)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for at in range(0, len(words), 20_000):
-                    some = words[at : at + 20_000]
-                    new = set(some) - seen.keys()
-                    if len(seen) + len(new) > len(matrix):
-                        seen.clear()
-                        seen.update(known)
-                        new = set(some) - seen.keys()
-                    for word in new:
-                        seen[word] = row = len(seen)
-                        matrix[row] = fallback(word)
-                    total += matrix[np.fromiter(map(seen.__getitem__, some), np.int64, len(some))].sum(axis=0)
-                likely = np.exp(total - total.max())
-                best = int(likely.argmax())
-                names.append(languages[best])
-                scores.append(float(likely[best] / likely.sum()))
+            texts = [words_of(text or "") for text in batch.column(1).to_pylist()]
+            names = [unknown if not words else None for words in texts]
+            chances = [0.0] * len(texts)
+            full = [i for i, words in enumerate(texts) if words]
+            if full and languages:
+                sizes = np.array([len(texts[i]) for i in full])
+                numbers = numbers_of(list(chain.from_iterable(texts[i] for i in full)))
+                total = np.add.reduceat(state["langid_scores"][numbers], np.cumsum(sizes) - sizes)
+                likely = np.exp(total - total.max(axis=1)[:, None])
+                best = likely.argmax(axis=1)
+                posterior = likely[np.arange(len(full)), best] / likely.sum(axis=1)
+                for i, k, p in zip(full, best.tolist(), posterior.tolist()):
+                    names[i], chances[i] = languages[k], p
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(chances, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
 
