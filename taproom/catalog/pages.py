@@ -126,26 +126,43 @@ def review_queue(t: Tables):
     return pages.review_queue(found, t.venues()).select("venueId", "feature", "suggestedValue")
 
 
-@query(
-    "H29_passage_splitting",
-    "SELECT doc_id, CASE WHEN length(body) <= 700 THEN 1 END AS whole, length(regexp_replace(body, '\\s+', '', 'g')) AS letters FROM "
-    "(SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents) WHERE length(body) <= 700",
-)
-def passage_splitting(t: Tables):
+# The packing rule taken literally, sentence after sentence.
+SPLIT = {
+    "whole": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents",
+    "cut": "SELECT doc_id, unnest(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS raw, "
+    "generate_subscripts(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i "
+    f"FROM whole WHERE length(body) > {V.PASSAGE_MAX}",
+    "sentence": f"SELECT doc_id, i, CASE WHEN length(raw) <= {V.PASSAGE_MAX} THEN raw ELSE regexp_replace(CASE WHEN contains(left(raw, {V.PASSAGE_MAX}), ' ') "
+    f"THEN regexp_replace(left(raw, {V.PASSAGE_MAX}), ' [^ ]*$', '') ELSE left(raw, {V.PASSAGE_MAX}) END, '[ ,;:]+$', '') || '…' END AS s FROM cut",
+    "walk": "SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS open, CAST(NULL AS VARCHAR) AS piece FROM (SELECT DISTINCT doc_id FROM cut) "
+    f"UNION ALL SELECT w.doc_id, s.i, CASE WHEN open <> '' AND length(trim(open || ' ' || s)) > {V.PASSAGE_MAX} THEN s ELSE trim(open || ' ' || s) END, "
+    f"CASE WHEN open <> '' AND length(trim(open || ' ' || s)) > {V.PASSAGE_MAX} THEN open END FROM walk w JOIN sentence s ON s.doc_id = w.doc_id AND s.i = w.i + 1",
+    "piece": f"SELECT doc_id, body AS piece FROM whole WHERE length(body) <= {V.PASSAGE_MAX} UNION ALL "
+    f"SELECT doc_id, piece FROM walk WHERE length(piece) >= {V.PASSAGE_MIN} UNION ALL "
+    f"SELECT doc_id, arg_max(open, i) FROM walk GROUP BY doc_id HAVING length(arg_max(open, i)) >= {V.PASSAGE_MIN}",
+}
+
+
+def split_sql(body: str) -> str:
+    return sql("", body, **SPLIT).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def pieces(t: Tables):
     rows = t.table("documents").select("doc_id", text.squeeze(F.col("text")).alias("body"))
-    pieces = rows.select("doc_id", "body", text.split_passage(F.col("body")).alias("p"))
-    # Short texts stay whole; long ones are checked against plain code in the tests.
-    return pieces.where(F.length("body") <= V.PASSAGE_MAX).select(
-        "doc_id", F.size("p").alias("whole"),
-        F.length(F.regexp_replace(F.array_join("p", ""), r"\s+", "")).alias("letters"),
-    )
+    return rows.select("doc_id", F.explode(text.split_passage(F.col("body"))).alias("piece"))
+
+
+@query("H29_passage_splitting", split_sql("SELECT doc_id, piece FROM piece"))
+def passage_splitting(t: Tables):
+    return pieces(t)
 
 
-@query("H29_split_long_texts")
+@query(
+    "H29_split_long_texts",
+    split_sql("SELECT doc_id, count(*) AS pieces, max(length(piece)) AS longest, min(length(piece)) AS shortest FROM piece GROUP BY doc_id"),
+)
 def split_long(t: Tables):
-    rows = t.table("documents").select("doc_id", text.squeeze(F.col("text")).alias("body"))
-    pieces = rows.select("doc_id", F.explode(text.split_passage(F.col("body"))).alias("piece"))
-    return pieces.groupBy("doc_id").agg(
+    return pieces(t).groupBy("doc_id").agg(
         F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"), F.min(F.length("piece")).alias("shortest")
     )
 

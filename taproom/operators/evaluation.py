@@ -38,8 +38,25 @@ def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / (F.log2(rank + 1))
 
 
+def case_ndcg(
+    results: DataFrame, judgments: DataFrame, cases: DataFrame, key: str, item: str
+) -> DataFrame:
+    """NDCG of every case: `cases` has key, topK and expectedEmpty.
+
+    A case that expects no answer scores one if none was given within topK and zero otherwise,
+    whatever its judgments; of the others those without a judgment have no score.
+    """
+    limits = cases.select(key, "topK")
+    of_results = results.drop("topK", "grade").join(limits, key)
+    graded = ndcg(of_results, judgments.drop("topK").join(limits, key), key, item, F.col("topK"))
+    shown = of_results.where(F.col("rank") <= F.col("topK")).select(key).distinct().withColumn("_shown", F.lit(True))
+    rows = cases.select(key, "expectedEmpty").join(graded, key, "left").join(shown, key, "left")
+    abstained = F.when(F.col("_shown").isNull(), 1.0).otherwise(0.0)
+    return rows.select(key, F.when(F.col("expectedEmpty"), abstained).otherwise(F.col("ndcg")).alias("ndcg"))
+
+
 def ndcg(results: DataFrame, judgments: DataFrame, key: str, item: str, k: Column) -> DataFrame:
-    """NDCG per case. `results` has rank; `judgments` grade per (case, item); `k` a case column.
+    """NDCG per judged case. `results` has rank; `judgments` grade per (case, item); `k` a case column.
 
     The ideal order ranks all judged grades of the case, cut at k.
     """

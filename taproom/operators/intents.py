@@ -11,24 +11,31 @@ from taproom.functions.similarity import cosine
 from taproom.operators.skew import with_row
 
 
-MAX_PROTOTYPES = 5000
+BLOCK = 2000  # prototypes that every clause is compared with in one pass
 
 
 def label_scores(
-    clauses: DataFrame, prototypes: DataFrame, key: str = "clauseId", vector: str = "vector"
+    clauses: DataFrame, prototypes: DataFrame, key: str = "clauseId", vector: str = "vector", block: int = BLOCK
 ) -> DataFrame:
     """Best similarity of each clause to the prototypes of each label.
 
-    `prototypes` (label, vector) is a fixed vocabulary of at most a few hundred rows whatever the
-    data; more than the bound is an error. It becomes one row that every clause is paired with, so
-    the requests are never shuffled and one row per (clause, label) comes out.
+    `prototypes` (label, vector) is a vocabulary, usually of a few dozen rows. It is dealt into blocks
+    of about `block` rows; each becomes one row that every clause is paired with, so the requests are
+    never shuffled, and the best of the blocks stays. Any number of prototypes works.
     """
-    counted = prototypes.agg(F.count("*").alias("_n")).where(
-        F.when(F.col("_n") <= MAX_PROTOTYPES, F.lit(True)).otherwise(
-            F.raise_error(F.lit("too many prototypes for one table")).cast("boolean")
-        )
-    )
-    rows = prototypes.transform(with_row, counted).groupBy("label").agg(
+    blocks = 1 + (prototypes.count() - 1) // block
+    if blocks <= 1:
+        return _block_scores(clauses, prototypes, key, vector)
+    deal = F.pmod(F.xxhash64("label", "vector"), F.lit(blocks))
+    parts = [_block_scores(clauses, prototypes.where(deal == b), key, vector) for b in range(blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(key, "label").agg(F.max("score").alias("score"))
+
+
+def _block_scores(clauses: DataFrame, prototypes: DataFrame, key: str, vector: str) -> DataFrame:
+    rows = prototypes.groupBy("label").agg(
         F.collect_list("vector").alias("examples")
     )
     table = rows.agg(F.collect_list(F.struct("label", "examples")).alias("table"))

@@ -21,7 +21,11 @@ def parse_payload(frame: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def places_records(frame: DataFrame, column: str = "body") -> DataFrame:
-    """Places-API answers to source A records, keeping the other columns of the frame."""
+    """Places-API answers to source A records, keeping the other columns of the frame.
+
+    An answer without a results list is an error, and so is a place without id, name or coordinates
+    or with coordinates or a price tier out of range.
+    """
     keep = [name for name in frame.columns if name != column]
     parsed = parse_payload(frame, column, schemas.PLACES_PAYLOAD)
     missing = F.raise_error(F.lit("answer holds no results list")).cast("boolean")
@@ -29,6 +33,14 @@ def places_records(frame: DataFrame, column: str = "body") -> DataFrame:
     parsed = parsed.where(listed)
     rows = F.col("payload.results")
     place = parsed.select(*keep, F.explode(rows).alias("r"))
+    text = lambda name: F.length(F.coalesce(F.col(name), F.lit(""))) > 0
+    good = (
+        text("r.fsq_place_id") & text("r.name")
+        & F.coalesce(F.col("r.latitude").between(-90, 90) & F.col("r.longitude").between(-180, 180), F.lit(False))
+        & F.coalesce(F.col("r.price").between(1, 4), F.lit(True))
+    )
+    wrong = F.raise_error(F.concat(F.lit("invalid place record: "), F.to_json("r"))).cast("boolean")
+    place = place.where(F.when(good, F.lit(True)).otherwise(wrong))
     return place.select(
         *keep,
         F.col("r.fsq_place_id").alias("fsqPlaceId"),

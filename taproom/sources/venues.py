@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom.functions import text
 from taproom.operators import quality
+from taproom.session import cut
 from taproom.sources import schemas
 
 
+# How an import may spell a boolean.
+TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
+FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
+
+
 def between(column: str, low: float, high: float) -> Column:
     value = F.col(column)
     return value.isNull() | value.between(low, high)
@@ -38,11 +46,15 @@ def validated(frame: DataFrame, rules: list[quality.Rule]) -> DataFrame:
     return frame.where(ok)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Strict scan of venue JSON: fixed schema, malformed or out-of-range records are errors."""
+def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Strict scan of venue JSON: fixed schema, malformed or out-of-range records are errors.
+
+    Files hold one record a line and are split among tasks. `lines=False` reads files that hold one
+    list each; such a file is one task, so a large table should be many of them.
+    """
     frame = (
         spark.read.schema(schemas.VENUE)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "FAILFAST")
         .json(path)
     )
@@ -77,7 +89,10 @@ def typed_import(raw: DataFrame) -> DataFrame:
     for name in ("latitude", "longitude", "rating", "popularityScore"):
         out = out.withColumn(f"{name}_t", F.col(name).try_cast("double"))
     for name in ("servesFood", "hasOutdoorSeating", "showsSports", "suitableForGroups"):
-        out = out.withColumn(f"{name}_t", F.col(name).try_cast("boolean"))
+        word = F.lower(F.trim(F.col(name)))
+        out = out.withColumn(
+            f"{name}_t", F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+        )
     out = out.withColumn("lastVerifiedDate_t", F.col("lastVerifiedDate").try_cast("date"))
     tags = F.filter(
         F.transform(F.split(F.coalesce("tags", F.lit("")), r"\|"), text.strip), lambda tag: tag != ""
@@ -99,14 +114,28 @@ def check_import(raw: DataFrame, order: str) -> DataFrame:
     )
 
 
+def read_csv(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
+    """Rows of CSV files as text, with a column that orders them by file name and line.
+
+    Quotes are doubled inside quotes and quoted fields may hold line ends. A file is read by one task,
+    in which row numbers rise, so a large import should be many files.
+    """
+    raw = (
+        spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        .option("multiLine", True).option("encoding", "UTF-8").csv(path)
+    )
+    line = F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")
+    return raw.withColumn(order, F.concat_ws(":", F.col("_metadata.file_path"), line))
+
+
 def import_csv(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
     """Validate a CSV of venues; write the typed rows only when no row has an issue.
 
-    Returns the one-row quality report.
+    Returns the one-row quality report. The checked rows are written once; the report and what is
+    published are both read from there.
     """
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.withColumn("_row", F.monotonically_increasing_id())
-    checked = check_import(raw, "_row")
+    raw = cut(read_csv(spark, path))
+    checked = cut(check_import(raw, "_row"))
     report = quality.import_counts(checked)
     if target is not None and report.first()["isClean"]:
         typed = [c for c in checked.columns if c.endswith("_t")]
@@ -129,11 +158,17 @@ def browse(frame: DataFrame, limit: float | None = None, key: str = "id") -> Dat
 
 
 def with_fallback(read_primary, read_fallback, limit: int) -> DataFrame:
-    """Primary rows, or the first rows of the fallback reshaped when the primary cannot be read."""
+    """Primary rows, or the first rows of the fallback reshaped when the primary cannot be read.
+
+    Spark meets a broken store only when it runs, so one row is read to find out. Errors of the store
+    or of Spark's readers mean the fallback; errors in the code are raised.
+    """
     try:
-        return browse(read_primary(), limit)
-    except Exception:  # noqa: BLE001 - any failure of the store means the fallback
+        rows = read_primary()
+        rows.take(1)
+    except (OSError, PySparkException, Py4JError):
         return fallback_rows(read_fallback(), limit)
+    return browse(rows, limit)
 
 
 def fallback_rows(venues: DataFrame, limit: int) -> DataFrame:
