@@ -137,13 +137,14 @@ def query_key(text: Column) -> Column:
     return F.regexp_replace(strip(F.lower(text)), r"\s+", " ")
 
 
-def all_matches(text: Column, pattern: str) -> Column:
+def all_matches(text: Column, pattern: str | Column) -> Column:
     """Every match of a pattern with its zero-based span: array<struct<start,end,text>>.
 
     The pieces between matches and the matches themselves come from two built-in functions, so the
     offsets follow by adding up lengths and no Python runs.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, 0)
     between = F.split(text, pattern, -1)
     spans = F.zip_with(
         F.slice(between, 1, F.size(found)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taproom.functions import requests as R
 from taproom.functions.text import retrieval_tokens
 from taproom.operators import evaluation, evidence, filters, ranking
-from taproom.session import cut
+from taproom.session import cut, spread
 
 
 def parse(requests: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def request_side(parsed: DataFrame) -> DataFrame:
 def retrieve(parsed: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pooled evidence per (requestId, venueId)."""
     asked = request_side(parsed)
-    held = chunks.withColumn("tokens", retrieval_tokens(F.col("text")))
+    held = spread(chunks).withColumn("tokens", retrieval_tokens(F.col("text")))
     top = evidence.top_evidence(candidates, asked, held)
     return evidence.pool(top, asked, chunks)
 

@@ -58,3 +58,13 @@ def cut(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and forget its lineage."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal rows that lie in fewer partitions than there are cores, before work that is costly a row.
+
+    A small file of one row group is one task however many cores wait; tables of more partitions than
+    cores are left as they are, so nothing is shuffled at scale.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
