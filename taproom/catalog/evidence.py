@@ -204,7 +204,7 @@ FULL = {**BASE, **EVIDENCE}
 
 def evidence_inputs(t: Tables):
     parsed = recommend.parse(t.requests())
-    pairs = filters.candidates(parsed.drop("vector"), t.venues()).select("requestId", "venueId")
+    pairs = recommend.candidate_pairs(parsed.drop("vector"), t.venues())
     return parsed, cut(pairs), t.chunks()
 
 
@@ -250,8 +250,8 @@ BLEND = {
 
 def blended(t: Tables):
     parsed = recommend.parse(t.requests())
-    scored = recommend.ranking_table(parsed, t.venues())
-    return cut(ranking.blend(scored, recommend.retrieve(parsed, scored, t.chunks())))
+    scored = recommend.ranking_table(parsed, t.venues(), t.chunks())
+    return cut(ranking.blend(scored, recommend.retrieve(parsed, scored, t.chunks(), texts=False)))
 
 
 @query(

@@ -37,7 +37,7 @@ CANDIDATES = (
 )
 def hard_candidates(t: Tables):
     parsed = recommend.parse(t.requests().drop("vector"))
-    return filters.candidates(parsed, t.venues()).select("requestId", "venueId")
+    return recommend.candidate_pairs(parsed, t.venues())
 
 
 @query(

@@ -217,13 +217,15 @@ def blend(scored: DataFrame, evidence: DataFrame, key: str = "requestId") -> Dat
     """Mix the weighted score with the evidence score; rows without evidence drop out.
 
     The mix is decided per request: a quarter evidence when the request is structured and some
-    candidate scored above zero, evidence alone otherwise. That signal is a partial aggregate over
-    all candidates, joined back.
+    candidate scored above zero, evidence alone otherwise. That signal is the column `anyScore`, or
+    else a partial aggregate over all candidates, joined back.
     """
-    signal = scored.groupBy(key).agg(F.bool_or(F.col("score") > 0).alias("_any"))
+    if "anyScore" not in scored.columns:
+        signal = scored.groupBy(key).agg(F.bool_or(F.col("score") > 0).alias("anyScore"))
+        scored = scored.join(signal, key)
     named = F.col("structured") if "structured" in scored.columns else structured(F.col("prefs"))
-    weight = F.when(named & F.col("_any"), 0.25).otherwise(1.0)
-    mixed = scored.join(evidence, [key, "venueId"]).join(signal, key).withColumn("_w", weight)
+    weight = F.when(named & F.col("anyScore"), 0.25).otherwise(1.0)
+    mixed = scored.join(evidence, [key, "venueId"]).withColumn("_w", weight)
     return (
         mixed.withColumn("structuredPart", half_up((1.0 - F.col("_w")) * F.col("score"), 3))
         .withColumn("semanticPart", half_up(F.col("_w") * F.col("semanticScore"), 3))
@@ -233,7 +235,7 @@ def blend(scored: DataFrame, evidence: DataFrame, key: str = "requestId") -> Dat
                 (1.0 - F.col("_w")) * F.col("score") + F.col("_w") * F.col("semanticScore"), 3
             ),
         )
-        .drop("_w", "_any")
+        .drop("_w", "anyScore")
     )
 
 

@@ -1,7 +1,9 @@
-"""End-to-end jobs: recommend for a table of requests, resolve sources, evaluate cases."""
+"""End-to-end jobs: recommend for a table of requests, evaluate cases."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,41 @@ from taproom.functions.text import retrieval_tokens
 from taproom.operators import evaluation, evidence, filters, ranking
 from taproom.session import cut, spread
 
+Parser = Callable[[DataFrame], DataFrame]
+PREFS_KEY = "prefsKey"
+
 
-def parse(requests: DataFrame) -> DataFrame:
-    """Requests with `prefs`; each distinct text is parsed once."""
-    return requests.join(R.parsed_texts(requests), "query")
+def parse(requests: DataFrame, parser: Parser | None = None) -> DataFrame:
+    """Requests with `prefs`; each distinct text is parsed once.
+
+    `parser` may enhance the preferences of a table of distinct texts (query, prefs) before anything is
+    filtered by them.
+    """
+    texts = R.parsed_texts(requests)
+    return requests.join(parser(texts) if parser else texts, "query")
+
+
+def distinct_preferences(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with a key of their preferences, one row per key with `prefs`).
+
+    Requests are many and preferences few, so filters and scores are computed per distinct set.
+    """
+    keyed = parsed.withColumn(PREFS_KEY, F.to_json("prefs", {"ignoreNullFields": "false"}))
+    return keyed, keyed.groupBy(PREFS_KEY).agg(F.first("prefs").alias("prefs"))
+
+
+def candidate_pairs(parsed: DataFrame, venues: DataFrame) -> DataFrame:
+    """(requestId, venueId) of all candidates, found once per distinct preferences."""
+    keyed, distinct = distinct_preferences(parsed)
+    met = filters.candidates(distinct, venues).select(PREFS_KEY, "venueId")
+    return met.join(keyed.select(PREFS_KEY, "requestId"), PREFS_KEY).select("requestId", "venueId")
 
 
 def rank(requests: DataFrame, venues: DataFrame) -> DataFrame:
     """All candidates of every request with score and explanation (no evidence)."""
-    pairs = filters.candidates(parse(requests), venues)
-    return ranking.with_score(pairs)
+    keyed, distinct = distinct_preferences(parse(requests))
+    scored = ranking.with_score(filters.candidates(distinct, venues))
+    return scored.join(keyed.drop("prefs"), PREFS_KEY).drop(PREFS_KEY)
 
 
 def request_side(parsed: DataFrame) -> DataFrame:
@@ -32,27 +59,36 @@ def request_side(parsed: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(parsed: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pooled evidence per (requestId, venueId)."""
+def retrieve(
+    parsed: DataFrame, candidates: DataFrame, chunks: DataFrame, texts: bool = True
+) -> DataFrame:
+    """Pooled evidence per (requestId, venueId); without `texts` the score alone."""
     asked = request_side(parsed)
     held = spread(chunks).withColumn("tokens", retrieval_tokens(F.col("text")))
     top = evidence.top_evidence(candidates, asked, held)
-    return evidence.pool(top, asked, chunks)
+    return evidence.pool(top, asked, chunks if texts else None)
 
 
-def ranking_table(parsed: DataFrame, venues: DataFrame) -> DataFrame:
-    """Candidates with their weighted score, reduced to what later steps read, and written once.
+def ranking_table(
+    parsed: DataFrame, venues: DataFrame, chunks: DataFrame | None = None
+) -> DataFrame:
+    """Candidates of every request with their weighted score.
 
-    Evidence, blend and personal signals all read this table, so it is computed one time. It holds
-    no venue text and no explanation: those are added to the few rows of a result page.
+    The score is computed and written once per distinct preferences. `anyScore` tells whether some
+    candidate scored above zero, over all of them; with `chunks` only venues that have a passage go on
+    to the requests, since rows without evidence drop out.
     """
-    scored = ranking.with_score(filters.candidates(parsed.drop("vector"), venues))
+    keyed, distinct = distinct_preferences(parsed)
+    scored = ranking.with_score(filters.candidates(distinct, venues))
+    scored = cut(scored.select(PREFS_KEY, "venueId", "name", "score"))
+    signal = scored.groupBy(PREFS_KEY).agg(F.bool_or(F.col("score") > 0).alias("anyScore"))
+    kept = scored if chunks is None else scored.join(chunks.select("venueId").distinct(), "venueId", "left_semi")
     extra = [name for name in ("userId",) if name in parsed.columns]
-    return cut(
-        scored.select(
-            "requestId", *extra, "venueId", "name", "score",
-            ranking.structured(F.col("prefs")).alias("structured"),
-        )
+    asked = keyed.select(
+        PREFS_KEY, "requestId", *extra, ranking.structured(F.col("prefs")).alias("structured")
+    ).join(signal, PREFS_KEY)
+    return kept.join(asked, PREFS_KEY).select(
+        "requestId", *extra, "venueId", "name", "score", "structured", "anyScore"
     )
 
 
@@ -63,15 +99,23 @@ def recommend(
     ratings: DataFrame | None = None,
     limit: int = 20,
     offset: int = 0,
+    parser: Parser | None = None,
 ) -> DataFrame:
     """Ranked and paged venues for every request of a table.
 
-    `requests`: requestId, query, and vector/userId where evidence and ratings are used.
+    `requests`: requestId, query, and vector/userId where evidence and ratings are used. `parser`
+    enhances the preferences of the texts. Where nothing depends on the single request, a page is
+    found per distinct preferences and only then dealt to the requests.
     """
-    parsed = parse(requests)
-    scored = ranking_table(parsed, venues)
+    parsed = parse(requests, parser)
+    if chunks is None and ratings is None:
+        keyed, distinct = distinct_preferences(parsed)
+        scored = ranking.with_score(filters.candidates(distinct, venues))
+        top = ranking.page(scored.select(PREFS_KEY, "venueId", "name", "score"), limit, offset, PREFS_KEY)
+        return top.join(keyed.select(PREFS_KEY, "requestId"), PREFS_KEY).drop(PREFS_KEY)
+    scored = ranking_table(parsed, venues, chunks)
     if chunks is not None:
-        scored = ranking.blend(scored, retrieve(parsed, scored, chunks))
+        scored = ranking.blend(scored, retrieve(parsed, scored, chunks, texts=False))
     if ratings is not None:
         scored = ranking.personalise(cut(scored), ratings, venues)
     return ranking.page(scored, limit, offset)
@@ -100,8 +144,8 @@ def evaluate(
     distinct criterion, not per case.
     """
     parsed = parse(requests)
-    pairs = cut(filters.candidates(parsed.drop("vector"), venues).select("requestId", "venueId"))
-    found = retrieve(parsed, pairs, chunks).select("requestId", "venueId", "semanticScore")
+    pairs = cut(candidate_pairs(parsed.drop("vector"), venues))
+    found = retrieve(parsed, pairs, chunks, texts=False)
     ranked = cut(evaluation.ranked(found, "requestId", "semanticScore", "venueId"))
     truth = relevant_venues(cases, venues)
     counted = truth.groupBy("requestId").agg(F.count("*").alias("relevantCount"))
