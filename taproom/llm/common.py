@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taproom.session import checkpoint_dir, tune
 
@@ -26,6 +27,24 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def most_frequent(frame: DataFrame, n: int, count: str, tie: str) -> list:
+    """The n rows of largest count, then smallest `tie`, in this order.
+
+    A histogram of the counts, in steps of a twelfth, first tells how large a count must be, so that
+    about n rows in all, and not n of every task, are sent to the driver.
+    """
+    level = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    sizes = sorted(((r[0], r[1]) for r in frame.groupBy(level).count().collect()), reverse=True)
+    least, held = None, 0
+    for step, rows in sizes:
+        least, held = step, held + rows
+        if held >= n:
+            break
+    if least is None:
+        return []
+    return frame.where(level >= least).orderBy(F.desc(count), tie).limit(n).collect()
+
+
 def worker_cache() -> dict:
     """A dictionary that a reused Python worker keeps from task to task."""
     import sys

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproom.llm.common import stored, table, worker_cache
+from taproom.llm.common import most_frequent, stored, table, worker_cache
 
 PER_LANGUAGE = 4000  # documents of each language that the model is fitted on, about
 MAX_WORDS = 40_000  # words and n-grams the model keeps, the most frequent ones
@@ -140,7 +140,7 @@ def fit(
     tables = {}
     for order in (0, *orders):
         top = terms.where((F.col("order_") == order) & ((F.col("order_") > 0) | (F.col("n") > 1)))
-        kept = top.orderBy(F.desc("n"), "term").limit(max_grams if order else max_words).collect()
+        kept = most_frequent(top, max_grams if order else max_words, "n", "term")
         sums = np.array([totals.get((order, lang), 0) for lang in languages], float)
         floor = np.log(sums + smooth * (len(kept) + 1))
         scores = {}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproom.llm.common import stored, table, texts
+from taproom.llm.common import most_frequent, stored, table, texts
 
 CLASSES = 1000
 DIMENSIONS = 16
@@ -275,7 +275,7 @@ def lm_scores(
 
     counts = stored(token_counts(learned), "token-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(known).collect()]
+    top = [(bytes(r["token"]), r["c"]) for r in most_frequent(counts, known, "c", "token")]
     # The end of a document is always a class.
     end = next((x for x in top if x[0] == END), (END, 0 if not total else None))
     if end[1] is None:
