@@ -335,23 +335,62 @@ def recommend_all(t: Tables):
     return rows.select("requestId", "venueId", "score", "rank", "totalAvailable")
 
 
-EVAL = {
+# Passages are preferred by the facts of the case; everything else of retrieval is as above.
+CASE_EVIDENCE = {
     "cases": CASES,
+    **BASE,
+    **EVIDENCE,
+    "rq": (
+        f"SELECT r.*, {q_tokens_of('r.query')} AS qt, CAST(r.vector AS DOUBLE[]) AS qv, list_concat(c.required, c.excluded) AS wanted "
+        "FROM fx_request r JOIN cases c ON c.requestId = r.requestId"
+    ),
+}
+EVAL = {
     "truth": TRUTH,
+    "judged": "SELECT c.requestId, v.venueId, CAST(1 + v.n % 3 AS INT) AS grade FROM cases c JOIN fx_venue v ON c.requestId % 6 = 5 AND v.n // 7 = c.requestId",
+    "grades": "SELECT * FROM judged UNION ALL SELECT requestId, venueId, 3 FROM truth WHERE requestId NOT IN (SELECT requestId FROM judged)",
     "casus": (
-        "SELECT c.requestId, CAST(3 + c.requestId % 5 AS INT) AS topK, coalesce(t.n, 0) AS relevantCount, len(required) + len(excluded) > 0 AS hasCriteria, "
-        "len(required) + len(excluded) > 0 AND coalesce(t.n, 0) = 0 AS expectedEmpty FROM cases c LEFT JOIN (SELECT requestId, count(*) AS n FROM truth GROUP BY requestId) t "
-        "ON t.requestId = c.requestId"
+        "SELECT c.*, CAST(3 + c.requestId % 5 AS INT) AS topK, coalesce(g.n, 0) AS relevantCount, c.requestId % 2 = 0 AS hasTerms, g.requestId IS NOT NULL AS graded, "
+        "len(required) + len(excluded) > 0 OR c.requestId % 11 = 0 OR c.requestId IN (SELECT requestId FROM judged) AS hasCriteria, "
+        "c.requestId % 11 = 0 OR (len(required) + len(excluded) > 0 AND c.requestId NOT IN (SELECT requestId FROM truth)) AS expectedEmpty "
+        "FROM cases c LEFT JOIN (SELECT requestId, count(*) FILTER (grade >= 2) AS n FROM grades GROUP BY requestId) g ON g.requestId = c.requestId"
     ),
     "rk": (
-        "SELECT p.requestId, row_number() OVER (PARTITION BY p.requestId ORDER BY semanticScore DESC, p.venueId) AS rank, t.venueId IS NOT NULL AS relevant "
-        "FROM pooled p LEFT JOIN truth t ON t.requestId = p.requestId AND t.venueId = p.venueId"
+        "SELECT p.requestId, p.venueId, row_number() OVER (PARTITION BY p.requestId ORDER BY semanticScore DESC, p.venueId) AS rank, coalesce(t.grade, 0) AS grade, "
+        "coalesce(t.grade, 0) >= 2 AS relevant FROM pooled p LEFT JOIN grades t ON t.requestId = p.requestId AND t.venueId = p.venueId"
     ),
     "counted": (
-        "SELECT c.*, coalesce(s.shown, 0) AS shown, coalesce(s.hits, 0) AS hits, s.first FROM casus c LEFT JOIN (SELECT r.requestId, count(*) FILTER (rank <= c.topK) AS shown, "
-        "count(*) FILTER (rank <= c.topK AND relevant) AS hits, min(CASE WHEN relevant THEN rank END) AS first FROM rk r JOIN casus c ON c.requestId = r.requestId "
+        "SELECT c.*, coalesce(s.shown, 0) AS shown, coalesce(s.hits, 0) AS hits, s.first, s.got FROM casus c LEFT JOIN (SELECT r.requestId, count(*) FILTER (rank <= c.topK) AS shown, "
+        "count(*) FILTER (rank <= c.topK AND relevant) AS hits, min(CASE WHEN relevant THEN rank END) AS first, "
+        "sum(CASE WHEN rank <= c.topK THEN (pow(2, r.grade) - 1) / log2(rank + 1) END) AS got FROM rk r JOIN casus c ON c.requestId = r.requestId "
         "GROUP BY r.requestId) s ON s.requestId = c.requestId"
     ),
+    "ideal": (
+        "SELECT i.requestId, sum((pow(2, grade) - 1) / log2(place + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY requestId ORDER BY grade DESC, venueId) AS place "
+        "FROM grades) i JOIN casus c ON c.requestId = i.requestId WHERE place <= topK GROUP BY i.requestId"
+    ),
+    "page": "SELECT r.* FROM rk r JOIN casus c ON c.requestId = r.requestId WHERE rank <= topK",
+    "disp": (
+        "SELECT t.requestId, t.chunkId, lower(t.text) AS text FROM top t JOIN page p ON p.requestId = t.requestId AND p.venueId = t.venueId "
+        "WHERE showRank <= 3 AND (preferred OR NOT anyPreferred)"
+    ),
+    "cover": (
+        "SELECT requestId, (CAST(bool_or(contains(text, 'food') OR contains(text, 'garden')) AS INT) + CAST(bool_or(contains(text, 'quiz') OR contains(text, 'roast')) AS INT)) / 2.0E0 AS part "
+        "FROM disp GROUP BY requestId"
+    ),
+    "refv": (
+        "SELECT requestId, venueId FROM page WHERE relevant UNION ALL SELECT g.requestId, g.venueId FROM (SELECT *, row_number() OVER (PARTITION BY requestId ORDER BY venueId) AS place "
+        "FROM grades WHERE grade >= 2) g JOIN casus c ON c.requestId = g.requestId WHERE place <= topK AND g.requestId NOT IN (SELECT requestId FROM page WHERE relevant)"
+    ),
+    "refc": (
+        "SELECT DISTINCT v.requestId, k.chunkId FROM refv v JOIN ch k ON k.venueId = v.venueId JOIN casus c ON c.requestId = v.requestId WHERE NOT expectedEmpty AND "
+        "CASE WHEN len(required) + len(excluded) > 0 THEN list_contains(list_concat(required, excluded), k.attribute) ELSE hasTerms AND regexp_matches(lower(k.text), 'food|garden|quiz|roast') END"
+    ),
+    "context": (
+        "SELECT r.requestId, r.n AS refs, coalesce(d.n, 0) AS got, coalesce(b.n, 0) AS both FROM (SELECT requestId, count(*) AS n FROM refc GROUP BY requestId) r "
+        "LEFT JOIN (SELECT requestId, count(DISTINCT chunkId) AS n FROM disp GROUP BY requestId) d ON d.requestId = r.requestId "
+        "LEFT JOIN (SELECT c.requestId, count(DISTINCT c.chunkId) AS n FROM refc c JOIN disp d ON d.requestId = c.requestId AND d.chunkId = c.chunkId GROUP BY c.requestId) b ON b.requestId = r.requestId"
+    ),
 }
 
 
@@ -361,22 +400,36 @@ def _metric(value: str) -> str:
     )
 
 
-@query(
-    "L12_evaluate",
-    sql(
-        "request venue chunk",
-        "SELECT requestId, shown AS returned, round(" + _metric("CASE WHEN shown > 0 THEN hits / CAST(shown AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS precision, round("
-        + _metric("CASE WHEN relevantCount > 0 THEN hits / CAST(relevantCount AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS recall, round("
-        + _metric("coalesce(1.0E0 / first, 0.0E0)") + ", 6) AS reciprocalRank, " + _metric("CASE WHEN first <= topK THEN 1.0E0 ELSE 0.0E0 END")
-        + " AS hit FROM counted",
-        **FULL, **EVAL,
-    ),
+EVAL_MEASURES = ("precision", "recall", "reciprocalRank", "hit", "ndcg", "termCoverage", "contextPrecision", "contextRecall")
+Q_EVAL = (
+    "SELECT c.requestId, shown AS returned, round(" + _metric("CASE WHEN shown > 0 THEN hits / CAST(shown AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS precision, round("
+    + _metric("CASE WHEN relevantCount > 0 THEN hits / CAST(relevantCount AS DOUBLE) ELSE 0.0E0 END") + ", 6) AS recall, round("
+    + _metric("coalesce(1.0E0 / first, 0.0E0)") + ", 6) AS reciprocalRank, " + _metric("CASE WHEN first <= topK THEN 1.0E0 ELSE 0.0E0 END")
+    + " AS hit, round(CASE WHEN expectedEmpty THEN CASE WHEN shown = 0 THEN 1.0E0 ELSE 0.0E0 END WHEN graded THEN CASE WHEN best > 0 THEN coalesce(c.got, 0) / best ELSE 0.0E0 END END, 6) AS ndcg, "
+    "CASE WHEN hasTerms THEN coalesce(part, 0.0E0) END AS termCoverage, round(CASE WHEN x.got > 0 THEN x.both / CAST(x.got AS DOUBLE) WHEN x.refs > 0 THEN 0.0E0 END, 6) AS contextPrecision, "
+    "round(x.both / CAST(x.refs AS DOUBLE), 6) AS contextRecall FROM counted c LEFT JOIN ideal i ON i.requestId = c.requestId LEFT JOIN cover v ON v.requestId = c.requestId "
+    "LEFT JOIN context x ON x.requestId = c.requestId"
 )
-def evaluate(t: Tables):
-    per_case, _ = recommend.evaluate(cases(t), t.requests(), t.venues(), t.chunks())
-    return per_case.select(
-        "requestId", "returned", "hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocalRank")]
+
+
+def evaluated(t: Tables):
+    """Cases with facts, judged grades, expected silence and term groups; all measures of each."""
+    asked = cases(t)
+    key = F.col("requestId")
+    terms = F.array(F.array(F.lit("food"), F.lit("garden")), F.array(F.lit("Quiz"), F.lit("roast")))
+    none = F.array().cast("array<array<string>>")
+    full = asked.withColumn("expectNoResults", key % 11 == 0).withColumn(
+        "termGroups", F.when(key % 2 == 0, terms).otherwise(none)
     )
+    seven = t.fx("venue").select("venueId", (F.col("n") / 7).cast("bigint").alias("requestId"), (1 + F.col("n") % 3).alias("grade"))
+    judged = seven.join(asked.where(key % 6 == 5).select("requestId"), "requestId")
+    per_case, _ = recommend.evaluate(full, t.requests(), t.venues(), t.chunks(), judged)
+    return per_case
+
+
+@query("L12_evaluate", sql("request venue chunk", Q_EVAL, **CASE_EVIDENCE, **EVAL))
+def evaluate(t: Tables):
+    return evaluated(t).select("requestId", "returned", *[F.round(c, 6).alias(c) for c in EVAL_MEASURES])
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproom.functions import requests as R
@@ -135,33 +135,100 @@ def explained(page: DataFrame, requests: DataFrame, venues: DataFrame) -> DataFr
 
 
 def evaluate(
-    cases: DataFrame, requests: DataFrame, venues: DataFrame, chunks: DataFrame
+    cases: DataFrame,
+    requests: DataFrame,
+    venues: DataFrame,
+    chunks: DataFrame,
+    judgments: DataFrame | None = None,
+    parser: Parser | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics per case, metrics per case and cutoff) of evidence ranking against structured truth.
-
-    `cases`: requestId, topK, required and excluded fact lists. A venue is relevant to a case when
-    the named facts say so; a case nothing satisfies expects an empty answer. Truth is computed per
-    distinct criterion, not per case.
+    """(metrics per case, metrics per case and cutoff) of evidence ranking against judged truth.
+
+    `cases`: requestId, topK, required and excluded fact lists, and where used expectNoResults and
+    termGroups (lists of terms of which the shown passages should hold one each). `judgments`
+    (requestId, venueId, grade) replace the truth of the cases they name; else every venue whose
+    facts satisfy a case has grade three. Grades from two up are relevant. A case expects an empty
+    answer when it says so or when its facts satisfy no venue. Passages are shown for the facts of the
+    case. Truth is computed per distinct criterion, not per case.
     """
-    parsed = parse(requests)
+    none = F.array().cast("array<array<string>>")
+    named = cases if "termGroups" in cases.columns else cases.withColumn("termGroups", none)
+    if "expectNoResults" not in named.columns:
+        named = named.withColumn("expectNoResults", F.lit(False))
+    named = named.withColumn("targetAttributes", F.array_union("required", "excluded"))
+    parsed = parse(requests, parser)
     pairs = cut(candidate_pairs(parsed.drop("vector"), venues))
-    found = retrieve(parsed, pairs, chunks, texts=False)
+    asked = request_side(parsed).drop("wanted").join(
+        named.select("requestId", F.col("targetAttributes").alias("wanted")), "requestId"
+    )
+    held = spread(chunks).withColumn("tokens", retrieval_tokens(F.col("text")))
+    top = cut(evidence.top_evidence(pairs, asked, held))
+    found = evidence.pool(top, asked, None)
     ranked = cut(evaluation.ranked(found, "requestId", "semanticScore", "venueId"))
-    truth = relevant_venues(cases, venues)
-    counted = truth.groupBy("requestId").agg(F.count("*").alias("relevantCount"))
-    full = cases.join(counted, "requestId", "left").withColumn(
-        "relevantCount", F.coalesce("relevantCount", F.lit(0))
+
+    truth = cut(relevant_venues(named, venues))
+    grades = truth.withColumn("grade", F.lit(3))
+    if judgments is not None:
+        judged = judgments.select("requestId", "venueId", F.col("grade").cast("int").alias("grade"))
+        grades = grades.join(judged.select("requestId").distinct(), "requestId", "left_anti").unionByName(judged)
+    grades = cut(grades)
+    of_case = grades.groupBy("requestId").agg(F.count_if(F.col("grade") >= 2).alias("relevantCount"))
+    met = truth.groupBy("requestId").agg(F.count("*").alias("_met"))
+    criteria = F.size("targetAttributes") > 0
+    full = named.join(of_case, "requestId", "left").join(met, "requestId", "left")
+    if judgments is not None:
+        full = full.join(judged.select("requestId").distinct().withColumn("_judged", F.lit(True)), "requestId", "left")
+    else:
+        full = full.withColumn("_judged", F.lit(None).cast("boolean"))
+    full = cut(
+        full.withColumn("relevantCount", F.coalesce("relevantCount", F.lit(0)))
+        .withColumn("hasCriteria", criteria | F.col("_judged").isNotNull() | F.col("expectNoResults"))
+        .withColumn("expectedEmpty", F.col("expectNoResults") | criteria & F.col("_met").isNull())
+        .drop("_met", "_judged")
     )
-    criteria = F.size("required") + F.size("excluded") > 0
-    full = full.withColumn("hasCriteria", criteria).withColumn(
-        "expectedEmpty", criteria & (F.col("relevantCount") == 0)
+    marked = ranked.join(grades, ["requestId", "venueId"], "left").withColumn(
+        "relevant", F.coalesce(F.col("grade") >= 2, F.lit(False))
     )
-    marked = ranked.join(
-        truth.withColumn("relevant", F.lit(True)), ["requestId", "venueId"], "left"
-    ).withColumn("relevant", F.coalesce("relevant", F.lit(False)))
-    return (
-        evaluation.case_metrics(marked, full, "requestId"),
-        evaluation.cutoff_metrics(marked, full, "requestId"),
+    per_case = evaluation.case_metrics(marked, full, "requestId")
+    gains = evaluation.case_ndcg(ranked, grades, full, "requestId", "venueId")
+
+    shown = marked.join(full.select("requestId", "topK"), "requestId").where(F.col("rank") <= F.col("topK"))
+    shown = cut(shown.select("requestId", "venueId", "relevant"))
+    texts = evidence.pool(top.join(shown, ["requestId", "venueId"], "left_semi"), asked, chunks)
+    texts = cut(texts.select("requestId", "texts", "chunkIds"))
+    # At most topK venues of a few passages each.
+    said = texts.groupBy("requestId").agg(F.flatten(F.collect_list("texts")).alias("_said"))
+    empty = F.array().cast("array<string>")
+    covered = full.join(said, "requestId", "left").select(
+        "requestId", evaluation.term_coverage(F.col("termGroups"), F.coalesce("_said", empty)).alias("termCoverage")
+    )
+    contexts = _contexts(full, grades, shown, texts, chunks)
+    for part in (gains, covered, contexts):
+        per_case = per_case.join(part, "requestId", "left")
+    return per_case, evaluation.cutoff_metrics(marked, full, "requestId")
+
+
+def _contexts(
+    cases: DataFrame, grades: DataFrame, shown: DataFrame, texts: DataFrame, chunks: DataFrame
+) -> DataFrame:
+    """Context precision and recall: shown passages against those of the relevant venues that were shown.
+
+    A case that showed none of its relevant venues is measured against the first topK of them by id,
+    so that a miss counts. Cases that expect no answer have no score.
+    """
+    open_cases = cases.where(~F.col("expectedEmpty")).select("requestId", "topK", "targetAttributes", "termGroups")
+    hit = shown.where("relevant").select("requestId", "venueId")
+    first = Window.partitionBy("requestId").orderBy("venueId")
+    missed = (
+        grades.where("grade >= 2").join(hit.select("requestId").distinct(), "requestId", "left_anti")
+        .withColumn("_n", F.row_number().over(first)).join(open_cases.select("requestId", "topK"), "requestId")
+        .where(F.col("_n") <= F.col("topK")).select("requestId", "venueId")
+    )
+    wanted = hit.unionByName(missed).join(open_cases.drop("topK"), "requestId")
+    reference = evaluation.reference_chunks(chunks, wanted, "requestId")
+    got = texts.select("requestId", F.explode("chunkIds").alias("chunkId"))
+    return evaluation.context_scores(
+        got.join(open_cases.select("requestId"), "requestId"), reference, open_cases, "requestId", "chunkId"
     )
 
 
