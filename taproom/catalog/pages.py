@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taproom import vocab as V
@@ -30,33 +31,83 @@ def page_titles(t: Tables):
     return parsed(t).select("page_id", "title", F.size("links").cast("long").alias("links"))
 
 
+# What each page says of its venue, by its number; {} is the venue's name.
+PAGE_PROSE = {
+    0: "<div><p>{} has a beer garden that is open all year, and dogs are welcome in the bar.</p></div>",
+    1: "<p>We do not show live sport here. Accept all cookies to go on reading.</p>"
+    "<p>Group bookings and private hire are available upstairs at {}.</p>",
+    2: "<p>A pint of draught Guinness is £6.20 in the bar of {}, every day of the week.</p>"
+    "<p>Sunday roasts and a weekly pub quiz bring the neighbours to {}.</p>",
+    3: "<p>Half of Guinness £3.40, bottle £5. Is {} dog friendly? Ask us at the bar today.</p>",
+    4: "<p>There is no wheelchair access to the restaurant of {}, sorry.</p>",
+    5: "<nav><p>Live music at {} in the navigation is never read as prose.</p></nav>",
+}
+# A line that many venues' pages share.
+SHARED_PROSE = "<p>Our food menu is the same in all our pubs and changes with the season.</p>"
+
+
 def venue_pages(t: Tables):
-    """Parsed pages dealt to venues, with prose about the venue added to every page."""
+    """Parsed pages, two to a venue, with prose about the venue added to every page."""
     k = F.col("page_id") % 6
-    extra = (
-        F.when(k == 0, "<div><p>Our beer garden is open all year, and dogs are welcome in the bar.</p></div>")
-        .when(k == 1, "<p>We do not show live sport here. Accept all cookies to go on reading.</p><p>Group bookings and private hire are available in the upstairs room.</p>")
-        .when(k == 2, "<p>A pint of draught Guinness is £6.20 in the bar, every day of the week.</p><p>Sunday roasts and a weekly pub quiz bring in the neighbours.</p>")
-        .when(k == 3, "<p>Half of Guinness £3.40, bottle £5. Is the pub dog friendly? Ask us at the bar today.</p>")
-        .when(k == 4, "<p>There is no wheelchair access to the restaurant, sorry. Assistance dogs welcome in every room.</p>")
-        .otherwise("<nav><p>Live music in the navigation is never read as prose of the pub.</p></nav>")
+    prose = F.lit(None).cast("string")
+    for number, line in PAGE_PROSE.items():
+        prose = F.when(k == number, F.replace(F.lit(line), F.lit("{}"), F.col("name"))).otherwise(prose)
+    more = F.when(F.col("page_id") % 4 == 0, F.lit(SHARED_PROSE)).otherwise("")
+    raw = t.table("pages").withColumn("n", F.expr("1 + page_id div 2")).join(t.fx("venue").select("n", "name", "venueId"), "n")
+    parsed = pages.parse_pages(raw.withColumn("html", F.concat("html", prose, more)), "page_id")
+    return parsed.join(raw.select("page_id", "venueId"), "page_id").select(
+        "venueId", F.col("page_id").alias("pageNo"), "url", "blocks", "visibleText", "title", "heading", "links"
     )
-    raw = t.table("pages").withColumn("html", F.concat("html", extra))
-    venue = F.concat(F.lit("v-"), (F.col("page_id") % 120).cast("string"))
-    return pages.parse_pages(raw, "page_id").select(
-        venue.alias("venueId"), F.col("page_id").alias("pageNo"), "url", "blocks", "visibleText", "title", "heading", "links"
+
+
+def _said(number: int, part: str) -> str:
+    return "'" + part.replace("'", "''").replace("{}", "' || name || '") + "'"
+
+
+KEPT_PROSE = {
+    0: ["{} has a beer garden that is open all year, and dogs are welcome in the bar."],
+    1: ["Group bookings and private hire are available upstairs at {}."],
+    2: ["A pint of draught Guinness is £6.20 in the bar of {}, every day of the week.", "Sunday roasts and a weekly pub quiz bring the neighbours to {}."],
+    3: ["Half of Guinness £3.40, bottle £5. Is {} dog friendly? Ask us at the bar today."],
+    4: ["There is no wheelchair access to the restaurant of {}, sorry."],
+}
+# Verified venues' lines in page order; lines that two venues of one name share are boilerplate.
+Q_PASSAGES = (
+    "SELECT venueId, row_number() OVER (PARTITION BY venueId ORDER BY page_id, line) AS position, url, text FROM (SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT page_id, url, n, name, venueId, {i} AS line, {_said(k, text_)} AS text FROM dealt WHERE page_id % 6 = {k}"
+        for k, lines in KEPT_PROSE.items()
+        for i, text_ in enumerate(lines)
     )
+    + ") WHERE n % 2 = 0 AND n % 3 <> 0 QUALIFY min(venueId) OVER (PARTITION BY text) = max(venueId) OVER (PARTITION BY text))"
+)
+DEALT = {"dealt": "SELECT p.page_id, p.url, v.n, v.name, v.venueId FROM pages p JOIN fx_venue v ON v.n = 1 + p.page_id // 2"}
+
+
+def naming(t: Tables):
+    """Passages that name their venue: the invented prose of the pages holds a subject by chance only."""
+    return pages.passages(venue_pages(t), t.venues()).where(F.contains("text", "name"))
 
 
-@query("L07_page_passages")
+@query("L07_page_passages", sql("venue", Q_PASSAGES, **DEALT))
 def page_passages(t: Tables):
-    found = pages.passages(venue_pages(t), t.venues())
-    return found.select("venueId", "position", "url", "text")
+    found = naming(t)
+    # Positions are numbered before repeated lines go.
+    order = Window.partitionBy("venueId").orderBy("position")
+    return found.select("venueId", F.row_number().over(order).alias("position"), "url", "text")
 
 
-@query("L07_passage_failures")
+@query(
+    "L07_passage_failures",
+    sql(
+        "venue",
+        "SELECT reason, count(*) AS venues FROM (SELECT CASE WHEN n % 3 = 0 THEN 'missing or non-public website' WHEN n % 2 = 1 THEN 'website is not verified as official' "
+        "WHEN venueId NOT IN (SELECT venueId FROM said) THEN 'no relevant passages found' END AS reason FROM fx_venue) WHERE reason IS NOT NULL GROUP BY reason",
+        **DEALT, said=Q_PASSAGES,
+    ),
+)
 def failures(t: Tables):
-    found = pages.passages(venue_pages(t), t.venues())
+    found = naming(t)
     return pages.passage_failures(t.venues(), found).groupBy("reason").agg(F.count("*").alias("venues"))
 
 
@@ -190,10 +241,17 @@ def price_evidence(t: Tables):
     )
 
 
-@query("L10_menu_price_scan")
+@query(
+    "L10_menu_price_scan",
+    sql(
+        "venue",
+        "SELECT venueId, name AS venueName, 'moderate' AS priceLevel, 6.2E0 AS observedPriceGbp, url AS evidenceUrl FROM dealt WHERE page_id % 6 = 2 AND n % 2 = 0",
+        **DEALT,
+    ),
+)
 def menu_price_scan(t: Tables):
     found = pages.price_scan(venue_pages(t), t.venues())
-    return found.select("venueId", "venueName", "priceLevel", "observedPriceGbp", "evidenceUrl", "evidenceText")
+    return found.select("venueId", "venueName", "priceLevel", "observedPriceGbp", "evidenceUrl")
 
 
 def audit_rows(t: Tables):
