@@ -335,6 +335,43 @@ def recommend_all(t: Tables):
     return rows.select("requestId", "venueId", "score", "rank", "totalAvailable")
 
 
+PAGE = (
+    f"SELECT requestId, venueId, rank, score AS finalScore, {REASONS} AS reasons FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY requestId ORDER BY score DESC, name, venueId) AS rank FROM ranked) WHERE rank <= 5"
+)
+
+
+@query("L11_explained_page", sql("request venue", PAGE, **BASE))
+def explained_page(t: Tables):
+    asked = t.requests().drop("vector")
+    return result_rows(recommend.recommend(asked, t.venues(), limit=5), asked, t.venues())
+
+
+def result_rows(page, asked, venues, parser=None):
+    rows = recommend.explained(page, asked, venues, parser)
+    return rows.select("requestId", "venueId", "rank", "finalScore", F.array_join("reasons", "|").alias("reasons"))
+
+
+# A parser that reads one more wish out of the text.
+PARSED = {
+    **BASE,
+    "prefs": "SELECT * REPLACE (CASE WHEN contains(query, 'carpets') AND NOT list_contains(requiredFeatures, 'dogFriendly') "
+    f"THEN list_append(requiredFeatures, 'dogFriendly') ELSE requiredFeatures END AS requiredFeatures) FROM ({BASE['prefs']})",
+}
+
+
+@query("L11_with_parser", sql("request venue", PAGE, **PARSED))
+def with_parser(t: Tables):
+    def parser(texts):
+        more = F.array_union(F.col("prefs.requiredFeatures"), F.array(F.lit("dogFriendly")))
+        prefs = F.when(F.contains("query", F.lit("carpets")), F.col("prefs").withField("requiredFeatures", more))
+        return texts.withColumn("prefs", F.coalesce(prefs, F.col("prefs")))
+
+    asked = t.requests().drop("vector")
+    page = recommend.recommend(asked, t.venues(), limit=5, parser=parser)
+    return result_rows(page, asked, t.venues(), parser)
+
+
 # Passages are preferred by the facts of the case; everything else of retrieval is as above.
 CASE_EVIDENCE = {
     "cases": CASES,

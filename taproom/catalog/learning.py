@@ -13,6 +13,7 @@ from taproom.catalog.windows import LABELS
 from taproom.functions import requests as R
 from taproom.operators import feedback, overlay
 from taproom.session import checkpoint_dir
+from taproom.sources import tables
 from taproom.streaming import feedback as stream
 
 EXAMPLES = {
@@ -51,6 +52,23 @@ def training_examples(t: Tables):
     return examples(t).select("eventId", "sessionId", "venueId", "label", "baselineScore")
 
 
+@query(
+    "S18_training_set_sink",
+    sql(
+        "feedback venue",
+        "SELECT CAST(liked_ AS INT) AS label, count(*) AS rows, round(avg(score), 6) AS meanBaseline FROM ranked GROUP BY liked_",
+        **FEEDBACK_TEXTS, **PREFS, **EXAMPLES,
+    ),
+)
+def training_sink(t: Tables):
+    path = shared(t, "training")
+    tables.write_training_set(examples(t), path)
+    stored = t.spark.read.option("header", True).csv(path)
+    return stored.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("rows"), F.round(F.avg(F.col("baselineScore").cast("double")), 6).alias("meanBaseline")
+    )
+
+
 FLAG = "CASE WHEN {0} THEN 1.0E0 ELSE 0.0E0 END"
 Q_FEATURES = ", ".join(
     [
@@ -114,6 +132,8 @@ def readiness(t: Tables):
 @query("L02_grouped_split")
 def grouped_split(t: Tables):
     split = feedback.grouped_split(examples(t))
+    if split is None:
+        split = examples(t).limit(0).withColumn("isTest", F.lit(False))
     return split.groupBy("isTest").agg(
         F.count("*").alias("rows"), F.countDistinct("queryGroup").alias("groups"), F.max("label").alias("hi"),
         F.min("label").alias("lo"),
@@ -124,7 +144,8 @@ def split_once(t: Tables):
     """The split written to the shared folder: fitting reads it many times."""
     from taproom.session import cut
 
-    return cut(feedback.grouped_split(examples(t)))
+    split = feedback.grouped_split(examples(t))
+    return None if split is None else cut(split)
 
 
 @query("L03_logistic_regression")

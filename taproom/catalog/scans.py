@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from taproom import vocab as V
 from taproom.catalog.base import FIXTURES, Tables, joined, query, sql
-from taproom.operators import feedback, overlay, quality
+from taproom.operators import overlay, quality
 from taproom.session import checkpoint_dir
 from taproom.sources import payloads, schemas, tables, venues as VS
 from taproom.operators.skew import with_row
@@ -560,15 +560,6 @@ def feedback_log(t: Tables):
     )
 
 
-@query("S18_training_set_sink")
-def training_sink(t: Tables):
-    path = shared_path(t, "training")
-    examples = feedback.training_examples(t.fx("feedback"), t.venues())
-    tables.write_training_set(examples, path)
-    stored = t.spark.read.option("header", True).csv(path)
-    return stored.groupBy("label").agg(F.count("*").alias("rows"))
-
-
 @query(
     "S19_report_sink",
     sql(

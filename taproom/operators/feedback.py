@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom import vocab as V
@@ -158,21 +158,19 @@ def grouped_split(
 ) -> DataFrame | None:
     """Mark whole request groups as test until both sides hold both labels.
 
-    Label counts are first reduced to one row per (group, label); every try is then judged in one
-    aggregate over that small table, and the first good seed is used.
+    Labels are first reduced to one row per group; every try is then judged in one aggregate over
+    that table, and the first good seed is used. None if there are not two groups or no try is good.
     """
     groups = examples.groupBy("queryGroup").agg(
         F.max("label").alias("hi"), F.min("label").alias("lo")
     )
-    total = groups.count()
-    if total < 2:
+    if groups.limit(2).count() < 2:
         return None
-    wanted = -(-int(round(share * 100)) * total // 100)
-    from pyspark.sql import Window
-
+    parts = 1_000_000
     tried = groups.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + tries - 1))))
-    order = Window.partitionBy("seed").orderBy(F.xxhash64("queryGroup", "seed"), "queryGroup")
-    placed = tried.withColumn("isTest", F.row_number().over(order) <= wanted)
+    # A group is test when its hash falls in the first share of the range: nothing is sorted.
+    part = F.pmod(F.xxhash64("queryGroup", "seed"), F.lit(parts))
+    placed = tried.withColumn("isTest", part < int(share * parts))
     sides = placed.groupBy("seed", "isTest").agg(
         F.max("hi").alias("hi"), F.min("lo").alias("lo")
     )
@@ -186,16 +184,34 @@ def grouped_split(
     return examples.join(chosen, "queryGroup")
 
 
-def fit_and_compare(split: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(metrics of baseline and model on the test side, coefficients by absolute size)."""
+def not_available(spark: SparkSession, reason: str) -> tuple[DataFrame, DataFrame]:
+    """The result of an experiment that can't be run: one row that says why, and no coefficients."""
+    metrics = spark.createDataFrame(
+        [(f"not available: {reason}", None, None, None)],
+        "ranker string, rocAuc double, logLoss double, accuracy double",
+    )
+    return metrics, spark.createDataFrame([], "feature string, coefficient double")
+
+
+def fit_and_compare(split: DataFrame | None, spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics of baseline and model on the test side, coefficients by absolute size).
+
+    Without a split, or with one label alone on either side, the metrics are a single row that says so.
+    """
+    if split is None:
+        return not_available(spark or SparkSession.active(), "no split has both labels on both sides")
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     train, test = split.where(~F.col("isTest")), split.where("isTest")
-    counts = train.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
-    n, p = counts["n"], counts["p"]
+    sides = {
+        r["isTest"]: r for r in split.groupBy("isTest").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()
+    }
+    if any(side not in sides or not 0 < sides[side]["p"] < sides[side]["n"] for side in (False, True)):
+        return not_available(split.sparkSession, "a side of the split has one label only")
+    n, p = sides[False]["n"], sides[False]["p"]
     weight = F.when(F.col("label") == 1, n / (2.0 * p)).otherwise(n / (2.0 * (n - p)))
     stages = [
         VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="raw"),
@@ -264,12 +280,3 @@ def diary_stats(ratings: DataFrame, venues: DataFrame, now: Column) -> DataFrame
 def label_from_rating(rating: Column) -> Column:
     """Event a rating stands for; nothing in the middle."""
     return F.when(rating > 4, "like").when(rating < 2, "dislike")
-
-
-def known_feature_share() -> list[Column]:
-    """Aggregates counting known and positive facts, two per fact."""
-    out = []
-    for fact in V.FACTS:
-        out.append(F.count(fact).alias(f"{fact}_known"))
-        out.append(F.count_if(facts.is_true(F.col(fact))).alias(f"{fact}_true"))
-    return out

@@ -121,11 +121,14 @@ def recommend(
     return ranking.page(scored, limit, offset)
 
 
-def explained(page: DataFrame, requests: DataFrame, venues: DataFrame) -> DataFrame:
+def explained(
+    page: DataFrame, requests: DataFrame, venues: DataFrame, parser: Parser | None = None
+) -> DataFrame:
     """Add reasons, verified and unknown features, distance and breakdown to result rows."""
     shown = page.select("requestId", "venueId", F.col("rank"), F.col("score").alias("finalScore"))
     facts = venues.join(shown.select("venueId").distinct(), "venueId", "left_semi")
-    rows = shown.join(parse(requests).select("requestId", "prefs"), "requestId").join(facts, "venueId")
+    asked = parse(requests, parser).select("requestId", "prefs")
+    rows = shown.join(asked, "requestId").join(facts, "venueId")
     return (
         ranking.with_score(rows)
         .withColumn("reasons", ranking.reasons())
