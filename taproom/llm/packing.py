@@ -17,7 +17,7 @@ from taproom.llm.common import stored, table, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000  # about 250 bytes each
 
 PIECES = (
     "doc_id long, piece int, start long, length long, ids binary, part int, rank_in_part long"
@@ -48,18 +48,39 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
         space = re.compile(r"(?<=\S) (?=\S)")
         wide = re.compile(r"\s\s")
         split = regex.compile(pattern).findall
+        plain = frozenset(",.;:!?")
+
+        def encode(texts, keys, into):
+            for at in range(0, len(texts), 5000):
+                codes = model.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)
+                for key, code in zip(keys[at : at + 5000], codes):
+                    into[key] = array("I", code.ids).tobytes()
 
         def learn(unseen):
-            """Remember the ids of stretches, by way of the ids of their pre-tokens."""
-            if len(pre_tokens) > cache_words:
-                pre_tokens.clear()
-            cut = [split(x) for x in unseen]
-            fresh = list(set(chain.from_iterable(cut)) - pre_tokens.keys())
-            for at in range(0, len(fresh), 5000):
-                some = fresh[at : at + 5000]
-                for word, code in zip(some, model.encode_batch_fast(some, add_special_tokens=False)):
-                    pre_tokens[word] = array("I", code.ids).tobytes()
-            return [b"".join(map(pre_tokens.__getitem__, x)) for x in cut]
+            """Remember the ids of stretches that follow a space.
+
+            Letters alone are one pre-token, letters and a stop are two; the rest is split by the pattern.
+            """
+            stopped, rest, bases, pieces = [], [], set(), set()
+            for x in unseen:
+                if x.isalpha():
+                    bases.add(x)
+                elif x and x[-1] in plain and x[:-1].isalpha():
+                    stopped.append(x)
+                    bases.add(x[:-1])
+                    pieces.add(x[-1])
+                else:
+                    cut = split(" " + x)
+                    rest.append((x, cut))
+                    pieces.update(cut)
+            bases = list(bases - words.keys())
+            encode([" " + x for x in bases], bases, words)
+            pieces = list(pieces - pre_tokens.keys())
+            encode(pieces, pieces, pre_tokens)
+            for x in stopped:
+                words[x] = words[x[:-1]] + pre_tokens[x[-1]]
+            for x, cut in rest:
+                words[x] = b"".join(map(pre_tokens.__getitem__, cut))
 
         part, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         last = array("I", [end_id]).tobytes()
@@ -68,15 +89,16 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
                 space.split(text) if wide.search(text) else text.split(" ")
                 for text in (t or "" for t in batch.column(1).to_pylist())
             ]
-            heads = learn([x[0] for x in stretches])
             spaced = [x[1:] for x in stretches]
-            unseen = list(set(chain.from_iterable(spaced)) - words.keys())
-            fresh = learn([" " + x for x in unseen])
-            if len(words) + len(fresh) > cache_words:
+            if len(words) > cache_words:
                 words.clear()
-                unseen = list(set(chain.from_iterable(spaced)))
-                fresh = learn([" " + x for x in unseen])
-            words.update(zip(unseen, fresh))
+            if len(pre_tokens) > cache_words:
+                pre_tokens.clear()
+            learn(set(chain.from_iterable(spaced)) - words.keys())
+            heads = [
+                array("I", code.ids).tobytes()
+                for code in model.encode_batch_fast([x[0] for x in stretches], add_special_tokens=False)
+            ]
             out = [[] for _ in range(7)]
             for doc, head, got in zip(batch.column(0).to_pylist(), heads, spaced):
                 ids = head + b"".join(map(words.__getitem__, got)) + last
