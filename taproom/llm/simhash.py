@@ -83,13 +83,18 @@ def _keys(fp):
 
 
 def near_pairs(prints, rows: int = 128, radius: int = RADIUS):
-    """Blocks of index pairs (i < j) of fingerprints that differ in at most `radius` bits."""
+    """Blocks of index pairs (i < j) of fingerprints that differ in at most `radius` bits.
+
+    `prints` has a row for each fingerprint and a column of 64 bits for each of its lanes.
+    """
     import numpy as np
 
-    n = len(prints)
-    width = -(-n // 64) * 64
-    bits = np.zeros((width, 64), np.uint8)
-    bits[:n] = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    n, lanes = prints.shape
+    width, size = -(-n // 64) * 64, 64 * lanes
+    bits = np.zeros((width, size), np.uint8)
+    bits[:n] = np.unpackbits(
+        np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little"
+    )
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")  # a row of words per bit
     padding = np.packbits(np.arange(width) >= n, bitorder="little").view("<u8")
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,14 +106,17 @@ def near_pairs(prints, rows: int = 128, radius: int = RADIUS):
         shape = (len(asked), here.shape[1])
         counters = [np.zeros(shape, np.uint64) for _ in range(digits)]
         over = np.repeat(padding[None, from_word:], len(asked), axis=0)
-        for plane in range(64):
+        for plane in range(size):
             flip = (0 - asked[:, plane].astype(np.int64)).view(np.uint64)[:, None]
             carry = here[plane][None, :] ^ flip
             for digit in range(digits):  # carry-save: add one bit to every counter at once
                 counters[digit], carry = counters[digit] ^ carry, counters[digit] & carry
             over |= carry
-            if plane % 8 == 7 and (over == full).all():
-                break
+            if plane % 8 == 7 and plane >= radius:
+                if radius + 1 < 1 << digits and plane % 32 == 31:
+                    over |= _above(counters, radius)
+                if (over == full).all():
+                    break
         else:
             if radius + 1 < 1 << digits:  # counters that passed the radius without a last carry
                 over |= _above(counters, radius)
@@ -152,53 +160,76 @@ def joined_roots(n: int, pairs):
     return root
 
 
-def _compare(radius: int, block: int):
+def _compare(radius: int, block: int, lanes: int):
     pairs_of, roots_of = near_pairs, joined_roots
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        def read(column):
+            if lanes == 1:
+                return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, lanes)
+
+        def write(prints):
+            if lanes == 1:
+                return pa.array(np.ascontiguousarray(prints).view(np.int64).reshape(-1))
+            return pa.array([x.tobytes() for x in prints], pa.binary())
+
         def links(prints):
-            prints = np.unique(prints)  # ascending, so a root is the smallest of its rows
+            prints = np.unique(prints, axis=0)
             root = roots_of(len(prints), pairs_of(prints, radius=radius))
             child = np.flatnonzero(root != np.arange(len(prints)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(prints[child].view(np.int64)), pa.array(prints[root[child]].view(np.int64))], ["a", "b"]
-            )
+            return pa.RecordBatch.from_arrays([write(prints[child]), write(prints[root[child]])], ["a", "b"])
 
         def shared(keys, prints):
             """Rows whose key occurs more than once; keys are in order."""
             twice = np.flatnonzero(keys[1:] == keys[:-1])
             keep = np.zeros(len(keys), bool)
             keep[twice] = keep[twice + 1] = True
-            return prints[keep]
-
-        held_k, held_p, ready = np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+            return keys[keep], prints[keep]
+
+        def blocks(keys, prints):
+            """Whole keys together, about a block of rows at a time."""
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            at = 0
+            while at < len(keys):
+                stop = starts[np.searchsorted(starts, at + block) :]
+                end = int(stop[0]) if len(stop) else len(keys)
+                yield prints[at:end]
+                at = end
+
+        held_k, held_p, ready = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), []
         for batch in batches:
-            keys = np.r_[held_k, batch.column(0).to_numpy(zero_copy_only=False)]
-            prints = np.r_[held_p, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
+            keys = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
+            prints = np.concatenate([held_p, read(batch.column(1))])
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
             ready.append(shared(keys[:cut], prints[:cut]))
             held_k, held_p = keys[cut:], prints[cut:]
-            if sum(map(len, ready)) >= block:
-                yield links(np.concatenate(ready))
+            if sum(len(k) for k, _ in ready) >= 4 * block:
+                for part in blocks(*map(np.concatenate, zip(*ready))):
+                    yield links(part)
                 ready = []
         ready.append(shared(held_k, held_p))
-        if sum(map(len, ready)):
-            yield links(np.concatenate(ready))
+        for part in blocks(*map(np.concatenate, zip(*ready))):
+            yield links(part)
 
     return run
 
 
 def close_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, block: int = 1024) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that join all that are within the radius.
+    """Links (a, b) between distinct fingerprints that join all that are within the radius."""
+    return _links(prints.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp"), "long", 1, radius, tile, block)
+
+
+def _links(keyed: DataFrame, kind: str, lanes: int, radius: int, tile: int, block: int) -> DataFrame:
+    """Links between the fingerprints that share a key and lie within the radius.
 
     Within a block of comparisons only a spanning forest leaves the task: every pair within the radius
     is joined by links, while their number stays below the rows compared. A key with more than `tile`
     rows is dealt into tiles and each pair of tiles is a block of its own.
     """
-    keyed = prints.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
     large = keyed.groupBy("key").count().where(F.col("count") > tile)
     large = large.select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     dealt = keyed.join(large, "key", "left")
@@ -211,7 +242,7 @@ def close_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, block
         "fp",
     )
     return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _compare(radius, block), "a long, b long"
+        _compare(radius, block, lanes), f"a {kind}, b {kind}"
     ).distinct()
 
 
@@ -232,10 +263,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = state(edges)
     while seen[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # The minima are written, so that the joins read plain shuffles and a hot node can be split.
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = stored(large.where("u <> v").distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("low")), "low")
         small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.union(low.select("u", "low")).distinct()
         edges = stored(small, "links")
@@ -258,20 +290,132 @@ def near_groups(
     if radius > 3:
         raise ValueError("the candidate keys are exact up to a radius of three")
     rows = stored(fingerprints(docs, shingle, seed), "fingerprints")
+    return _grouped(rows, lambda prints: close_links(prints, radius, tile))
+
+
+def _grouped(rows: DataFrame, links_of) -> DataFrame:
+    """doc_id, fp, component_id of stored (doc_id, fp) rows, with the links between distinct prints."""
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    found = components(close_links(prints.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
+    found = components(links_of(prints.select("fp"))).withColumnRenamed("node", "fp")
     tied = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stored(tied.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+# Similar texts: four lanes of 64 bits over the distinct shingles. Texts of similarity s differ in a
+# share of arccos(2s / (1 + s)) / pi of the bits: 39 of 256, six more or less, at 0.8; 128 at zero.
+LANES = 4
+SIMILAR_RADIUS = 48
+TABLES = 40
+KEY_BITS = 16
+
+
+def _wide_prints(shingle: int, seed: int, lanes: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+        step = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+        def mixed(hashes):
+            """Further lanes from one hash, by a bijective mixing of its bits."""
+            z = hashes[:, None] + step
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return z ^ (z >> np.uint64(31))
+
+        for batch in batches:
+            out = []
+            for text in texts(batch.column(1)):
+                words = text.translate(LOWER).split()
+                n = len(words)
+                if not n:
+                    out.append(bytes(8 * lanes))
+                    continue
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+                first = np.r_[0, ends[: max(0, n - shingle)]].tolist()
+                last = (ends[min(shingle, n) - 1 :] - 1).tolist()
+                hashes = np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last)))
+                view = np.ascontiguousarray(mixed(hashes)).astype("<u8").view(np.uint8).reshape(len(hashes), -1)
+                votes = np.stack([np.bincount(view[:, k], minlength=256) @ byte_bits for k in range(8 * lanes)])
+                out.append(np.packbits((2 * votes > len(hashes)).astype(np.uint8).reshape(-1), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
+
+    return run
+
+
+def _sampled_keys(lanes: int, tables: int, key_bits: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        draw = np.random.default_rng(7)
+        chosen = [draw.choice(64 * lanes, key_bits, replace=False) for _ in range(tables)]
+        weights = 1 << np.arange(key_bits, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints = batch.column(0)
+            raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+            for number, places in enumerate(chosen):
+                keys = bits[:, places] @ weights + (number << key_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), prints], ["key", "fp"])
+
+    return run
+
+
+def similar_groups(
+    docs: DataFrame,
+    shingle: int = 5,
+    seed: int = SEED,
+    radius: int = SIMILAR_RADIUS,
+    lanes: int = LANES,
+    tables: int = TABLES,
+    key_bits: int = KEY_BITS,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row per document: doc_id, fp, component_id, for texts that share most of their word shingles.
+
+    The radius takes pairs of a Jaccard similarity of 0.8 and more. At that distance no few exact keys
+    are shared for certain, so candidates share one of `tables` keys of `key_bits` sampled bits: a pair
+    at 0.8 is met with a chance of about 95 %, one at 0.85 with 99 %, and groups of more than two have
+    several ways to be joined. `key_bits` should grow with the logarithm of the documents (16 for some
+    millions), `tables` with it. Cases are defined as for `near_groups`.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    rows = stored(rows.mapInArrow(_wide_prints(shingle, seed, lanes), "doc_id long, fp binary"), "fingerprints")
+
+    def links_of(prints):
+        keyed = prints.mapInArrow(_sampled_keys(lanes, tables, key_bits), "key long, fp binary")
+        return _links(stored(keyed, "keys"), "binary", lanes, radius, tile, 256)
+
+    return _grouped(rows, links_of)
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """Of each group of similar texts the document with the smallest doc_id, with all its columns.
+
+    Rows with a null doc_id stay only if no row of their group has one.
+    """
+    return _first_of(docs, similar_groups(docs, **options))
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """Of each group the document with the smallest doc_id, with all its columns.
 
     Rows with a null doc_id stay only if no row of their group has one.
     """
-    kept = near_groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _first_of(docs, near_groups(docs, **options))
+
+
+def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
 

@@ -5,27 +5,27 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import xxhash
 from pyspark.sql import functions as F
 
 from taproom.llm import decontaminate, langid, packing, registry, simhash
-from test_simhash import plain_groups, plain_print
+from test_simhash import plain_groups
 
 SF = "/root/testdata/sf0.001"
 
 
-def survivors(docs, languages, items, window=13):
-    """doc_ids that should be left; `languages` maps doc_id to (lang_pred, score)."""
+def survivors(docs, languages, items, groups_of, window=13):
+    """doc_ids that should be left; `languages` maps doc_id to (lang_pred, score), `groups_of` doc_ids to
+    their group among the texts it is given."""
     left = {d: t for d, t in docs.items() if languages[d][0] != "und" and languages[d][1] >= 0.5}
     groups = defaultdict(list)
     for d, t in left.items():
         groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append(d)
     left = {min(g, key=lambda d: (-len(left[d]), d)): None for g in groups.values()}
     left = {d: docs[d] for d in sorted(left)}
-    ids = list(left)
-    root = plain_groups([plain_print(left[d]) for d in ids])
     first = {}
-    for d, r in zip(ids, root):
-        first.setdefault(r, d)
+    for d, group in sorted(groups_of(left).items()):
+        first.setdefault(group, d)
     left = {d: docs[d] for d in first.values()}
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -49,7 +49,12 @@ def test_pipeline_matches_brute_force(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     languages = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(docs).collect()}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert sorted({r.doc_id for r in rows}) == survivors(texts, languages, items)
+
+    def groups_of(left):
+        frame = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+        return {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
+
+    assert sorted({r.doc_id for r in rows}) == survivors(texts, languages, items, groups_of)
     by = defaultdict(list)
     for r in rows:
         by[r.sequence_id].append((r.offset, r.length))
@@ -80,6 +85,37 @@ def test_every_stage_keeps_columns_and_handles_odd_tables(spark, tmp_path):
     assert {n for n, _ in corpus_pipeline.STAGES} and corpus_pipeline.ORACLE_SQL is None
 
 
+def wide_print(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))} if words else set()
+    whole, out = 2**64 - 1, 0
+    for lane in range(4):
+        votes = [0] * 64
+        for h in hashes:
+            z = (h + (lane + 1) * 0x9E3779B97F4A7C15) & whole
+            z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & whole
+            z = ((z ^ z >> 27) * 0x94D049BB133111EB) & whole
+            z ^= z >> 31
+            for b in range(64):
+                votes[b] += z >> b & 1
+        out |= sum(1 << b for b in range(64) if 2 * votes[b] > len(hashes)) << 64 * lane
+    return out
+
+
+def test_similar_groups_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    prints = [wide_print(t) for _, t in texts]
+    every = plain_groups(prints, 48)
+    for (d, _), r in zip(texts, every):
+        assert every[[x for x, _ in texts].index(got[d])] == r  # no group reaches beyond the radius
+    for i, (a, _) in enumerate(texts):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 28:
+                assert got[a] == got[texts[j][0]]
+
+
 def test_stages_reuse_the_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     near = simhash.near_groups(docs).select(F.countDistinct("component_id")).first()[0]

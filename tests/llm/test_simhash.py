@@ -79,7 +79,7 @@ def test_bit_planes_give_all_pairs_within_the_radius():
     prints = spread(700, 9, 2)
     for radius in (0, 1, 2, 3, 5, 7):
         got = set()
-        for i, j in simhash.near_pairs(prints, rows=50, radius=radius):
+        for i, j in simhash.near_pairs(prints.reshape(-1, 1), rows=50, radius=radius):
             got |= set(zip(i.tolist(), j.tolist()))
         apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
         i, j = np.nonzero(apart <= radius)
@@ -104,3 +104,51 @@ def test_long_chain_of_links(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(chain).agg(F.count("*"), F.max("root"), F.min("root")).first()
     assert tuple(got) == (300, 0, 0)
+
+
+def test_bit_planes_of_several_lanes():
+    draw = np.random.default_rng(3)
+    prints = draw.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    for i in range(0, 300, 3):
+        prints[i + 1] = prints[i]
+        for _ in range(int(draw.integers(0, 120))):
+            prints[i + 1, draw.integers(0, 4)] ^= np.uint64(1) << np.uint64(draw.integers(0, 64))
+    apart = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    for radius in (0, 20, 31, 48, 63):
+        got = set()
+        for i, j in simhash.near_pairs(prints, rows=70, radius=radius):
+            got |= set(zip(i.tolist(), j.tolist()))
+        i, j = np.nonzero(apart <= radius)
+        assert got == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b}
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_similar_texts_are_joined_and_others_stay(spark):
+    draw = random.Random(4)
+    say = lambda n: [f"w{draw.randint(0, 5000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(120):
+        one = say(200)
+        two = list(one)
+        for at in draw.sample(range(200), 3):
+            two[at] = "changed"
+        rows += [(10 * k, " ".join(one)), (10 * k + 1, " ".join(two)), (10 * k + 2, " ".join(one[:60] + say(140)))]
+        pairs.append((10 * k, 10 * k + 1))
+    by = dict(rows)
+    assert min(jaccard(by[a], by[b]) for a, b in pairs) >= 0.8
+    rows += [(5000, None), (5001, ""), (5002, "two words"), (5003, "TWO words"), (None, rows[0][1]), (0, rows[0][1])]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(4)
+    got = {}
+    for r in simhash.similar_groups(frame, tile=64).collect():
+        got.setdefault(r.doc_id, r.component_id)
+    joined = sum(got[a] == got[b] for a, b in pairs)
+    assert joined >= 0.97 * len(pairs)
+    assert len({got[10 * k + 2] for k in range(120)} - {got[10 * k] for k in range(120)}) == 120
+    assert got[5000] == got[5001] == 5000 and got[5002] == got[5003] == 5002 and got[None] == 0
+    left = simhash.drop_similar(frame)
+    assert left.columns == frame.columns and {r.doc_id for r in left.select("doc_id").collect()} == set(got.values())
+    assert simhash.similar_groups(frame.limit(0)).count() == 0
