@@ -31,7 +31,7 @@ def page_titles(t: Tables):
     return parsed(t).select("page_id", "title", F.size("links").cast("long").alias("links"))
 
 
-# What each page says of its venue, by its number; {} is the venue's name.
+# What each page says of its venue, by its number; {} is the venue's name and number, since names repeat.
 PAGE_PROSE = {
     0: "<div><p>{} has a beer garden that is open all year, and dogs are welcome in the bar.</p></div>",
     1: "<p>We do not show live sport here. Accept all cookies to go on reading.</p>"
@@ -51,7 +51,7 @@ def venue_pages(t: Tables):
     k = F.col("page_id") % 6
     prose = F.lit(None).cast("string")
     for number, line in PAGE_PROSE.items():
-        prose = F.when(k == number, F.replace(F.lit(line), F.lit("{}"), F.col("name"))).otherwise(prose)
+        prose = F.when(k == number, F.replace(F.lit(line), F.lit("{}"), F.concat_ws(" ", "name", "n"))).otherwise(prose)
     more = F.when(F.col("page_id") % 4 == 0, F.lit(SHARED_PROSE)).otherwise("")
     raw = t.table("pages").withColumn("n", F.expr("1 + page_id div 2")).join(t.fx("venue").select("n", "name", "venueId"), "n")
     parsed = pages.parse_pages(raw.withColumn("html", F.concat("html", prose, more)), "page_id")
@@ -61,7 +61,7 @@ def venue_pages(t: Tables):
 
 
 def _said(number: int, part: str) -> str:
-    return "'" + part.replace("'", "''").replace("{}", "' || name || '") + "'"
+    return "'" + part.replace("'", "''").replace("{}", "' || name || ' ' || n || '") + "'"
 
 
 KEPT_PROSE = {
