@@ -1,8 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features.
 
 P(grade > k) = sigma(w.x - t_k): one weight vector for all grades and ascending thresholds t. Features are
-the words of a text and the beginnings of its longer words, each as log(1 + count); those that go with
+the words of a text and the beginnings of its longer words, each as 1 + log(count); those that go with
 the grade by the likelihood ratio are kept. The model is fitted on a bounded sample of labelled rows.
+Where labels only tell toxic from not, the severity of the toxic rows is graded by how much of what goes
+with the label their texts hold.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def _rows(numbers: dict[str, int], beginnings):
                     seen[word] = found
                 for f in found:
                     counts[f] += n
-            yield {f: math.log1p(n) for f, n in counts.items()}
+            yield {f: 1 + math.log(n) for f, n in counts.items()}
 
     return vectors
 
@@ -108,7 +110,7 @@ def _vectors(numbers, beginnings):
     return run
 
 
-def ordinal_fit(rows, columns, amounts, grades, n_features: int, l2: float = 1.0, steps: int = 300, rate: float = 0.1):
+def ordinal_fit(rows, columns, amounts, grades, n_features: int, l2: float = 0.3, steps: int = 400, rate: float = 0.05):
     """Weights and ascending thresholds of the cumulative-link model, by full-batch Adam.
 
     Entry i of the sparse matrix is amounts[i] at (rows[i], columns[i]); grades are 0..K.
@@ -129,15 +131,21 @@ def ordinal_fit(rows, columns, amounts, grades, n_features: int, l2: float = 1.0
         weights, gaps = free[:n_features], np.exp(free[n_features + 1 :])
         limits = free[n_features] + np.r_[0, np.cumsum(gaps)]
         score = np.bincount(rows, amounts * weights[columns], minlength=n)
-        cumulative = np.c_[np.ones(n), sigma(score[:, None] - limits[None, :]), np.zeros(n)]
-        own = np.arange(n)
-        upper, lower = cumulative[own, grades], cumulative[own, grades + 1]
-        chance = np.maximum(upper - lower, 1e-12)
-        slope = cumulative * (1 - cumulative)
-        slope[:, 0] = slope[:, -1] = 0
-        d_upper, d_lower = slope[own, grades] / chance, slope[own, grades + 1] / chance
-        d_score = -(d_upper - d_lower)
-        d_limit = np.bincount(grades, d_upper, minlength=top + 2)[1 : top + 1] - np.bincount(grades + 1, d_lower, minlength=top + 2)[1 : top + 1]
+        # a and b: the score against the limits below and above the grade; without one they are sure.
+        a = score - np.where(grades > 0, limits[np.maximum(grades - 1, 0)], 0)
+        b = score - np.where(grades < top, limits[np.minimum(grades, top - 1)], 0)
+        lowest, highest = grades == 0, grades == top
+        up, not_up = np.where(lowest, 1, sigma(a)), np.where(lowest, 0, sigma(-a))
+        over, not_over = np.where(highest, 0, sigma(b)), np.where(highest, 1, sigma(-b))
+        inner = ~lowest & ~highest
+        width = np.where(inner, -np.expm1(-np.maximum(np.where(inner, a - b, 1), 1e-9)), 1)
+        # Derivatives of the log of up - over, which stay exact where both are close to 0 or 1.
+        d_score = up + over - 1
+        d_upper, d_lower = not_up / (not_over * width), over / (up * width)
+        d_limit = (
+            np.bincount(grades, d_upper, minlength=top + 2)[1 : top + 1]
+            - np.bincount(grades + 1, d_lower, minlength=top + 2)[1 : top + 1]
+        )
         grad = np.empty_like(free)
         grad[:n_features] = np.bincount(columns, amounts * d_score[rows], minlength=n_features) + l2 * weights
         grad[n_features] = d_limit.sum()
@@ -157,12 +165,14 @@ def fit(
     max_features: int = MAX_FEATURES,
     least_ratio: float = LEAST_RATIO,
     beginnings: tuple[int, ...] = BEGINNINGS,
+    levels: int = 1,
 ) -> dict | None:
     """Fit on documents with a grade: {numbers, weights, thresholds, beginnings}; None without any.
 
     `grades` has doc_id and grade (whole numbers from 0); null grades and ids are left out, of several
     grades of one document the highest counts. At most `max_rows` graded ids are used, by the hash of the
-    id; the table of them is broadcast, its size is bounded by that.
+    id; the table of them is broadcast, its size is bounded by that. With `levels` over one, rows above
+    grade zero are graded anew, from 1 to `levels`, by equal parts of what marks them in their texts.
     """
     import numpy as np
 
@@ -192,19 +202,23 @@ def fit(
     else:
         ratio = F.lit(0.0)
     kept = counts.where(F.col("a") + F.col("b") >= 5).withColumn("ratio", F.round(ratio, 9)).where(F.col("ratio") >= least_ratio)
-    names = [r[0] for r in kept.orderBy(F.desc("ratio"), "feature").limit(max_features).select("feature").collect()]
+    kept = kept.withColumn("marks", F.col("a") * none > F.col("b") * one)
+    kept = kept.orderBy(F.desc("ratio"), "feature").limit(max_features).select("feature", "marks").collect()
+    names, marking = [r["feature"] for r in kept], np.array([r["marks"] for r in kept], bool)
     numbers = {f: i for i, f in enumerate(names)}
     got = rows.mapInArrow(_vectors(numbers, beginnings), "features array<int>, amounts array<double>, grade int").collect()
     marks = np.array([r["grade"] for r in got])
     if marks.max() == 0:
         return {"numbers": {}, "weights": np.zeros(0), "thresholds": np.zeros(0), "beginnings": beginnings}
-    lengths = [len(r["features"]) for r in got]
-    weights, thresholds = ordinal_fit(
-        np.repeat(np.arange(len(got)), lengths),
-        np.array([f for r in got for f in r["features"]], np.int64),
-        np.array([x for r in got for x in r["amounts"]], float),
-        marks, len(names),
-    )
+    row = np.repeat(np.arange(len(got)), [len(r["features"]) for r in got])
+    column = np.array([f for r in got for f in r["features"]], np.int64)
+    amount = np.array([x for r in got for x in r["amounts"]], float)
+    if levels > 1:
+        held = np.bincount(row, amount * marking[column], minlength=len(got))
+        some = held[(marks > 0) & (held > 0)]
+        edges = np.quantile(some, np.arange(1, levels) / levels) if len(some) else np.zeros(0)
+        marks = np.where(marks > 0, 1 + np.searchsorted(edges, held), 0)
+    weights, thresholds = ordinal_fit(row, column, amount, marks, len(names))
     return {"numbers": numbers, "weights": weights, "thresholds": thresholds, "beginnings": beginnings}
 
 
@@ -250,10 +264,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents graded 0 (not toxic), 1 (toxic) or 2 (toxic and of poor quality) as `labels` tells."""
+    """All documents graded 0 (not toxic), 1 (toxic) or 2 (severely), from the toxic mark of `labels`."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    poor = (F.col("toxic") == 1) & (F.col("quality") == 0)
-    grades = labels.select("doc_id", (F.col("toxic") + F.when(poor, 1).otherwise(0)).alias("grade"))
-    return score(docs, fit(docs, grades)).select(
+    return score(docs, fit(docs, labels.select("doc_id", F.col("toxic").alias("grade")), levels=2)).select(
         "doc_id", "severity", F.coalesce(F.get("above", F.lit(0)), F.lit(0.0)).alias("p_toxic"), "grade", (F.col("grade") > 0).alias("toxic")
     )
