@@ -32,6 +32,7 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
         from array import array
         from itertools import chain
 
+        import numpy as np
         import pyarrow as pa
         import regex
         from pyspark import TaskContext
@@ -41,8 +42,12 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
         if state.get("tokenizer_path") != tokenizer:
             loaded = Tokenizer.from_file(tokenizer)
             loaded.encode_special_tokens = True
-            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={}, pre_tokens={})
+            mark = loaded.pre_tokenizer.pre_tokenize_str(" ")[0][0] if loaded.pre_tokenizer else " "
+            spaced_id = np.zeros(loaded.get_vocab_size(), bool)
+            spaced_id[[i for token, i in loaded.get_vocab().items() if token.startswith(mark)]] = True
+            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={}, pre_tokens={}, spaced_id=spaced_id)
         model, words, pre_tokens = state["tokenizer"], state["words"], state["pre_tokens"]
+        spaced_id = state["spaced_id"]
         # A single space between two other characters always starts a new pre-token, so the stretches
         # between such spaces can be encoded on their own, each with its space, and remembered.
         space = re.compile(r"(?<=\S) (?=\S)")
@@ -74,7 +79,16 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
                     rest.append((x, cut))
                     pieces.update(cut)
             bases = list(bases - words.keys())
-            encode([" " + x for x in bases], bases, words)
+            for at in range(0, len(bases), 2000):
+                # Letters after single spaces: each word is a pre-token and its first id alone has the space.
+                some = bases[at : at + 2000]
+                ids = np.array(model.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+                edges = np.append(np.flatnonzero(spaced_id[ids]), len(ids)) * 4
+                if len(edges) != len(some) + 1:
+                    encode([" " + x for x in some], some, words)
+                    continue
+                raw, edges = ids.tobytes(), edges.tolist()
+                words.update(zip(some, map(raw.__getitem__, map(slice, edges, edges[1:]))))
             pieces = list(pieces - pre_tokens.keys())
             encode(pieces, pieces, pre_tokens)
             for x in stopped:
