@@ -298,7 +298,7 @@ def _grouped(rows: DataFrame, links_of) -> DataFrame:
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = components(links_of(prints.select("fp"))).withColumnRenamed("node", "fp")
     tied = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = tied.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(tied.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     classes = stored(tied.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
