@@ -303,23 +303,53 @@ def _grouped(rows: DataFrame, links_of) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similar texts: four lanes of 64 bits over the distinct shingles. Texts of similarity s differ in a
-# share of arccos(2s / (1 + s)) / pi of the bits: 39 of 256, six more or less, at 0.8; 128 at zero.
+# Similar texts: their distinct shingles have a Jaccard similarity of four fifths or more. Candidates share a
+# band of MinHash values and lie within the radius on four lanes of 64 bits; links are checked on the shingles.
+SIMILAR = (4, 5)  # numerator and denominator of the least similarity
 LANES = 4
-SIMILAR_RADIUS = 48
-TABLES = 40
-KEY_BITS = 16
+SIMILAR_RADIUS = 80  # texts at four fifths differ in 39 of 256 bits, six more or less; in 48 with four or five shingles
+BANDS = 32
+BAND_ROWS = 4
+CHECKED = 512  # texts of one group checked in one block; larger groups are checked block by block
 
 
-def _wide_prints(shingle: int, seed: int, lanes: int):
+def _shingle_hashes(shingle: int, seed: int):
+    """A function from a text (bytes) to the sorted hashes of its distinct shingles."""
+    lower = LOWER
+
+    def hashes(text):
+        import numpy as np
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        words = text.translate(lower).split()
+        n = len(words)
+        if not n:
+            return np.zeros(0, np.uint64)
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        first = np.r_[0, ends[: max(0, n - shingle)]].tolist()
+        last = (ends[min(shingle, n) - 1 :] - 1).tolist()
+        return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last)))
+
+    return hashes
+
+
+def _wide_prints(shingle: int, seed: int, lanes: int, bands: int, band_rows: int):
+    hashes_of, text_bytes = _shingle_hashes(shingle, seed), texts
+
     def run(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
         byte_bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         step = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        draw = np.random.default_rng(7)
+        odd = draw.integers(0, 2**64, bands * band_rows, dtype=np.uint64) | np.uint64(1)
+        plus = draw.integers(0, 2**64, bands * band_rows, dtype=np.uint64)
 
         def mixed(hashes):
             """Further lanes from one hash, by a bijective mixing of its bits."""
@@ -328,74 +358,195 @@ def _wide_prints(shingle: int, seed: int, lanes: int):
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             return z ^ (z >> np.uint64(31))
 
+        def keys_of(hashes):
+            """A key per band, of the least values of the shingles in its orders."""
+            least = np.full(bands * band_rows, 2**64 - 1, np.uint64)
+            for at in range(0, len(hashes), 4096):
+                z = hashes[at : at + 4096, None] * odd + plus
+                least = np.minimum(least, (z ^ (z >> np.uint64(32))).min(axis=0))
+            raw, size = least.tobytes(), 8 * band_rows
+            return np.array([xxhash.xxh64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(bands)], np.uint64)
+
         for batch in batches:
-            out = []
-            for text in texts(batch.column(1)):
-                words = text.translate(LOWER).split()
-                n = len(words)
-                if not n:
-                    out.append(bytes(8 * lanes))
+            prints, digests, keys = [], [], []
+            for text in text_bytes(batch.column(1)):
+                digests.append(hashlib.sha256(text).digest())
+                hashes = hashes_of(text)
+                keys.append(keys_of(hashes))
+                if not len(hashes):
+                    prints.append(bytes(8 * lanes))
                     continue
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-                first = np.r_[0, ends[: max(0, n - shingle)]].tolist()
-                last = (ends[min(shingle, n) - 1 :] - 1).tolist()
-                hashes = np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last)))
                 view = np.ascontiguousarray(mixed(hashes)).astype("<u8").view(np.uint8).reshape(len(hashes), -1)
                 votes = np.stack([np.bincount(view[:, k], minlength=256) @ byte_bits for k in range(8 * lanes)])
-                out.append(np.packbits((2 * votes > len(hashes)).astype(np.uint8).reshape(-1), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
+                prints.append(np.packbits((2 * votes > len(hashes)).astype(np.uint8).reshape(-1), bitorder="little").tobytes())
+            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * bands), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), keys],
+                ["doc_id", "digest", "fp", "keys"],
+            )
 
     return run
 
 
-def _sampled_keys(lanes: int, tables: int, key_bits: int):
+def similar_roots(sets, least=SIMILAR):
+    """For each set of hashes the smallest row it is joined with by pairs of the least similarity."""
+    import numpy as np
+
+    n, (over, under) = len(sets), least
+    root = np.arange(n)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    kinds, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    marked = np.zeros(len(kinds), bool)
+    for i in range(n - 1):
+        if (root == root[i]).all():
+            break
+        mine = flat[ends[i] - sizes[i] : ends[i]]
+        marked[mine] = True
+        shared = np.bincount(owner, marked[flat], minlength=n).astype(np.int64)
+        marked[mine] = False
+        close = under * shared >= over * (sizes + sizes[i] - shared)
+        joined = np.unique(root[close])
+        root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def _check(shingle: int, seed: int, least):
+    """Links between the texts of equal block that join all pairs of the least similarity."""
+    hashes_of, roots_of, text_bytes = _shingle_hashes(shingle, seed), similar_roots, texts
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        draw = np.random.default_rng(7)
-        chosen = [draw.choice(64 * lanes, key_bits, replace=False) for _ in range(tables)]
-        weights = 1 << np.arange(key_bits, dtype=np.int64)
+        def links(digests, sets):
+            root = roots_of(sets, least)
+            child = np.flatnonzero(root != np.arange(len(sets)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([digests[k] for k in child], pa.binary()), pa.array([digests[root[k]] for k in child], pa.binary())],
+                ["a", "b"],
+            )
+
+        block, digests, sets = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            prints = batch.column(0)
-            raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-            for number, places in enumerate(chosen):
-                keys = bits[:, places] @ weights + (number << key_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), prints], ["key", "fp"])
+            for mine, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+                if mine != block:
+                    if len(sets) > 1:
+                        yield links(digests, sets)
+                    block, digests, sets = mine, [], []
+                digests.append(digest)
+                sets.append(hashes_of(text))
+        if len(sets) > 1:
+            yield links(digests, sets)
 
     return run
 
 
+def _near_first(shingle: int, seed: int, least):
+    """Whether each text has the least similarity with the first of its group."""
+    hashes_of, roots_of, text_bytes = _shingle_hashes(shingle, seed), similar_roots, texts
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pairs = zip(text_bytes(batch.column(2)), text_bytes(batch.column(4)))
+            near = [bool(roots_of([hashes_of(a), hashes_of(b)], least)[1] == 0) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(near, pa.bool_())],
+                ["root", "digest", "text", "first", "near"],
+            )
+
+    return run
+
+
+def _checked_links(members: DataFrame, shingle: int, seed: int, least, tile: int) -> DataFrame:
+    """Links (a, b) of digests that join all pairs of the least similarity within each root's texts.
+
+    `members` are stored rows root, digest, text, one of each digest. A root with more than `tile` texts is
+    first compared with one of them; texts that are near it are joined by it and need not be compared with
+    each other, so only blocks with a text that is not near are left.
+    """
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.min("digest").alias("first"))
+    sizes = stored(sizes.where("n > 1"), "sizes")
+    check = _check(shingle, seed, least)
+    block = F.sha2(F.concat("root", F.lit("/").cast("binary"), F.encode(F.concat_ws(",", "low", "high"), "utf-8")), 256)
+
+    def blocks(rows):
+        rows = rows.repartition("block").sortWithinPartitions("block")
+        return rows.select("block", "digest", "text").mapInArrow(check, "a binary, b binary")
+
+    small = members.join(sizes.where(F.col("n") <= tile), "root").select(F.hex("root").alias("block"), "digest", "text")
+    large = stored(sizes.where(F.col("n") > tile), "large")
+    found = blocks(small)
+    if not large.take(1):
+        return found.distinct()
+    first = members.join(large.select(F.col("first").alias("digest")), "digest").select("root", F.col("text").alias("other"))
+    first = stored(large.select("root", "first").join(first, "root"), "first")
+    # Both sides are written, so that the join reads plain shuffles and a large root can be split.
+    compared = members.join(first, "root").select("root", "digest", "text", "first", "other")
+    compared = stored(
+        compared.mapInArrow(_near_first(shingle, seed, least), "root binary, digest binary, text string, first binary, near boolean"),
+        "near",
+    )
+    near = compared.where("near and digest <> first").select(F.col("digest").alias("a"), F.col("first").alias("b"))
+    tiles = compared.groupBy("root").agg(
+        F.ceil(F.count_if("near") / tile).cast("int").alias("inner"), F.ceil(F.count_if(~F.col("near")) / tile).cast("int").alias("outer")
+    )
+    tiles = stored(tiles.where("outer > 0"), "tiles")
+    dealt = F.xxhash64("digest")
+    mine = F.when(F.col("near"), F.pmod(dealt, F.col("inner"))).otherwise(F.col("inner") + F.pmod(dealt, F.col("outer")))
+    begin = F.when(F.col("near"), F.col("inner")).otherwise(0)
+    rows = compared.join(tiles, "root").withColumn("mine", mine.cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(begin, F.col("inner") + F.col("outer") - 1)))
+    rows = rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    return found.union(near).union(blocks(rows.withColumn("block", block))).distinct()
+
+
 def similar_groups(
     docs: DataFrame,
     shingle: int = 5,
     seed: int = SEED,
+    least: tuple = SIMILAR,
     radius: int = SIMILAR_RADIUS,
     lanes: int = LANES,
-    tables: int = TABLES,
-    key_bits: int = KEY_BITS,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
     tile: int = TILE,
+    checked: int = CHECKED,
 ) -> DataFrame:
-    """One row per document: doc_id, fp, component_id, for texts that share most of their word shingles.
+    """One row per document: doc_id, digest (of its text), component_id, for texts joined by similar pairs.
 
-    The radius takes pairs of a Jaccard similarity of 0.8 and more. At that distance no few exact keys
-    are shared for certain, so candidates share one of `tables` keys of `key_bits` sampled bits: a pair
-    at 0.8 is met with a chance of about 95 %, one at 0.85 with 99 %, and groups of more than two have
-    several ways to be joined. `key_bits` should grow with the logarithm of the documents (16 for some
-    millions), `tables` with it. Cases are defined as for `near_groups`.
+    Two texts are a pair when their distinct word shingles have a Jaccard similarity of `least` or more,
+    which is counted for every pair of a candidate group; shingles are compared by 64-bit hashes. Candidate
+    groups are joined by SimHash within the radius among texts that share a MinHash band: a pair at 0.8
+    shares none of 32 bands of four with a chance of 5 in 10^8, whatever its length, and lies beyond the
+    radius with 3 in 10^7 at most. Texts without words are one group. Cases are defined as for `near_groups`.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    rows = stored(rows.mapInArrow(_wide_prints(shingle, seed, lanes), "doc_id long, fp binary"), "fingerprints")
-
-    def links_of(prints):
-        keyed = prints.mapInArrow(_sampled_keys(lanes, tables, key_bits), "key long, fp binary")
-        return _links(stored(keyed, "keys"), "binary", lanes, radius, tile, 256)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    rows = stored(
+        source.mapInArrow(
+            _wide_prints(shingle, seed, lanes, bands, band_rows), "doc_id long, digest binary, fp binary, keys array<long>"
+        ),
+        "fingerprints",
+    )
 
-    return _grouped(rows, links_of)
+    def links_of(_):
+        keyed = rows.select(F.explode("keys").alias("key"), "fp").distinct()
+        groups = components(_links(stored(keyed, "keys"), "binary", lanes, radius, tile, 256)).withColumnRenamed("node", "fp")
+        nodes = rows.select("digest", "fp").distinct().join(groups, "fp", "left")
+        nodes = stored(nodes.select("digest", F.coalesce("root", "fp").alias("root")), "nodes")
+        several = stored(nodes.groupBy("root").count().where("count > 1").select("root"), "several")
+        nodes = stored(nodes.join(several, "root", "left_semi"), "candidates")
+        digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+        members = source.select(digest.alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(nodes, "digest")
+        # Written before repeats are dropped, so that a text of many rows is split by the join and merged by every task.
+        members = stored(stored(members, "texts").dropDuplicates(["digest"]).select("root", "digest", "text"), "members")
+        return _checked_links(members, shingle, seed, least, checked)
+
+    return _grouped(rows.select("doc_id", F.col("digest").alias("fp")), links_of).withColumnRenamed("fp", "digest")
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:

@@ -152,3 +152,49 @@ def test_similar_texts_are_joined_and_others_stay(spark):
     left = simhash.drop_similar(frame)
     assert left.columns == frame.columns and {r.doc_id for r in left.select("doc_id").collect()} == set(got.values())
     assert simhash.similar_groups(frame.limit(0)).count() == 0
+
+
+def shingles(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similar(rows):
+    """The group of each row: pairs of a Jaccard similarity of 0.8, over all pairs of shingle sets."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_similar_groups_are_those_of_all_pairs_of_shingles(spark):
+    draw = random.Random(9)
+    say = lambda n: [f"w{draw.randint(0, 9000)}" for _ in range(n)]
+    rows = []
+    for k in range(100):
+        n = draw.choice([8, 9, 12, 30, 104, 204, 404])
+        one = say(n)
+        rows.append(" ".join(one))
+        # Cut or replaced endings and middles: similarities from 0.55 to 0.95, many close to 0.8 on both sides.
+        for _ in range(3):
+            cut = max(1, round(n * draw.uniform(0.02, 0.3)))
+            rows.append(" ".join(one[:-cut] + say(draw.choice([0, cut // 2]))))
+    chain = say(240)  # each like the next, the ends unlike
+    rows += [" ".join(chain[k : k + 100]) for k in range(0, 140, 10)]
+    large = say(60)  # a group larger than a block
+    rows += [" ".join([*large, f"end{k}"]) for k in range(50)] + [" ".join(large[: 60 - k]) for k in range(1, 20)]
+    rows = [(3 * k, t) for k, t in enumerate(rows)] + [(9001, None), (9002, ""), (9003, " \t")]
+    root = plain_similar(rows)
+    want = {d: rows[r][0] for (d, _), r in zip(rows, root)}
+    sets = [shingles(t) for _, t in rows]
+    near = [5 * len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(400) for j in range(i)]
+    assert sum(4 <= x < 4.3 for x in near) > 20 and sum(3.5 < x < 4 for x in near) > 20
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(4)
+    for checked in (512, 8):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, tile=64, checked=checked).collect()}
+        assert got == want
