@@ -45,6 +45,38 @@ def most_frequent(frame: DataFrame, n: int, count: str, tie: str) -> list:
     return frame.where(level >= least).orderBy(F.desc(count), tie).limit(n).collect()
 
 
+def rows_kept(docs: DataFrame, run, keeps) -> DataFrame:
+    """The rows of `docs`, with all their columns, for which `keeps` is true; each row is decided on its own.
+
+    `run` turns Arrow batches (doc_id, always null, and text) into batches with a row for each in the same
+    order, and `keeps` turns one of these into a list of booleans.
+    """
+    asked_for = docs.columns.index("text")
+
+    def filtered(batches):
+        from collections import deque
+
+        import pyarrow as pa
+
+        waiting = deque()
+
+        def asked():
+            for batch in batches:
+                waiting.append(batch)
+                nobody, text = pa.nulls(batch.num_rows, pa.int64()), batch.column(asked_for).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([nobody, text], ["doc_id", "text"])
+
+        marks = []
+        for found in run(asked()):
+            marks += keeps(found)
+            while waiting and len(marks) >= waiting[0].num_rows:
+                batch = waiting.popleft()
+                mine, marks = marks[: batch.num_rows], marks[batch.num_rows :]
+                yield batch.filter(pa.array(mine, pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
 def worker_cache() -> dict:
     """A dictionary that a reused Python worker keeps from task to task."""
     import sys

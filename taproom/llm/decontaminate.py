@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproom.llm.common import table, texts
+from taproom.llm.common import rows_kept, table, texts
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
@@ -220,6 +220,15 @@ def _search(blocks, shard_words: int, sample: int):
     return run
 
 
+def _phrases(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
+    context = docs.sparkSession.sparkContext
+    asked = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string"))
+    return [
+        context.broadcast(b)
+        for b in phrase_blocks(((r[0], r[1]) for r in asked.toLocalIterator()), window, block_words)
+    ]
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -235,12 +244,7 @@ def contamination(
     `block_words` words, each broadcast on its own. Other columns are ignored; without items or
     documents nothing is hit.
     """
-    context = docs.sparkSession.sparkContext
-    asked = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string"))
-    blocks = [
-        context.broadcast(b)
-        for b in phrase_blocks(((r[0], r[1]) for r in asked.toLocalIterator()), window, block_words)
-    ]
+    blocks = _phrases(docs, benchmark, window, block_words)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(
         _search(blocks, shard_words, sample),
@@ -257,10 +261,14 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. A null doc_id is kept or
-    dropped with all rows of null doc_id that have a contaminated one among them."""
-    bad = judged(contamination(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that are not contaminated, with all their columns. Every row is decided by its own
+    text, whatever other rows carry its doc_id."""
+
+    def keeps(found):  # as in judged()
+        hit = [sum(s["end"] - s["start"] for s in spans) for spans in found.column("spans").to_pylist()]
+        return [not (h > 0 and 20 * h >= n) for h, n in zip(hit, found.column("n_words").to_pylist())]
+
+    return rows_kept(docs, _search(_phrases(docs, benchmark, WINDOW, BLOCK_WORDS), SHARD_WORDS, SAMPLE), keeps)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taproom.llm.common import most_frequent, stored, table, worker_cache
+from taproom.llm.common import most_frequent, rows_kept, stored, table, worker_cache
 
 PER_LANGUAGE = 4000  # documents of each language that the model is fitted on, about
 MAX_WORDS = 40_000  # words and n-grams the model keeps, the most frequent ones
@@ -264,17 +264,27 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def _fitted(docs: DataFrame) -> dict:
+    return fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """Fit on the documents that are not held out and predict all."""
-    model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    return predict(docs, model).withColumn("held_out", held_out())
+    return predict(docs, _fitted(docs)).withColumn("held_out", held_out())
+
+
+def drop_unidentified(docs: DataFrame, least: float = 0.5, cache_words: int = 200_000) -> DataFrame:
+    """The documents whose language is found with a posterior of at least `least`, with all columns.
+
+    Every row is decided by its own text, whatever other rows carry its doc_id.
+    """
+    unknown = UNKNOWN
 
+    def keeps(found):
+        return [name != unknown and score >= least for name, score in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
 
-def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is found with a posterior of at least `least`, with all columns."""
-    bad = identified(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(_fitted(docs)))
+    return rows_kept(docs, _predict(shared, cache_words), keeps)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_rule_and_digest(spark):
     assert list(got[1].item_ids) == ["10", "9"]
     assert [r.doc_id for r in D.drop_contaminated(d, b).orderBy("doc_id").collect()] == [2, 3]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_contaminated_text_does_not_take_others_of_its_doc_id(spark):
+    w = " ".join(f"w{i}" for i in range(13))
+    docs = [(None, w), (None, "clean"), (None, None), (7, "also clean"), (7, w + " x"), (8, w + " x" * 248)]
+    d = spark.createDataFrame([(*x, 1.5) for x in docs], "doc_id long, text string, more double").repartition(2)
+    left = D.drop_contaminated(d, spark.createDataFrame([(10, w)], "item_id long, text string"))
+    assert left.columns == d.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {x for x in docs if x not in {(None, w), (7, w + " x")}}

@@ -57,3 +57,10 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
     assert got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_a_bad_text_does_not_take_others_of_its_doc_id(spark):
+    frame = spark.createDataFrame([*rows(), (None, "--", "en", 1, "x"), (None, None, "en", 1, "x"), (7, "12", "en", 1, "x")], SCHEMA).repartition(3)
+    left = [(r.doc_id, r.text) for r in langid.drop_unidentified(frame).collect()]
+    kept = [(d, t) for d, t, *_ in rows() if d is None or d < 60]
+    assert set(kept) <= set(left) and not {(None, "--"), (None, None), (7, "12")} & set(left)
