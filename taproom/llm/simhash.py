@@ -361,8 +361,8 @@ def _wide_prints(shingle: int, seed: int, lanes: int, bands: int, band_rows: int
         def keys_of(hashes):
             """A key per band, of the least values of the shingles in its orders."""
             least = np.full(bands * band_rows, 2**64 - 1, np.uint64)
-            for at in range(0, len(hashes), 4096):
-                z = hashes[at : at + 4096, None] * odd + plus
+            for at in range(0, len(hashes), 512):
+                z = hashes[at : at + 512, None] * odd + plus
                 least = np.minimum(least, (z ^ (z >> np.uint64(32))).min(axis=0))
             raw, size = least.tobytes(), 8 * band_rows
             return np.array([xxhash.xxh64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(bands)], np.uint64)
