@@ -523,7 +523,7 @@ def similar_groups(
     which is counted for every pair of a candidate group; shingles are compared by 64-bit hashes. Candidate
     groups are joined by SimHash within the radius among texts that share a MinHash band: a pair at 0.8
     shares none of 32 bands of four with a chance of 5 in 10^8, whatever its length, and lies beyond the
-    radius with 3 in 10^7 at most. Texts without words are one group. Cases are defined as for `near_groups`.
+    radius with 6 in 10^7 at most (bits taken as independent). Texts without words are one group. Cases are defined as for `near_groups`.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     rows = stored(
