@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from taproom.llm import (
     chat_format,
+    collocations,
     decontaminate,
     exact_dedup,
     extract_html,
+    fill_middle,
     langid,
     lbl_scoring,
     packing,
@@ -26,8 +28,12 @@ QUERIES = {
     "op8_preference_format": chat_format.op8,
     "op9_html_main_text": extract_html.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
+    "op11_phrase_collocations": collocations.op11,
+    "op13_fill_in_middle": fill_middle.op13,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_preference_format": chat_format.SQL,
+    "op11_phrase_collocations": collocations.SQL,
+    "op13_fill_in_middle": fill_middle.SQL,
 }
