@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from taproom.llm.common import stored, table
 
 LONGEST = 5
-SHARDS = 4
+SHARDS = 2  # of more shards a phrase is carried on through more steps before its cycle is over
 SLOTS = 1 << 24  # bytes of the slot table that every scan gets, whatever the size of the corpus
 BLOCK_WORDS = 1 << 19  # words of one language that a task encodes and counts at a time; a longer text is one block
 SALTS = 16
@@ -144,30 +144,32 @@ def _count(step: int, shards: int, longest: int, shared, slots: int):
                 counts = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
                 yield from rows(lang, names, 1, np.zeros(len(counts)), counts)
             since = reached(hashes)
-            # Of every phrase that has reached the threshold: place of its first word, number, hash, step.
+            # Of every phrase that has reached the threshold: place of its first word, hash, step.
             at = np.nonzero((ids >= 0) & (since[ids] < NEVER))[0]
-            number, mixed, since = ids[at].astype(np.int64), hashes[ids[at]], since[ids[at]]
+            mixed, since = hashes[ids[at]], since[ids[at]]
             for size in range(2, longest + 1):
                 follows = np.nonzero(np.diff(at) == 1)[0]
                 start = np.maximum(since[follows], since[follows + 1]) + 1
-                follows = follows[start <= step]
+                begun = start <= step
+                follows, start = follows[begun], start[begun]
                 if not len(follows):
                     return
-                start, head = np.maximum(since[follows], since[follows + 1]) + 1, mixed[follows]
-                at = at[follows]
-                last = ids[at + size - 1]
-                code = number[follows] * len(vocabulary) + last
-                _, first, number, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-                open_ = np.nonzero(start[first] > step - shards)[0]
-                if len(open_):
-                    places = at[first[open_]]
-                    phrase = pc.binary_join_element_wise(*[names.take(pa.array(ids[places + i])) for i in range(size)], b" ")
-                    yield from rows(lang, phrase, size, start[first[open_]], counts[open_])
-                hashes_ = _longer(head[first], hashes[last[first]])
-                told = reached(hashes_)
-                keep = told[number] < NEVER
-                at, number = at[keep], number[keep]
-                mixed, since = hashes_[number], told[number]
+                head, at = mixed[follows], at[follows]
+                under_way = start > step - shards
+                if under_way.any():
+                    places, code = at[under_way], ids[at[under_way]].astype(np.int64)
+                    for i in range(1, size):
+                        if i > 1:
+                            _, code = np.unique(code, return_inverse=True)  # keeps the product within 64 bits
+                        code = code * len(vocabulary) + ids[places + i]
+                    _, first, counts = np.unique(code, return_index=True, return_counts=True)
+                    phrase = pc.binary_join_element_wise(*[names.take(pa.array(ids[places[first] + i])) for i in range(size)], b" ")
+                    yield from rows(lang, phrase, size, start[under_way][first], counts)
+                if size < longest:
+                    mixed = _longer(head, hashes[ids[at + size - 1]])
+                    since = reached(mixed)
+                    known = since < NEVER
+                    at, mixed, since = at[known], mixed[known], since[known]
 
         for batch in batches:
             for lang, words, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -240,8 +242,8 @@ def frequent_phrases(
         ).withColumn("reached", F.lit(None).cast("int"))
         if totals is not None:
             counted = counted.unionByName(totals)
-        summed = counted.groupBy("lang", "phrase", "size").agg(
-            F.min("start").alias("start"), F.sum("n").alias("n"), F.min("reached").alias("reached")
+        summed = counted.groupBy("lang", "phrase").agg(
+            F.min("size").alias("size"), F.min("start").alias("start"), F.sum("n").alias("n"), F.min("reached").alias("reached")
         )
         here = F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))
         done = F.col("start") + (shards - 1) <= step
