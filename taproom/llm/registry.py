@@ -11,6 +11,7 @@ from taproom.llm import (
     fill_middle,
     langid,
     lbl_scoring,
+    minhash,
     packing,
     simhash,
     toxicity,
@@ -29,11 +30,13 @@ QUERIES = {
     "op9_html_main_text": extract_html.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
     "op11_phrase_collocations": collocations.op11,
+    "op12_minhash_near_dedup": minhash.op12,
     "op13_fill_in_middle": fill_middle.op13,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_preference_format": chat_format.SQL,
     "op11_phrase_collocations": collocations.SQL,
+    "op12_minhash_near_dedup": minhash.SQL,
     "op13_fill_in_middle": fill_middle.SQL,
 }
