@@ -23,8 +23,10 @@ SHINGLE = 3
 PERCENT = 85
 BANDS, WIDTH = 32, 5  # a pair at 0.85 shares none of 32 bands of five coordinates with a chance of 7 in 10^9
 LEADERS = 3  # rounds in which a bucket is compared with one of its rows
-TILE = 512
-SMALL = 32  # rows of a bucket whose remaining pairs are formed by a join
+TILE = 512  # rows of a side of a tile
+TILE_SHINGLES = 4000  # shingles of a row that a tile of so many rows is made for; longer rows lie in smaller tiles
+COLUMNS = 8192  # columns of an incidence matrix
+SMALL = 8  # rows of a bucket whose remaining pairs are formed by a join
 GROUP_WORDS = 1 << 20  # words sketched at a time; a longer text is a group of its own
 
 
@@ -229,13 +231,43 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _tile(least: int):
-    """Pairs of a tile, (id, comp, marks, left), that lie in different components and have enough equal coordinates."""
+def _common(one, two, owner, code):
+    """Numbers of common codes (one x two) of sets given as pairs (owner, code), by products of incidence matrices."""
+    import numpy as np
+
+    _, code, held = np.unique(code, return_inverse=True, return_counts=True)
+    shared = held[code] > 1
+    _, code = np.unique(code[shared], return_inverse=True)
+    owner, order = owner[shared], np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    row = np.full((2, max(one.max(), two.max()) + 1), -1)
+    row[0, one], row[1, two] = np.arange(len(one)), np.arange(len(two))
+    out = np.zeros((len(one), len(two)), np.int64)
+    for begin in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        part = slice(*np.searchsorted(code, [begin, begin + COLUMNS]))
+        found = []
+        for side, n in ((0, len(one)), (1, len(two))):
+            at = row[side, owner[part]]
+            matrix = np.zeros((n, COLUMNS), np.float32)
+            matrix[at[at >= 0], code[part][at >= 0] - begin] = 1
+            found.append(matrix)
+        out += np.rint(found[0] @ found[1].T).astype(np.int64)
+    return out
+
+
+def _tile(least: int, size: int, percent: int):
+    """Links of a tile, (id, comp, marks, words, left), that join different components, confirmed on the whole sets.
+
+    Rows of the left side meet the others; links within what these links have joined already are left out.
+    """
 
     def run(rows):
+        from collections import defaultdict
+
         import numpy as np
         import pyarrow as pa
 
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         left = np.array(rows.column("left").to_pylist(), bool)
         ids, comp = (rows.column(c).to_numpy() for c in ("id", "comp"))
         marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -243,9 +275,41 @@ def _tile(least: int):
         equal = np.zeros((len(one), len(two)), np.int16)
         for i in range(marks.shape[1]):
             equal += marks[one, i][:, None] == marks[two, i][None, :]
-        x, y = np.nonzero((equal >= least) & (comp[one][:, None] != comp[two][None, :]))
-        a, b = ids[one[x]], ids[two[y]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        near = (equal >= least) & (comp[one][:, None] != comp[two][None, :])
+        rows_, columns = near.any(axis=1), near.any(axis=0)
+        if not rows_.any():
+            return none
+        one, two, near = one[rows_], two[columns], near[rows_][:, columns]
+        needed = np.zeros(len(ids), bool)
+        needed[one] = needed[two] = True
+        words = [w.split(b" ") if n else [] for w, n in zip(rows.column("words").to_pylist(), needed)]
+        known = defaultdict()
+        known.default_factory = lambda: len(known) + 1
+        lengths = np.array([len(w) for w in words], np.int64)
+        owner, _, code, sizes = shingle_codes(
+            np.fromiter((known[x] for w in words for x in w), np.int64, int(lengths.sum())), lengths, size
+        )
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        first = np.ones(len(code), bool)
+        first[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        both = _common(one, two, owner[first], code[first])
+        near &= 100 * both >= percent * (sizes[one][:, None] + sizes[two][None, :] - both)
+        root, out = {}, []
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for x, y in zip(*(v.tolist() for v in np.nonzero(near))):
+            x, y = one[x], two[y]
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b:
+                root[a] = b
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -271,35 +335,48 @@ def _open(near: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(open_.where("lo < hi AND n > 2").select("key"), "key")
 
 
-def _rest(rows: DataFrame, classes: DataFrame, least: int, tile: int, small: int) -> DataFrame:
-    """All pairs (a, b) of different components within a bucket that may be similar.
+def _rest(rows: DataFrame, classes: DataFrame, normal: DataFrame, linked, least: int, size: int, percent: int, tile: int, small: int) -> DataFrame:
+    """Links (a, b) that join what is still apart, out of all pairs of the buckets.
 
-    Small buckets are joined with themselves. In large ones all rows outside the largest component meet all rows,
-    tile by tile, on a byte a coordinate; only pairs that pass become rows.
+    Small buckets are joined with themselves. Large ones that share rows form a group; all its rows outside
+    the group's largest component meet all its rows once, tile by tile, and only links leave a tile.
     """
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("most"))
-    sized = stored(rows.join(sizes, "key"), "open")
+    sized = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")), "key"), "open")
     few = sized.where(F.col("n") <= small)
     pairs = few.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")).join(
         few.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key"
     ).where("x < y AND cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    passed = _sided(pairs, classes, "marks").mapInArrow(_alike(least), "a long, b long")
+    met = linked(_sided(pairs, classes, "marks").mapInArrow(_alike(least), "a long, b long"))
     many = sized.where(F.col("n") > small)
-    lefts, rights = F.ceil((F.col("n") - F.col("most")) / tile).cast("int"), F.ceil(F.col("n") / tile).cast("int")
+    groups = components(many.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    held = many.select("id", "comp").distinct().join(groups.select(F.col("node").alias("id"), F.col("root").alias("grp")), "id")
+    held = stored(held.join(classes.select("id", "n_shingles"), "id"), "groups")
+    sizes = held.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.groupBy("grp").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("top"),
+        *[(F.sum(c) - F.max_by(c, F.struct("n", "comp"))).alias(f"rest_{c}") for c in ("n", "w")],
+        *[F.sum(c).alias(f"all_{c}") for c in ("n", "w")],
+    ).where("rest_n > 0")
+    lefts, rights = (
+        F.greatest(F.ceil(F.col(f"{side}_n") / tile), F.ceil(F.col(f"{side}_w") / (tile * TILE_SHINGLES))).cast("int")
+        for side in ("rest", "all")
+    )
+    sizes = sizes.select("grp", "top", lefts.alias("lefts"), rights.alias("rights"))
+    held = held.join(sizes, "grp").join(classes.select("id", "marks"), "id").join(normal, "id")
 
     def dealt(seed, pieces):
         return F.pmod(F.xxhash64("id", F.lit(seed)), pieces).cast("int")
 
-    left = many.where("comp <> top").select(
-        "key", "id", "comp", F.lit(True).alias("left"), dealt(1, lefts).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j")
+    left = held.where("comp <> top").select(
+        "grp", "id", "comp", "marks", "words", F.lit(True).alias("left"),
+        dealt(1, F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
     )
-    right = many.select(
-        "key", "id", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), dealt(2, rights).alias("j")
+    right = held.select(
+        "grp", "id", "comp", "marks", "words", F.lit(False).alias("left"),
+        F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), dealt(2, F.col("rights")).alias("j"),
     )
-    tiles = left.unionByName(right).join(classes.select("id", "marks"), "id")
-    met = tiles.groupBy("key", "i", "j").applyInArrow(_tile(least), "a long, b long")
-    return passed.unionByName(met).distinct()
+    tiles = left.unionByName(right).groupBy("grp", "i", "j").applyInArrow(_tile(least, size, percent), "a long, b long")
+    return met.unionByName(stored(tiles, "links"))
 
 
 def similar_sets(
@@ -329,7 +406,7 @@ def similar_sets(
     # The ids are those of the written table, so they hold for all that reads it.
     classes = stored(
         sketched.where("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
         .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
@@ -365,7 +442,7 @@ def similar_sets(
         if not links.isEmpty():
             labels = joined(links)
     rest = _open(near, labels) if labels is not None else near.withColumn("comp", F.col("id"))
-    links = linked(_rest(rest, classes, least, tile, small))
+    links = _rest(rest, classes, normal, linked, least, size, percent, tile, small)
     if not links.isEmpty():
         labels = joined(links)
     named = classes.select("id", "digest", "rep")
@@ -402,9 +479,9 @@ WITH RECURSIVE texts AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), links AS (
   SELECT p.x, p.y
-  FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
   JOIN sizes s ON s.doc_id = p.x JOIN sizes t ON t.doc_id = p.y
-  WHERE 100 * both >= 85 * (s.n + t.n - both)
+  WHERE 100 * shared >= 85 * (s.n + t.n - shared)
 ), reach AS (
   SELECT doc_id, doc_id AS root FROM texts
   UNION
