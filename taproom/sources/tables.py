@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom.operators import quality
 from taproom.operators.canonical import chunk_id
-from taproom.sources import schemas
+from taproom.sources import known_ids, schemas
 
-ID_BUCKETS = 32  # folders a log is laid out in by the hash of its ids
+FILE_ROWS = 250_000  # rows of a file of a log, about
 BUCKET_ROWS = 250_000  # rows of the evidence table in one folder, about
 
 
@@ -71,24 +70,29 @@ def once(rows: DataFrame, key: str, order: str) -> DataFrame:
     return first.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
-def append_once(rows: DataFrame, path: str, key: str, name: str, buckets: int = ID_BUCKETS) -> None:
+def append_once(rows: DataFrame, path: str, key: str, name: str) -> None:
     """Add the rows whose key the log at `path` does not hold yet, under the folder `name`.
 
-    The log is laid out by a hash of the key, so the comparison reads ids of the rows' buckets only. What
-    an earlier attempt wrote under the same name is replaced and not compared with.
+    Bloom filters beside the log tell which keys it may hold; only the folders they point at are read, to decide
+    exactly. What an earlier attempt wrote under the same name is replaced and not compared with.
     """
     spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    fresh = rows.withColumn("idBucket", bucket)
+    rows = rows.persist()
     try:
-        known = spark.read.schema(f"{key} string, batch string, idBucket int").parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    else:
-        known = known.where(F.col("batch") != name).select("idBucket", key)
-        fresh = fresh.join(known, ["idBucket", key], "left_anti")
-    fresh.select(*rows.columns, "idBucket").write.mode("overwrite").partitionBy("idBucket").parquet(f"{path}/batch={name}")
+        n = rows.count()
+        known_ids.merge_levels(spark, key, path, name)
+        known = known_ids.known(rows.select(key), key, path, name)
+        fresh = rows if known is None else rows.join(known, key, "left_anti")
+        known_ids.announce(rows.select(key), key, path, name, n)
+        buckets = known_ids.folders(n)
+        placed = fresh.withColumn("idBucket", known_ids.folder_of(key, buckets))
+        # The files of a bucket follow the size of the batch, not the number of tasks that found its rows.
+        files = 1 + n // (buckets * FILE_ROWS)
+        deal = F.pmod(F.xxhash64(F.lit(4), key), F.lit(files))
+        placed = placed.coalesce(1) if buckets * files == 1 else placed.repartition(buckets * files, F.col("idBucket"), deal)
+        placed.write.mode("overwrite").partitionBy("idBucket").parquet(f"{path}/batch={name}")
+    finally:
+        rows.unpersist()
 
 
 def append_feedback(events: DataFrame, path: str) -> None:
