@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom.functions import text
 from taproom.operators import overlay
-from taproom.sources import tables
+from taproom.sources import hash_table, tables
 
 TEXT_LIMITS = {
     "venueId": 100, "query": 500, "sessionId": 100, "requestId": 100, "rankingVersion": 100,
@@ -90,78 +89,26 @@ def current_labels(events: DataFrame) -> DataFrame:
 
 
 RATING_KEY = ("userId", "venueId")
-RATING_BUCKETS = 32
 
 
 def rating_table(spark: SparkSession, table: str) -> DataFrame | None:
     """The current ratings, or None before the first write."""
-    manifest = _manifest(spark, table)
-    if not manifest:
-        return None
-    return spark.read.option("basePath", table).parquet(*[f"{table}/{part}" for part in manifest.values()]).drop(
-        "version", "bucket"
-    )
-
-
-def _entries(spark: SparkSession, table: str, before: str | None) -> DataFrame | None:
-    try:
-        rows = spark.read.schema("seq long, writer string, bucket int, part string").json(f"{table}/manifest-*")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    return rows if before is None else rows.where(F.col("writer") != before)
-
-
-def _last(spark: SparkSession, table: str, before: str) -> int:
-    rows = _entries(spark, table, before)
-    return 0 if rows is None else rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    rows = hash_table.current(spark, table)
+    return None if rows is None else rows.drop("bucket")
 
 
-def _manifest(spark: SparkSession, table: str, before: str | None = None) -> dict[int, str]:
-    """Folder of every bucket's current version: the newest manifest, or the newest not of `before`."""
-    rows = _entries(spark, table, before)
-    if rows is None:
-        return {}
-    # One row per bucket and version that was kept: a bounded number.
-    newest = rows.groupBy("bucket").agg(F.max_by("part", "seq").alias("part"))
-    return {r["bucket"]: r["part"] for r in newest.collect()}
+def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str, capacity: int = hash_table.CAPACITY):
+    """Fold each micro-batch of ratings into a table laid out by extendible hashing.
 
-
-def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str, buckets: int = RATING_BUCKETS):
-    """Fold each micro-batch of ratings into a bucketed parquet table.
-
-    A batch rewrites only the buckets its keys fall in, each into a new folder, and then adds a manifest
-    that names them; readers take the newest folder of each bucket. A batch that runs again starts
-    from the manifests of the others, and a stream with a new checkpoint goes on from the table as it is.
+    A batch rewrites only the buckets its keys fall in, and a bucket holds at most about `capacity` rows however
+    large the table grows. A batch that runs again starts from the version before its own, and a stream with a new
+    checkpoint goes on from the table as it is.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        writer = f"{_stream_id(spark, checkpoint)}-{batch_id}"
-        bucket = F.pmod(F.xxhash64(*RATING_KEY), F.lit(buckets)).cast("int")
-        fresh = overlay.latest_rating_per_key(batch).persist()
-        try:
-            touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]
-            if not touched:
-                return
-            current = _manifest(spark, table, before=writer)
-            known = [f"{table}/{current[b]}" for b in touched if b in current]
-            rows = fresh
-            if known:
-                previous = spark.read.schema(fresh.schema).parquet(*known)
-                rows = overlay.merge_ratings(previous, fresh)
-            version = f"version={writer}"
-            (
-                rows.withColumn("bucket", bucket).repartition("bucket", F.xxhash64(*RATING_KEY) % 8)
-                .write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/{version}")
-            )
-        finally:
-            fresh.unpersist()
-        seq = 1 + _last(spark, table, writer)
-        lines = [(seq, writer, b, f"{version}/bucket={b}") for b in touched]
-        manifest = spark.createDataFrame(lines, "seq long, writer string, bucket int, part string")
-        manifest.coalesce(1).write.mode("overwrite").json(f"{table}/manifest-{writer}")
+        writer = f"{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        fresh = overlay.latest_rating_per_key(batch)
+        hash_table.upsert(fresh, table, RATING_KEY, overlay.merge_ratings, writer, capacity)
 
     return (
         stream.writeStream.foreachBatch(fold)
