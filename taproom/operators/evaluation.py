@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproom.operators.skew import with_row
+from taproom.session import cut
 
 CUTOFFS = (1, 3, 5, 10, 20)
 
@@ -279,12 +280,77 @@ def binary_metrics(frame: DataFrame, label: str, score: str) -> DataFrame:
     return area.transform(with_row, simple)
 
 
-def latency_summary(frame: DataFrame, value: str, group: str | None = None) -> DataFrame:
+LINES = 1024  # value ranges a group is counted in, and rows of a range that are put in order
+
+
+def order_statistics(rows: DataFrame, wanted: DataFrame, lines: int = LINES) -> DataFrame:
+    """(g, rank, v): the value of each wanted rank (from 0) of a group, exact, for rows (g, v) with finite v.
+
+    `wanted` has g, rank, and n, lo, hi: rows, least and greatest value of the group. Each round counts the rows
+    of the open ranges in `lines` parts and goes on with the part that holds the rank, so a task holds that many
+    lines a group, however many rows the group has. A part of few rows is put in order, one of equal values is done.
+    """
+    open_ = wanted.select("g", "rank", F.col("rank").alias("place"), "n", "lo", "hi")
+    found = None
+
+    def within(ranges: DataFrame) -> DataFrame:
+        named = ranges.withColumnRenamed("g", "_g")
+        return rows.join(named, F.col("g").eqNullSafe(F.col("_g")) & F.col("v").between(F.col("lo"), F.col("hi")))
+
+    while True:
+        open_ = cut(open_)
+        small = within(open_.where((F.col("lo") < F.col("hi")) & (F.col("n") <= lines)))
+        order = Window.partitionBy("g", "rank").orderBy("v")
+        placed = small.withColumn("_at", F.row_number().over(order) - 1).where("_at = place").select("g", "rank", "v")
+        done = open_.where("lo = hi").select("g", "rank", F.col("lo").alias("v")).unionByName(placed)
+        found = done if found is None else found.unionByName(done)
+        large = open_.where((F.col("lo") < F.col("hi")) & (F.col("n") > lines))
+        if large.isEmpty():
+            return found
+        # Halved, so that no difference overflows; the part rises with the value, from the first to the last.
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        parts = within(large).withColumn("part", F.least(F.floor(share * lines), F.lit(lines - 1)))
+        counts = parts.groupBy("g", "rank", "place", "part").agg(
+            F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        below = F.sum("n").over(Window.partitionBy("g", "rank").orderBy("part")) - F.col("n")
+        inside = counts.withColumn("_below", below).where("_below <= place AND place < _below + n")
+        open_ = inside.select("g", "rank", (F.col("place") - F.col("_below")).alias("place"), "n", "lo", "hi")
+
+
+def percentiles(frame: DataFrame, value: str, group: str | None, shares: dict[str, float], lines: int = LINES) -> DataFrame:
+    """g and one column per share: exact percentiles, linear between neighbours; null values are left out."""
+    key = F.col(group) if group else F.lit(0)
+    rows = frame.select(key.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    sizes = cut(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+
+    def place(p: float) -> Column:
+        return (F.col("n") - 1) * F.lit(p)
+
+    ranks = F.array_distinct(F.concat(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in shares.values()]))
+    found = order_statistics(rows, sizes.select("*", F.explode(ranks).alias("rank")), lines)
+    values = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def between(p: float) -> Column:
+        low, high = F.floor(place(p)), F.ceil(place(p))
+        a, b = F.try_element_at("at", low), F.try_element_at("at", high)
+        return F.when(low == high, a).otherwise((high - place(p)) * a + (place(p) - low) * b)
+
+    named = values.withColumnRenamed("g", "_g")
+    both = sizes.join(named, F.col("g").eqNullSafe(F.col("_g")))
+    return both.select("g", *[between(p).alias(name) for name, p in shares.items()])
+
+
+def latency_summary(frame: DataFrame, value: str, group: str | None = None, lines: int = LINES) -> DataFrame:
     """count, median, 95th percentile (linear between neighbours) and maximum."""
-    grouped = frame.groupBy(group) if group else frame.groupBy()
-    return grouped.agg(
-        F.count(value).alias("requests"),
-        F.round(F.percentile(value, 0.5), 2).alias("median"),
-        F.round(F.percentile(value, 0.95), 2).alias("p95"),
-        F.round(F.max(value), 2).alias("maximum"),
+    keys = [F.col(group).alias("g")] if group else [F.lit(0).alias("g")]
+    simple = frame.select(*keys, F.col(value).alias("v")).groupBy("g").agg(
+        F.count("v").alias("requests"), F.round(F.max("v"), 2).alias("maximum")
     )
+    if not group:
+        empty = frame.agg(F.count(value).alias("requests"), F.round(F.max(value), 2).alias("maximum"))
+        simple = empty.withColumn("g", F.lit(0))
+    inner = percentiles(frame, value, group, {"median": 0.5, "p95": 0.95}, lines).withColumnRenamed("g", "_g")
+    joined = simple.join(inner, F.col("g").eqNullSafe(F.col("_g")), "left")
+    named = [F.col("g").alias(group)] if group else []
+    return joined.select(*named, "requests", F.round("median", 2).alias("median"), F.round("p95", 2).alias("p95"), "maximum")

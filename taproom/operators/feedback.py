@@ -153,35 +153,49 @@ def readiness(examples: DataFrame) -> DataFrame:
     )
 
 
+WORD = 62  # tries a long holds the bits of
+
+
 def grouped_split(
     examples: DataFrame, share: float = 0.3, tries: int = 100, seed: int = 42
 ) -> DataFrame | None:
     """Mark whole request groups as test until both sides hold both labels.
 
-    Labels are first reduced to one row per group; every try is then judged in one aggregate over
-    that table, and the first good seed is used. None if there are not two groups or no try is good.
+    Labels are first reduced to one row per group. A group's tries are bits, set where it is test, so one aggregate
+    over the groups judges all tries at once, and the first good seed is used. None if no try is good.
     """
     groups = examples.groupBy("queryGroup").agg(
         F.max("label").alias("hi"), F.min("label").alias("lo")
     )
-    if groups.limit(2).count() < 2:
-        return None
     parts = 1_000_000
-    tried = groups.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + tries - 1))))
-    # A group is test when its hash falls in the first share of the range: nothing is sorted.
-    part = F.pmod(F.xxhash64("queryGroup", "seed"), F.lit(parts))
-    placed = tried.withColumn("isTest", part < int(share * parts))
-    sides = placed.groupBy("seed", "isTest").agg(
-        F.max("hi").alias("hi"), F.min("lo").alias("lo")
-    )
-    good = sides.groupBy("seed").agg(
-        F.count("*").alias("n"), F.min(F.col("hi") - F.col("lo")).alias("both")
-    )
-    first = good.where((F.col("n") == 2) & (F.col("both") == 1)).agg(F.min("seed").alias("seed"))
-    chosen = placed.join(first, "seed").select("queryGroup", "isTest")
-    if first.first()["seed"] is None:
-        return None
-    return examples.join(chosen, "queryGroup")
+
+    def is_test(at) -> Column:
+        # A group is test when its hash falls in the first share of the range: nothing is sorted.
+        return F.pmod(F.xxhash64(F.col("queryGroup"), at), F.lit(parts)) < int(share * parts)
+
+    def with_bit(first: int):
+        one = F.lit(1).cast("long")
+        return lambda seen, i: seen + F.when(is_test(i + F.lit(seed + first)), F.call_function("shiftleft", one, i)).otherwise(0)
+
+    words = range(0, tries, WORD)
+    masks, judged = [], []
+    for number, first in enumerate(words):
+        size = min(WORD, tries - first)
+        bits = F.sequence(F.lit(0), F.lit(size - 1))
+        mask = F.aggregate(bits, F.lit(0).cast("long"), with_bit(first))
+        masks.append(mask.alias(f"m{number}"))
+        test, train = F.col(f"m{number}"), F.lit((1 << size) - 1).bitwiseXOR(F.col(f"m{number}"))
+        liked, disliked = F.col("hi") == 1, F.col("lo") == 0
+        sides = [F.coalesce(F.bit_or(F.when(has, side)), F.lit(0).cast("long")) for side in (test, train) for has in (liked, disliked)]
+        judged.append(sides[0].bitwiseAND(sides[1]).bitwiseAND(sides[2]).bitwiseAND(sides[3]).alias(f"m{number}"))
+    good = groups.select("hi", "lo", *masks).agg(*judged).first()
+    for first, word in zip(words, good):
+        if word:
+            chosen = seed + first + (word & -word).bit_length() - 1
+            return examples.select(
+                "queryGroup", *[c for c in examples.columns if c != "queryGroup"], is_test(F.lit(chosen)).alias("isTest")
+            )
+    return None
 
 
 def not_available(spark: SparkSession, reason: str) -> tuple[DataFrame, DataFrame]:
