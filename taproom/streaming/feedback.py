@@ -57,7 +57,7 @@ def ingest(stream: DataFrame, venues: DataFrame, target: str, rejects: str, chec
     """Start the ingest: every event lands exactly once, in the log or among the rejects.
 
     There is no watermark: however late an event comes, it is kept, and however late it comes again, it
-    is known, since each micro-batch is compared with the stored ids of its hash buckets. A micro-batch
+    is known: Bloom filters beside the log tell where its id may lie, and those folders decide. A micro-batch
     that runs again replaces what it wrote.
     """
 
