@@ -117,18 +117,18 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, block_bytes: int = BLOCK_B
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows of one document leave one row."""
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.hex("digest").alias("_keep_digest")
-    )
-    # Rows of one doc_id lie together after the join, so dropping repeats needs no further shuffle.
-    digest = F.upper(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]", ""), 256))
-    return (
-        docs.withColumn("_digest", digest)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
-        .dropDuplicates(["doc_id", "_digest"])
-        .select(*docs.columns)
-    )
+    """The documents that stay, with all their columns, whatever those are called.
+
+    Of equal texts the row with the most code points stays, then that of the smallest doc_id; of rows alike
+    in both, one. A null doc_id loses every tie of length.
+    """
+    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]", ""), 256))
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    # One key, compared with its nulls: rows of a key lie together after the join, so dropping repeats shuffles nothing.
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), length.alias("n_points"), digest.alias("digest"))
+    kept = exact_groups(docs).where("kept").select(F.struct("doc_id", "n_points", "digest").alias("key"))
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

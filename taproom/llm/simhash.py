@@ -287,20 +287,26 @@ def near_groups(
     unless it has no other. Repeated rows are all returned; an empty table gives an empty result.
     The keys are exact for a radius of at most three.
     """
+    _exact_radius(radius)
+    rows = stored(fingerprints(docs, shingle, seed), "fingerprints")
+    return rows.join(_classes(rows, lambda prints: close_links(prints, radius, tile)).drop("root"), "fp").select(
+        "doc_id", "fp", "component_id"
+    )
+
+
+def _exact_radius(radius: int) -> None:
     if radius > 3:
         raise ValueError("the candidate keys are exact up to a radius of three")
-    rows = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    return _grouped(rows, lambda prints: close_links(prints, radius, tile))
 
 
-def _grouped(rows: DataFrame, links_of) -> DataFrame:
-    """doc_id, fp, component_id of stored (doc_id, fp) rows, with the links between distinct prints."""
+def _classes(rows: DataFrame, links_of) -> DataFrame:
+    """fp, root (a print that names its group) and component_id of stored rows doc_id, fp, with the links
+    between distinct prints."""
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = components(links_of(prints.select("fp"))).withColumnRenamed("node", "fp")
     tied = prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(tied.groupBy("root").agg(F.min("first").alias("component_id")), "names")
-    classes = stored(tied.join(named, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return stored(tied.join(named, "root").select("fp", "root", "component_id"), "classes")
 
 
 # Similar texts: their distinct shingles have a Jaccard similarity of four fifths or more. Candidates share a
@@ -525,6 +531,12 @@ def similar_groups(
     shares none of 32 bands of four with a chance of 5 in 10^8, whatever its length, and lies beyond the
     radius with 6 in 10^7 at most (bits taken as independent). Texts without words are one group. Cases are defined as for `near_groups`.
     """
+    rows, classes = _similar_classes(docs, shingle, seed, least, radius, lanes, bands, band_rows, tile, checked)
+    return rows.join(classes, F.col("digest") == F.col("fp")).select("doc_id", "digest", "component_id")
+
+
+def _similar_classes(docs, shingle, seed, least, radius, lanes, bands, band_rows, tile, checked):
+    """Stored rows doc_id, digest, and the classes of these digests (as fp)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     rows = stored(
         source.mapInArrow(
@@ -546,29 +558,60 @@ def similar_groups(
         members = stored(stored(members, "texts").dropDuplicates(["digest"]).select("root", "digest", "text"), "members")
         return _checked_links(members, shingle, seed, least, checked)
 
-    return _grouped(rows.select("doc_id", F.col("digest").alias("fp")), links_of).withColumnRenamed("fp", "digest")
+    texts_of = rows.select("doc_id", "digest")
+    return texts_of, _classes(texts_of.withColumnRenamed("digest", "fp"), links_of)
 
 
-def drop_similar(docs: DataFrame, **options) -> DataFrame:
-    """Of each group of similar texts the document with the smallest doc_id, with all its columns.
+def drop_similar(
+    docs: DataFrame,
+    shingle: int = 5,
+    seed: int = SEED,
+    least: tuple = SIMILAR,
+    radius: int = SIMILAR_RADIUS,
+    lanes: int = LANES,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
+    tile: int = TILE,
+    checked: int = CHECKED,
+) -> DataFrame:
+    """One row of each group of similar texts, with all its columns: see `_first_of`."""
+    rows, classes = _similar_classes(docs, shingle, seed, least, radius, lanes, bands, band_rows, tile, checked)
+    return _first_of(docs, rows.withColumn("fp", F.col("digest")), classes)
 
-    Rows with a null doc_id stay only if no row of their group has one.
-    """
-    return _first_of(docs, similar_groups(docs, **options))
 
+def drop_near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, tile: int = TILE
+) -> DataFrame:
+    """One row of each group of near copies, with all its columns: see `_first_of`."""
+    _exact_radius(radius)
+    source = docs.select(_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = source.select(F.struct("doc_id", "digest").alias("who"), "text")
+    rows = named.mapInArrow(_fingerprints(shingle, seed), "doc_id struct<doc_id: bigint, digest: binary>, fp long")
+    rows = stored(rows.select("doc_id.doc_id", "doc_id.digest", "fp"), "fingerprints")
+    return _first_of(docs, rows, _classes(rows.select("doc_id", "fp"), lambda prints: close_links(prints, radius, tile)))
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """Of each group the document with the smallest doc_id, with all its columns.
 
-    Rows with a null doc_id stay only if no row of their group has one.
-    """
-    return _first_of(docs, near_groups(docs, **options))
+def _digest():
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
-def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+def _first_of(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each group one row: that of the smallest doc_id, then of the smallest SHA-256 of its text.
+
+    Every row is judged by its id and its own text, so rows that share a doc_id, or have none, may lie in
+    different groups. A null doc_id stays only if no row of its group has one. Rows alike in id and text are
+    one. `rows` are doc_id, digest and fp; the columns of `docs` may have any names.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    # Equal keys are merged by every task before they meet their group, so hot texts stay small.
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("best"))
+    best = distinct.join(classes, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = best.select(F.struct("best.doc_id", "best.digest").alias("key"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
+    return (
+        docs.select(key.alias("key"), F.struct("*").alias("row"))
+        .join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    )
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,5 +52,23 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert left.count() == len({re.sub("[\x20\x09-\x0d]", "", t or "") for _, t in ROWS})
 
 
+def test_drop_copies_keeps_the_row_that_wins(spark):
+    rows = [(3, "ab"), (3, "a  b"), (4, "a b"), (None, "a   b"), (None, "x"), (5, "x"), (None, "lone"), (None, "other"), (7, None), (6, " ")]
+    best = {}
+    for doc, text in rows:
+        key = re.sub("[\x20\x09-\x0d]", "", text or "")
+        rank = (-len(text or ""), doc is None, doc or 0)
+        best[key] = min(best.get(key, (rank, doc, text)), (rank, doc, text), key=lambda x: x[0])
+    want = sorted(((d, t) for _, d, t in best.values()), key=repr)
+    names = "doc_id long, text string, _digest string, _keep_id long, key string, row int, n_points int"
+    docs = spark.createDataFrame([(*r, "mine", 9, "k", 1, 2) for r in rows + rows], names).repartition(3)
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == want
+    assert {(r._digest, r._keep_id, r.key, r.row, r.n_points) for r in got} == {("mine", 9, "k", 1, 2)}
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     assert groups(frame(spark, [])) == []

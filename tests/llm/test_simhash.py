@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -198,3 +199,25 @@ def test_similar_groups_are_those_of_all_pairs_of_shingles(spark):
     for checked in (512, 8):
         got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, tile=64, checked=checked).collect()}
         assert got == want
+
+
+def test_one_row_of_each_group_is_left_whatever_its_id(spark):
+    draw = random.Random(5)
+    say = lambda n: [f"w{draw.randint(0, 9000)}" for _ in range(n)]
+    one, two, lone, pair = say(200), say(200), say(200), say(200)
+    near = lambda words, k: " ".join([*words[:-1], f"end{k}"])
+    rows = [(1, near(one, 0)), (None, near(one, 1)), (5, near(one, 2)), (7, near(two, 0)), (None, near(two, 1)), (None, near(two, 2))]
+    rows += [(None, " ".join(lone)), (5, " ".join(say(50))), (None, near(pair, 1)), (None, near(pair, 2)), (9, None), (None, ""), (9, "")]
+    names = "doc_id long, text string, _keep long, key string, row int, fp string, root int, digest int"
+    docs = spark.createDataFrame([(*r, 3, "k", 1, "f", 2, 4) for r in rows + rows[:8]], names).repartition(3)
+    mark = lambda doc, text: (doc is None, doc or 0, hashlib.sha256((text or "").encode()).digest())
+    for drop, group in ((simhash.drop_similar, plain_similar(rows)), (simhash.drop_near_copies, plain_groups([plain_print(t) for _, t in rows]))):
+        best = {}
+        for row, g in zip(rows, group):
+            best[g] = min(best.get(g, mark(*row)), mark(*row))
+        left = drop(docs)
+        assert left.columns == docs.columns
+        got = left.collect()
+        assert sorted(mark(r.doc_id, r.text) for r in got) == sorted(best.values())
+        assert {(r._keep, r.key, r.row, r.fp, r.root, r.digest) for r in got} == {(3, "k", 1, "f", 2, 4)}
+    assert simhash.drop_similar(docs.limit(0)).count() == simhash.drop_near_copies(docs.limit(0)).count() == 0
