@@ -1,9 +1,9 @@
 """Cleaning pipeline over the documents; each stage reads what the one before it wrote.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the
-last return the columns of the documents; the last returns the packed pieces. Rows are judged by their
-own text; of the rows of one doc_id the near-copy stage keeps all or none. Null texts have no language, so
-the first stage drops them.
+last return the columns of the documents; the last returns the packed pieces. Every row is judged by its
+own text, whatever other rows share its doc_id or have none; a null doc_id stays only where no row of its
+group has an id. Null texts have no language, so the first stage drops them.
 """
 
 from __future__ import annotations
