@@ -18,7 +18,7 @@ from taproom.llm.common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(
     "script style noscript template head title svg math iframe object audio video canvas select option "
-    "textarea button datalist form dialog map frameset noframes".split()
+    "textarea button label datalist map frameset noframes".split()
 )
 RAW = frozenset("script style noscript template textarea title iframe noframes svg math".split())
 INLINE = frozenset(
@@ -28,7 +28,7 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("div section main article td body span".split())
 # Words in tags, classes, ids and roles that tell a container's part.
-BOILER_TAGS = frozenset("nav footer aside menu".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment "
@@ -40,38 +40,116 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main maintext post prose story text".split())
 
-MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*(?:>|\Z|(?=<))",
-    re.S,
+# Of these, words that never name a wrapper around a whole page.
+FIRM_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments consent cookie cookies copyright disqus gdpr "
+    "newsletter notice replies reply respond sponsored trackback".split()
 )
+# Words that make a class of a section tell what the page has, not what the section is ("has-sidebar").
+STATE_WORDS = frozenset("has with without no not open closed enabled disabled layout".split())
+# What the hints of a block mean.
+CONTENT, NEITHER, BOILER, SILENCE, FORM, NAMED_BOILER = 1, 0, -1, -2, -3, -4
+
+SPECIAL = re.compile("[\"'>]")
+BROKEN = re.compile("[^<>]*>?")
+OPENED = re.compile("[a-zA-Z][^\\s/>]*")
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+RAW_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in sorted(RAW)}
+ITEMS = ("dt", "dd", "li", "td", "th")
+# Open elements that the start of another one ends.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 def container(tag: str, attributes: str, inside_content: bool) -> int:
-    """1 for a container of content, -1 of boilerplate, -2 for one that shows no text, 0 for neither."""
+    """What kind of container an element opens: one of the hints above.
+
+    Every word of class, id and role counts as a whole: it names boilerplate if a part of it does, content
+    if none does but a part names content. Words of both kinds leave the element to its text.
+    """
     if tag in SILENT:
-        return -2
-    words, hidden = set(), False
+        return SILENCE
+    words, hidden = [], False
     if attributes:
         for name, value in NAMED.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in PIECES.findall(value))
+                words += [{w.lower() for w in PIECES.findall(x)} for x in value.split()]
             elif name == "style":
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             else:
                 hidden |= value.lower() != "false" if name == "aria-hidden" else name == "hidden"
-    if hidden and tag not in ("html", "body"):
-        return -2
     if tag in ("html", "body"):
-        return 0
-    if tag in BOILER_TAGS or tag == "header" and not inside_content or words & BOILER_WORDS and tag not in CONTENT_TAGS:
-        return -1
-    return 1 if tag in CONTENT_TAGS or tag in SECTIONS and words & CONTENT_WORDS else 0
+        return NEITHER
+    if hidden:
+        return SILENCE
+    if tag in BOILER_TAGS or tag == "header" and not inside_content:
+        return BOILER
+    if tag in CONTENT_TAGS:
+        return CONTENT
+    if tag in SECTIONS:
+        words = [w for w in words if not w & STATE_WORDS]
+    boiler = any(w & BOILER_WORDS for w in words)
+    content = tag in SECTIONS and any(w & CONTENT_WORDS and not w & BOILER_WORDS for w in words)
+    if boiler or content:
+        firm = any(w & FIRM_WORDS for w in words)
+        return NEITHER if boiler and content else BOILER if firm else NAMED_BOILER if boiler else CONTENT
+    return FORM if tag == "form" else NEITHER
+
+
+def markup(page: str):
+    """Pieces of a page in order: (text before, closing, tag, attributes, end); tag is None for what is no element.
+
+    One forward pass: a tag ends at the first `>` outside quotes; places from which no tag ends are kept,
+    so that no stretch of a page is searched over and over. Such a tag reaches to the next `<` or `>`.
+    The caller may send the place where to go on.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    hopeless, special, at, text_from = set(), (0, -1), 0, 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= len(page):
+            yield page[text_from:], "", None, "", len(page)
+            return
+        if page.startswith("<!--", at):
+            ends = [x + n for x, n in ((page.find("-->", at + 4), 3), (page.find("--!>", at + 4), 4)) if x >= 0] if last[">"] > at else []
+            end = min(ends, default=len(page))
+            yield page[text_from:at], "", None, "", end
+            at = text_from = end
+            continue
+        closing = page[at + 1] == "/"
+        name = OPENED.match(page, at + 1 + closing)
+        end = -1
+        if name:
+            place, tried = name.end(), []
+            while place not in hopeless and place <= last[">"]:
+                if not special[0] <= place <= special[1]:
+                    special = (place, SPECIAL.search(page, place).start())
+                mark = special[1]
+                if page[mark] == ">":
+                    end = mark + 1
+                    break
+                tried.append(place)
+                if mark + 1 > last[page[mark]]:
+                    break
+                place = page.find(page[mark], mark + 1) + 1
+            if end < 0:
+                hopeless.update(tried)
+        if end >= 0:
+            go = yield page[text_from:at], "/" if closing else "", name.group().lower(), page[name.end() : end - 1], end
+            at = text_from = end if go is None else go
+            if go is not None:
+                yield None
+        elif closing or page[at + 1] in "!?":
+            end = page.find(">", at) + 1 if last[">"] > at else len(page)
+            yield page[text_from:at], "", None, "", end
+            at = text_from = end
+        elif name:
+            end = BROKEN.match(page, at + 1).end()
+            yield page[text_from:at], "", None, "", end
+            at = text_from = end
+        else:
+            at += 1
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int, int, int]]:
@@ -80,91 +158,87 @@ def blocks_of(page: str) -> list[tuple[str, str, int, int, int]]:
     Character references are decoded, white space becomes one space, blocks without text are left out.
     The hint is that of the innermost container that has one. Unclosed elements end with their parent,
     a paragraph or list item also where the next one starts; a tag cut off by the end of the page is no text.
+    Time is in proportion to the page: places of open elements are kept by name.
     """
     from html import unescape
 
-    blocks, stack, held, linked, at, count = [], [], [], 0, 0, 0
-    low = None
+    blocks, stack, held, linked, count = [], [], [], 0, 0
+    places, solid, walls = {}, [], []  # where in the stack: each name, elements not inline, those that no start tag ends
+
+    def topmost(names):
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def leave(depth):
+        while len(stack) > depth:
+            i = len(stack) - 1
+            places[stack.pop()[0]].pop()
+            for kept in (solid, walls):
+                if kept and kept[-1] == i:
+                    kept.pop()
 
     def close():
         nonlocal held, linked
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                tag, hint, number = ("", 0, 0)
-                for name, own, mark, _ in reversed(stack):
-                    if name not in INLINE:
-                        tag, number = name, mark
-                        break
-                if stack:
-                    hint = stack[-1][1]
+                tag, _, number, _ = stack[solid[-1]] if solid else ("", 0, 0, 0)
                 around = stack[-2][2] if len(stack) > 1 and tag in ("p", "li", *HEADINGS) else number
-                blocks.append((text, tag, hint, around, linked))
+                blocks.append((text, tag, stack[-1][1] if stack else NEITHER, around, linked))
         held, linked = [], 0
 
-    def say(text):
-        nonlocal linked
-        if stack and stack[-1][1] == -2:
-            return
-        held.append(text)
-        if any(x[0] == "a" for x in stack[-4:]):
-            linked += len(text)
-
-    while True:
-        found = MARKUP.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at:
-            say(page[at:end])
-        if not found:
-            break
-        at = found.end()
-        tag = found.group(2)
+    pieces = markup(page)
+    for text, closing, tag, attributes, at in pieces:
+        if text and not (stack and stack[-1][1] == SILENCE):
+            held.append(text)
+            if any(x[0] == "a" for x in stack[-4:]):
+                linked += len(text)
         if tag is None:
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             close()
         elif tag == "br":
             held.append(" ")
-        if found.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE and any(x[0] not in INLINE for x in stack[i:]):
-                        break  # an inline end tag closes no block
-                    del stack[i:]
-                    break
+        if closing:
+            i = topmost((tag,))
+            if i >= 0 and (tag not in INLINE or not solid or i > solid[-1]):  # an inline end tag closes no block
+                leave(i)
             continue
-        if tag in VOID or found.group(3).endswith("/") and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and tag not in RAW:
             continue
         if tag not in INLINE:
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
-                if name == "p" or name in same:
-                    del stack[i:]
-                    break
-                if name not in INLINE and name not in ("dt", "dd", "li", "td", "th"):
-                    break
-                if same and name in ("li", "td", "th") and name not in same:
-                    break
-        outer = stack[-1][1] if stack else 0
+            same = ENDED_BY.get(tag, ())
+            wall = walls[-1] if walls else -1
+            if same:
+                wall = max(wall, topmost([n for n in ("li", "td", "th") if n not in same]))
+            i = topmost(("p", *same))
+            if i >= 0 and i >= wall:
+                leave(i)
+        outer = stack[-1][1] if stack else NEITHER
         content = stack[-1][3] if stack else False
-        hint = container(tag, found.group(3), content)
-        if outer == -2:
-            hint = -2
+        hint = container(tag, attributes, content)
+        if outer == SILENCE or hint == FORM and outer in (BOILER, NAMED_BOILER):
+            hint = outer
         count += 1
-        stack.append((tag, hint or outer, count, hint == 1 or content and hint >= 0))
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            solid.append(len(stack))
+            if tag not in ITEMS and tag != "p":
+                walls.append(len(stack))
+        stack.append((tag, hint or outer, count, hint == CONTENT or content and hint >= 0))
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            over = low.find("</" + tag, at)
-            at = len(page) if over < 0 else over
+            over = RAW_ENDS[tag].search(page, at)
+            pieces.send(over.start() if over else len(page))
     close()
     return blocks
 
 
 def margin(text: str, tag: str, hint: int, linked: int) -> int:
     """How much cheaper it is to call a block content than boilerplate, in hundredths."""
+    return plain_margin(text, tag, linked) + (900 if hint == CONTENT else -1200 if hint in (BOILER, NAMED_BOILER) else 0)
+
+
+def plain_margin(text: str, tag: str, linked: int) -> int:
+    """The margin by the text alone: its length, its end, its links."""
     words = text.count(" ") + 1
     score = 90 * min(words, 60).bit_length() - 250
     if text[-1] in ".!?…。":
@@ -175,7 +249,19 @@ def margin(text: str, tag: str, hint: int, linked: int) -> int:
         score -= 400
     if tag in HEADINGS:
         score += 200
-    return score + (900 if hint == 1 else -1200 if hint == -1 else 0)
+    return score
+
+
+def form_cost(blocks) -> int:
+    """What a block within a form pays to be content: 1200, and nothing where forms hold half of the prose.
+
+    Prose are the words of blocks outside of boilerplate that pass for content by their text.
+    """
+    words = {True: 0, False: 0}
+    for text, tag, hint, _, linked in blocks:
+        if hint in (CONTENT, NEITHER, FORM) and plain_margin(text, tag, linked) > 0:
+            words[hint == FORM] += text.count(" ") + 1
+    return 1200 * max(0, words[False] - words[True]) // max(1, words[True] + words[False]) if any(words.values()) else 1200
 
 
 def smoothness(blocks) -> list[tuple[int, int, int]]:
@@ -260,10 +346,19 @@ def minimum_cut(margins: list[int], edges: list[tuple[int, int, int]]) -> list[b
 
 
 def labelled(page: str) -> list[tuple[str, bool]]:
-    """The blocks of a page and whether each is content."""
+    """The blocks of a page and whether each is content.
+
+    Where class names of boilerplate leave no content at all, they are worth nothing and the text decides;
+    elements that name their part (menus, footers, asides), comments, adverts and notices stay what they are.
+    """
     blocks = blocks_of(page)
-    margins = [margin(text, tag, hint, linked) for text, tag, hint, _, linked in blocks]
-    return [(b[0], bool(x)) for b, x in zip(blocks, minimum_cut(margins, smoothness(blocks)))]
+    forms, edges = form_cost(blocks), smoothness(blocks)
+    margins = [margin(text, tag, hint, linked) - forms * (hint == FORM) for text, tag, hint, _, linked in blocks]
+    label = minimum_cut(margins, edges)
+    if NAMED_BOILER in (b[2] for b in blocks) and not any(label):
+        margins = [m + 1200 * (b[2] == NAMED_BOILER) for m, b in zip(margins, blocks)]
+        label = minimum_cut(margins, edges)
+    return [(b[0], bool(x)) for b, x in zip(blocks, label)]
 
 
 def _label(batches):

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from taproom.llm import extract_html as X
 
@@ -40,6 +41,38 @@ def test_cut_off_and_broken_markup():
     assert text("<article>" + "<div>" * 3000 + "Deep text is still found here.") == "Deep text is still found here."
 
 
+def test_articles_in_forms_and_under_mixed_class_names():
+    prose = "<p>" + "Plain words that form a sentence of some length, again and again. " * 3 + "</p>"
+    frame = "<nav><a href=/>Home</a></nav>%s<footer>&copy; me</footer>"
+    for body in (
+        "<form>%s</form>", "<form><article>%s</article></form>", "<form><label>Name</label><input name=q><select><option>One</select>%s",
+        "<div class='content has-sidebar'>%s</div>", "<div class='post comments-open'>%s</div>", "<div id='main' class='with-related'>%s</div>",
+        "<div class='widget'>%s</div>", "<main><form>%s</form></main>",
+    ):
+        for times in (1, 4):
+            assert text(frame % (body % (prose * times))).count("Plain words") == 3 * times, body
+    join = "<form>Join us and read one more long letter on every single day of the whole coming week. <button>Go</button></form>"
+    assert "Join" not in text(frame % (join + "<article>" + prose + "</article>")) + text(frame % ("<article>" + prose * 2 + join + "</article>"))
+    assert "Join" not in text(frame % (prose * 3 + join)) and "Join" not in text(frame % ("<div class=sidebar>" + join + "</div>" + prose))
+    for alone in ("comments", "cookie-notice", "post-comments"):
+        assert text(frame % f"<div class='{alone}'>{prose}</div>") == ""
+
+
+def test_long_broken_and_deep_pages_take_time_in_proportion():
+    for page in (
+        '<a "' * 100_000, "<a '<a \"" * 50_000, "<a" * 200_000 + '"> x', "<!--" * 100_000, '</a "' * 100_000, "<div>" * 50_000 + "</p></b>" * 50_000,
+        "<b>" * 50_000 + "<div></div></b>" * 30_000, "<li><td>" * 30_000 + "<div></div>" * 30_000, "<p>aa bb cc dd.</p>" * 5000,
+    ):
+        began = time.process_time()
+        X.labelled(page)
+        assert time.process_time() - began < 10, page[:20]
+
+
+def test_raw_text_ends_at_its_own_place():
+    assert text("<article>\u0130\u0130\u0130<script>x</SCRIPT>After the script comes one more sentence.</article>").endswith("After the script comes one more sentence.")
+    assert text('<article><p>One sentence is <a href="x>here now.</p><p>Two follows at once.</p></article>').endswith("Two follows at once.")
+
+
 def test_minimum_cut_is_least():
     draw = random.Random(4)
     for _ in range(300):
