@@ -17,18 +17,17 @@ from taproom.llm.common import stored, table, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 1_200_000  # about 250 bytes each
+CACHE_WORDS = 600_000  # in each of two generations, about 250 bytes each
 
-PIECES = (
-    "doc_id long, piece int, start long, length long, ids binary, part int, rank_in_part long"
-)
+PIECES = "doc_id long, piece int, start long, length long, {}, part int, rank_in_part long"
 
 
-def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_words: int):
+def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_words: int, checksums: bool):
     cache = worker_cache  # travels by value
 
     def run(batches):
         import re
+        import zlib
         from array import array
         from itertools import chain
 
@@ -45,12 +44,19 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
             mark = loaded.pre_tokenizer.pre_tokenize_str(" ")[0][0] if loaded.pre_tokenizer else " "
             spaced_id = np.zeros(loaded.get_vocab_size(), bool)
             spaced_id[[i for token, i in loaded.get_vocab().items() if token.startswith(mark)]] = True
-            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={}, pre_tokens={}, spaced_id=spaced_id)
+            line = loaded.encode("\n", add_special_tokens=False).ids
+            cut = [t for t, _ in loaded.pre_tokenizer.pre_tokenize_str("a.\nb")] if loaded.pre_tokenizer else []
+            alone = cut[2:3] == [t for t, _ in loaded.pre_tokenizer.pre_tokenize_str("\n")] if len(cut) == 4 else False
+            line = line[0] if alone and len(line) == 1 else None
+            state.update(tokenizer_path=tokenizer, tokenizer=loaded, words={}, older={}, pre_tokens={}, spaced_id=spaced_id, line=line)
         model, words, pre_tokens = state["tokenizer"], state["words"], state["pre_tokens"]
-        spaced_id = state["spaced_id"]
+        spaced_id, line = state["spaced_id"], state["line"]
         # A single space between two other characters always starts a new pre-token, so the stretches
-        # between such spaces can be encoded on their own, each with its space, and remembered.
-        space = re.compile(r"(?<=\S) (?=\S)")
+        # between such spaces can be encoded on their own, each with its space, and remembered. Where a line
+        # end before another character is a pre-token of its own, stretches also end there; the next one
+        # starts with it.
+        by_line = line is not None
+        space = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)" if by_line else r"(?<=\S) (?=\S)")
         wide = re.compile(r"\s\s")
         split = regex.compile(pattern).findall
         plain = frozenset(",.;:!?")
@@ -61,38 +67,66 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
                 for key, code in zip(keys[at : at + 5000], codes):
                     into[key] = array("I", code.ids).tobytes()
 
+        def joined(some, sep, starts):
+            """The ids of words of letters, encoded in one text; none if they can't be told apart."""
+            text = sep + sep.join(some)
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(starts(ids))
+            if len(at) != len(some):
+                return None
+            raw, first, after = ids.tobytes(), (at * 4).tolist(), (np.append(at[1:], len(ids)) * 4).tolist()
+            return map(raw.__getitem__, map(slice, first, after))
+
         def learn(unseen):
-            """Remember the ids of stretches that follow a space.
+            """Remember the ids of stretches that follow a space or start with a line end.
 
             Letters alone are one pre-token, letters and a stop are two; the rest is split by the pattern.
             """
-            stopped, rest, bases, pieces = [], [], set(), set()
+            stopped, lined, rest, bases, heads, pieces = [], [], [], set(), set(), set()
             for x in unseen:
                 if x.isalpha():
                     bases.add(x)
-                elif x and x[-1] in plain and x[:-1].isalpha():
-                    stopped.append(x)
-                    bases.add(x[:-1])
-                    pieces.add(x[-1])
-                else:
-                    cut = split(" " + x)
+                    continue
+                y = x[1:] if x[:1] == "\n" else x
+                stop = y[-1:] if y[-1:] in plain else ""
+                word = y[:-1] if stop else y
+                if not word.isalpha():
+                    cut = split(x if y is not x else " " + x)
                     rest.append((x, cut))
                     pieces.update(cut)
+                    continue
+                if stop:
+                    pieces.add(stop)
+                if y is x:
+                    stopped.append(x)
+                    bases.add(word)
+                else:
+                    lined.append((x, "\n" + word, stop))
+                    heads.add(word)
             bases = list(bases - words.keys())
             for at in range(0, len(bases), 2000):
                 # Letters after single spaces: each word is a pre-token and its first id alone has the space.
                 some = bases[at : at + 2000]
-                ids = np.array(model.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-                edges = np.append(np.flatnonzero(spaced_id[ids]), len(ids)) * 4
-                if len(edges) != len(some) + 1:
+                found = joined(some, " ", spaced_id.__getitem__)
+                if found is None:
                     encode([" " + x for x in some], some, words)
-                    continue
-                raw, edges = ids.tobytes(), edges.tolist()
-                words.update(zip(some, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+                else:
+                    words.update(zip(some, found))
+            heads = [x for x in heads if "\n" + x not in words]
+            for at in range(0, len(heads), 2000):
+                some = heads[at : at + 2000]
+                lines = ["\n" + x for x in some]
+                found = joined(some, "\n", lambda ids: ids == line)
+                if found is None:
+                    encode(lines, lines, words)
+                else:
+                    words.update(zip(lines, found))
             pieces = list(pieces - pre_tokens.keys())
             encode(pieces, pieces, pre_tokens)
             for x in stopped:
                 words[x] = words[x[:-1]] + pre_tokens[x[-1]]
+            for x, word, stop in lined:
+                words[x] = words[word] + pre_tokens[stop] if stop else words[word]
             for x, cut in rest:
                 words[x] = b"".join(map(pre_tokens.__getitem__, cut))
 
@@ -100,15 +134,20 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
         last = array("I", [end_id]).tobytes()
         for batch in batches:
             stretches = [
-                space.split(text) if wide.search(text) else text.split(" ")
+                space.split(text) if wide.search(text) else (text.replace("\n", " \n") if by_line else text).split(" ")
                 for text in (t or "" for t in batch.column(1).to_pylist())
             ]
             spaced = [x[1:] for x in stretches]
             if len(words) > cache_words:
-                words.clear()
+                # The words in use come back from the older generation; the others go with it.
+                state["older"], state["words"] = words, {}
+                words = state["words"]
             if len(pre_tokens) > cache_words:
                 pre_tokens.clear()
-            learn(set(chain.from_iterable(spaced)) - words.keys())
+            unseen, older = set().union(*spaced) - words.keys(), state["older"]
+            again = unseen & older.keys()
+            words.update(zip(again, map(older.__getitem__, again)))
+            learn(unseen - again)
             heads = [
                 array("I", code.ids).tobytes()
                 for code in model.encode_batch_fast([x[0] for x in stretches], add_special_tokens=False)
@@ -121,7 +160,8 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
                 edges = [0, *range(first, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges, edges[1:])):
                     length = b - a
-                    row = (doc, piece, a, length, ids[4 * a : 4 * b], part, ranks[length])
+                    own = ids[4 * a : 4 * b]
+                    row = (doc, piece, a, length, zlib.crc32(own) if checksums else own, part, ranks[length])
                     ranks[length] += 1
                     for column, value in zip(out, row):
                         column.append(value)
@@ -132,8 +172,9 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
                 yield _rows(pa, out)
 
     def _rows(pa, out):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-        names = ("doc_id", "piece", "start", "length", "ids", "part", "rank_in_part")
+        ids = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), ids[1], pa.int32(), pa.int64())
+        names = ("doc_id", "piece", "start", "length", ids[0], "part", "rank_in_part")
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return run
@@ -146,6 +187,7 @@ def pieces(
     end_id: int = END_ID,
     cache_words: int = CACHE_WORDS,
     pattern: str | None = None,
+    checksums: bool = False,
 ) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids (little-endian uint32).
 
@@ -153,14 +195,16 @@ def pieces(
     one piece. Only documents longer than `capacity` are cut; their first piece may be shorter. `part`
     and `rank_in_part` number the pieces of one length within one task. Repeated rows are packed as
     often as they occur; other columns of `docs` are ignored. `pattern` is the tokenizer's pre-token
-    pattern (default: that of the given byte-level vocabularies).
+    pattern (default: that of the given byte-level vocabularies). With `checksums` the ids stay in their
+    task and ids_crc32 is returned in their place.
     """
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_tokenise(tokenizer, pattern, end_id, capacity, cache_words), PIECES)
+    schema = PIECES.format("ids_crc32 long" if checksums else "ids binary")
+    return rows.mapInArrow(_tokenise(tokenizer, pattern, end_id, capacity, cache_words, checksums), schema)
 
 
 def plan_sequences(counts, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -298,7 +342,7 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: in
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    cut = pieces(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    cut = pieces(docs, tokenizer, capacity, checksums=True)
     return pack(stored(cut, "pieces"), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
