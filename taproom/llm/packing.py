@@ -41,6 +41,7 @@ def _tokenise(tokenizer: str, pattern: str, end_id: int, capacity: int, cache_wo
         if state.get("tokenizer_path") != tokenizer:
             loaded = Tokenizer.from_file(tokenizer)
             loaded.encode_special_tokens = True
+            loaded.model._resize_cache(0)  # every word is encoded once; what comes again is remembered here
             mark = loaded.pre_tokenizer.pre_tokenize_str(" ")[0][0] if loaded.pre_tokenizer else " "
             spaced_id = np.zeros(loaded.get_vocab_size(), bool)
             spaced_id[[i for token, i in loaded.get_vocab().items() if token.startswith(mark)]] = True
