@@ -173,16 +173,13 @@ def shared(t: Tables, name: str) -> str:
     return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(t: Tables, again: bool = False):
-    """The feedback events as a file stream; with `again` out of order and with repeated deliveries."""
+def event_stream(t: Tables):
+    """The feedback events as a file stream, out of order and with repeated deliveries."""
     path = shared(t, "events")
     events = t.fx("feedback").withColumn("recommendationRank", F.col("recommendationRank").cast("int"))
-    if again:
-        # Files by the hash of the id hold all times; every fifth event comes again, some weeks late.
-        events.drop("n").repartition(4, F.xxhash64("eventId")).write.parquet(path)
-        events.where("n % 5 = 0").drop("n").repartition(2, "venueId").write.mode("append").parquet(path)
-    else:
-        events.drop("n").repartitionByRange(4, "recordedAt").sortWithinPartitions("recordedAt").write.parquet(path)
+    # Files by the hash of the id hold all times; every fifth event comes again, some weeks late.
+    events.drop("n").repartition(4, F.xxhash64("eventId")).write.parquet(path)
+    events.where("n % 5 = 0").drop("n").repartition(2, "venueId").write.mode("append").parquet(path)
     return t.spark.readStream.schema(events.drop("n").schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -196,28 +193,16 @@ def event_stream(t: Tables, again: bool = False):
 )
 def feedback_ingest(t: Tables):
     good, bad, state = shared(t, "kept"), shared(t, "rejects"), shared(t, "state")
-    stream.ingest(event_stream(t, again=True), t.fx("venue").where("n % 3 <> 0"), good, bad, state).awaitTermination()
+    stream.ingest(event_stream(t), t.fx("venue").where("n % 3 <> 0"), good, bad, state).awaitTermination()
     kept = t.spark.read.parquet(good).select("eventId", F.lit("kept").alias("outcome"))
     return kept.unionByName(t.spark.read.parquet(bad).select("eventId", F.col("rejectReason").alias("outcome")))
 
 
 @query("T02_latest_label_state", sql("feedback", LABELS))
 def latest_label_state(t: Tables):
-    name = f"labels_{uuid.uuid4().hex}"
-    target = shared(t, name)
-
-    def keep(batch, batch_id):
-        batch.withColumn("batchId", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/b={batch_id}")
-
-    running = (
-        stream.current_labels(event_stream(t)).writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", shared(t, "state")).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    updates = t.spark.read.parquet(f"{target}/b=*")
-    keys = ["sessionId", "queryKey", "venueId"]
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct("eventId", "eventType"), "batchId").alias("e"))
-    return last.select(*keys, "e.eventId", "e.eventType")
+    table = shared(t, "labels")
+    stream.upsert_labels_stream(event_stream(t), table, shared(t, "state")).awaitTermination()
+    return stream.label_table(t.spark, table).select("sessionId", "queryKey", "venueId", "eventId", "eventType")
 
 
 def rating_rows(t: Tables):

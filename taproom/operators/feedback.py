@@ -10,7 +10,7 @@ from taproom.functions import facts, geo, requests, text
 from taproom.operators import evaluation, ranking
 from taproom.operators.skew import with_row
 
-# Feature name of the learner -> (requested feature, fact column).
+# Feature name of the learner -> (requested feature, fact column), and the names in their order.
 LEARNED = {
     "food": ("food", "servesFood"),
     "sports": ("sports", "showsSports"),
@@ -48,8 +48,17 @@ def latest_labels(events: DataFrame) -> DataFrame:
     keyed = explicit(events).withColumn(
         "sessionId", F.coalesce(F.nullif("sessionId", F.lit("")), F.lit("anonymous"))
     ).withColumn("queryKey", text.query_key(F.col("query")))
+    return _last_of_key(keyed)
+
+
+def newer_labels(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Fold two tables of labels into one; the result is the same whichever was written first."""
+    return _last_of_key(current.unionByName(incoming))
+
+
+def _last_of_key(labels: DataFrame) -> DataFrame:
     rest = F.struct("eventId", "eventType", "query", "recommendationRank", "recordedAt")
-    last = keyed.groupBy("sessionId", "queryKey", "venueId").agg(
+    last = labels.groupBy("sessionId", "queryKey", "venueId").agg(
         F.max_by(rest, F.struct("recordedAt", "eventId")).alias("e")
     )
     return last.select("sessionId", "queryKey", "venueId", "e.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taproom.functions import text
+from taproom.operators import feedback as labels
 from taproom.operators import overlay
 from taproom.sources import hash_table, tables
 
@@ -78,16 +79,6 @@ def ingest(stream: DataFrame, venues: DataFrame, target: str, rejects: str, chec
     )
 
 
-def current_labels(events: DataFrame) -> DataFrame:
-    """Last explicit label per (session, request, venue), as running state (update mode).
-
-    The state has one row per key for good: a label holds until the next one, however late that comes.
-    """
-    from taproom.operators.feedback import latest_labels
-
-    return latest_labels(events)
-
-
 RATING_KEY = ("userId", "venueId")
 
 
@@ -97,6 +88,20 @@ def rating_table(spark: SparkSession, table: str) -> DataFrame | None:
     return None if rows is None else rows.drop("bucket")
 
 
+def _folded(stream: DataFrame, checkpoint: str, write):
+    """Start a stream that hands each micro-batch to `write(batch, writer)`; the writer's name is that of the batch."""
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        write(batch, f"{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str, capacity: int = hash_table.CAPACITY):
     """Fold each micro-batch of ratings into a table laid out by extendible hashing.
 
@@ -105,14 +110,31 @@ def upsert_ratings_stream(stream: DataFrame, table: str, checkpoint: str, capaci
     checkpoint goes on from the table as it is.
     """
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        writer = f"{_stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
+    def write(batch: DataFrame, writer: str) -> None:
         fresh = overlay.latest_rating_per_key(batch)
         hash_table.upsert(fresh, table, RATING_KEY, overlay.merge_ratings, writer, capacity)
 
-    return (
-        stream.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _folded(stream, checkpoint, write)
+
+
+LABEL_KEY = ("sessionId", "queryKey", "venueId")
+
+
+def label_table(spark: SparkSession, table: str) -> DataFrame | None:
+    """The current labels, or None before the first write."""
+    rows = hash_table.current(spark, table)
+    return None if rows is None else rows.drop("bucket")
+
+
+def upsert_labels_stream(stream: DataFrame, table: str, checkpoint: str, capacity: int = hash_table.CAPACITY):
+    """Keep the last explicit label per (session, request, venue) in a table laid out by extendible hashing.
+
+    The stream itself holds no state: a label lives in the table for good, and a batch reads and rewrites only the
+    buckets its own keys fall in. Labels are compared by their time and id, so events may come late, out of order or
+    again and the table is that of one aggregate over all of them. A batch without labels writes nothing.
+    """
+
+    def write(batch: DataFrame, writer: str) -> None:
+        hash_table.upsert(labels.latest_labels(batch), table, LABEL_KEY, labels.newer_labels, writer, capacity)
+
+    return _folded(stream, checkpoint, write)
