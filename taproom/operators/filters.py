@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from taproom import vocab as V
 from taproom.functions import facts, text, urls
+from taproom.operators.skew import with_row
+from taproom.session import cut
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -151,14 +153,14 @@ def facet_search(
 
 
 def search_or_area(
-    frame: DataFrame, requests: DataFrame, haystack: str, area: str, key: str = "requestId"
+    frame: DataFrame, requests: DataFrame, haystack: str, area: str
 ) -> DataFrame:
     """Substring hits per request (`needle`); without any, the rows of its `namedArea`."""
-    literal = substring_join(requests, frame, "needle", haystack)
-    hit = literal.select(key).distinct()
-    fallback = requests.join(hit, key, "left_anti").join(
-        frame, F.lower(F.col("namedArea")) == F.lower(F.col(area))
-    )
+    pairs = cut(substring_pairs(requests, frame, "needle", haystack))
+    literal = _met(requests, frame, "needle", haystack, pairs)
+    # A request without a needle meets no text, so it goes to its area too.
+    missed = requests.join(pairs.select(F.col("_needle").alias("needle")).distinct(), "needle", "left_anti")
+    fallback = missed.join(frame, F.lower(F.col("namedArea")) == F.lower(F.col(area)))
     return literal.unionByName(fallback)
 
 
@@ -182,31 +184,74 @@ def text_area(value: Column) -> Column:
     )
 
 
-def grams(value: Column) -> Column:
-    """Every run of up to three characters a text contains, and the empty run."""
+RUN = 3  # characters of the runs that texts are met on
+CELL_ROWS = 20_000  # texts and needles that one task compares under one run, at most about
 
-    def runs(size: int) -> Column:
-        last = F.length(value) - (size - 1)
-        pieces = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(value, at, size))
-        return F.when(last >= 1, pieces).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), runs(1), runs(2), runs(3)))
+def _runs(value: Column, size: int) -> Column:
+    """Every run of `size` characters of a text; none when it is shorter."""
+    last = F.length(value) - (size - 1)
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(value, at, size))
+    return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
-def substring_join(
-    needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str
+def substring_pairs(
+    needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """Pairs whose haystack contains the needle, without comparing every pair.
+    """Distinct texts (_needle, _text) of which the second contains the first. Nulls meet nothing.
 
-    A text can contain a needle only if it contains the needle's first three characters, so the
-    join has an equi-key: that run on one side, all runs of the text on the other.
+    A text can contain a needle only if it contains every run of three characters of it (a shorter needle is
+    its own run), so the join has an equi-key: the run of the needle that the fewest texts have. Only texts
+    under a run that some needle chose are met, and a run with many texts or many needles is cut into a grid
+    of cells. Every needle has one run, so a pair comes once.
     """
-    from taproom.operators.skew import split_join
+    asked = needles.select(F.col(needle).alias("_needle")).where(F.col("_needle").isNotNull()).distinct()
+    texts = haystacks.select(F.col(haystack).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    # Runs shorter than three are cut only where a needle is as short.
+    lengths = asked.agg(F.collect_set(F.least(F.length("_needle"), F.lit(RUN))).alias("_lengths"))
+    short = [
+        F.when(F.array_contains("_lengths", size), _runs(F.col("_text"), size)).otherwise(F.array().cast("array<string>"))
+        for size in range(1, RUN)
+    ]
+    empty = F.when(F.array_contains("_lengths", 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(empty, *short, _runs(F.col("_text"), RUN))
+    spread = with_row(texts, lengths).select("_text", F.explode(every).alias("_run"))
+
+    own = F.when(F.length("_needle") < RUN, F.array("_needle")).otherwise(_runs(F.col("_needle"), RUN))
+    counts = spread.groupBy("_run").agg(F.count("*").alias("_texts"))
+    options = asked.select("_needle", F.explode(own).alias("_run")).join(counts, "_run", "left")
+    # A run that no text has is the rarest: its needle meets nothing.
+    rarest = options.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_run")).alias("r"))
+    keyed = rarest.select("_needle", F.col("r._run").alias("_run"), F.col("r.n").alias("_texts")).where("_texts > 0")
+    cells = keyed.groupBy("_run").agg(
+        F.ceil(F.max("_texts") / cell_rows).cast("int").alias("_rows"),
+        F.ceil(F.count("*") / cell_rows).cast("int").alias("_columns"),
+    )
 
-    keyed = needles.withColumn("_gram", F.substring(F.col(needle), 1, 3))
-    spread = haystacks.withColumn("_gram", F.explode(grams(F.col(haystack))))
-    pairs = split_join(spread, keyed, ["_gram"]).drop("_gram")
-    return pairs.where(F.contains(F.col(haystack), F.col(needle)))
+    def dealt(frame: DataFrame, value: str, mine: str, of: str, other: str, copies: str) -> DataFrame:
+        placed = frame.join(cells, "_run").withColumn(mine, F.pmod(F.xxhash64(value), of).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop("_rows", "_columns")
+
+    left = dealt(spread, "_text", "_row", "_rows", "_column", "_columns")
+    right = dealt(keyed.drop("_texts"), "_needle", "_column", "_columns", "_row", "_rows")
+    pairs = left.join(right, ["_run", "_row", "_column"]).where(F.contains("_text", "_needle"))
+    return pairs.select("_needle", "_text")
+
+
+def _met(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, pairs: DataFrame) -> DataFrame:
+    rows = haystacks.join(pairs, F.col(haystack) == F.col("_text"))
+    return rows.join(needles, F.col("_needle") == F.col(needle)).drop("_needle", "_text")
+
+
+def substring_join(
+    needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Rows whose haystack contains the needle, without comparing every pair.
+
+    Equal needles and equal texts are compared once (`substring_pairs`) and met with their rows afterwards;
+    adaptive execution splits the texts and needles that many rows have.
+    """
+    return _met(needles, haystacks, needle, haystack, substring_pairs(needles, haystacks, needle, haystack, cell_rows))
 
 
 def direct_name_matches(requests: DataFrame, venues: DataFrame) -> DataFrame:
@@ -221,14 +266,6 @@ def direct_name_matches(requests: DataFrame, venues: DataFrame) -> DataFrame:
     return inside.unionByName(around).drop("_search", "_title")
 
 
-def direct_name_hit(name: Column, query: Column) -> Column:
-    """Name contains the query, or a query of five letters or more contains the name."""
-    search, title = text.words_only(query), text.words_only(name)
-    return (search != "") & (
-        F.contains(title, search) | ((F.length(search) >= 5) & F.contains(search, title))
-    )
-
-
 def keep_passage(block: Column, name: Column) -> Column:
     """Long enough, no page noise, prose, and about the venue or a relevant subject."""
     noise = "(?i)" + "|".join(f"(?:{pattern})" for pattern in V.PASSAGE_NOISE)
