@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from taproom import vocab as V
@@ -13,7 +15,8 @@ from taproom.catalog.scalars import q_tokens_of
 from taproom.functions.text import retrieval_tokens
 from taproom.operators import canonical, evaluation, evidence, filters, ranking
 from taproom.plans import recommend
-from taproom.session import cut
+from taproom.session import checkpoint_dir, cut
+from taproom.sources import postings
 
 KM = (
     "CASE location "
@@ -172,6 +175,36 @@ def lexical_matches(t: Tables):
     return evidence.lexical_matches(t.fx("request"), t.fx("chunk"), pairs)
 
 
+DOC = "concat_ws(' ', text, attribute)"
+ASKED = "concat(query, CASE requestId % 3 WHEN 0 THEN ' servesFood' ELSE '' END)"
+STORE = {
+    "held": (
+        f"SELECT chunkId, venueId, {q_tokens_of(DOC)} AS tokens, regexp_extract_all(lower({DOC}), '[a-z0-9]+') AS words FROM fx_chunk"
+    ),
+    "said": f"SELECT requestId, {q_tokens_of(ASKED)} AS qt FROM fx_request",
+}
+
+
+@query(
+    "U06_evidence_store",
+    sql(
+        "request venue chunk",
+        "SELECT c.requestId, h.chunkId, len(list_intersect(s.qt, h.tokens)) AS matched, len(list_filter(h.words, lambda x: list_contains(s.qt, x))) AS occurrences "
+        "FROM (SELECT DISTINCT requestId, venueId FROM cand) c JOIN said s ON s.requestId = c.requestId JOIN held h ON h.venueId = c.venueId "
+        "WHERE list_has_any(s.qt, h.tokens)",
+        **BASE, **STORE,
+    ),
+)
+def evidence_store(t: Tables):
+    """Store written, then every request, a third of them with the name of an attribute, answered from its postings."""
+    path = f"{checkpoint_dir(t.spark)}/evidence-{uuid.uuid4().hex}"
+    postings.write_store(t.chunks().drop("vector"), path)
+    asked = t.fx("request").select("requestId", F.expr(ASKED).alias("query"))
+    parsed = recommend.parse(t.requests().drop("vector"))
+    pairs = filters.candidates(parsed, t.venues()).select("requestId", "venueId")
+    return postings.lexical_matches(t.spark, path, asked, pairs)
+
+
 EVIDENCE = {
     "ch": PAIRS["ch"],
     "rq": (
