@@ -7,8 +7,8 @@ one full cycle. A phrase that reaches the threshold contains only phrases that r
 
 Which phrases have reached the threshold, and in which step, is told to the scans by a table of a fixed number of
 slots. A slot is written once, with the step. Two slots that happen to be taken let a phrase be counted that
-needn't be, never the other way round; when a phrase starts follows from slots that no longer change, so it is
-counted in each shard exactly once all the same.
+needn't be, never the other way round; a phrase starts in the step after the last of the slots of all phrases it
+contains was taken. These no longer change, so it is counted in each shard exactly once all the same.
 """
 
 from __future__ import annotations
@@ -167,7 +167,8 @@ def _count(step: int, shards: int, longest: int, shared, slots: int):
                     yield from rows(lang, phrase, size, start[under_way][first], counts)
                 if size < longest:
                     mixed = _longer(head, hashes[ids[at + size - 1]])
-                    since = reached(mixed)
+                    # Its slots may be taken before its words have reached it: it counts as reached when all of it has.
+                    since = np.maximum(reached(mixed), start - 1)
                     known = since < NEVER
                     at, mixed, since = at[known], mixed[known], since[known]
 

@@ -89,6 +89,17 @@ def test_full_slot_table_changes_nothing(spark, monkeypatch):
     assert result(docs, least=5, shards=2, slots=1 << 15, block_words=100) == brute(rows, 5)
 
 
+def test_half_full_slot_table_changes_nothing(spark):
+    rand = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    lines = [" ".join(rand.choices(words, k=5)) for _ in range(2500)]
+    rows = [(" ".join(rand.choices(words, k=60)), "en") for _ in range(1500)]
+    rows += [(". ".join(rand.choices(lines, k=12)), "en") for _ in range(1500)]
+    docs = frame(spark, rows).repartition(6)
+    # Some 22 000 frequent phrases in 32 768 slots: many are taken before the words of a phrase are frequent.
+    assert result(docs, least=3, shards=2, slots=1 << 15, block_words=5000) == brute(rows, 3)
+
+
 def test_limits_lengths_and_cover(spark):
     rows = made_up(3, 80)
     got = result(frame(spark, rows), least=4, longest=3, top=5, covered=60, shards=2, slots=1 << 15)
