@@ -11,6 +11,24 @@ SMALL = "/root/testdata/sf0.001"
 best = ranking.best_similar
 
 
+def test_a_user_and_venue_are_compared_once(spark, monkeypatch):
+    sizes = []
+    join = ranking.split_join
+
+    def counted(big, small, keys):
+        sizes.append(big.count())
+        return join(big, small, keys)
+
+    monkeypatch.setattr(ranking, "split_join", counted)
+    t = Tables(spark, SMALL)
+    venues = t.fx("venue").limit(3)
+    ranked = spark.range(50).select(F.col("id").alias("requestId"), (F.col("id") % 2).alias("userId")).join(venues.select("venueId"))
+    ratings = venues.select(F.lit(1).alias("userId"), "venueId", F.lit(5.0).alias("rating"), F.col("n").alias("pos"))
+    rows = best(ranked, ratings, venues).collect()
+    assert sizes == [6]
+    assert {(r.requestId % 2, r.bestLiked.rating) for r in rows} == {(1, 5.0)} and len(rows) == 75
+
+
 def test_image_names_are_normalised_before_the_join(spark):
     t = Tables(spark, SMALL)
     for build in (windows.image_scores, windows.image_pick):
