@@ -29,6 +29,21 @@ def test_a_user_and_venue_are_compared_once(spark, monkeypatch):
     assert {(r.requestId % 2, r.bestLiked.rating) for r in rows} == {(1, 5.0)} and len(rows) == 75
 
 
+def test_similar_rated_venues_form_users_not_requests(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(joins.ranking, "best_similar", lambda ranked, *rest: seen.append(ranked.count()) or best(ranked, *rest))
+    t = Tables(spark, SMALL)
+    requests = t.fx("request").select("requestId", "userId")
+    # Ten more rounds of requests by the same users.
+    more = requests.crossJoin(spark.range(10)).select((F.col("requestId") + F.col("id") * 300).alias("requestId"), "userId")
+    old = Tables.fx
+    monkeypatch.setattr(Tables, "fx", lambda self, name: more if name == "request" else old(self, name))
+    got = joins.similar_rated(t).count()
+    few = seen.pop()
+    monkeypatch.setattr(Tables, "fx", old)
+    assert got == 10 * joins.similar_rated(t).count() and few == seen.pop()
+
+
 def test_image_names_are_normalised_before_the_join(spark):
     t = Tables(spark, SMALL)
     for build in (windows.image_scores, windows.image_pick):
