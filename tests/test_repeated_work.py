@@ -11,6 +11,34 @@ SMALL = "/root/testdata/sf0.001"
 best = ranking.best_similar
 
 
+def test_equal_requests_are_scored_once(spark, monkeypatch):
+    kernel = evidence._top_of_block
+
+    def strict(limit, weight):
+        score = kernel(limit, weight)
+
+        def once(asked, held):
+            if asked.num_rows > 2:
+                raise ValueError("equal requests in one block")
+            return score(asked, held)
+
+        return once
+
+    monkeypatch.setattr(evidence, "_top_of_block", strict)
+    asked = [(n, ["beer"] if n % 2 else [], [1.0, 0.0], ["servesFood"]) for n in range(40)]
+    chunks = [("c1", "v", ["beer", "garden"], [1.0, 0.0], ["hasDj"]), ("c2", "v", ["dogs"], [0.0, 1.0], ["servesFood"])]
+    top = evidence.top_evidence(
+        spark.createDataFrame([(n, v) for n in range(40) for v in ("v", "none")], "requestId long, venueId string"),
+        spark.createDataFrame(asked, "requestId long, queryTokens array<string>, queryVector array<double>, wanted array<string>"),
+        spark.createDataFrame(chunks, "chunkId string, venueId string, tokens array<string>, vector array<double>, attributes array<string>"),
+    )
+    got = sorted((r.requestId, r.venueId, r.chunkId, round(r.hybrid, 6), r.matched, r.displayed) for r in top.collect())
+    assert got == [
+        row for n in range(40)
+        for row in ((n, "v", "c1", 1.0 if n % 2 else 0.9, ["beer"] if n % 2 else [], False), (n, "v", "c2", 0.0, [], True))
+    ]
+
+
 def test_a_user_and_venue_are_compared_once(spark, monkeypatch):
     sizes = []
     join = ranking.split_join
