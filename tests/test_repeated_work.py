@@ -77,3 +77,9 @@ def test_image_names_are_normalised_before_the_join(spark):
     for build in (windows.image_scores, windows.image_pick):
         plan = build(t)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_replace" not in plan[: plan.index("Join Inner")]
+
+
+def test_one_decimal_as_python_writes_it(spark):
+    values = [n / 20 for n in range(0, 101)] + [0.04999999999999999, 4.949999999999999, -0.15, -0.04, 2.675, 123456.75, 1e15]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", one_decimal(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{r.x:.1f}" for r in rows]
