@@ -42,6 +42,11 @@ def candidate_pairs(parsed: DataFrame, venues: DataFrame) -> DataFrame:
     return met.join(keyed.select(PREFS_KEY, "requestId"), PREFS_KEY).select("requestId", "venueId")
 
 
+def with_passages(venues: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The venues that have a passage; pairs with any other hold no evidence, so they need not be formed."""
+    return venues.join(chunks.select("venueId").distinct(), "venueId", "left_semi")
+
+
 def rank(requests: DataFrame, venues: DataFrame) -> DataFrame:
     """All candidates of every request with score and explanation (no evidence)."""
     keyed, distinct = distinct_preferences(parse(requests))
@@ -159,7 +164,7 @@ def evaluate(
         named = named.withColumn("expectNoResults", F.lit(False))
     named = named.withColumn("targetAttributes", F.array_union("required", "excluded"))
     parsed = parse(requests, parser)
-    pairs = cut(candidate_pairs(parsed.drop("vector"), venues))
+    pairs = cut(candidate_pairs(parsed.drop("vector"), with_passages(venues, chunks)))
     asked = request_side(parsed).drop("wanted").join(
         named.select("requestId", F.col("targetAttributes").alias("wanted")), "requestId"
     )

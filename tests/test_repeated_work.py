@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from taproom.catalog import evidence as queries
 from taproom.catalog import joins, windows
 from taproom.catalog.base import Tables
 from taproom.functions.text import one_decimal
-from taproom.operators import evidence, ranking
+from taproom.operators import evidence, filters, ranking
 
 SMALL = "/root/testdata/sf0.001"
 best = ranking.best_similar
@@ -83,3 +84,15 @@ def test_one_decimal_as_python_writes_it(spark):
     values = [n / 20 for n in range(0, 101)] + [0.04999999999999999, 4.949999999999999, -0.15, -0.04, 2.675, 123456.75, 1e15]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", one_decimal(F.col("x")).alias("t")).collect()
     assert [r.t for r in rows] == [f"{r.x:.1f}" for r in rows]
+
+
+def test_only_venues_with_passages_are_paired(spark, monkeypatch):
+    few = Tables(spark, SMALL).chunks().where("venueId IN ('v-1', 'v-2')")
+    seen = []
+    pairs = filters.candidates
+    monkeypatch.setattr(Tables, "chunks", lambda self: few)
+    monkeypatch.setattr(filters, "candidates", lambda asked, venues, *rest: seen.append(venues.count()) or pairs(asked, venues, *rest))
+    t = Tables(spark, SMALL)
+    for build in (queries.evidence_inputs, queries.lexical_matches, queries.evidence_store, queries.reference_chunks):
+        build(t)
+        assert seen.pop() == 2 and not seen
