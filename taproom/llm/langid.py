@@ -18,6 +18,7 @@ MAX_GRAMS = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 UNKNOWN = "und"
+GROUP_WORDS = 1 << 16  # words looked up at a time, about; a longer text is a group of its own
 
 
 def letters_of(text: str) -> list[str]:
@@ -153,7 +154,19 @@ def fit(
     return {"languages": languages, "orders": tuple(orders), "tables": tables}
 
 
-def _predict(shared, cache_words: int):
+def packed(model: dict) -> dict:
+    """The model with one text of terms and one matrix a table: every worker keeps what it is sent."""
+    import numpy as np
+
+    width = len(model["languages"])
+    tables = {
+        order: ("\n".join(table), np.array(list(table.values()), np.float32).reshape(len(table), width))
+        for order, table in model["tables"].items()
+    }
+    return {"languages": model["languages"], "orders": model["orders"], "tables": tables}
+
+
+def _predict(shared, cache_words: int, group_words: int = GROUP_WORDS):
     cache, words_of, make = worker_cache, letters_of, grams_of
     unknown = UNKNOWN
 
@@ -169,9 +182,10 @@ def _predict(shared, cache_words: int):
         if state.get("langid") != shared.id:
 
             def numbered(table):
-                return {term: i for i, term in enumerate(table)}, np.array(list(table.values()), float).reshape(len(table), len(languages))
+                terms, scores = table
+                return {term: i for i, term in enumerate(terms.split("\n") if len(scores) else ())}, scores.astype(float)
 
-            known, scores = numbered(tables.get(0, {}))
+            known, scores = numbered(tables.get(0, ("", np.zeros((0, len(languages))))))
             state.update(
                 langid=shared.id, langid_known=known, langid_base=scores, langid_seen=dict(known), langid_scores=scores,
                 langid_grams={k: numbered(tables[k]) for k in orders if k in tables},
@@ -214,8 +228,8 @@ def _predict(shared, cache_words: int):
                 state["langid_scores"] = np.concatenate([state["langid_scores"], backoff(fresh)])
             return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
-        for batch in batches:
-            texts = [words_of(text or "") for text in batch.column(1).to_pylist()]
+        def judged(texts):
+            """Language and posterior of each text, given as its words."""
             names = [unknown if not words else None for words in texts]
             chances = [0.0] * len(texts)
             full = [i for i, words in enumerate(texts) if words]
@@ -228,6 +242,17 @@ def _predict(shared, cache_words: int):
                 posterior = likely[np.arange(len(full)), best] / likely.sum(axis=1)
                 for i, k, p in zip(full, best.tolist(), posterior.tolist()):
                     names[i], chances[i] = languages[k], p
+            return names, chances
+
+        for batch in batches:
+            names, chances, group, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                group.append(words_of(batch.column(1)[i].as_py() or ""))
+                held += len(group[-1])
+                if held >= group_words or i + 1 == batch.num_rows:
+                    for all_, found in zip((names, chances), judged(group)):
+                        all_ += found
+                    group, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(chances, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -244,7 +269,7 @@ def predict(docs: DataFrame, model: dict, cache_words: int = 200_000) -> DataFra
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(_predict(_Shared(context.broadcast(model)), cache_words), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(_Shared(context.broadcast(packed(model))), cache_words), "doc_id long, lang_pred string, score double")
 
 
 class _Shared:
@@ -283,7 +308,7 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5, cache_words: int = 20
     def keeps(found):
         return [name != unknown and score >= least for name, score in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
 
-    shared = _Shared(docs.sparkSession.sparkContext.broadcast(_fitted(docs)))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast(packed(_fitted(docs))))
     return rows_kept(docs, _predict(shared, cache_words), keeps)
 
 

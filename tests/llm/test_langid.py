@@ -64,3 +64,24 @@ def test_a_bad_text_does_not_take_others_of_its_doc_id(spark):
     left = [(r.doc_id, r.text) for r in langid.drop_unidentified(frame).collect()]
     kept = [(d, t) for d, t, *_ in rows() if d is None or d < 60]
     assert set(kept) <= set(left) and not {(None, "--"), (None, None), (7, "12")} & set(left)
+
+
+def test_a_worker_holds_arrays_and_few_words_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    table = {w: np.full(2, -1.0, np.float32) + np.arange(2, dtype=np.float32) * (i % 2) for i, w in enumerate(words)}
+    model = langid.packed({"languages": ["x", "y"], "orders": (1,), "tables": {0: table, 1: {}}})
+    terms, scores = model["tables"][0]
+    assert isinstance(terms, str) and terms.split("\n") == words and scores.shape == (len(words), 2)
+
+    class Shared:
+        value, id = model, "packed"
+
+    texts = [" ".join(words[i : i + 9]) for i in range(200)] + [None, "12"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    once, grouped = (list(langid._predict(Shared, 100, n)([batch])) for n in (10**9, 20))
+    assert once == grouped and once[0].num_rows == len(texts)
+    assert set(once[0].column(1).to_pylist()) == {"y", "und"}
