@@ -78,6 +78,41 @@ def test_linkable_pairs_lose_nothing_against_all_pairs(spark):
     assert some.count() == some.select("aId", "bId").distinct().count()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_in_two_steps_equal_those_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+
+    def side(letter):
+        return [
+            (
+                f"{letter}{i}", rng.choice(["Crown", "The Crown Arms", "Royal Oak", "Oak", "Élite 🍺 Bar", None]),
+                51.5 + rng.randrange(40) / 10000, -0.1 + rng.randrange(40) / 10000, rng.choice([None, "SE1 7AB", "SE1 7AC"]),
+                rng.choice([None, "", "https://x.example", "https://y.example/p"]), rng.choice([None, "0201112222", "0203334444"]),
+            )
+            for i in range(50)
+        ]
+
+    ka = matching.place_keys(spark.createDataFrame(side("a"), A), "fsqPlaceId", "a")
+    kb = matching.place_keys(spark.createDataFrame(side("b"), B), "osmElementId", "b")
+    every = matching.resolve(matching.score_pairs(matching.candidate_pairs(ka, kb)))
+    for got, wanted in zip(matching.link(ka, kb), every):
+        assert ids(got, "aId", "bId", "matchScore") == ids(wanted, "aId", "bId", "matchScore")
+
+
+def test_crowded_places_meet_only_where_the_threshold_can_be_reached(spark):
+    def side(letter, name, phone):
+        return [
+            (f"{letter}{i}", name, 51.5, -0.1, f"SE{letter == 'a':d} {i % 9}AB", f"https://{letter}{i}.example", f"{phone}{1000000 + i}")
+            for i in range(40)
+        ]
+
+    a, b = side("a", "The Royal Oak of Bermondsey Village", "0207"), side("b", "Crown", "0208")
+    ka = matching.place_keys(spark.createDataFrame(a, A), "fsqPlaceId", "a")
+    kb = matching.place_keys(spark.createDataFrame(b, B), "osmElementId", "b")
+    assert matching.linkable_pairs(ka, kb).count() == 0
+    assert matching.score_pairs(matching.candidate_pairs(ka, kb)).where("matchStatus <> 'noMatch'").count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_rounds_equal_greedy(spark, seed):
     rng = random.Random(seed)
