@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproom import vocab as V
@@ -57,12 +57,29 @@ def _only(pairs: DataFrame, method: int) -> DataFrame:
     )
 
 
+def _only_named(known: DataFrame, seen: DataFrame, method: int) -> DataFrame:
+    """Listings with exactly one venue of compatible name under a shared key `_k`.
+
+    Equal names under a key are compared once: whether a listing has one venue shows in the smallest and largest id.
+    """
+    named = known.groupBy("_k", "vName").agg(F.min("venueId").alias("_a"), F.max("venueId").alias("_b"))
+    met = split_join(named, seen.select("_k", "lName").distinct(), ["_k"]).where(_same_name())
+    met = met.groupBy("_k", "lName").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    span = seen.select("listingId", "_k", "lName").join(met, ["_k", "lName"]).groupBy("listingId").agg(
+        F.min("_a").alias("venueId"), F.max("_b").alias("_last")
+    )
+    return span.where(F.col("venueId") == F.col("_last")).select("listingId", "venueId", F.lit(method).alias("_method"))
+
+
 def nearest_two(listings: DataFrame, venues: DataFrame, metres: float = CLEAR_METRES) -> DataFrame:
     """Nearest and second-nearest venue within the given metres of each listing.
 
     Only distances inside the clearance matter for the rule, so a grid of that size is enough.
-    Nearest and runner-up come from partial aggregates.
+    Nearest and runner-up come from partial aggregates. Of venues on one point only the two smallest ids can be
+    either, so crowded points are met by two venues.
     """
+    rank = F.dense_rank().over(Window.partitionBy("vLat", "vLon").orderBy("venueId"))
+    venues = venues.withColumn("_rank", rank).where("_rank <= 2").drop("_rank")
     here = listings.withColumn("_cell", geo.home_cell(F.col("lLat"), F.col("lLon"), metres))
     there = venues.withColumn(
         "_cell", F.explode(geo.near_cells(F.col("vLat"), F.col("vLon"), metres))
@@ -87,11 +104,11 @@ def match_listings(listings: DataFrame, venues: DataFrame) -> DataFrame:
     """(listingId, venueId, matchMethod) by the first strategy that leaves one venue."""
     # Every strategy reads the keys again, so they are computed and written once.
     seen, known = cut(listing_keys(listings)), cut(venue_keys(venues))
-    by_postcode = split_join(
+    by_postcode = _only_named(
         known.where(F.col("vPostcode").isNotNull()).withColumn("_k", F.col("vPostcode")),
         seen.where(F.col("lPostcode").isNotNull()).withColumn("_k", F.col("lPostcode")),
-        ["_k"],
-    ).where(_same_name())
+        0,
+    )
     near = nearest_two(seen, known).where(
         (F.col("distance") <= NEAR_METRES)
         & (F.col("nextDistance").isNull() | (F.col("nextDistance") > CLEAR_METRES))
@@ -110,21 +127,11 @@ def match_listings(listings: DataFrame, venues: DataFrame) -> DataFrame:
         .join(only_name, "listingId", "left")
         .where((F.col("lPath") != "") | (F.col("vPath") != "") | F.col("_alone"))
     )
-    numbered = F.filter(
-        F.array_intersect("vTokens", "lTokens"), lambda token: F.rlike(token, F.lit(r"^\d+$"))
-    )
-    street = F.size(F.array_intersect("vTokens", "lTokens")) >= 2
-    by_address = (
-        _address_pairs(known, seen)
-        .where(_same_name() & street & (F.size(numbered) > 0))
-        .select("listingId", "venueId")
-        .distinct()
-    )
     options = (
-        _only(by_postcode, 0)
+        by_postcode
         .unionByName(near.select("listingId", "venueId", F.lit(1).alias("_method")))
         .unionByName(_only(by_host, 2))
-        .unionByName(_only(by_address, 3))
+        .unionByName(_only_named(*_address_keys(known, seen), 3))
     )
     first = options.groupBy("listingId").agg(F.min(F.struct("_method", "venueId")).alias("_m"))
     names = F.array(*[F.lit(name) for name in METHODS])
@@ -135,8 +142,8 @@ def match_listings(listings: DataFrame, venues: DataFrame) -> DataFrame:
     )
 
 
-def _address_pairs(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs sharing a house number and a second address word, met on both at once."""
+def _address_keys(known: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by house number and a second address word; two sides that share these are of one address."""
 
     def pairs_of(column: Column) -> Column:
         numbers = F.filter(column, lambda token: F.rlike(token, F.lit(r"^\d+$")))
@@ -152,20 +159,20 @@ def _address_pairs(known: DataFrame, seen: DataFrame) -> DataFrame:
 
     left = known.withColumn("_k", F.explode(pairs_of(F.col("vTokens"))))
     right = seen.withColumn("_k", F.explode(pairs_of(F.col("lTokens"))))
-    return split_join(left, right, ["_k"]).drop("_k")
+    return left, right
 
 
 def _name_pairs_are_unique(seen: DataFrame, known: DataFrame) -> DataFrame:
     """Listings compatible with exactly one venue name anywhere."""
-    from taproom.operators.filters import substring_join
+    from taproom.operators.filters import substring_pairs
 
-    v = known.where(F.length("vName") > 0).select("venueId", "vName")
+    # Equal names are met once, as whole rows would multiply.
+    v = known.where(F.length("vName") > 0).groupBy("vName").agg(F.min("venueId").alias("_a"), F.max("venueId").alias("_b"))
     s = seen.where((F.length("lName") > 0) & F.col("lHost").isNotNull()).select("listingId", "lName")
-    inside = substring_join(s, v, "lName", "vName").select("listingId", "venueId")
-    around = substring_join(v, s, "vName", "lName").select("listingId", "venueId")
-    span = inside.unionByName(around).groupBy("listingId").agg(
-        F.min("venueId").alias("_a"), F.max("venueId").alias("_b")
-    )
+    inside = substring_pairs(s, v, "lName", "vName").select(F.col("_needle").alias("lName"), F.col("_text").alias("vName"))
+    around = substring_pairs(v, s, "vName", "lName").select(F.col("_text").alias("lName"), F.col("_needle").alias("vName"))
+    span = inside.unionByName(around).join(v, "vName").groupBy("lName").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    span = s.join(span, "lName").groupBy("listingId").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
     return span.select("listingId", (F.col("_a") == F.col("_b")).alias("_alone"))
 
 

@@ -271,3 +271,11 @@ def test_long_chains_of_duplicates(spark):
     rows = spark.range(600).selectExpr("id AS row", "(id + 1) div 2 AS a", "id div 2 AS b")
     got = {r.row: r.duplicate for r in quality.first_accepted(rows, "row", ["a", "b"]).collect()}
     assert got == {i: i % 2 == 1 for i in range(600)}
+
+
+def test_equal_names_and_points_meet_once(spark):
+    known = spark.createDataFrame([(f"v{i:02}", "crown", "SE1", 51.5, -0.1) for i in range(30)] + [("w", "oak", "SE1", 51.6, -0.1)], "venueId string, vName string, _k string, vLat double, vLon double")
+    seen = spark.createDataFrame([(f"l{i:02}", "crownarms", "SE1", 51.5, -0.1) for i in range(30)] + [("m", "royaloak", "SE1", 51.6, -0.1)], "listingId string, lName string, _k string, lLat double, lLon double")
+    assert ids(identity._only_named(known, seen, 0), "listingId", "venueId") == [("m", "w")]
+    two = {r.listingId: (r.venueId, r.nextDistance) for r in identity.nearest_two(seen, known).collect()}
+    assert two == {f"l{i:02}": ("v00", 0.0) for i in range(30)} | {"m": ("w", None)}
