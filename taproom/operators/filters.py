@@ -341,10 +341,22 @@ def in_polygons(
     First points meet polygons whose bounding box covers them, through grid cells. Then each such
     pair meets the edges of that polygon in the point's horizontal strip (an edge is sent to the
     strips its latitude range touches), so a pair sees only edges that can cross its ray, however
-    many the polygon has. Crossings and boundary hits are summed per point and ring.
+    many the polygon has. Crossings and boundary hits are summed per place and ring. Points of
+    equal coordinates are one place: it is tested once, and its polygons meet its points last.
     """
     from taproom.operators.skew import split_join
 
+    known = points.select(key, lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    inside = _places_in_polygons(known.select(lon, lat).distinct(), rings, lon, lat, cell, strip_height)
+    return split_join(known, inside, [lon, lat]).select(key, "polygonId")
+
+
+def _places_in_polygons(
+    places: DataFrame, rings: DataFrame, lon: str, lat: str, cell: float, strip_height: float
+) -> DataFrame:
+    """(lon, lat, polygonId) of every place inside a polygon."""
+    from taproom.operators.skew import split_join
+
     def at(value: Column, size: float) -> Column:
         return F.floor(value / size).cast("long")
 
@@ -362,11 +374,11 @@ def in_polygons(
         "_row", F.explode(F.sequence(at(F.col("south"), cell), at(F.col("north"), cell)))
     ).withColumn("_col", F.explode(F.sequence(at(F.col("west"), cell), at(F.col("east"), cell))))
     x, y = F.col(lon), F.col(lat)
-    placed = points.select(key, lon, lat, at(y, cell).alias("_row"), at(x, cell).alias("_col"))
+    placed = places.select(lon, lat, at(y, cell).alias("_row"), at(x, cell).alias("_col"))
     near = (
         split_join(placed, boxes, ["_row", "_col"])
         .where(x.between(F.col("west"), F.col("east")) & y.between(F.col("south"), F.col("north")))
-        .select(key, lon, lat, "polygonId", at(y, strip_height).alias("_strip"))
+        .select(lon, lat, "polygonId", at(y, strip_height).alias("_strip"))
     )
     low, high = F.least("aLat", "bLat"), F.greatest("aLat", "bLat")
     edges = ring_edges(rings).withColumn(
@@ -384,7 +396,7 @@ def in_polygons(
     )
     per_ring = (
         split_join(near, edges, ["polygonId", "_strip"])
-        .groupBy(key, "polygonId", "ringNo")
+        .groupBy(lon, lat, "polygonId", "ringNo")
         .agg(
             F.max(on_edge.cast("int")).alias("edge"),
             F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("crossings"),
@@ -392,11 +404,11 @@ def in_polygons(
         .withColumn("inside", (F.col("edge") == 1) | (F.col("crossings") % 2 == 1))
     )
     return (
-        per_ring.groupBy(key, "polygonId")
+        per_ring.groupBy(lon, lat, "polygonId")
         .agg(
             F.bool_or((F.col("ringNo") == 0) & F.col("inside")).alias("outline"),
             F.bool_or((F.col("ringNo") > 0) & F.col("inside")).alias("hole"),
         )
         .where(F.col("outline") & ~F.col("hole"))
-        .select(key, "polygonId")
+        .select(lon, lat, "polygonId")
     )

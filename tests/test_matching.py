@@ -181,6 +181,17 @@ def test_polygon_with_hole(spark):
     assert ids(filters.in_polygons(points, rings, "id"), "id") == [("beside hole",), ("lower arm",), ("side",), ("upper arm",)]
 
 
+def test_points_of_one_place_are_tested_once_and_places_apart(spark):
+    body = '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,4],[0,4],[0,0]]]}'
+    rings = payloads.boundary_rings(spark.createDataFrame([("s", body)], "boundaryId string, body string"))
+    points = spark.createDataFrame(
+        [("a", 1.0, 1.5), ("b", 1.0, 1.5), ("b", 2.0, 2.5), ("c", 5.0, 1.0), ("c", -0.0, 2.0), ("d", 0.0, 2.0), ("e", None, 1.0)],
+        "id string, longitude double, latitude double",
+    )
+    # A point that stands in two places is inside by each of them.
+    assert ids(filters.in_polygons(points, rings, "id"), "id") == [("a",), ("b",), ("b",), ("c",), ("d",)]
+
+
 def test_short_ring_and_wrong_shape_are_errors(spark):
     def rings(body):
         return payloads.boundary_rings(spark.createDataFrame([("x", body)], "boundaryId string, body string"))
