@@ -99,11 +99,15 @@ def candidates(requests: DataFrame, venues: DataFrame, pieces: int | None = None
         for name in names
     )
     keys = F.expr(f"array_compact(array('any', concat('area:', area), {routes}))")
+    # At most one key an area and two a feature; a venue is not sent to those that no request has.
+    asked = requests.where(F.size(prefs["contradictions"]) == 0).agg(F.collect_set(request_key).alias("_asked"))
     spread = (
-        venues.withColumn("_true", true_bits)
+        with_row(venues, asked)
+        .withColumn("_key", F.explode(F.array_intersect(keys, "_asked")))
+        .withColumn("_true", true_bits)
         .withColumn("_false", false_bits)
         .withColumn("_piece", F.pmod(F.xxhash64("venueId"), F.lit(pieces)).cast("int"))
-        .withColumn("_key", F.explode(keys))
+        .drop("_asked")
     )
     postcode = text.postcode_prefix_key(F.col("postcode"))
     conditions = [

@@ -128,17 +128,23 @@ def recommend(
 def explained(
     page: DataFrame, requests: DataFrame, venues: DataFrame, parser: Parser | None = None
 ) -> DataFrame:
-    """Add reasons, verified and unknown features, distance and breakdown to result rows."""
+    """Add reasons, verified and unknown features, distance and breakdown to result rows.
+
+    A venue is explained once for all requests of equal preferences.
+    """
     shown = page.select("requestId", "venueId", F.col("rank"), F.col("score").alias("finalScore"))
-    facts = venues.join(shown.select("venueId").distinct(), "venueId", "left_semi")
-    asked = parse(requests, parser).select("requestId", "prefs")
-    rows = shown.join(asked, "requestId").join(facts, "venueId")
-    return (
-        ranking.with_score(rows)
+    keyed, distinct = distinct_preferences(parse(requests, parser).select("requestId", "prefs"))
+    dealt = shown.join(keyed.select("requestId", PREFS_KEY), "requestId")
+    pairs = dealt.select(PREFS_KEY, "venueId").distinct()
+    facts = venues.join(pairs.select("venueId").distinct(), "venueId", "left_semi")
+    told = (
+        ranking.with_score(pairs.join(distinct, PREFS_KEY).join(facts, "venueId"))
         .withColumn("reasons", ranking.reasons())
         .withColumn("verifiedFeatures", ranking.verified_features())
         .withColumn("unknownFeatures", ranking.unknown_features())
     )
+    rest = [name for name in told.columns if name not in (PREFS_KEY, "venueId")]
+    return dealt.join(told, [PREFS_KEY, "venueId"]).select("venueId", "requestId", "rank", "finalScore", *rest)
 
 
 def evaluate(

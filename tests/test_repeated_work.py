@@ -96,3 +96,25 @@ def test_only_venues_with_passages_are_paired(spark, monkeypatch):
     for build in (queries.evidence_inputs, queries.lexical_matches, queries.evidence_store, queries.reference_chunks):
         build(t)
         assert seen.pop() == 2 and not seen
+
+
+def test_a_venue_is_explained_once_for_equal_preferences(spark, monkeypatch):
+    from taproom.catalog.base import Tables
+    from taproom.operators import ranking
+    from taproom.plans import recommend
+
+    venues = Tables(spark, "/root/testdata/sf0.001").venues()
+    texts = ["pub in Camden with food"] * 5 + ["quiet pub with no sports"]
+    asked = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "requestId bigint, query string")
+    page = recommend.recommend(asked, venues, limit=2)
+    scored = []
+    with_score = ranking.with_score
+    monkeypatch.setattr(ranking, "with_score", lambda rows: scored.append(rows) or with_score(rows))
+    rows = recommend.explained(page, asked, venues).select("requestId", "venueId", "finalScore", "score", "reasons").collect()
+    assert scored[-1].count() == 4 and len(rows) == 12
+    assert all(row.finalScore == row.score for row in rows)
+    said = {}
+    for row in rows:
+        said.setdefault((texts[row.requestId], row.venueId), []).append(row.reasons)
+    assert sorted(len(reasons) for reasons in said.values()) == [1, 1, 5, 5]
+    assert all(reasons == reasons[:1] * len(reasons) for reasons in said.values())
