@@ -118,3 +118,21 @@ def test_a_venue_is_explained_once_for_equal_preferences(spark, monkeypatch):
         said.setdefault((texts[row.requestId], row.venueId), []).append(row.reasons)
     assert sorted(len(reasons) for reasons in said.values()) == [1, 1, 5, 5]
     assert all(reasons == reasons[:1] * len(reasons) for reasons in said.values())
+
+
+def test_truth_is_found_once_a_criterion(spark, monkeypatch):
+    from taproom.plans import recommend
+
+    met = []
+    candidates = filters.candidates
+    monkeypatch.setattr(filters, "candidates", lambda asked, venues: met.append(asked) or candidates(asked, venues))
+    venues = Tables(spark, SMALL).venues()
+    rows = [(n, ["servesFood"] if n % 2 else [], ["hasDj"] if n % 3 else []) for n in range(30)]
+    cases = spark.createDataFrame(rows, "requestId bigint, required array<string>, excluded array<string>")
+    found = {(r.requestId, r.venueId) for r in recommend.relevant_venues(cases, venues).collect()}
+    assert met[0].count() == 3
+    facts = venues.select("venueId", "servesFood", "hasDj").collect()
+    assert found == {
+        (n, v.venueId) for n, need, avoid in rows for v in facts
+        if (need or avoid) and (not need or v.servesFood is True) and (not avoid or v.hasDj is False)
+    }
