@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taproom.operators import quality
 from taproom.operators.canonical import chunk_id
+from taproom.session import cut
 from taproom.sources import known_ids, schemas
 
 FILE_ROWS = 250_000  # rows of a file of a log, about
@@ -32,8 +33,10 @@ def write_evidence(
     """Replace the evidence table: bucketed by venue so that a candidate read prunes folders.
 
     The number of folders follows the number of rows, and a folder is written by several tasks, dealt
-    by chunk, so that neither a large table nor a large venue is held up by one of them.
+    by chunk, so that neither a large table nor a large venue is held up by one of them. The rows are
+    made once, for their count and for the folders.
     """
+    table = cut(table)
     meta = table.agg(
         F.count("*").alias("chunkCount"), F.countDistinct("venueId").alias("venueCount")
     ).withColumn("modelName", F.lit(model)).withColumn("fingerprint", F.lit(fingerprint))

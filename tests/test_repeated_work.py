@@ -136,3 +136,21 @@ def test_truth_is_found_once_a_criterion(spark, monkeypatch):
         (n, v.venueId) for n, need, avoid in rows for v in facts
         if (need or avoid) and (not need or v.servesFood is True) and (not avoid or v.hasDj is False)
     }
+
+
+def test_evidence_rows_are_made_once(spark, tmp_path):
+    from taproom.sources import tables
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value is not None
+
+    rows = spark.createDataFrame([(f"c{n}", f"v{n % 3}", f"t{n}") for n in range(40)], "chunkId string, venueId string, text string")
+    table = rows.where(F.udf(seen, "boolean")("chunkId"))
+    tables.write_evidence(table, str(tmp_path), "f", "m", bucket_rows=15)
+    assert made.value == 40
+    assert sorted(r.chunkId for r in tables.read_evidence(spark, str(tmp_path), "f").collect()) == sorted(f"c{n}" for n in range(40))
+    meta = spark.read.json(f"{tmp_path}/metadata").first()
+    assert (meta.chunkCount, meta.venueCount, meta.buckets) == (40, 3, 3)
