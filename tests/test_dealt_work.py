@@ -58,3 +58,31 @@ def test_what_is_told_is_made_once_for_equal_preferences(spark):
     rows = recommend.rank(asked(spark), Tables(spark, SMALL).venues(), told=F.rand())
     each = rows.groupBy("venueId", "prefs.location").agg(F.count("*").alias("n"), F.countDistinct("told").alias("made")).collect()
     assert each and all(r.made == 1 for r in each) and {r.n for r in each} == {3, 30}
+
+
+def test_equal_texts_are_matched_once(spark, monkeypatch, tmp_path):
+    from taproom.sources import postings
+
+    requests = asked(spark, ["beer garden"] * 40 + ["dogs"])
+    chunks = spark.createDataFrame(
+        [(f"c{i}", "v", "Beer in the garden" if i % 2 else "no dogs", ["hasDj"]) for i in range(10)],
+        "chunkId string, venueId string, text string, attributes array<string>",
+    )
+    pairs = requests.select("requestId", F.lit("v").alias("venueId"))
+    sizes = []
+    for module in (evidence, postings):
+        join = module.split_join
+        monkeypatch.setattr(
+            module, "split_join",
+            lambda big, small, keys, join=join, **more: sizes.append((keys, big.count(), small.count())) or join(big, small, keys, **more),
+        )
+    expected = sorted([(i, f"c{n}") for i in range(40) for n in range(1, 10, 2)] + [(40, f"c{n}") for n in range(0, 10, 2)])
+    assert sorted((r.requestId, r.chunkId) for r in evidence.lexical_matches(requests, chunks, pairs).collect()) == expected
+    path = str(tmp_path / "store")
+    postings.write_store(chunks, path)
+    found = postings.lexical_matches(spark, path, requests, pairs)
+    assert sorted((r.requestId, r.chunkId, r.matched, r.occurrences) for r in found.collect()) == [
+        (i, c, 2 if i < 40 else 1, 2 if i < 40 else 1) for i, c in expected
+    ]
+    # Words of the two texts meet words of passages; then ten matches meet all requests.
+    assert sizes == [(["venueId", "token"], 15, 3), (["_first", "venueId"], 10, 41), (["venueId", "token"], 3, 3), (["_first", "venueId"], 10, 41)]
