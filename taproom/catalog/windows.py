@@ -10,6 +10,7 @@ from taproom.catalog.aggregates import RANKED, run
 from taproom.catalog.base import Tables, query, sql
 from taproom.functions import geo, text, urls
 from taproom.operators import canonical, feedback
+from taproom.operators.skew import piece_join
 from taproom.sources import payloads
 
 LABELS = (
@@ -191,7 +192,7 @@ def images(t: Tables):
     """Image candidates per venue with name score and distance."""
     venue, part = image_sides(t)
     distance = geo.flat_metres(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-    return venue.join(part, "k").select(
+    return piece_join(venue, part, ["k"], "venueId").select(
         "venueId", F.col("p_partkey").alias("imageId"), distance.alias("distance"),
         name_score(F.col("words"), F.col("plain")).alias("nameScore"),
     )

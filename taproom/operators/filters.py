@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taproom import vocab as V
 from taproom.functions import facts, text, urls
-from taproom.operators.skew import shuffle_partitions, with_row
+from taproom.operators.skew import piece_count, shuffle_partitions, with_row
 from taproom.session import cut
 
 
@@ -64,11 +64,6 @@ def feature_mask(features: Column) -> Column:
     )
 
 
-def piece_count(frame: DataFrame) -> int:
-    """Pieces that a key with many rows is dealt over."""
-    return min(256, max(16, shuffle_partitions(frame) // 4))
-
-
 def candidates(requests: DataFrame, venues: DataFrame, pieces: int | None = None) -> DataFrame:
     """Request x venue pairs that pass every hard condition of the request.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taproom.functions import requests as R
 from taproom.functions.text import retrieval_tokens
 from taproom.operators import evaluation, evidence, filters, ranking
-from taproom.operators.skew import shuffle_partitions
+from taproom.operators.skew import piece_join
 from taproom.session import cut, spread
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -39,16 +39,8 @@ def distinct_preferences(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def per_request(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rows (key of preferences, venueId, ...) for every request of these preferences.
-
-    Preferences are few and their rows many, so both sides carry a piece number: rows are dealt over
-    the pieces of their key by venue, requests copied to each, and every task makes about as many rows.
-    """
-    pieces, tasks = filters.piece_count(rows), shuffle_partitions(rows)
-    left = rows.withColumn("_piece", F.pmod(F.xxhash64("venueId"), F.lit(pieces)).cast("int"))
-    right = keyed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    dealt = [side.repartition(tasks, PREFS_KEY, "_piece") for side in (left, right)]
-    return dealt[0].join(dealt[1], [PREFS_KEY, "_piece"]).drop("_piece")
+    """Rows (key of preferences, venueId, ...) for every request of these preferences."""
+    return piece_join(rows, keyed, [PREFS_KEY], "venueId")
 
 
 def candidate_pairs(parsed: DataFrame, venues: DataFrame) -> DataFrame:
