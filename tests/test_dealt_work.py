@@ -86,3 +86,30 @@ def test_equal_texts_are_matched_once(spark, monkeypatch, tmp_path):
     ]
     # Words of the two texts meet words of passages; then ten matches meet all requests.
     assert sizes == [(["venueId", "token"], 15, 3), (["_first", "venueId"], 10, 41), (["venueId", "token"], 3, 3), (["_first", "venueId"], 10, 41)]
+
+
+def test_images_of_one_class_are_measured_by_all_tasks(spark):
+    from taproom.catalog import windows
+
+    t = Tables(spark, SMALL)
+    found = windows.images(t)
+    assert tasks_with_rows(found) > 1
+    venue, part = windows.image_sides(t)
+    assert found.count() == venue.join(part, "k").count() > 0
+
+
+def test_equal_requests_of_a_class_are_scored_once(spark, monkeypatch):
+    from taproom.catalog import evidence as queries
+
+    t = Tables(spark, SMALL)
+    same = spark.createDataFrame([(1 + 100 * i, "quiet beer garden", [1.0] * 4) for i in range(20)], "requestId bigint, query string, vector array<double>")
+    held = spark.createDataFrame([("c1", 1, "beer", [1.0] * 4), ("c2", 1, "dogs", [0.0] * 4), ("c3", 2, "beer", [1.0] * 4)], "chunkId string, n long, text string, vector array<double>")
+    monkeypatch.setattr(t, "requests", lambda: same, raising=False)
+    monkeypatch.setattr(t, "chunks", lambda: held, raising=False)
+    pairs, scores = [], evidence.direct_scores
+    monkeypatch.setattr(evidence, "direct_scores", lambda rows: pairs.append(rows.count()) or scores(rows))
+    rows = queries.side_by_side(t).collect()
+    assert pairs == [2]
+    assert sorted((r.requestId, r.chunkId, round(r.dense, 6)) for r in rows) == sorted(
+        (1 + 100 * i, c, d) for i in range(20) for c, d in (("c1", 1.0), ("c2", 0.0))
+    )
