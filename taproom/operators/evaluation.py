@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taproom.operators.skew import with_row
-from taproom.session import cut
+from taproom.session import cut, sized
 
 CUTOFFS = (1, 3, 5, 10, 20)
 
@@ -204,8 +204,13 @@ def context_scores(
         return frame.groupBy(key).agg(F.count("*").alias(name))
 
     both = size(found.join(wanted, [key, item]), "_both")
+    return _context_shares(cases, size(found, "_found"), size(wanted, "_wanted"), both, key)
+
+
+def _context_shares(cases: DataFrame, found: DataFrame, wanted: DataFrame, both: DataFrame, key: str) -> DataFrame:
+    """The scores from the counts _found, _wanted and _both of each case."""
     rows = cases.select(key).distinct()
-    for part in (size(found, "_found"), size(wanted, "_wanted"), both):
+    for part in (found, wanted, both):
         rows = rows.join(part, key, "left")
     hits = F.coalesce("_both", F.lit(0))
     applies = F.col("_wanted") > 0
@@ -216,6 +221,41 @@ def context_scores(
     )
 
 
+def reference_scores(
+    retrieved: DataFrame, chunks: DataFrame, wanted: DataFrame, cases: DataFrame, key: str
+) -> DataFrame:
+    """`context_scores` of retrieved (key, chunkId) against the `reference_chunks` of `wanted`.
+
+    References are found once for cases of equal targets and a venue, and counted there. They stand next to a case
+    only where they were retrieved, or where a chunk id is of several venues and so can't be counted by venue.
+    """
+    target = F.array_sort(F.collect_set(F.struct("targetAttributes", "termGroups")))
+    told = F.to_json(F.struct("_targets"), {"ignoreNullFields": "false"})
+    of_case = wanted.groupBy(key).agg(target.alias("_targets")).withColumn("_target", F.unhex(F.sha2(told, 256)))
+    venues = cut(wanted.select(key, "venueId").distinct().join(of_case, key).select(key, "venueId", "_target"))
+    asked = of_case.groupBy("_target").agg(F.first("_targets").alias("_targets"))
+    apart = asked.select("_target", F.inline("_targets"))
+    reached = venues.select("_target", "venueId").distinct().join(apart, "_target")
+    refs = reference_chunks(chunks, reached, "_target", "venueId")
+    of_chunk = sized(refs.groupBy("_target", "chunkId").agg(F.collect_set("venueId").alias("_venues")))
+    alone = of_chunk.where(F.size("_venues") == 1).select("_target", F.get("_venues", F.lit(0)).alias("venueId"), "chunkId")
+    several = of_chunk.where(F.size("_venues") > 1).select("_target", F.explode("_venues").alias("venueId"), "chunkId")
+    counted = alone.groupBy("_target", "venueId").agg(F.count("*").alias("_n"))
+    by_venue = venues.join(counted, ["_target", "venueId"]).select(key, "_n")
+    spelled = venues.join(several, ["_target", "venueId"]).select(key, "chunkId").distinct()
+    sizes = by_venue.unionByName(spelled.select(key, F.lit(1).cast("long").alias("_n")))
+    found = retrieved.select(key, "chunkId").distinct()
+    both = (
+        found.join(of_case.select(key, "_target"), key).join(of_chunk, ["_target", "chunkId"])
+        .select(key, "chunkId", F.explode("_venues").alias("venueId"))
+        .join(venues.select(key, "venueId"), [key, "venueId"], "left_semi").select(key, "chunkId").distinct()
+    )
+    return _context_shares(
+        cases, found.groupBy(key).agg(F.count("*").alias("_found")), sizes.groupBy(key).agg(F.sum("_n").alias("_wanted")),
+        both.groupBy(key).agg(F.count("*").alias("_both")), key,
+    )
+
+
 def term_coverage(groups: Column, texts: Column) -> Column:
     """Share of term groups with a term in the joined texts; null without groups."""
     joined = F.lower(F.array_join(texts, " "))
@@ -226,23 +266,27 @@ def term_coverage(groups: Column, texts: Column) -> Column:
 
 
 def reference_chunks(
-    chunks: DataFrame, wanted: DataFrame, key: str
+    chunks: DataFrame, wanted: DataFrame, *key: str
 ) -> DataFrame:
     """Reference passages per case: of the wanted venues, on target attributes or expected terms.
 
-    `wanted`: case key, venueId, targetAttributes, termGroups.
+    `wanted`: case key (one column or more), venueId, targetAttributes, termGroups.
     """
     from taproom.operators.skew import split_join
 
-    pairs = split_join(chunks, wanted, ["venueId"])
+    # Texts go only where a case names no attribute.
+    named = wanted.where(F.size("targetAttributes") > 0)
+    on_target = split_join(chunks.select("chunkId", "venueId", "attributes"), named, ["venueId"]).where(
+        F.arrays_overlap("targetAttributes", "attributes")
+    )
     lowered = F.lower("text")
     by_term = F.exists(
         "termGroups", lambda group: F.exists(group, lambda term: F.contains(lowered, F.lower(term)))
     )
-    on_target = F.when(
-        F.size("targetAttributes") > 0, F.arrays_overlap("targetAttributes", "attributes")
-    ).otherwise(by_term)
-    return pairs.where(on_target).select(key, "chunkId").distinct()
+    rest = wanted.where(F.coalesce(F.size("targetAttributes"), F.lit(0)) <= 0)
+    on_term = split_join(chunks.select("chunkId", "venueId", "text"), rest, ["venueId"]).where(by_term)
+    found = on_target.select(*key, "chunkId").unionByName(on_term.select(*key, "chunkId"))
+    return found.distinct()
 
 
 def auc(frame: DataFrame, label: str, score: str) -> DataFrame:
