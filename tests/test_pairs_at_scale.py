@@ -129,3 +129,14 @@ def test_lengths_of_vectors_are_made_once_a_row(spark):
     given = rows.withColumns({"queryNorm": F.lit(10.0), "norm": F.lit(5.0)})
     assert (plain.dense, plain.lexical) == (0.96, 1.0)
     assert evidence.direct_scores(given).first().dense == 0.48
+
+
+def test_factors_are_spread_before_their_requests(spark, small, monkeypatch):
+    from taproom.catalog import evidence as queries
+
+    made = []
+    unpack = skew._unpacked
+    monkeypatch.setattr(skew, "_unpacked", lambda rows, columns, rest: made.append(rows) or unpack(rows, columns, rest))
+    found = queries.score_breakdown(small)
+    assert "factor" in made[0].columns and "scoreBreakdown" not in made[0].columns
+    assert made[0].select(F.sum(F.size("_rows"))).first()[0] == found.count() > 0
